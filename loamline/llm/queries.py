@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import anchor_simhash, byte_bpe
+from loamline.llm import adaptive_quality, anchor_simhash, ball_tree, byte_bpe, chaining, es_mixing, pu_toxicity, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,125 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that an earlier document has as well."""
+    return chaining.passages(_table(spark, sf_dir, "documents"))
+
+
+#: Dated entries of two lists for the query on ``pages``: list, kind, value, action, date.
+LIST_ENTRIES = [
+    ("adult", "domain", "casino-win.example.com", "add", "2024-01-15"),
+    ("adult", "domain", "casino-win.example.com", "remove", "2024-06-01"),
+    ("adult", "domain", "casino-win.example.com", "add", "2024-09-10"),
+    ("adult", "domain", "casino-win.example.org", "add", "2023-11-01"),
+    ("adult", "domain", "casino-win.example.net", "add", "2024-03-01"),
+    ("adult", "domain", "casino-win.example.net", "remove", "2024-03-01"),
+    ("spam", "domain", "cheap-pills.example.com", "add", "2024-02-01"),
+    ("spam", "domain", "cheap-pills.example.org", "add", "2024-01-01"),
+    ("spam", "domain", "cheap-pills.example.org", "add", "2024-05-01"),
+    ("spam", "domain", "cheap-pills.example.net", "add", "2024-04-01"),
+    ("spam", "domain", "blog.cheap-pills.example.net", "remove", "2024-04-15"),
+    ("spam", "domain", "example.net", "add", "2024-12-01"),
+    ("spam", "prefix", "thther.example.org/en/", "add", "2024-03-01"),
+    ("spam", "prefix", "thther.example.org/en/", "remove", "2024-10-01"),
+    ("spam", "url", "https://thther.example.org/en/685", "add", "2024-01-01"),
+]
+
+
+def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by LIST_ENTRIES as of its fetch date.
+
+    ``pages`` has no fetch date; day ``page_id`` mod 366 of 2024 stands in.
+    """
+    entries = spark.createDataFrame(LIST_ENTRIES, "list string, kind string, value string, action string, dated string").withColumn("dated", F.to_date("dated"))
+    captures = _table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched_on"))
+    out = url_lists.judge(captures, entries)
+    return out.select("page_id", "host", F.col("fetched_on").cast("string").alias("fetched_on"), F.col("n_active").cast("long").alias("n_active"), "blocked", "matched", "list")
+
+
+OP3_SQL = f"""
+WITH entries(list, kind, value, action, dated) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', '{d}', DATE '{e}')" for a, b, c, d, e in LIST_ENTRIES)}),
+intervals AS (
+  SELECT *, lead(dated) OVER (PARTITION BY list, kind, value ORDER BY dated, action) AS until FROM entries),
+captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_on,
+         lower(rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1), '.')) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+hits AS (
+  SELECT c.*, i.list, i.kind || ' ' || i.value AS matched,
+         count(i.kind) OVER (PARTITION BY c.page_id, c.url) AS n_active,
+         row_number() OVER (PARTITION BY c.page_id, c.url ORDER BY CASE i.kind WHEN 'url' THEN 0 WHEN 'prefix' THEN 1 ELSE 2 END, length(i.value) DESC, i.list) AS nth
+  FROM captures c LEFT JOIN intervals i
+    ON i.action = 'add' AND c.fetched_on >= i.dated AND (i.until IS NULL OR c.fetched_on < i.until)
+   AND CASE i.kind WHEN 'url' THEN regexp_replace(c.url, '#.*$', '') = i.value
+                   WHEN 'prefix' THEN starts_with(c.host || c.path, i.value) AND (right(i.value, 1) = '/' OR c.host || c.path = i.value)
+                   ELSE c.host = i.value OR ends_with(c.host, '.' || i.value) END)
+SELECT page_id, host, CAST(fetched_on AS VARCHAR) AS fetched_on, n_active, n_active > 0 AS blocked, matched, list FROM hits WHERE nth = 1
+"""
+
+
+def op4_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out quarter."""
+    return pu_toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, thresholds per language and source."""
+    out = adaptive_quality.with_verdicts(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best rows by inner product for every fiftieth vector, against all."""
+    out = ball_tree.top_k(_table(spark, sf_dir, "embeddings"))
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+OP8_SQL = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM rows q JOIN rows c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op9_es_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source weights 3, 1, 2."""
+    return es_mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP9_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         -ln((CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
+         / coalesce(greatest(0.05, 1 - CAST(4 * (length(text) - length(translate(text, '#*$%&|<>', ''))) AS DOUBLE) / greatest(length(text), 1)), 1.0) AS key
+  FROM documents),
+totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+         sum(w) OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free,
+         1.5::DOUBLE * sum(source_size) OVER () AS budget
+  FROM totals),
+aims AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, w * max((budget - capped) / free) OVER ()) AS target FROM levels),
+placed AS (
+  SELECT s.doc_id, s.size, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN CAST(floor(a.target / a.source_size) AS BIGINT) ELSE 0 END AS epochs,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (epochs + CASE WHEN before + size / 2.0 < target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM placed
+"""
+
+
 def op10_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word SimHash classes of all documents, links at two bits or fewer."""
     out = anchor_simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
@@ -36,7 +155,14 @@ def op10_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_chaining": op2_chaining,
+    "op3_url_lists": op3_url_lists,
+    "op4_pu_toxicity": op4_pu_toxicity,
+    "op7_adaptive_quality": op7_adaptive_quality,
+    "op8_ball_tree": op8_ball_tree,
+    "op9_es_mixing": op9_es_mixing,
     "op10_anchor_simhash": op10_anchor_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL can't express the others: tokenisers, trained models, sketches and XXH64.
+ORACLES: dict[str, str] = {"op3_url_lists": OP3_SQL, "op8_ball_tree": OP8_SQL, "op9_es_mixing": OP9_SQL}
