@@ -38,23 +38,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_docs: int = 5, rounds: int = 300, rate: float = 0.05, decay: float = 2e-4) -> Model:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_docs: int = 3, least_z: float = 3.5, rounds: int = 300, rate: float = 0.05, decay: float = 5e-5) -> Model:
     """Fit to the word hashes of the positive and of the unlabelled texts with the logistic loss and Adam.
 
     Risk: prior * E_p[loss(f, +1)] + max(0, E_u[loss(f, -1)] - prior * E_p[loss(f, -1)]).
-    Words in fewer than ``least_docs`` texts are not features. Without positive
-    examples the model is constant.
+    Features are the words in at least ``least_docs`` texts whose shares among
+    positive and unlabelled texts differ by ``least_z`` standard errors: with
+    some 10^5 words, chance alone passes a handful. Without positive examples
+    the model is constant.
     """
     if not positive or not unlabelled:
         return Model(-4.0, {})
     every = positive + unlabelled
     vocabulary, index, docs = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
-    frequent = docs >= least_docs
+    p, u = len(positive), len(unlabelled)
+    toxic = np.bincount(index[: sum(map(len, positive))], minlength=len(vocabulary))
+    pooled = docs / (p + u)
+    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / p + 1 / u))
+    frequent = (docs >= least_docs) & (np.abs(toxic / p - (docs - toxic) / u) >= least_z * error)
     number = np.cumsum(frequent) - 1
     row = np.repeat(np.arange(len(every)), [len(x) for x in every])
     keep = frequent[index]
     row, col, n = row[keep], number[index[keep]], int(frequent.sum())
-    p, u = len(positive), len(unlabelled)
     w, b = np.zeros(n), float(np.log(prior / (1 - prior)))
     # Common words tell little and are in every text; their steps are shortened by their frequency.
     scale = np.append(1 / np.sqrt(1 + 20 * docs[frequent] / len(every)), 0.3)

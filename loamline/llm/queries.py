@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import adaptive_quality, anchor_simhash, ball_tree, byte_bpe, chaining, es_mixing, pu_toxicity, url_lists
+from loamline.llm import adaptive_quality, anchor_simhash, ball_tree, byte_bpe, chaining, es_mixing, gru_lm, kn_langid, pu_toxicity, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,16 @@ def op4_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every whole document, learned outside the held-out tenth."""
+    return gru_lm.score(_table(spark, sf_dir, "documents"))
+
+
+def op6_kn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fifth."""
+    return kn_langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document, thresholds per language and source."""
     out = adaptive_quality.with_verdicts(_table(spark, sf_dir, "documents"))
@@ -158,6 +168,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chaining": op2_chaining,
     "op3_url_lists": op3_url_lists,
     "op4_pu_toxicity": op4_pu_toxicity,
+    "op5_gru_lm": op5_gru_lm,
+    "op6_kn_langid": op6_kn_langid,
     "op7_adaptive_quality": op7_adaptive_quality,
     "op8_ball_tree": op8_ball_tree,
     "op9_es_mixing": op9_es_mixing,
