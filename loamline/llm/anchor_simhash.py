@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamline.llm import id_filter
 from loamline.llm.components import connected_components, forest
 from loamline.llm.storage import materialise
-from loamline.llm.words import text_bytes
+from loamline.llm.words import WordHashes, gram_hashes, mix, text_bytes
 
 LENGTH, RADIUS, GENERATOR = 23, 3, 0b110001110101
 PAIRS_AT_ONCE = 2_000_000
@@ -178,3 +179,106 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, max_bits: int = 2)
     lows = materialise(labelled.groupBy("label").agg(F.min("low").alias("component_id")), "simhash-lows")
     classes = materialise(labelled.join(lows, "label").select(F.col("fp").alias("of"), "component_id"), "simhash-classes")
     return own.join(classes, own.fp == classes.of, "left").select("doc_id", "fp", "component_id")
+
+
+#: Of the shingle weights u ** -3 those after the 16 heaviest add less than 1 % of the first.
+HEAVIEST, TAIL = 16, -3.0
+
+
+def weighted_fingerprints(distinct: np.ndarray, how_many: int) -> list[int]:
+    """SimHashes of a set of shingle hashes, each under other random weights.
+
+    The weights have a heavy tail, so a few shingles decide a fingerprint: it
+    stays the same, or nearly, with about the probability that these shingles
+    are in both of two texts, while any edit disturbs an unweighted one.
+    """
+    if not len(distinct):
+        return [0]
+    out = []
+    for g in range(how_many):
+        with np.errstate(over="ignore"):
+            u = mix(distinct + np.uint64(2 * g + 1) * np.uint64(0x9E3779B97F4A7C15))
+            low = np.argpartition(u, HEAVIEST)[:HEAVIEST] if len(u) > HEAVIEST else np.arange(len(u))
+            weight = ((u[low] >> np.uint64(11)).astype(np.float64) + 1) ** TAIL
+            bits = np.unpackbits(mix(u[low] + np.uint64(g + 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        share = (weight / weight.max()) @ (2.0 * bits - 1)
+        out.append(int.from_bytes(np.packbits(share > 0).tobytes(), "big", signed=True))
+    return sorted(set(out))
+
+
+def _shingle_set(hashes: WordHashes, text: bytes, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of k lower-cased words (fewer words: of the whole sequence)."""
+    words = text.lower().split()
+    return np.unique(gram_hashes(hashes.of(words), min(k, len(words)))) if words else np.empty(0, np.uint64)
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, how_many: int = 6, max_bits: int = 1, centres: int = 4) -> DataFrame:
+    """Classes of documents whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    In: ``doc_id``, ``text``. Out, one row per input row: ``doc_id``,
+    ``component_id`` (smallest id reachable over links; null if the document
+    and all its equals have null ids). Texts of equal shingle sets are one; all
+    texts without words, null ones included, are equal.
+
+    Candidates come from anchor-point covering: ``how_many`` weighted SimHashes
+    per distinct text, linked at ``max_bits`` bits. Within a class of linked
+    fingerprints every text is compared with up to ``centres`` of its members,
+    the smallest id among them, others in each class, so comparisons grow with
+    the texts and not with the pairs of a group; each is checked exactly on the
+    whole shingle sets.
+    """
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sigs, fps = [], []
+            for text in text_bytes(batch):
+                own = _shingle_set(hashes, text, shingle_words)
+                sigs.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else b"")
+                fps.append(weighted_fingerprints(own, how_many))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigs, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "sig", "fps"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(described, "doc_id long, sig binary, fps array<long>")
+    rows = materialise(rows, "similar-rows")
+    texts = materialise(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")), "similar-texts")
+    own = materialise(texts.where("rep is not null").select("rep", F.explode("fps").alias("fp")), "similar-fps")
+    linked = connected_components(link_fingerprints(own.select("fp").distinct(), max_bits), "similar-fps")
+    classes = own.join(linked, own.fp == linked.node, "left").select("rep", F.coalesce("label", "fp").alias("label"))
+    classes = materialise(classes.distinct(), "similar-classes")
+    bucket = F.pmod(F.xxhash64("rep", "label"), F.lit(centres))
+    heads = materialise(classes.groupBy("label", bucket.alias("b")).agg(F.min("rep").alias("centre")).select(F.col("label").alias("of"), "centre"), "similar-centres")
+    pairs = classes.join(heads, F.expr("label = of and rep <> centre")).select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
+    pairs = materialise(pairs.withColumn("pair", F.monotonically_increasing_id()), "similar-pairs")
+    links = _verified(docs, pairs, similarity, shingle_words)
+    found = connected_components(links, "similar")
+    labelled = texts.join(found, texts.rep == found.node, "left").select(F.col("sig").alias("of"), F.coalesce("label", "rep").alias("component_id"))
+    labelled = materialise(labelled, "similar-labels")
+    return rows.join(labelled, rows.sig == labelled.of, "left").select("doc_id", "component_id")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, k: int) -> DataFrame:
+    """The pairs ``u``, ``v`` whose whole shingle sets are similar enough."""
+    asked = materialise(pairs.select("pair", F.lit(0).alias("side"), F.col("u").alias("of")).union(pairs.select("pair", F.lit(1).alias("side"), F.col("v").alias("of"))), "similar-asked")
+    wanted = id_filter.build(asked, "of")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            batch = batch.filter(pa.array(id_filter.may_hold(wanted.value, batch.column("doc_id").to_numpy())))
+            out = [_shingle_set(hashes, t, k).astype(np.uint32) for t in text_bytes(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.unique(x).tobytes() for x in out], pa.binary())], names=["doc_id", "shingles"])
+
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, shingles binary")
+    met = asked.join(own, asked.of == own.doc_id).select("pair", "side", "of", "shingles")
+    both = met.groupBy("pair").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("of", "shingles")])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("shingles0").to_pylist(), batch.column("shingles1").to_pylist()):
+                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select(F.col("of0").alias("u"), F.col("of1").alias("v"), "shingles0", "shingles1").mapInArrow(judged, "u long, v long")
