@@ -42,9 +42,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources come near their target weights."""
-    times = es_mixing.mix(docs).groupBy(F.col("doc_id").alias("__of")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    joined = docs.join(materialise(times, "pipeline-copies"), docs.doc_id.eqNullSafe(F.col("__of")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    return es_mixing.repeated(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
