@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from loamline.llm import id_filter
 from loamline.llm.components import connected_components, forest
 from loamline.llm.storage import materialise
-from loamline.llm.words import WordHashes, gram_hashes, mix, text_bytes
+from loamline.llm.words import WordHashes, gram_hashes, mix, slices, text_bytes
 
 LENGTH, RADIUS, GENERATOR = 23, 3, 0b110001110101
 PAIRS_AT_ONCE = 2_000_000
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """``doc_id``, ``fp`` (the 64 bits as a long) of each row; a text without words, or null, has 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fp = pa.array([fingerprint(t, shingle_words) for t in text_bytes(batch)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], names=["doc_id", "fp"])
 
@@ -230,24 +230,28 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            sigs, fps = [], []
+        for batch in slices(batches):
+            sigs, sizes, fps = [], [], []
             for text in text_bytes(batch):
                 own = _shingle_set(hashes, text, shingle_words)
                 sigs.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else b"")
+                sizes.append(len(own))
                 fps.append(weighted_fingerprints(own, how_many))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigs, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "sig", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "sig", "size", "fps"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(described, "doc_id long, sig binary, fps array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(described, "doc_id long, sig binary, size long, fps array<long>")
     rows = materialise(rows, "similar-rows")
-    texts = materialise(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")), "similar-texts")
-    own = materialise(texts.where("rep is not null").select("rep", F.explode("fps").alias("fp")), "similar-fps")
+    texts = materialise(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fps").alias("fps")), "similar-texts")
+    own = materialise(texts.where("rep is not null").select("rep", "size", F.explode("fps").alias("fp")), "similar-fps")
     linked = connected_components(link_fingerprints(own.select("fp").distinct(), max_bits), "similar-fps")
-    classes = own.join(linked, own.fp == linked.node, "left").select("rep", F.coalesce("label", "fp").alias("label"))
+    classes = own.join(linked, own.fp == linked.node, "left").select("rep", "size", F.coalesce("label", "fp").alias("label"))
     classes = materialise(classes.distinct(), "similar-classes")
     bucket = F.pmod(F.xxhash64("rep", "label"), F.lit(centres))
-    heads = materialise(classes.groupBy("label", bucket.alias("b")).agg(F.min("rep").alias("centre")).select(F.col("label").alias("of"), "centre"), "similar-centres")
-    pairs = classes.join(heads, F.expr("label = of and rep <> centre")).select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
+    heads = classes.groupBy("label", bucket.alias("b")).agg(F.min("rep").alias("centre"), F.min_by("size", "rep").alias("centre_size"))
+    heads = materialise(heads.select(F.col("label").alias("of"), "centre", "centre_size"), "similar-centres")
+    # Sets whose sizes differ by more than the threshold can't be similar enough.
+    fits = F.least("size", "centre_size") >= similarity * F.greatest("size", "centre_size")
+    pairs = classes.join(heads, F.expr("label = of and rep <> centre") & fits).select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
     pairs = materialise(pairs.withColumn("pair", F.monotonically_increasing_id()), "similar-pairs")
     links = _verified(docs, pairs, similarity, shingle_words)
     found = connected_components(links, "similar")
@@ -263,7 +267,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, k: int) -> D
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(pa.array(id_filter.may_hold(wanted.value, batch.column("doc_id").to_numpy())))
             out = [_shingle_set(hashes, t, k).astype(np.uint32) for t in text_bytes(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.unique(x).tobytes() for x in out], pa.binary())], names=["doc_id", "shingles"])
@@ -273,7 +277,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, k: int) -> D
     both = met.groupBy("pair").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("of", "shingles")])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for a, b in zip(batch.column("shingles0").to_pylist(), batch.column("shingles1").to_pylist()):
                 x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)

@@ -59,7 +59,19 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: flo
     return out.withColumn("target", F.least("most", level * F.col("w"))).select("src", "nosrc", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7, buckets: int = 4096) -> DataFrame:
+def _keyed(seed: int, buckets: int) -> list[Column]:
+    """What a document's place in the mix follows from: source without null, size, key and the key's range."""
+    key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))
+    return [
+        F.coalesce(F.col("source"), F.lit("")).alias("src"),
+        F.col("source").isNull().alias("nosrc"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
+        key.alias("key"),
+        F.floor(buckets * (1 - F.exp(-key))).cast("int").alias("bucket"),
+    ]
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7, buckets: int = 4096, keys: bool = False) -> DataFrame:
     """How often the mix takes each document.
 
     In: ``doc_id``, ``text``, ``source``; other columns are ignored. Out, one
@@ -71,16 +83,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     never taken; a null source is a source of its own; rows with equal ids get
     equal keys and are ordered by size, equal rows in any order.
     """
-    key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))
-    sized = docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.col("source"), F.lit("")).alias("src"),
-        F.col("source").isNull().alias("nosrc"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"),
-        key.alias("key"),
-    )
-    sized = materialise(sized.withColumn("bucket", F.floor(buckets * (1 - F.exp(-F.col("key")))).cast("int")), "mix-sized")
+    sized = docs.select("doc_id", "source", *_keyed(seed, buckets))
+    sized = materialise(sized, "mix-sized")
     sums = materialise(sized.groupBy("src", "nosrc", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     budget = targets(sums.groupBy("src", "nosrc").agg(F.sum("words").alias("source_size")), weights, share, cap)
     earlier = Window.partitionBy("src", "nosrc").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,4 +95,26 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     rest = F.col("target") - epochs * F.col("source_size")
     middle = F.col("before") + F.col("inside") + F.col("size") / 2
     copies = F.when(F.col("size") > 0, epochs + F.when(middle < rest, 1).otherwise(0)).otherwise(0).cast("long")
-    return placed.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    more = ["src", "nosrc", "bucket", "key"] if keys else []
+    return placed.withColumn("copies", copies).select(*more, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def repeated(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7, buckets: int = 4096) -> DataFrame:
+    """The mix itself: all columns of ``docs``, each document as often as ``mix`` takes it.
+
+    The decisions are carried over by one row per source, its complete epochs
+    and the last key of the fractional one, so texts aren't exchanged. Rows
+    that are equal in id, size and key share the decision.
+    """
+    place = F.struct("bucket", "key", "doc_id", "size")
+    chosen = mix(docs, weights, share, cap, seed, buckets, keys=True)
+    whole = F.floor(F.col("target") / F.col("source_size")).cast("long")
+    cuts = chosen.where("size > 0").withColumn("whole", whole).groupBy("src", "nosrc").agg(F.first("whole").alias("whole"), F.max(F.when(F.col("copies") > F.col("whole"), place)).alias("cut"))
+    cuts = materialise(cuts.select(F.col("src").alias("__src"), F.col("nosrc").alias("__nosrc"), "whole", "cut"), "mix-cuts")
+    names = docs.columns
+    own = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), *[c.alias(n) for c, n in zip(_keyed(seed, buckets), ("__s", "__n", "__size", "__key", "__bucket"))])
+    met = own.join(cuts, (F.col("__s") == F.col("__src")) & (F.col("__n") == F.col("__nosrc")))
+    here = F.struct(F.col("__bucket").alias("bucket"), F.col("__key").alias("key"), F.col("row.doc_id").alias("doc_id"), F.col("__size").alias("size"))
+    times = F.col("whole") + F.when(F.col("cut").isNotNull() & (here <= F.col("cut")), 1).otherwise(0)
+    taken = met.where((F.col("__size") > 0) & (times > 0)).select("row", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("__time"))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in names])
