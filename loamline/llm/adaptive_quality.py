@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamline.llm.storage import materialise
-from loamline.llm.words import text_bytes
+from loamline.llm.words import slices, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -58,7 +58,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``lang``, ``source`` and the counts of each row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = np.array([measure(t) for t in text_bytes(batch)], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "lang", "source")] + [pa.array(rows[:, i]) for i in range(len(COUNTS))], names=["doc_id", "lang", "source", *COUNTS])
 
@@ -87,7 +87,7 @@ def with_verdicts(docs: DataFrame, spread: float = 6.0, least_docs: int = 200, b
     groups = materialise(sketched, "quality-sketches")
 
     def merged(*by: str) -> DataFrame:
-        return groups.groupBy(*by).agg(F.sum("docs").alias("docs"), *[F.kll_merge_agg_double(m, sketch_k).alias(m) for m in MEASURES])
+        return groups.groupBy(*(by or [F.lit(1).alias("all")])).agg(F.sum("docs").alias("docs"), *[F.kll_merge_agg_double(m, sketch_k).alias(m) for m in MEASURES])
 
     def fences(sketches: DataFrame, prefix: str, *by: str) -> DataFrame:
         cols = []

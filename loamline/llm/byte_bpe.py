@@ -20,9 +20,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loamline.llm.words import slices
+
 #: Byte b is written as the character of code FIRST + b.
 FIRST = 0x100
-MAX_CACHED = 300_000
+MAX_CACHED = 200_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -130,7 +132,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_decoded: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [codec.encode(t) if t else b"" for t in batch.column("text").to_pylist()]
             out = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             if with_decoded:
@@ -147,7 +149,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, "")
-        for batch in batches:
+        for batch in slices(batches):
             out = pa.array([codec.decode(x or b"") for x in batch.column("ids").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out], names=["doc_id", "decoded"])
 

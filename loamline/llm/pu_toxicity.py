@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.words import MAX_CACHED, remainder
+from loamline.llm.words import MAX_CACHED, remainder, slices
 
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
@@ -81,7 +81,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 def _hashes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [np.array([xxhash.xxh64_intdigest(w) for w in features(t)], np.uint64).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["words"])
 
@@ -124,7 +124,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 return w
 
         weight = Weights().__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             f = shared.value.bias + np.array([sum(map(weight, sorted(features(t)))) for t in batch.column("text").to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_sigmoid(f))], names=["doc_id", "score"])
 

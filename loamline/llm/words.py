@@ -6,6 +6,8 @@ A word is a maximal run of bytes other than space and \\x09-\\x0D. That is what
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,7 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-MAX_CACHED = 400_000
+MAX_CACHED = 200_000
+ROWS_AT_ONCE = 1000
 
 
 def remainder(doc_id: Column | str, parts: int) -> Column:
@@ -22,6 +25,13 @@ def remainder(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % parts
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, which bounds what a worker holds as Python objects."""
+    for batch in batches:
+        for i in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(i, rows)
+
+
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [b or b"" for b in batch.column(name).cast(pa.binary()).to_pylist()]
