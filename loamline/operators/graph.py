@@ -175,7 +175,8 @@ def cycles(edges: DataFrame, by: str = "repo_id") -> DataFrame:
                 early.add((s, d))
         rings = back_edge_cycles(adjacency)
         whole = [all(e in early for e in zip(r, r[1:] + r[:1])) for r in rings]
-        return pd.DataFrame({by: [table[by].iloc[0]] * len(rings), "members": [[str(x) for x in r] for r in rings], "length": [len(r) for r in rings], "import_time": whole})
+        rows = [(table[by].iloc[0], [str(x) for x in r], len(r), w) for r, w in zip(rings, whole)]
+        return pd.DataFrame(rows, columns=[by, "members", "length", "import_time"])
 
     kind = edges.schema[by].dataType.simpleString()
     return edges.groupBy(by).applyInPandas(run, f"{by} {kind}, members array<string>, length int, import_time boolean")

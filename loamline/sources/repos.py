@@ -9,16 +9,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loamline.functions import paths, text, urls
 from loamline.operators import python_source, typescript_source
 
 MOST_BYTES = 1 << 20
 HISTORY_VERSION = 1
-HISTORY = T.StructType.fromDDL("task_id string, created_at double, schema_version int, repo string, commit_sha string, finding_count int, _corrupt_record string")
+HISTORY = "task_id string, created_at double, schema_version int, repo string, commit_sha string, finding_count int, _corrupt_record string"
 
-PARSED = T.StructType.fromDDL(
+PARSED = (
     "repo_id string, path string, language string, status string, reason string,"
     " symbols array<struct<name:string,kind:string,start_line:int,end_line:int,parent:string>>,"
     " imports array<struct<line:int,target:string,kind:string,scope:string,names:array<string>>>,"
@@ -26,6 +25,13 @@ PARSED = T.StructType.fromDDL(
     " definitions array<struct<start_line:int,end_line:int,name:string,parent:string,kind:string,statements:array<int>,first_method:int>>"
 )
 
+NESTED = {
+    "symbols": ["name", "kind", "start_line", "end_line", "parent"],
+    "imports": ["line", "target", "kind", "scope", "names"],
+    "candidates": ["category", "kind", "line", "evidence", "confidence", "enclosing"],
+    "definitions": ["start_line", "end_line", "name", "parent", "kind", "statements", "first_method"],
+}
+
 
 def read_files(spark: SparkSession, root: str, skipped: list[str] = paths.SKIPPED_IN_PARSE) -> DataFrame:
     """All files under ``root/<repo_id>/``: ``repo_id``, ``path``, ``size``, ``text`` (null if not UTF-8), ``modified``.
@@ -85,10 +91,9 @@ def parse(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
                 else:
                     out = (python_source if python else typescript_source).read(content)
                 rows.append((repo, path, "python" if python else "typescript", "unparsed" if out.reason else "parsed", out.reason or None, out.symbols, out.imports, out.candidates, out.definitions))
-            table = pd.DataFrame(rows, columns=PARSED.fieldNames())
-            for f in PARSED.fields[5:]:
-                names = f.dataType.elementType.fieldNames()
-                table[f.name] = [[dict(zip(names, r)) for r in v] for v in table[f.name]]
+            table = pd.DataFrame(rows, columns=["repo_id", "path", "language", "status", "reason", *NESTED])
+            for name, names in NESTED.items():
+                table[name] = [[dict(zip(names, r)) for r in v] for v in table[name]]
             yield table
 
     own = files.where(F.lower(paths.suffix(F.col("path"))).isin(paths.PARSED_SUFFIXES)).select("repo_id", "path", "size", "text")
