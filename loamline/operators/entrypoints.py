@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tomllib
 from collections.abc import Iterator
 
@@ -46,32 +47,15 @@ def _leaves(value) -> list[str]:
     return [leaf for x in items for leaf in _leaves(x)]
 
 
+STRING = re.compile(r'"(?:\\.|[^"\\])*"|//[^\n]*', re.S)
+STRING_OR_COMMA = re.compile(r'"(?:\\.|[^"\\])*"|,(?=\s*[}\]])', re.S)
+
+
 def without_comments(text: str) -> str:
-    """JSON with line comments and trailing commas, made plain; text inside strings stays."""
-    out, i, inside = [], 0, False
-    while i < len(text):
-        c = text[i]
-        if inside:
-            if c == "\\":
-                out.append(text[i : i + 2])
-                i += 2
-                continue
-            inside = c != '"'
-        elif c == '"':
-            inside = True
-        elif text.startswith("//", i):
-            i = text.find("\n", i)
-            if i < 0:
-                break
-            continue
-        elif c == ",":
-            rest = text[i + 1 :].lstrip()
-            if rest[:1] in ("}", "]"):
-                i += 1
-                continue
-        out.append(c)
-        i += 1
-    return "".join(out)
+    """JSON with line comments and then trailing commas taken out; strings stay as they are."""
+    for pattern in (STRING, STRING_OR_COMMA):
+        text = pattern.sub(lambda m: m.group(0) if m.group(0).startswith('"') else "", text)
+    return text
 
 
 def declared(name: str, text: str) -> list[tuple[str, str]]:

@@ -60,20 +60,20 @@ def _redacted(value: str) -> str:
 
 def find_secrets(content: str, least_entropy: float = text.LEAST_ENTROPY) -> list[tuple[int, str, str, str]]:
     """(line, evidence, confidence, snippet) of secrets anywhere in a text, values hidden in all of them."""
-    lines, out = content.splitlines(), []
-
-    def add(at: int, secret: str, evidence: str, confidence: str) -> None:
-        n = content.count("\n", 0, at) + 1
-        near = lines[max(0, n - 1 - RADIUS) : n + RADIUS]
-        out.append((n, evidence, confidence, "\n".join(x.replace(secret, _redacted(secret)) for x in near)))
-
+    lines, found = content.splitlines(), []
     for name, pattern in SECRETS.items():
-        for m in re.finditer(pattern, content):
-            add(m.start(), m.group(0), f"{name}: {_redacted(m.group(0))}", "certain")
+        found += [(m.start(), m.group(0), f"{name}: {_redacted(m.group(0))}", "certain") for m in re.finditer(pattern, content)]
     for m in re.finditer(ASSIGNED, content):
         value = m.group("value") or m.group("bare") or ""
         if value and not _placeholder(value) and not _mirrors(m.group("name"), value) and (e := _entropy(value)) >= least_entropy:
-            add(m.start(), value, f"assigned_credential: {m.group('name')} = {_redacted(value)} (entropy {e:.1f})", "contextual")
+            found.append((m.start(), value, f"assigned_credential: {m.group('name')} = {_redacted(value)} (entropy {e:.1f})", "contextual"))
+    out = []
+    for at, _, evidence, confidence in found:
+        n = content.count("\n", 0, at) + 1
+        near = "\n".join(lines[max(0, n - 1 - RADIUS) : n + RADIUS])
+        for _, secret, *_ in found:  # the lines around may hold others
+            near = near.replace(secret, _redacted(secret))
+        out.append((n, evidence, confidence, near))
     return sorted(out)
 
 

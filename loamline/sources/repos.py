@@ -36,7 +36,8 @@ NESTED = {
 def read_files(spark: SparkSession, root: str, skipped: list[str] = paths.SKIPPED_IN_PARSE) -> DataFrame:
     """All files under ``root/<repo_id>/``: ``repo_id``, ``path``, ``size``, ``text`` (null if not UTF-8), ``modified``.
 
-    The lister doesn't follow links out of the root; paths that leave it after
+    Files without a byte are not listed: Spark plans no split for them. The
+    lister doesn't follow links out of the root; paths that leave it after
     normalisation are dropped.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
