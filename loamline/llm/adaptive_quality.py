@@ -25,12 +25,12 @@ UPPER = bytes(range(ord("A"), ord("Z") + 1))
 NOT_COUNTED = b"\x20\x09\x0a\x0b\x0c\x0d" + bytes(range(0x80, 0xC0))
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
-#: Measure -> its numerator, its denominator, least distance from median to upper quartile.
+#: Measure -> its numerator, its denominator, what is added to that (short texts show little), least distance from median to upper quartile.
 MEASURES = {
-    "symbol_share": ("n_symbols", "word_chars", 0.01),
-    "upper_share": ("n_upper", "word_chars", 0.02),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.1),
-    "repeat_share": ("n_repeat_words", "n_words", 0.13),
+    "symbol_share": ("n_symbols", "word_chars", 60, 0.01),
+    "upper_share": ("n_upper", "word_chars", 60, 0.02),
+    "dup_line_share": ("n_dup_lines", "n_lines", 2, 0.1),
+    "repeat_share": ("n_repeat_words", "n_words", 10, 0.12),
 }
 
 
@@ -79,7 +79,7 @@ def with_verdicts(docs: DataFrame, spread: float = 6.0, least_docs: int = 200, b
     Thresholds are rounded up to two decimals, so the sketches' own small
     errors hardly ever change a verdict.
     """
-    share = {m: F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(F.lit(0.0)) for m, (n, d, _) in MEASURES.items()}
+    share = {m: F.col(n) / (F.col(d) + more) for m, (n, d, more, _) in MEASURES.items()}
     lang, source = F.coalesce(F.col("lang"), F.lit("\x00")), F.coalesce(F.col("source"), F.lit("\x00"))
     rows = materialise(measured(docs).withColumns(share).withColumns({"g_lang": lang, "g_source": source}), "quality-measured")
     worded = rows.where("n_words > 0")
@@ -91,7 +91,7 @@ def with_verdicts(docs: DataFrame, spread: float = 6.0, least_docs: int = 200, b
 
     def fences(sketches: DataFrame, prefix: str, *by: str) -> DataFrame:
         cols = []
-        for m, (_, _, least) in MEASURES.items():
+        for m, (*_, least) in MEASURES.items():
             mid, high = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (0.5, 0.75))
             cols.append((F.ceil(100 * (mid + spread * F.greatest(high - mid, F.lit(least)))) / 100.0).alias(f"{prefix}{m}"))
         return sketches.select(*by, F.col("docs").alias(f"{prefix}docs"), *cols)

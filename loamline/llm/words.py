@@ -6,6 +6,8 @@ A word is a maximal run of bytes other than space and \\x09-\\x0D. That is what
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,16 @@ def remainder(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % parts
 
 
+def give_back() -> None:
+    """Return what past tasks of this worker have freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, which bounds what a worker holds as Python objects."""
+    give_back()
     for batch in batches:
         for i in range(0, max(1, batch.num_rows), rows):
             yield batch.slice(i, rows)
