@@ -38,7 +38,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_docs: int = 3, least_z: float = 3.5, rounds: int = 300, rate: float = 0.05, decay: float = 5e-5) -> Model:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least_docs: int = 5, least_z: float = 4.0, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Fit to the word hashes of the positive and of the unlabelled texts with the logistic loss and Adam.
 
     Risk: prior * E_p[loss(f, +1)] + max(0, E_u[loss(f, -1)] - prior * E_p[loss(f, -1)]).
