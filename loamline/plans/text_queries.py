@@ -27,7 +27,8 @@ starts AS (SELECT doc_id, n, unnest(CASE WHEN n <= 5 THEN [1::BIGINT] ELSE gener
 SELECT doc_id, s AS "start", least(s + 4, n) AS "end" FROM starts""")
 def line_chunks(spark, sf_dir):
     """Documents in windows of five lines, one shared."""
-    own = table(spark, sf_dir, "documents").select("doc_id", F.explode(ranking.line_windows(F.size(text.lines(F.col("text"))).cast("long"), 5, 1)).alias("w"))
+    counted = table(spark, sf_dir, "documents").select("doc_id", F.size(text.lines(F.col("text"))).cast("long").alias("n"))
+    own = counted.select("doc_id", F.explode(ranking.line_windows(F.col("n"), 5, 1)).alias("w"))
     return own.select("doc_id", "w.start", "w.end")
 
 
