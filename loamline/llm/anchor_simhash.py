@@ -222,10 +222,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
 
     Candidates come from anchor-point covering: ``how_many`` weighted SimHashes
     per distinct text, linked at ``max_bits`` bits. Within a class of linked
-    fingerprints every text is compared with up to ``centres`` of its members,
-    the smallest id among them, others in each class, so comparisons grow with
-    the texts and not with the pairs of a group; each is checked exactly on the
-    whole shingle sets.
+    fingerprints every text is first compared with up to ``centres`` of its
+    members, the smallest id among them. What that leaves apart is compared
+    with texts central to their class and then by a prefix-filter join, which
+    misses no pair of the class. Each pair is checked on the whole shingle sets.
     """
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,17 +253,25 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     fits = F.least("size", "centre_size") >= similarity * F.greatest("size", "centre_size")
     pairs = classes.join(heads, F.expr("label = of and rep <> centre") & fits).select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
     pairs = materialise(pairs.withColumn("pair", F.monotonically_increasing_id()), "similar-pairs")
-    links = _verified(docs, pairs, similarity, shingle_words)
+    links = _verified(_shingle_sets(docs, _ends(pairs), shingle_words), pairs, similarity)
+    links = _completed(docs, classes, materialise(links, "similar-links"), similarity, shingle_words)
     found = connected_components(links, "similar")
     labelled = texts.join(found, texts.rep == found.node, "left").select(F.col("sig").alias("of"), F.coalesce("label", "rep").alias("component_id"))
     labelled = materialise(labelled, "similar-labels")
     return rows.join(labelled, rows.sig == labelled.of, "left").select("doc_id", "component_id")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, k: int) -> DataFrame:
-    """The pairs ``u``, ``v`` whose whole shingle sets are similar enough."""
-    asked = materialise(pairs.select("pair", F.lit(0).alias("side"), F.col("u").alias("of")).union(pairs.select("pair", F.lit(1).alias("side"), F.col("v").alias("of"))), "similar-asked")
-    wanted = id_filter.build(asked, "of")
+#: Counters of shingles, and the share of the loose texts that a round of central texts has to link for another one.
+COUNTERS, WORTHWHILE = 1 << 21, 0.5
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("of"))
+
+
+def _shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``doc_id``, ``shingles`` (sorted 32-bit hashes) of the rows whose id is in ``of``, and of a few more."""
+    wanted = id_filter.build(ids, "of")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -272,7 +280,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, k: int) -> D
             out = [_shingle_set(hashes, t, k).astype(np.uint32) for t in text_bytes(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.unique(x).tobytes() for x in out], pa.binary())], names=["doc_id", "shingles"])
 
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, shingles binary")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, shingles binary")
+
+
+def _verified(own: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u``, ``v`` (numbered ``pair``) whose whole shingle sets in ``own`` are similar enough."""
+    asked = pairs.select("pair", F.lit(0).alias("side"), F.col("u").alias("of")).union(pairs.select("pair", F.lit(1).alias("side"), F.col("v").alias("of")))
     met = asked.join(own, asked.of == own.doc_id).select("pair", "side", "of", "shingles")
     both = met.groupBy("pair").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("of", "shingles")])
 
@@ -286,3 +299,96 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float, k: int) -> D
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select(F.col("of0").alias("u"), F.col("of1").alias("v"), "shingles0", "shingles1").mapInArrow(judged, "u long, v long")
+
+
+def _prefixes(own: DataFrame, similarity: float, tasks: int = 6) -> DataFrame:
+    """``doc_id``, ``n``, ``central`` and ``prefix`` (its rarest shingles, in order) of each shingle set.
+
+    Two sets that are similar enough share a shingle of their prefixes under
+    any common order. Counters of a fixed size give the order, so collisions
+    cost comparisons but no pair. ``central`` is high for sets of shingles that
+    many others have.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in batch.column("shingles").to_pylist():
+                np.add.at(n, np.frombuffer(s, np.uint32) % COUNTERS, 1)
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(n, 65535).astype("<u2").tobytes()], pa.binary())], names=["counts"])
+
+    total = np.zeros(COUNTERS, np.int64)
+    for row in own.select("shingles").repartition(tasks).mapInArrow(count, "counts binary").toLocalIterator():
+        total += np.frombuffer(row.counts, "<u2")
+    shared = own.sparkSession.sparkContext.broadcast(np.minimum(total, 65535).astype(np.uint16))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            size, central, prefix = [], [], []
+            for s in batch.column("shingles").to_pylist():
+                x = np.frombuffer(s, np.uint32)
+                often = shared.value[x % COUNTERS]
+                length = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
+                size.append(len(x))
+                central.append(float(np.log1p(often).mean()) if len(x) else 0.0)
+                prefix.append(x[np.lexsort((x, often))[:length]].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(central, pa.float64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "central", "prefix"])
+
+    return own.mapInArrow(run, "doc_id long, n long, central double, prefix array<long>")
+
+
+def _completed(docs: DataFrame, classes: DataFrame, links: DataFrame, similarity: float, k: int) -> DataFrame:
+    """``links`` and those that connect all texts similar enough within a class (``label``) of ``rep``.
+
+    Parts are what links connect so far, and texts outside the largest part of
+    their class are loose. Rounds compare a class with the most central of its
+    loose texts, which gathers copies whose original has any id, as long as a
+    round links enough. Then the loose texts meet all others of their class by
+    prefixes, with bounds by size and by the place in the prefix.
+    """
+
+    def parted() -> DataFrame:
+        """Members of the classes of several parts, with their part and whether they are loose."""
+        found = connected_components(links, "similar-parts").select(F.col("node").alias("__node"), F.col("label").alias("__part"))
+        own = materialise(classes.join(found, classes.rep == found["__node"], "left").select("rep", "label", F.coalesce("__part", "rep").alias("part")), "similar-parted")
+        parts = own.groupBy("label", "part").agg(F.count(F.lit(1)).alias("members"))
+        main = parts.groupBy(F.col("label").alias("of")).agg(F.max(F.struct("members", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
+        main = materialise(main.where("parts > 1").select("of", F.col("main.part").alias("main")), "similar-main")
+        return materialise(own.join(main, own.label == main.of).select("rep", "label", "part", F.expr("part <> main").alias("loose")), "similar-open")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().withColumn("pair", F.monotonically_increasing_id()), "similar-more-pairs")
+        return materialise(_verified(own, pairs, similarity), "similar-more-links")
+
+    opened = parted()
+    if opened.isEmpty():
+        return links
+    own = materialise(_shingle_sets(docs, opened.select(F.col("rep").alias("of")), k), "similar-sets")
+    prefixes = materialise(_prefixes(own, similarity), "similar-prefixes")
+    tried = None
+    while True:
+        met = opened.join(prefixes, opened.rep == prefixes.doc_id).select("rep", "label", "part", "loose", "n", "central")
+        met = materialise(met, "similar-met")
+        free = met.where("loose") if tried is None else met.where("loose").join(tried, ["label", "rep"], "left_anti")
+        best = free.groupBy(F.col("label").alias("of")).agg(F.max(F.struct("central", "rep", "part", "n")).alias("c"))
+        best = materialise(best.select("of", F.col("c.rep").alias("b"), F.col("c.part").alias("b_part"), F.col("c.n").alias("b_n")), "similar-central")
+        fits = F.least("n", "b_n") >= similarity * F.greatest("n", "b_n")
+        more = checked(met.join(best, F.expr("label = of and part <> b_part") & fits).select(F.col("rep").alias("a"), "b"))
+        gained, loose = more.count(), met.where("loose").count()
+        if gained:
+            links = materialise(links.union(more), "similar-links")
+            opened = parted()
+        if opened.isEmpty():
+            return links
+        if gained < WORTHWHILE * loose:
+            break
+        now = best.select(F.col("of").alias("label"), F.col("b").alias("rep"))
+        tried = materialise(now if tried is None else tried.union(now), "similar-tried")
+    rows = opened.join(prefixes, opened.rep == prefixes.doc_id).select("label", "rep", "part", "n", "loose", F.posexplode("prefix").alias("at", "shingle"))
+    rows = materialise(rows, "similar-postings")
+    left = rows.where("loose").select(F.col("label").alias("l"), F.col("shingle").alias("s"), F.col("rep").alias("b"), F.col("part").alias("b_part"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
+    fits = F.least("n", "b_n") >= similarity * F.greatest("n", "b_n")
+    # What two sets can share from a common shingle on has to reach the overlap that the threshold asks for.
+    reach = F.least(F.col("n") - F.col("at"), F.col("b_n") - F.col("b_at")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("b_n")) - 1e-6
+    pairs = rows.join(left, F.expr("label = l and shingle = s and part <> b_part and (not loose or rep < b)") & fits & reach)
+    return links.union(checked(pairs.select(F.col("rep").alias("a"), "b")))

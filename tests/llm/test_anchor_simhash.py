@@ -131,3 +131,38 @@ def test_similar_awkward_rows(spark):
     assert len(out) == awkward(spark).count()
     assert by[1] == by[2] == by[3] == 1 and by[4] == by[5] == by[-3] == -3 and by[6] == 6
     assert A.similar_documents(empty(spark)).collect() == []
+
+
+def test_groups_around_any_original_and_inside_boilerplate(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    original = [word() for _ in range(304)]
+    ids = rng.sample(range(1000), 201)
+    middle = sorted(ids)[100]
+    texts = {middle: original}
+    for i in ids:
+        if i != middle:  # 24 of 300 shingles differ: Jaccard 0.85 to the original, below 0.8 to each other
+            w = list(original)
+            for at in rng.sample(range(12), 5):
+                w[at * 25 + 5] = word()
+            texts[i] = w
+    # Shared passages with a pair of near copies in each fourth of the texts.
+    passage = [word() for _ in range(150)]
+    twins = {}
+    for i in range(2000, 2120, 2):
+        own = [word() for _ in range(150)]
+        texts[i] = passage + own
+        if i % 8 == 0:
+            edited = list(own)
+            edited[70] = word()
+            twins[i + 1], texts[i + 1] = i, passage + edited
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in texts.items()]
+    got = {r.doc_id: r.component_id for r in A.similar_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    grams = {i: frozenset(zip(*(w[j:] for j in range(5)))) for i, w in texts.items()}
+    order = list(texts)
+    want = brute_components([grams[i] for i in order], lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    low = {}
+    for i, c in zip(order, want):
+        low[c] = min(i, low.get(c, i))
+    assert {got[i] for i in ids} == {min(ids)}
+    assert all(got[i] == low[c] for i, c in zip(order, want)) and all(got[b] == a for b, a in twins.items())
