@@ -8,7 +8,7 @@ its add-0.1 share there, with one share for the words never seen, so the
 probabilities of all words sum to one.
 
 Counts cover all words of all training documents. The network is trained by
-truncated backpropagation on one window of every training document, by several
+truncated backpropagation on all windows of every training document, by several
 trainers whose weights are averaged after each round. Scoring carries the
 state through the whole document.
 """
@@ -19,7 +19,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -214,43 +214,39 @@ class Gru:
         return grads, h
 
 
-def _windows(docs: DataFrame, words) -> DataFrame:
-    """A window of every row: ``slot`` (a hash that orders and deals them) and the unit before it with its units, as int16."""
+def _units(docs: DataFrame, words) -> DataFrame:
+    """All of every row: ``slot`` (a hash that orders and deals them), how many ``windows`` it has, and the start with its units, as int16."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = words.value
         for batch in slices(batches):
-            slots, units = [], []
+            slots, windows, units = [], [], []
             for i, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch)):
                 h = xxhash.xxh64_intdigest(b"%s:%s" % (str(i).encode(), text))  # copies of a text are dealt to different trainers
-                tokens = [*text.lower().split(), END]
-                start = h % max(1, len(tokens) - WINDOW + 1)
-                unit = lex.numbers(tokens[max(0, start - 1) : start + WINDOW])[0]
+                unit = lex.numbers([*text.lower().split(), END])[0]
                 slots.append(h >> 1)
-                units.append((unit if start else np.append(UNITS, unit)).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(units, pa.binary())], names=["slot", "units"])
+                windows.append(-(-len(unit) // WINDOW))
+                units.append(np.append(UNITS, unit).astype("<i2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(windows, pa.int64()), pa.array(units, pa.binary())], names=["slot", "windows", "units"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "slot long, units binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "slot long, windows long, units binary")
 
 
-def _train(windows: DataFrame, model: Gru, trainers: int, rate: float, rows: int, passes: int) -> Gru:
-    """One round: every trainer starts from ``model`` and passes all its windows; the result is the mean by windows. Windows are kept only for further passes."""
-    start = windows.sparkSession.sparkContext.broadcast(model.parts())
+def _train(texts: DataFrame, model: Gru, trainers: int, rate: float, rows: int, passes: int) -> Gru:
+    """One round: every trainer starts from ``model`` and passes all its texts; the result is the mean by windows. Texts are kept only for further passes.
+
+    Up to ``rows`` texts are learned side by side, each window by window with
+    its state carried on; a text that ends makes room for the next.
+    """
+    start = texts.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Gru([p.copy() for p in start.value])
         m, v = [np.zeros_like(p) for p in own.parts()], [np.zeros_like(p) for p in own.parts()]
-        seen = steps = 0
-        held: list[bytes] = []
-
-        def learn() -> None:
-            nonlocal seen, steps
-            block = np.full((WINDOW + 1, len(held)), -1, np.int64)
-            for i, u in enumerate(held):
-                row = np.frombuffer(u, "<i2")
-                block[: len(row), i] = row
-            held.clear()
-            h = np.zeros((block.shape[1], HIDDEN), np.float32)
+        steps = 0
+
+        def learn(block: np.ndarray, h: np.ndarray) -> np.ndarray:
+            nonlocal steps
             for t in range(0, WINDOW, CUT):
                 x, y = np.maximum(block[t : t + CUT], 0), block[t + 1 : t + CUT + 1]
                 if not (y >= 0).any():
@@ -263,25 +259,43 @@ def _train(windows: DataFrame, model: Gru, trainers: int, rate: float, rows: int
                     a += 0.1 * (g - a)
                     b += 0.001 * (g * g - b)
                     p -= pace * a / (np.sqrt(b) + 1e-7)
+            return h
+
+        def through(texts: Iterator[bytes]) -> int:
+            """Learn all windows of the texts; how many there were."""
+            done, h = 0, np.zeros((0, HIDDEN), np.float32)
+            live: list[list] = []  # units of a text and the place of its next window
+            while True:
+                on = [i for i, (u, at) in enumerate(live) if at < len(u) - 1]
+                new = [[np.frombuffer(u, "<i2"), 0] for u in islice(texts, rows - len(on))]
+                h = np.concatenate([h[on], np.zeros((len(new), HIDDEN), np.float32)])
+                live = [live[i] for i in on] + new
+                if not live:
+                    return done
+                block = np.full((WINDOW + 1, len(live)), -1, np.int64)
+                for i, (u, at) in enumerate(live):
+                    part = u[at : at + WINDOW + 1]
+                    block[: len(part), i] = part
+                    live[i][1] += WINDOW
+                done += len(live)
+                h = learn(block, h)
 
         kept: list[bytes] = []
-        for batch in batches:
-            for u in batch.column("units").to_pylist():
-                seen += 1
-                held.append(u)
-                if passes > 1:
-                    kept.append(u)
-                if len(held) == rows:
-                    learn()
-        if held:
-            learn()
-        for i in list(range(0, len(kept), rows)) * (passes - 1):
-            held += kept[i : i + rows]
-            learn()
+
+        def arriving() -> Iterator[bytes]:
+            for batch in batches:
+                for u in batch.column("units"):
+                    if passes > 1:
+                        kept.append(u.as_py())
+                    yield u.as_py()
+
+        seen = through(arriving())
+        for _ in range(passes - 1):
+            through(iter(kept))
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([np.concatenate([p.ravel() for p in own.parts()]).tobytes()], pa.binary())], names=["n", "weights"])
 
-    dealt = windows.repartition(trainers, "slot").sortWithinPartitions("slot", "units")
+    dealt = texts.select("slot", "units").repartition(trainers, "slot").sortWithinPartitions("slot", "units")
     total, n = 0.0, 0
     trained = materialise(dealt.mapInArrow(run, "n long, weights binary"), "lm-trained")  # all trainers at once
     for row in trained.toLocalIterator():  # a file's weights at a time
@@ -296,19 +310,19 @@ def _train(windows: DataFrame, model: Gru, trainers: int, rate: float, rows: int
 
 
 def train(docs: DataFrame, words, mass: np.ndarray, rounds: int = 2, rate: float = 0.01, rows: int = 64, per_trainer: int = 20_000, most_trainers: int = 256, least_steps: int = 300) -> Gru:
-    """Average of trainers over ``rounds`` rounds, each with its share of the windows.
+    """Average of trainers over ``rounds`` rounds, each with its share of the texts.
 
-    At most ``most_trainers`` send their weights, and each streams its windows.
+    At most ``most_trainers`` send their weights, and each streams its texts.
     A trainer's share that gives fewer than ``least_steps`` steps a round, as
     in a small corpus, is passed as often as that takes.
     """
-    windows = materialise(_windows(docs, words), "lm-windows")
-    n = windows.count()
+    texts = materialise(_units(docs, words), "lm-units")
+    n = texts.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
     trainers = max(1, min(most_trainers, -(-n // per_trainer)))
     steps = max(1, n // (trainers * rounds * rows)) * (WINDOW // CUT)
     model = Gru.initial(mass)
     for i in range(rounds):
-        model = _train(windows.where(F.pmod("slot", F.lit(rounds)) == i), model, trainers, rate / (1 + i), rows, -(-least_steps // steps))
+        model = _train(texts.where(F.pmod("slot", F.lit(rounds)) == i), model, trainers, rate / (1 + i), rows, -(-least_steps // steps))
     return model
 
 

@@ -104,3 +104,19 @@ def test_awkward_rows(spark):
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
     assert all(np.isfinite(r.score) for r in out)
     assert G.score(empty(spark)).collect() == []
+
+
+def test_all_windows_of_a_text_are_learned(spark):
+    rows = [(i, " ".join(["early"] * G.WINDOW + ["middle"] * 900 + ["late"] * G.WINDOW), "en", "s", 0) for i in range(8)]
+    docs = spark.createDataFrame(rows, DOCS)
+    lex = G.lexicon(G.count_words(docs))
+    texts = G._units(docs, spark.sparkContext.broadcast(lex))
+    for r in texts.collect():
+        units = np.frombuffer(r.units, "<i2")
+        assert len(units) == 2 + 2 * G.WINDOW + 900 and r.windows == -(-(len(units) - 1) // G.WINDOW)
+    before = G.Gru.initial(lex.mass)
+    after = G._train(texts, before, 1, 0.01, 4, 1)
+    for word in (b"early", b"middle", b"late"):
+        unit = int(lex.numbers([word])[0][0])
+        run = [np.full(500, unit)]
+        assert G.score_units(after, run)[0] > G.score_units(before, run)[0]
