@@ -1,10 +1,12 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Each language and source has a KLL sketch per measure. A threshold is a fence
-above its middle half (median + spread * distance to the upper quartile, with
-a least distance). Groups of few documents take the merged sketch of their
-language, and that of all documents where the language is rare too. Documents
-are then joined with their group's thresholds and filtered.
+Each language and source has a sketch per measure: counts of values by
+logarithmic buckets, which give every quantile within a known relative error,
+add up when merged and don't depend on the order of rows. Thresholds are
+Tukey's outer fences about the middle half of the distinct texts, those of the
+language where they are wider; groups of few texts take the sketch of their
+language, and that of all texts where the language is rare too. Documents are
+then joined with their group's thresholds and filtered.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,87 +25,163 @@ from loamline.llm.words import slices, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
-NOT_COUNTED = b"\x20\x09\x0a\x0b\x0c\x0d" + bytes(range(0x80, 0xC0))
-
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
-#: Measure -> its numerator, its denominator, what is added to that (short texts show little), least distance from median to upper quartile.
-MEASURES = {
-    "symbol_share": ("n_symbols", "word_chars", 60, 0.01),
-    "upper_share": ("n_upper", "word_chars", 60, 0.02),
-    "dup_line_share": ("n_dup_lines", "n_lines", 2, 0.1),
-    "repeat_share": ("n_repeat_words", "n_words", 10, 0.12),
-}
-
-
-def measure(text: bytes) -> list[int]:
-    """The counts of COUNTS."""
+CONTINUED = bytes(range(0x80, 0xC0))
+NOT_COUNTED = b"\x20\x09\x0a\x0b\x0c\x0d" + CONTINUED
+#: Bytes that begin a letter, all characters beyond ASCII taken as letters.
+LETTERS = UPPER + UPPER.lower() + bytes(range(0xC0, 0x100))
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: What thresholds are set for: all but the last are defects, with an upper fence only.
+MEASURES = ["other_share", "upper_share", "local_repeats", "repeats", "word_length"]
+TWO_SIDED = {"word_length"}
+LOCAL = 50
+#: Tukey's factor for values that are far out.
+FAR_OUT = 3.0
+ERROR = 0.005
+GAMMA = (1 + ERROR) / (1 - ERROR)
+#: Bucket of zero, below all others.
+ZERO = -(2**31)
+
+
+def measure(text: bytes) -> tuple[list[int], list[float]]:
+    """The counts of COUNTS and the values of MEASURES; zeros for a text without words.
+
+    ``other_share``: characters of words that aren't letters; ``upper_share``:
+    A-Z among letters; ``local_repeats``: words that occurred already within
+    the same 50 words; ``repeats``: 1 - log(distinct words + 1) / log(words + 1);
+    ``word_length``: characters per word.
+    """
     words = text.split()
     n = len(words)
-    ids: dict[bytes, int] = {}
-    repeated = 0
-    if n >= 3:
-        w = np.fromiter((ids.setdefault(x, len(ids)) for x in words), np.int64, n)
-        if len(ids) < n:
-            v = len(ids)
-            _, where, times = np.unique((w[:-2] * v + w[1:-1]) * v + w[2:], return_inverse=True, return_counts=True)
-            twice = times[where] > 1
-            covered = np.zeros(n, bool)
-            for i in range(3):
-                covered[i : n - 2 + i] |= twice
-            repeated = int(covered.sum())
     lines = [x for x in text.split(b"\n") if x.strip()]
-    return [n, len(text.translate(None, NOT_COUNTED)), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), len(text) - len(text.translate(None, UPPER))]
-
-
-def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``lang``, ``source`` and the counts of each row's whole text."""
+    chars = len(text.translate(None, NOT_COUNTED))
+    counts = [n, chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), 0]
+    if not n:
+        return counts, [0.0] * len(MEASURES)
+    ids: dict[bytes, int] = {}
+    w = np.fromiter((ids.setdefault(x, len(ids)) for x in words), np.int64, n)
+    v = len(ids)
+    if n >= 3 and v < n:
+        _, where, times = np.unique((w[:-2] * v + w[1:-1]) * v + w[2:], return_inverse=True, return_counts=True)
+        twice = times[where] > 1
+        covered = np.zeros(n, bool)
+        for i in range(3):
+            covered[i : n - 2 + i] |= twice
+        counts[4] = int(covered.sum())
+    if n < 2 * LOCAL:
+        local = 1 - v / n if n < LOCAL else 1 - len(np.unique(w[:LOCAL])) / LOCAL
+    else:
+        rows = np.sort(w[: n // LOCAL * LOCAL].reshape(-1, LOCAL), axis=1)
+        local = float((rows[:, 1:] == rows[:, :-1]).mean()) * (LOCAL - 1) / LOCAL
+    letters = len(text) - len(text.translate(None, LETTERS))
+    upper = len(text) - len(text.translate(None, UPPER))
+    return counts, [max(0.0, 1 - letters / max(1, chars)), upper / max(1, letters), local, 1 - float(np.log(v + 1) / np.log(n + 1)), chars / n]
+
+
+def measured(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """``row`` (the ``carried`` columns), ``g_lang``, ``g_source``, a hash of the text, its counts and measures for each row's whole text."""
+    group = [F.coalesce(F.col(c), F.lit("\x00")).alias(f"g_{c}") for c in ("lang", "source")]
+    own = docs.select(F.struct(F.lit(0).alias("nothing"), *[docs[c] for c in carried]).alias("row"), *group, "text")
+    kept = ["row", "g_lang", "g_source"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = np.array([measure(t) for t in text_bytes(batch)], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "lang", "source")] + [pa.array(rows[:, i]) for i in range(len(COUNTS))], names=["doc_id", "lang", "source", *COUNTS])
+            texts = text_bytes(batch)
+            rows = [measure(t) for t in texts]
+            counts = np.array([c for c, _ in rows], np.int64).reshape(-1, len(COUNTS))
+            values = np.array([m for _, m in rows], np.float64).reshape(-1, len(MEASURES))
+            hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(hashes), *[pa.array(x) for x in counts.T], *[pa.array(x) for x in values.T]], names=[*kept, "text_hash", *COUNTS, *MEASURES])
 
-    schema = T.StructType([docs.schema[c] for c in ("doc_id", "lang", "source")] + [T.StructField(c, T.LongType()) for c in COUNTS])
-    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, schema)
+    schema = T.StructType([*[own.schema[c] for c in kept], T.StructField("text_hash", T.LongType()), *[T.StructField(c, T.LongType()) for c in COUNTS], *[T.StructField(m, T.DoubleType()) for m in MEASURES]])
+    return own.mapInArrow(run, schema)
 
 
-def with_verdicts(docs: DataFrame, spread: float = 6.0, least_docs: int = 200, base_rule: bool = True, sketch_k: int = 800) -> DataFrame:
-    """Counts and verdict of every document.
+def bucket(value: Column) -> Column:
+    """The bucket of a value: bounds grow by GAMMA; what is below a millionth is zero."""
+    return F.when(value > 1e-6, F.ceil(F.log(value) / float(np.log(GAMMA)))).otherwise(ZERO).cast("int")
+
+
+def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """``docs``, ``low``, ``mid``, ``high`` (quartiles) by ``by`` and ``measure``: the value of the bucket that holds the quantile's rank."""
+    keys = [*by, "measure"]
+    upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sketch.withColumn("upto", F.sum("n").over(upto)).withColumn("docs", F.sum("n").over(Window.partitionBy(*keys)))
+    value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(2 * F.exp(F.col("bucket") * float(np.log(GAMMA))) / (GAMMA + 1))
+    return ranked.groupBy(*keys).agg(F.max("docs").alias("docs"), *[F.min(F.when(F.col("upto") >= F.ceil(q * F.col("docs")), value)).alias(c) for c, q in (("low", 0.25), ("mid", 0.5), ("high", 0.75))])
 
-    In: ``doc_id``, ``text``, ``lang``, ``source``; other columns are ignored.
-    Out, one row per input row: these without the text, COUNTS, the measures,
-    ``base_failed`` (under 50 words, or over half of them in repeated 3-word
-    windows) and ``kept``: no measure is above its group's threshold, and the
-    base rule, unless switched off, holds. Null texts count as empty and null
-    languages and sources are groups of their own. Documents without words give
-    the sketches nothing and no measure of theirs is above a threshold.
-    Thresholds are rounded up to two decimals, so the sketches' own small
-    errors hardly ever change a verdict.
+
+def thresholds(rows: DataFrame, least_docs: int = 200) -> DataFrame:
+    """By ``g_lang``, ``g_source`` and in columns by measure: ``mid_*``, ``above_*`` (highest value allowed) and ``below_*`` (lowest), and ``mid_n_words``.
+
+    The middle is that of the group, or of its language if the group has fewer
+    than ``least_docs`` distinct texts, or of all. A threshold is the wider one
+    of the group's fence and its language's, so what is rejected is far out in
+    both; equal quartiles give no fence, and without one nothing is judged. A
+    source that differs from its language is measured by itself, and one that
+    near copies make narrow doesn't reject the rest of its texts.
     """
-    share = {m: F.col(n) / (F.col(d) + more) for m, (n, d, more, _) in MEASURES.items()}
-    lang, source = F.coalesce(F.col("lang"), F.lit("\x00")), F.coalesce(F.col("source"), F.lit("\x00"))
-    rows = materialise(measured(docs).withColumns(share).withColumns({"g_lang": lang, "g_source": source}), "quality-measured")
-    worded = rows.where("n_words > 0")
-    sketched = worded.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("docs"), *[F.kll_sketch_agg_double(m, sketch_k).alias(m) for m in MEASURES])
-    groups = materialise(sketched, "quality-sketches")
-
-    def merged(*by: str) -> DataFrame:
-        return groups.groupBy(*(by or [F.lit(1).alias("all")])).agg(F.sum("docs").alias("docs"), *[F.kll_merge_agg_double(m, sketch_k).alias(m) for m in MEASURES])
-
-    def fences(sketches: DataFrame, prefix: str, *by: str) -> DataFrame:
-        cols = []
-        for m, (*_, least) in MEASURES.items():
-            mid, high = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (0.5, 0.75))
-            cols.append((F.ceil(100 * (mid + spread * F.greatest(high - mid, F.lit(least)))) / 100.0).alias(f"{prefix}{m}"))
-        return sketches.select(*by, F.col("docs").alias(f"{prefix}docs"), *cols)
-
-    own = fences(groups, "g_", "g_lang", "g_source")
-    plan = own.join(fences(merged("g_lang"), "l_", "g_lang"), "g_lang").crossJoin(fences(merged(), "a_"))  # one row
-    pick = {f"t_{m}": F.when(F.col("g_docs") >= least_docs, F.col(f"g_{m}")).when(F.col("l_docs") >= least_docs, F.col(f"l_{m}")).otherwise(F.col(f"a_{m}")) for m in MEASURES}
-    plan = materialise(plan.select("g_lang", "g_source", *[c.alias(k) for k, c in pick.items()]), "quality-thresholds")
-    above = F.lit(False)
+    judged = ["n_words", *MEASURES]
+    distinct = rows.where("n_words > 0").groupBy("g_lang", "g_source", "text_hash").agg(*[F.first(m).alias(m) for m in judged])
+    cells = distinct.select("g_lang", "g_source", F.posexplode(F.array(*[bucket(F.col(m).cast("double")) for m in judged])).alias("measure", "bucket"))
+    sketch = materialise(cells.groupBy("g_lang", "g_source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n")), "quality-sketches")
+    merged = lambda *by: sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+    out = sketch.select("g_lang", "g_source", "measure").distinct()
+    for level, by, of in (("g", ["g_lang", "g_source"], sketch), ("l", ["g_lang"], merged("g_lang")), ("a", [], merged())):
+        q = _quantiles(of, by)
+        spread = F.when(F.col("high") > F.col("low"), FAR_OUT * (F.col("high") - F.col("low")))
+        enough = F.lit(True) if level == "a" else F.col("docs") >= least_docs
+        found = [F.when(enough, c).alias(f"{level}_{n}") for n, c in (("mid", F.col("mid")), ("above", F.col("high") + spread), ("below", F.col("low") - spread))]
+        out = out.join(q.select(*by, "measure", *found), [*by, "measure"], "left")
+    above, below = F.greatest("g_above", "l_above"), F.least("g_below", "l_below")  # nulls don't count
+    picked = out.select("g_lang", "g_source", "measure", F.coalesce("g_mid", "l_mid", "a_mid").alias("mid"), F.coalesce(above, "a_above").alias("above"), F.coalesce(below, "a_below").alias("below"))
+    at = lambda i, c: F.max(F.when(F.col("measure") == i, F.col(c)))
+    wide = [at(0, "mid").alias("mid_n_words")]
+    for i, m in enumerate(MEASURES, 1):
+        wide += [at(i, "mid").alias(f"mid_{m}"), at(i, "above").alias(f"above_{m}"), at(i, "below").alias(f"below_{m}")]
+    return picked.groupBy("g_lang", "g_source").agg(*wide)
+
+
+def judged(rows: DataFrame, plan: DataFrame, base_rule: bool) -> DataFrame:
+    """Rows of ``measured`` with ``base_failed`` and ``kept``, by the thresholds of their group."""
+    out_of_bounds = F.lit(False)
     for m in MEASURES:
-        above = above | F.coalesce(F.col(m) > F.col(f"t_{m}"), F.lit(False))
+        drawn = (F.col("n_words") * F.col(m) + F.col("mid_n_words") * F.col(f"mid_{m}")) / (F.col("n_words") + F.col("mid_n_words"))
+        over = drawn > F.col(f"above_{m}")
+        out_of_bounds = out_of_bounds | F.coalesce(over | (drawn < F.col(f"below_{m}")) if m in TWO_SIDED else over, F.lit(False))
+    fine = ~((F.col("n_words") > 0) & out_of_bounds)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = rows.join(plan, ["g_lang", "g_source"], "left").withColumn("base_failed", failed)
-    return out.withColumn("kept", ~above & ~F.col("base_failed") if base_rule else ~above).drop("g_lang", "g_source", *pick)
+    return out.withColumn("kept", fine & ~F.col("base_failed") if base_rule else fine)
+
+
+def with_verdicts(docs: DataFrame, least_docs: int = 200, base_rule: bool = True) -> DataFrame:
+    """Counts and verdict of every document.
+
+    In: ``doc_id``, ``text``, ``lang``, ``source``; other columns are ignored,
+    whatever their names. Out, one row per input row: these without the text,
+    COUNTS, MEASURES, ``base_failed`` (under 50 words, or over half of them in
+    repeated 3-word windows) and ``kept``: every measure is within the
+    thresholds of its group, and the base rule, unless switched off, holds.
+
+    A measure is drawn to its group's median with the weight of a text of
+    median length, since short texts show little. Copies of a text count once
+    in a group's sketch. Null texts count as empty, null languages and sources
+    are groups of their own, repeated rows get equal verdicts, an empty table
+    gives none. Documents without words give the sketches nothing and no
+    measure of theirs is out of bounds. Reruns agree: sketches are counts.
+    """
+    rows = materialise(measured(docs, ["doc_id", "lang", "source"]), "quality-measured")
+    plan = materialise(thresholds(rows, least_docs), "quality-thresholds")
+    return judged(rows, plan, base_rule).select("row.doc_id", "row.lang", "row.source", *COUNTS, *MEASURES, "base_failed", "kept")
+
+
+def without_rejected(docs: DataFrame, least_docs: int = 200, base_rule: bool = False) -> DataFrame:
+    """The rows of ``docs`` that ``with_verdicts`` keeps, with all their columns.
+
+    Each row is judged by itself, so ids may be null or repeated. Texts are
+    measured twice and never exchanged by a key.
+    """
+    plan = materialise(thresholds(measured(docs, []), least_docs), "quality-thresholds")
+    kept = judged(measured(docs, docs.columns), plan, base_rule).where("kept")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
