@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from loamline.llm import id_filter
 from loamline.llm.components import connected_components, forest
-from loamline.llm.storage import materialise
+from loamline.llm.storage import discard, materialise
 from loamline.llm.words import WordHashes, gram_hashes, mix, slices, text_bytes
 
 LENGTH, RADIUS, GENERATOR = 23, 3, 0b110001110101
@@ -212,37 +212,31 @@ def _shingle_set(hashes: WordHashes, text: bytes, k: int) -> np.ndarray:
     return np.unique(gram_hashes(hashes.of(words), min(k, len(words)))) if words else np.empty(0, np.uint64)
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, how_many: int = 6, max_bits: int = 1, centres: int = 4) -> DataFrame:
-    """Classes of documents whose shingle sets have a Jaccard similarity of at least ``similarity``.
-
-    In: ``doc_id``, ``text``. Out, one row per input row: ``doc_id``,
-    ``component_id`` (smallest id reachable over links; null if the document
-    and all its equals have null ids). Texts of equal shingle sets are one; all
-    texts without words, null ones included, are equal.
+def _classified(docs: DataFrame, similarity: float, shingle_words: int, how_many: int, max_bits: int, centres: int) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``label`` of every row: rows of one class have one label.
 
-    Candidates come from anchor-point covering: ``how_many`` weighted SimHashes
-    per distinct text, linked at ``max_bits`` bits. Within a class of linked
-    fingerprints every text is first compared with up to ``centres`` of its
-    members, the smallest id among them. What that leaves apart is compared
-    with texts central to their class and then by a prefix-filter join, which
-    misses no pair of the class. Each pair is checked on the whole shingle sets.
+    A distinct shingle set is a node, numbered by one of its rows in a written
+    table, so ids may be null or repeated.
     """
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            sigs, sizes, fps = [], [], []
+            sigs, sizes, fps, sets = [], [], [], []
             for text in text_bytes(batch):
                 own = _shingle_set(hashes, text, shingle_words)
                 sigs.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else b"")
-                sizes.append(len(own))
                 fps.append(weighted_fingerprints(own, how_many))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "sig", "size", "fps"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(described, "doc_id long, sig binary, size long, fps array<long>")
-    rows = materialise(rows, "similar-rows")
-    texts = materialise(rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fps").alias("fps")), "similar-texts")
-    own = materialise(texts.where("rep is not null").select("rep", "size", F.explode("fps").alias("fp")), "similar-fps")
+                sets.append(np.unique(own.astype(np.uint32)).tobytes())
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "text_hash", "sig", "size", "fps", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = rows.mapInArrow(described, "doc_id long, text_hash long, sig binary, size long, fps array<long>, shingles binary")
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "similar-rows")
+    texts = materialise(rows.groupBy("sig").agg(F.min("row").alias("rep")), "similar-texts")
+    own = rows.join(texts.select("rep"), rows.row == texts.rep).select("rep", "size", F.explode("fps").alias("fp"))
+    own = materialise(own, "similar-fps")
     linked = connected_components(link_fingerprints(own.select("fp").distinct(), max_bits), "similar-fps")
     classes = own.join(linked, own.fp == linked.node, "left").select("rep", "size", F.coalesce("label", "fp").alias("label"))
     classes = materialise(classes.distinct(), "similar-classes")
@@ -253,12 +247,60 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     fits = F.least("size", "centre_size") >= similarity * F.greatest("size", "centre_size")
     pairs = classes.join(heads, F.expr("label = of and rep <> centre") & fits).select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
     pairs = materialise(pairs.withColumn("pair", F.monotonically_increasing_id()), "similar-pairs")
-    links = _verified(_shingle_sets(docs, _ends(pairs), shingle_words), pairs, similarity)
-    links = _completed(docs, classes, materialise(links, "similar-links"), similarity, shingle_words)
+    links = _verified(_shingle_sets(rows, _ends(pairs)), pairs, similarity)
+    links = _completed(rows, classes, materialise(links, "similar-links"), similarity)
     found = connected_components(links, "similar")
-    labelled = texts.join(found, texts.rep == found.node, "left").select(F.col("sig").alias("of"), F.coalesce("label", "rep").alias("component_id"))
+    labelled = texts.join(found, texts.rep == found.node, "left").select(F.col("sig").alias("of"), F.coalesce("label", "rep").alias("label"))
     labelled = materialise(labelled, "similar-labels")
-    return rows.join(labelled, rows.sig == labelled.of, "left").select("doc_id", "component_id")
+    out = materialise(rows.join(labelled, rows.sig == labelled.of).select("doc_id", "text_hash", "label"), "similar-labelled")
+    discard(rows)
+    return out
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, how_many: int = 6, max_bits: int = 1, centres: int = 4) -> DataFrame:
+    """Classes of documents whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    In: ``doc_id``, ``text``; other columns are ignored, whatever their names.
+    Out, one row per input row: ``doc_id``, ``component_id`` (smallest non-null
+    id reachable over links; null if there is none). Texts of equal shingle
+    sets are one; all texts without words, null ones included, are equal. A
+    text of fewer words than a shingle has one shingle. Rows of a repeated id
+    are told apart by their texts. An empty table gives an empty one.
+
+    Candidates come from anchor-point covering: ``how_many`` weighted SimHashes
+    per distinct text, linked at ``max_bits`` bits. Within a class of linked
+    fingerprints every text is first compared with up to ``centres`` of its
+    members. What that leaves apart is compared with texts central to their
+    class and then by a prefix-filter join, which misses no pair of the class.
+    Each pair is checked on the whole shingle sets.
+    """
+    rows = _classified(docs, similarity, shingle_words, how_many, max_bits, centres)
+    lows = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return rows.select("doc_id", "label").join(lows, "label").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, how_many: int = 6, max_bits: int = 1, centres: int = 4) -> DataFrame:
+    """One row of each class of ``similar_documents``, with all columns of ``docs``.
+
+    The row with the smallest id stays, null ids last; of rows of one id that
+    with the smallest hash of its text; of rows equal in both any one. Rows are
+    dropped by id and text, so another text of a dropped row's id stays. Of all
+    texts without words one stays. An empty table gives an empty one.
+    """
+    rows = _classified(docs, similarity, shingle_words, how_many, max_bits, centres)
+    several = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1").select(F.col("label").alias("of"), "low")
+    met = materialise(rows.join(several, rows.label == several.of).select("label", "low", "doc_id", "text_hash"), "similar-several")
+    best = met.where("doc_id <=> low").groupBy(F.col("label").alias("of")).agg(F.min("text_hash").alias("best"))
+    keys = met.groupBy("label", "low", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).join(best, F.col("label") == best.of)
+    staying = F.expr("doc_id <=> low and text_hash = best")
+    keys = materialise(keys.where(~staying | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), staying.alias("__stays")), "similar-dropped")
+    same = docs.doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__hash"))
+    out = docs.join(keys, same, "left_anti")
+    once = keys.where("__stays")
+    if once.isEmpty():
+        return out
+    repeated = docs.join(once, same, "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"])
+    return out.union(repeated.select(*docs.columns))
 
 
 #: Counters of shingles, and the share of the loose texts that a round of central texts has to link for another one.
@@ -269,24 +311,21 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("of"))
 
 
-def _shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``doc_id``, ``shingles`` (sorted 32-bit hashes) of the rows whose id is in ``of``, and of a few more."""
+def _shingle_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``node``, ``shingles`` (sorted 32-bit hashes) of the rows whose number is in ``of``, and of a few more."""
     wanted = id_filter.build(ids, "of")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in slices(batches):
-            batch = batch.filter(pa.array(id_filter.may_hold(wanted.value, batch.column("doc_id").to_numpy())))
-            out = [_shingle_set(hashes, t, k).astype(np.uint32) for t in text_bytes(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.unique(x).tobytes() for x in out], pa.binary())], names=["doc_id", "shingles"])
+            yield batch.filter(pa.array(id_filter.may_hold(wanted.value, batch.column("node").to_numpy())))
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, shingles binary")
+    return rows.select(F.col("row").alias("node"), "shingles").mapInArrow(sets, "node long, shingles binary")
 
 
 def _verified(own: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``u``, ``v`` (numbered ``pair``) whose whole shingle sets in ``own`` are similar enough."""
     asked = pairs.select("pair", F.lit(0).alias("side"), F.col("u").alias("of")).union(pairs.select("pair", F.lit(1).alias("side"), F.col("v").alias("of")))
-    met = asked.join(own, asked.of == own.doc_id).select("pair", "side", "of", "shingles")
+    met = asked.join(own, asked.of == own.node).select("pair", "side", "of", "shingles")
     both = met.groupBy("pair").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("of", "shingles")])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +341,7 @@ def _verified(own: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
 
 
 def _prefixes(own: DataFrame, similarity: float, tasks: int = 6) -> DataFrame:
-    """``doc_id``, ``n``, ``central`` and ``prefix`` (its rarest shingles, in order) of each shingle set.
+    """``node``, ``n``, ``central`` and ``prefix`` (its rarest shingles, in order) of each shingle set.
 
     Two sets that are similar enough share a shingle of their prefixes under
     any common order. Counters of a fixed size give the order, so collisions
@@ -332,12 +371,12 @@ def _prefixes(own: DataFrame, similarity: float, tasks: int = 6) -> DataFrame:
                 size.append(len(x))
                 central.append(float(np.log1p(often).mean()) if len(x) else 0.0)
                 prefix.append(x[np.lexsort((x, often))[:length]].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(central, pa.float64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "central", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size, pa.int64()), pa.array(central, pa.float64()), pa.array(prefix, pa.list_(pa.int64()))], names=["node", "n", "central", "prefix"])
 
-    return own.mapInArrow(run, "doc_id long, n long, central double, prefix array<long>")
+    return own.mapInArrow(run, "node long, n long, central double, prefix array<long>")
 
 
-def _completed(docs: DataFrame, classes: DataFrame, links: DataFrame, similarity: float, k: int) -> DataFrame:
+def _completed(rows: DataFrame, classes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """``links`` and those that connect all texts similar enough within a class (``label``) of ``rep``.
 
     Parts are what links connect so far, and texts outside the largest part of
@@ -363,11 +402,11 @@ def _completed(docs: DataFrame, classes: DataFrame, links: DataFrame, similarity
     opened = parted()
     if opened.isEmpty():
         return links
-    own = materialise(_shingle_sets(docs, opened.select(F.col("rep").alias("of")), k), "similar-sets")
+    own = materialise(_shingle_sets(rows, opened.select(F.col("rep").alias("of"))), "similar-sets")
     prefixes = materialise(_prefixes(own, similarity), "similar-prefixes")
     tried = None
     while True:
-        met = opened.join(prefixes, opened.rep == prefixes.doc_id).select("rep", "label", "part", "loose", "n", "central")
+        met = opened.join(prefixes, opened.rep == prefixes.node).select("rep", "label", "part", "loose", "n", "central")
         met = materialise(met, "similar-met")
         free = met.where("loose") if tried is None else met.where("loose").join(tried, ["label", "rep"], "left_anti")
         best = free.groupBy(F.col("label").alias("of")).agg(F.max(F.struct("central", "rep", "part", "n")).alias("c"))
@@ -384,11 +423,11 @@ def _completed(docs: DataFrame, classes: DataFrame, links: DataFrame, similarity
             break
         now = best.select(F.col("of").alias("label"), F.col("b").alias("rep"))
         tried = materialise(now if tried is None else tried.union(now), "similar-tried")
-    rows = opened.join(prefixes, opened.rep == prefixes.doc_id).select("label", "rep", "part", "n", "loose", F.posexplode("prefix").alias("at", "shingle"))
-    rows = materialise(rows, "similar-postings")
-    left = rows.where("loose").select(F.col("label").alias("l"), F.col("shingle").alias("s"), F.col("rep").alias("b"), F.col("part").alias("b_part"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
+    postings = opened.join(prefixes, opened.rep == prefixes.node).select("label", "rep", "part", "n", "loose", F.posexplode("prefix").alias("at", "shingle"))
+    postings = materialise(postings, "similar-postings")
+    left = postings.where("loose").select(F.col("label").alias("l"), F.col("shingle").alias("s"), F.col("rep").alias("b"), F.col("part").alias("b_part"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
     fits = F.least("n", "b_n") >= similarity * F.greatest("n", "b_n")
     # What two sets can share from a common shingle on has to reach the overlap that the threshold asks for.
     reach = F.least(F.col("n") - F.col("at"), F.col("b_n") - F.col("b_at")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("b_n")) - 1e-6
-    pairs = rows.join(left, F.expr("label = l and shingle = s and part <> b_part and (not loose or rep < b)") & fits & reach)
+    pairs = postings.join(left, F.expr("label = l and shingle = s and part <> b_part and (not loose or rep < b)") & fits & reach)
     return links.union(checked(pairs.select(F.col("rep").alias("a"), "b")))

@@ -8,14 +8,15 @@ its add-0.1 share there, with one share for the words never seen, so the
 probabilities of all words sum to one.
 
 Counts cover all words of all training documents. The network is trained by
-truncated backpropagation on all windows of every training document, by several
-trainers whose weights are averaged after each round. Scoring carries the
-state through the whole document.
+truncated backpropagation on every token of every training document: texts run
+side by side in streams, window by window, each with its state carried on to
+the end. Trainers of a fixed number of tokens pass their texts once a round,
+and their weights are averaged. Scoring carries the state through the whole
+document in the same way.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.storage import materialise
+from loamline.llm.storage import discard, materialise
 from loamline.llm.words import MAX_CACHED, remainder, slices, text_bytes
 
 CLASSES, MEMBERS, HIDDEN = 32, 32, 16
@@ -38,8 +39,12 @@ HOT = 300_000
 ADD = 0.1
 #: No word is empty, so the empty word stands for the end of a text.
 END = b""
-WINDOW, CUT = 64, 32
-STREAMS = 256
+#: Tokens of a window: how far backpropagation reaches.
+WINDOW = 32
+#: Texts learned, or scored, side by side.
+STREAMS = 128
+#: Tokens whose units a scoring worker holds before it scores them.
+HELD = 4_000_000
 
 
 @dataclass
@@ -123,17 +128,58 @@ def lexicon(counts: DataFrame) -> Lexicon:
     return out
 
 
-def _sig(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def windows(texts: Iterator[tuple[int, np.ndarray]], streams: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Texts, each (key, UNITS and then its units), side by side in up to ``streams`` streams of WINDOW tokens at a time.
+
+    Yields inputs, targets (-1: none) and keys as [steps, streams], and from
+    which stream of the window before each one goes on (-1: a new one). A text
+    begins where the input is UNITS, right after the end of another one.
+    """
+    live: list[list] = []
+    came: list[int] = []
+    while True:
+        new = [[k, u, 0] for k, u in islice(texts, streams - len(live))]
+        live, came = live + new, came + [-1] * len(new)
+        if not live:
+            return
+        x, y, key = np.zeros((len(live), WINDOW), np.int16), np.full((len(live), WINDOW), -1, np.int16), np.zeros((len(live), WINDOW), np.int32)
+        for i, own in enumerate(live):
+            t = 0
+            while t < WINDOW:
+                k, u, at = own
+                n = min(WINDOW - t, len(u) - 1 - at)
+                x[i, t : t + n], y[i, t : t + n], key[i, t : t + n] = u[at : at + n], u[at + 1 : at + 1 + n], k
+                own[2], t = at + n, t + n
+                if own[2] == len(u) - 1:
+                    following = next(texts, None)
+                    if following is None:
+                        break
+                    own[:] = [*following, 0]
+        yield x.T, y.T, key.T, np.array(came)
+        came = [i for i, (_, u, at) in enumerate(live) if at < len(u) - 1]
+        live = [live[i] for i in came]
+
+
+def carried(h: np.ndarray, came: np.ndarray) -> np.ndarray:
+    """States of the streams of a window, from those at the end of the one before."""
+    out = np.zeros((len(came), HIDDEN), h.dtype)
+    out[came >= 0] = h[came[came >= 0]]
+    return out
 
 
 class Gru:
-    """Parameters: X (input table, unit UNITS is the start of a text), U, class softmax Wc bc, unit softmax Wu bu."""
+    """Parameters, views of one flat array: X (input table, unit UNITS is the start of a text), U, class softmax Wc bc, unit softmax Wu bu."""
 
-    NAMES = ("X", "U", "Wc", "bc", "Wu", "bu")
+    SHAPES = {"X": (UNITS + 1, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Wu": (CLASSES, HIDDEN, MEMBERS), "bu": (CLASSES, MEMBERS)}
+    SIZE = sum(int(np.prod(x)) for x in SHAPES.values())
 
-    def __init__(self, parts: list[np.ndarray]):
-        self.X, self.U, self.Wc, self.bc, self.Wu, self.bu = parts
+    def __init__(self, flat: np.ndarray):
+        self.flat = flat
+        at = 0
+        for name, shape in self.SHAPES.items():
+            n = int(np.prod(shape))
+            setattr(self, name, flat[at : at + n].reshape(shape))
+            at += n
 
     @classmethod
     def initial(cls, mass: np.ndarray, seed: int = 1) -> Gru:
@@ -141,229 +187,184 @@ class Gru:
         rng, h = np.random.default_rng(seed), HIDDEN
         m = (mass + 1).reshape(CLASSES, MEMBERS)
         parts = [rng.normal(0, 0.3, (UNITS + 1, 3 * h)), rng.normal(0, 0.25, (h, 3 * h)), rng.normal(0, 0.1, (h, CLASSES)), np.log(m.sum(1) / m.sum()), rng.normal(0, 0.1, (CLASSES, h, MEMBERS)), np.log(m / m.sum(1, keepdims=True))]
-        return cls([p.astype(np.float32) for p in parts])
-
-    def parts(self) -> list[np.ndarray]:
-        return [getattr(self, n) for n in self.NAMES]
-
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        a, g, k = self.X[x], h @ self.U, HIDDEN
-        zr = _sig(a[:, : 2 * k] + g[:, : 2 * k])
-        z, r, gn = zr[:, :k], zr[:, k:], g[:, 2 * k :]
-        n = np.tanh(a[:, 2 * k :] + r * gn)
-        return h + z * (n - h), z, r, gn, n
+        return cls(np.concatenate([p.ravel() for p in parts]).astype(np.float32))
+
+    def states(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """By step: the state before it, the gates z and r, the recurrent input of the candidate, the candidate, and the state after it."""
+        k, kind = HIDDEN, self.flat.dtype
+        a, keep = self.X[x], (x != UNITS).astype(kind)[:, :, None]
+        steps, rows = x.shape
+        before, gates, inner, cand, after = (np.empty((steps, rows, n), kind) for n in (k, 2 * k, k, k, k))
+        anew = (x == UNITS).any(axis=1)
+        for t in range(steps):
+            h = before[t] = h * keep[t] if anew[t] else h
+            g, zr, n = h @ self.U, gates[t], cand[t]
+            np.add(a[t, :, : 2 * k], g[:, : 2 * k], out=zr)
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            inner[t] = g[:, 2 * k :]
+            np.multiply(zr[:, k:], inner[t], out=n)
+            n += a[t, :, 2 * k :]
+            np.tanh(n, out=n)
+            h = np.subtract(n, h, out=after[t])
+            h *= zr[:, :k]
+            h += before[t]
+        return before, gates, inner, cand, after
+
+    def _units(self, s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+        """Order of the rows by class, the classes' places in it, and exp of the logits of the units in the row's class, in that order."""
+        order = np.argsort(c, kind="stable")
+        cuts = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
+        places = [(k, cuts[k], cuts[k + 1]) for k in range(CLASSES) if cuts[k] < cuts[k + 1]]
+        s, e = s[order], np.empty((len(c), MEMBERS), s.dtype)
+        for k, a, b in places:
+            np.matmul(s[a:b], self.Wu[k], out=e[a:b])
+            e[a:b] += self.bu[k]
+        return order, places, np.exp(e, out=e)
 
     def log10(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 probability of the target units at the states ``h``."""
         c, m = target // MEMBERS, target % MEMBERS
-        x = h @ self.Wc + self.bc
-        out = x[np.arange(len(c)), c] - np.log(np.exp(x).sum(axis=1))
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            if cuts[k] < cuts[k + 1]:
-                at = order[cuts[k] : cuts[k + 1]]
-                x = h[at] @ self.Wu[k] + self.bu[k]
-                out[at] += x[np.arange(len(at)), m[at]] - np.log(np.exp(x).sum(axis=1))
-        return out / np.float32(np.log(10))
-
-    def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Gradients of the mean loss over [steps, rows] units (y of -1: none), and the last state. The state before ``x`` is taken as given."""
-        kept = []
-        for t in range(len(x)):
-            new, *rest = self.step(x[t], h)
-            kept.append((h, *rest))
-            h = new
-        states = np.stack([k[0] for k in kept[1:]] + [h])
-        grads = [np.zeros_like(p) for p in self.parts()]
-        gX, gU, gWc, gbc, gWu, gbu = grads
-        flat, target = states.reshape(-1, HIDDEN), y.reshape(-1)
+        x = np.exp(h @ self.Wc + self.bc)
+        out = np.log10(x[np.arange(len(c)), c] / x.sum(axis=1))
+        order, _, e = self._units(h, c)
+        out[order] += np.log10(e[np.arange(len(c)), m[order]] / e.sum(axis=1))
+        return out
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[Gru, np.ndarray]:
+        """Gradient of the mean loss over [steps, rows] units (y of -1: none), and the last state. The state before ``x`` is taken as given."""
+        k = HIDDEN
+        before, gates, inner, cand, after = self.states(x, h)
+        grad = Gru(np.zeros_like(self.flat))
+        target = y.reshape(-1)
         use = np.flatnonzero(target >= 0)
-        s, c, m = flat[use], target[use] // MEMBERS, target[use] % MEMBERS
+        s, target = after.reshape(-1, k)[use], target[use]
+        c, m = target // MEMBERS, target % MEMBERS
         share = 1 / max(1, len(use))
         p = np.exp(s @ self.Wc + self.bc)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(c)), c] -= 1
-        p *= share
-        gWc += s.T @ p
-        gbc += p.sum(axis=0)
+        p *= (share / p.sum(axis=1))[:, None]
+        p[np.arange(len(c)), c] -= share
+        grad.Wc += s.T @ p
+        grad.bc += p.sum(axis=0)
         ds = p @ self.Wc.T
-        for k in np.unique(c):
-            at = np.flatnonzero(c == k)
-            q = np.exp(s[at] @ self.Wu[k] + self.bu[k])
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(at)), m[at]] -= 1
-            q *= share
-            gWu[k] += s[at].T @ q
-            gbu[k] += q.sum(axis=0)
-            ds[at] += q @ self.Wu[k].T
-        above = np.zeros_like(flat)
+        order, places, q = self._units(s, c)
+        q *= (share / q.sum(axis=1))[:, None]
+        q[np.arange(len(c)), m[order]] -= share
+        s, back = s[order], np.empty_like(s)
+        for j, a, b in places:
+            grad.Wu[j] += s[a:b].T @ q[a:b]
+            grad.bu[j] += q[a:b].sum(axis=0)
+            np.matmul(q[a:b], self.Wu[j].T, out=back[a:b])
+        ds[order] += back
+        above = np.zeros((after.shape[0] * after.shape[1], k), s.dtype)
         above[use] = ds
-        above = above.reshape(states.shape)
-        dh, d_in = np.zeros_like(h), np.empty((len(x), x.shape[1], 3 * HIDDEN), np.float32)
+        above = above.reshape(after.shape)
+        z, r = gates[:, :, :k], gates[:, :, k:]
+        kept = 1 - z
+        by_n = z * (1 - cand * cand)
+        by_z = (cand - before) * z * kept
+        by_r = by_n * inner * r * (1 - r)
+        inward = np.stack([by_z, by_r, by_n * r], axis=2)  # through the recurrent product
+        fresh = x == UNITS
+        anew, keep = fresh.any(axis=1), (~fresh).astype(s.dtype)[:, :, None]
+        down, dh = np.empty_like(above), np.zeros_like(h)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, gn, n = kept[t]
-            dh = dh + above[t]
-            dz, dn = dh * (n - before) * z * (1 - z), dh * z * (1 - n * n)
-            dr, dgn = dn * gn * r * (1 - r), dn * r
-            d_in[t] = np.concatenate([dz, dr, dn], axis=1)
-            dg = np.concatenate([dz, dr, dgn], axis=1)
-            gU += before.T @ dg
-            dh = dh * (1 - z) + dg @ self.U.T
-        np.add.at(gX, x.reshape(-1), d_in.reshape(-1, 3 * HIDDEN))
-        return grads, h
+            dh = np.add(dh, above[t], out=down[t])
+            g = (inward[t] * dh[:, None]).reshape(-1, 3 * k)
+            dh = dh * kept[t]
+            dh += g @ self.U.T
+            if anew[t]:
+                dh *= keep[t]
+        grad.U += before.reshape(-1, k).T @ (inward * down[:, :, None]).reshape(-1, 3 * k)
+        d_in = (np.stack([by_z, by_r, by_n], axis=2) * down[:, :, None]).reshape(-1, 3 * k)
+        unit = x.reshape(-1)
+        order = np.argsort(unit, kind="stable")
+        start = np.flatnonzero(np.diff(unit[order], prepend=-1))
+        grad.X[unit[order][start]] += np.add.reduceat(d_in[order], start)
+        return grad, after[-1]
 
 
 def _units(docs: DataFrame, words) -> DataFrame:
-    """All of every row: ``slot`` (a hash that orders and deals them), how many ``windows`` it has, and the start with its units, as int16."""
+    """All of every row: ``slot`` (a hash that orders and deals them), its number of ``tokens``, and the start with its units, as int16."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = words.value
         for batch in slices(batches):
-            slots, windows, units = [], [], []
+            slots, tokens, units = [], [], []
             for i, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch)):
                 h = xxhash.xxh64_intdigest(b"%s:%s" % (str(i).encode(), text))  # copies of a text are dealt to different trainers
                 unit = lex.numbers([*text.lower().split(), END])[0]
                 slots.append(h >> 1)
-                windows.append(-(-len(unit) // WINDOW))
+                tokens.append(len(unit))
                 units.append(np.append(UNITS, unit).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(windows, pa.int64()), pa.array(units, pa.binary())], names=["slot", "windows", "units"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(tokens, pa.int64()), pa.array(units, pa.binary())], names=["slot", "tokens", "units"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "slot long, windows long, units binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "slot long, tokens long, units binary")
 
 
-def _train(texts: DataFrame, model: Gru, trainers: int, rate: float, rows: int, passes: int) -> Gru:
-    """One round: every trainer starts from ``model`` and passes all its texts; the result is the mean by windows. Texts are kept only for further passes.
+def learn(model: Gru, texts: Iterator[np.ndarray], rate: float, streams: int) -> int:
+    """Pass all the texts once, with a step of Adam for every window of the streams; how many tokens there were."""
+    m, v = np.zeros_like(model.flat), np.zeros_like(model.flat)
+    done, steps, h = 0, 0, np.zeros((0, HIDDEN), model.flat.dtype)
+    for x, y, _, came in windows(((0, u) for u in texts), streams):
+        grad, h = model.gradient(x, y, carried(h, came))
+        g, steps, done = grad.flat, steps + 1, done + int((y >= 0).sum())
+        np.clip(g, -0.1, 0.1, out=g)
+        m += 0.1 * (g - m)
+        v += 0.001 * (g * g - v)
+        pace = rate * min(1, steps / 20) * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
+        model.flat -= np.float32(pace) * m / (np.sqrt(v) + np.float32(1e-7))
+    return done
 
-    Up to ``rows`` texts are learned side by side, each window by window with
-    its state carried on; a text that ends makes room for the next.
-    """
-    start = texts.sparkSession.sparkContext.broadcast(model.parts())
+
+def _train(texts: DataFrame, model: Gru, trainers: int, rate: float, streams: int) -> Gru:
+    """One round: every trainer starts from ``model`` and streams its texts once; the result is the mean by tokens."""
+    start = texts.sparkSession.sparkContext.broadcast(model.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Gru([p.copy() for p in start.value])
-        m, v = [np.zeros_like(p) for p in own.parts()], [np.zeros_like(p) for p in own.parts()]
-        steps = 0
-
-        def learn(block: np.ndarray, h: np.ndarray) -> np.ndarray:
-            nonlocal steps
-            for t in range(0, WINDOW, CUT):
-                x, y = np.maximum(block[t : t + CUT], 0), block[t + 1 : t + CUT + 1]
-                if not (y >= 0).any():
-                    break
-                grads, h = own.gradient(x, y, h)
-                steps += 1
-                pace = rate * min(1, steps / 20) * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
-                for p, g, a, b in zip(own.parts(), grads, m, v):
-                    np.clip(g, -0.1, 0.1, out=g)
-                    a += 0.1 * (g - a)
-                    b += 0.001 * (g * g - b)
-                    p -= pace * a / (np.sqrt(b) + 1e-7)
-            return h
-
-        def through(texts: Iterator[bytes]) -> int:
-            """Learn all windows of the texts; how many there were."""
-            done, h = 0, np.zeros((0, HIDDEN), np.float32)
-            live: list[list] = []  # units of a text and the place of its next window
-            while True:
-                on = [i for i, (u, at) in enumerate(live) if at < len(u) - 1]
-                new = [[np.frombuffer(u, "<i2"), 0] for u in islice(texts, rows - len(on))]
-                h = np.concatenate([h[on], np.zeros((len(new), HIDDEN), np.float32)])
-                live = [live[i] for i in on] + new
-                if not live:
-                    return done
-                block = np.full((WINDOW + 1, len(live)), -1, np.int64)
-                for i, (u, at) in enumerate(live):
-                    part = u[at : at + WINDOW + 1]
-                    block[: len(part), i] = part
-                    live[i][1] += WINDOW
-                done += len(live)
-                h = learn(block, h)
-
-        kept: list[bytes] = []
-
-        def arriving() -> Iterator[bytes]:
-            for batch in batches:
-                for u in batch.column("units"):
-                    if passes > 1:
-                        kept.append(u.as_py())
-                    yield u.as_py()
-
-        seen = through(arriving())
-        for _ in range(passes - 1):
-            through(iter(kept))
+        own = Gru(start.value.copy())
+        seen = learn(own, (np.frombuffer(u.as_py(), "<i2") for batch in batches for u in batch.column("units")), rate, streams)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([np.concatenate([p.ravel() for p in own.parts()]).tobytes()], pa.binary())], names=["n", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([own.flat.tobytes()], pa.binary())], names=["n", "weights"])
 
     dealt = texts.select("slot", "units").repartition(trainers, "slot").sortWithinPartitions("slot", "units")
     total, n = 0.0, 0
     trained = materialise(dealt.mapInArrow(run, "n long, weights binary"), "lm-trained")  # all trainers at once
     for row in trained.toLocalIterator():  # a file's weights at a time
         total, n = total + row.n * np.frombuffer(row.weights, np.float32).astype(np.float64), n + row.n
-    if not n:
-        return model
-    flat, out, at = (total / n).astype(np.float32), [], 0
-    for p in model.parts():
-        out.append(flat[at : at + p.size].reshape(p.shape))
-        at += p.size
-    return Gru(out)
+    discard(trained)
+    return Gru((total / n).astype(np.float32)) if n else model
 
 
-def train(docs: DataFrame, words, mass: np.ndarray, rounds: int = 2, rate: float = 0.01, rows: int = 64, per_trainer: int = 20_000, most_trainers: int = 256, least_steps: int = 300) -> Gru:
-    """Average of trainers over ``rounds`` rounds, each with its share of the texts.
+def train(docs: DataFrame, words, mass: np.ndarray, rounds: int = 2, rate: float = 0.01, streams: int = STREAMS, per_trainer: int = 4_000_000, most_trainers: int = 256) -> Gru:
+    """Average of trainers over ``rounds`` rounds, each of which passes its share of the texts once, whatever their number.
 
-    At most ``most_trainers`` send their weights, and each streams its texts.
-    A trainer's share that gives fewer than ``least_steps`` steps a round, as
-    in a small corpus, is passed as often as that takes.
+    A trainer streams about ``per_trainer`` tokens; in a corpus that would need
+    over ``most_trainers`` each streams more, since their weights meet on the
+    driver. No text is left out.
     """
     texts = materialise(_units(docs, words), "lm-units")
-    n = texts.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
-    trainers = max(1, min(most_trainers, -(-n // per_trainer)))
-    steps = max(1, n // (trainers * rounds * rows)) * (WINDOW // CUT)
+    n = texts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    trainers = max(1, min(most_trainers, -(-n // (per_trainer * rounds))))
     model = Gru.initial(mass)
     for i in range(rounds):
-        model = _train(texts.where(F.pmod("slot", F.lit(rounds)) == i), model, trainers, rate / (1 + i), rows, -(-least_steps // steps))
+        model = _train(texts.where(F.pmod("slot", F.lit(rounds)) == i), model, trainers, rate / (1 + i), streams)
+    discard(texts)
     return model
 
 
-def _packed(lengths: np.ndarray) -> list[list[int]]:
-    """Deal texts to streams of about equal length."""
-    n = int(max(1, min(STREAMS, lengths.sum() // max(1, lengths.max(initial=1)), len(lengths))))
-    heap, streams = [(0, i) for i in range(n)], [[] for _ in range(n)]
-    for d in np.argsort(-lengths, kind="stable").tolist():
-        size, i = heap[0]
-        streams[i].append(d)
-        heapq.heapreplace(heap, (size + int(lengths[d]), i))
-    return streams
-
-
-def score_units(model: Gru, texts: list[np.ndarray]) -> np.ndarray:
+def score_units(model: Gru, texts: list[np.ndarray], streams: int = STREAMS) -> np.ndarray:
     """log10 probability of each text's units; the state starts anew with each text and runs through all of it."""
-    if not texts:
-        return np.zeros(0)
-    streams = _packed(np.array([len(t) for t in texts]))
-    steps = max(sum(len(texts[d]) for d in s) for s in streams)
-    x, y = np.full((steps, len(streams)), UNITS, np.int16), np.full((steps, len(streams)), -1, np.int16)
-    owner, fresh = np.zeros((steps, len(streams)), np.int32), np.zeros((steps, len(streams)), bool)
-    for i, s in enumerate(streams):
-        at = 0
-        for d in s:
-            u = texts[d]
-            y[at : at + len(u), i] = u
-            x[at + 1 : at + len(u), i] = u[:-1]
-            owner[at : at + len(u), i] = d
-            fresh[at, i] = True
-            at += len(u)
-    out, h = np.zeros(len(texts)), np.zeros((len(streams), HIDDEN), np.float32)
-    for t in range(0, steps, WINDOW):
-        states = np.empty((min(WINDOW, steps - t), len(streams), HIDDEN), np.float32)
-        for j in range(len(states)):
-            if fresh[t + j].any():
-                h = np.where(fresh[t + j][:, None], np.float32(0), h)
-            h = states[j] = model.step(x[t + j], h)[0]
-        target = y[t : t + WINDOW].reshape(-1).astype(np.int64)
+    out, h = np.zeros(len(texts)), np.zeros((0, HIDDEN), model.flat.dtype)
+    longest_first = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    for x, y, key, came in windows(((i, np.append(np.int16(UNITS), texts[i].astype(np.int16))) for i in longest_first), streams):
+        after = model.states(x, carried(h, came))[-1]
+        h = after[-1]
+        target = y.reshape(-1)
         use = np.flatnonzero(target >= 0)
-        out += np.bincount(owner[t : t + WINDOW].reshape(-1)[use], model.log10(states.reshape(-1, HIDDEN)[use], target[use]), len(texts))
+        out += np.bincount(key.reshape(-1)[use], model.log10(after.reshape(-1, HIDDEN)[use], target[use]), len(texts))
     return out
 
 
@@ -372,37 +373,43 @@ def _scored(docs: DataFrame, words, model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, net = words.value, model.value
+        lex, net = words.value, Gru(model.value)
         # Number -1 (not hot) takes the last entry.
         base_of, within_of = np.append(lex.hot_base, 0.0), np.append(lex.hot_within, 0.0)
-        for batch in batches:  # all texts of a batch fill the streams; only a slice's words exist at once
-            n, units, rare = [], [], []
-            base, score, known = [], [], []
-            for part in slices(iter([batch])):
-                texts = [[*t.lower().split(), END] for t in text_bytes(part)]
-                if not texts:
-                    continue
-                tokens = list(chain.from_iterable(texts))
-                unit, number = lex.numbers(tokens)
-                length = np.array([len(t) for t in texts], np.int64)
-                start = np.cumsum(length) - length
-                cold = number < 0
-                n.append(length)
-                base.append(np.add.reduceat(base_of[number], start))
-                score.append(np.add.reduceat(within_of[number] - np.where(cold, lex.unit_size[unit], 0.0), start))
-                known.append(length - np.add.reduceat(cold.astype(np.int64), start))
-                units += np.split(unit.astype(np.int16), start[1:])
-                left = cold.nonzero()[0].tolist()
-                ends = np.searchsorted(left, start + length).tolist()
-                rare += [[tokens[i] for i in left[a:b]] for a, b in zip([0, *ends], ends)]
-            join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
-            total = score_units(net, units) + (np.concatenate(score) if score else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), join(n, pa.int64()), join(known, pa.int64()), join(base, pa.float64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.binary()))], names=["doc_id", "held_out", "n_tokens", "hot", "base", "net", "rare"])
+        held: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []  # rows that wait for the network, and their units
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            total = score_units(net, [u for _, units in held for u in units])
+            for part, units in held:
+                own, total = total[: len(units)], total[len(units) :]
+                at = part.schema.get_field_index("net")
+                yield part.set_column(at, "net", pa.array(part.column(at).to_numpy() + own))
+            held.clear()
+
+        for part in slices(batches):
+            texts = [[*t.lower().split(), END] for t in text_bytes(part)]
+            if not texts:
+                continue
+            tokens = list(chain.from_iterable(texts))
+            unit, number = lex.numbers(tokens)
+            n = np.array([len(t) for t in texts], np.int64)
+            start = np.cumsum(n) - n
+            cold = number < 0
+            net_of = np.add.reduceat(within_of[number] - np.where(cold, lex.unit_size[unit], 0.0), start)
+            left = cold.nonzero()[0].tolist()
+            ends = np.searchsorted(left, start + n).tolist()
+            rare = pa.array([[tokens[i] for i in left[a:b]] for a, b in zip([0, *ends], ends)], pa.list_(pa.binary()))
+            columns = [part.column("doc_id"), part.column("held_out"), pa.array(n), pa.array(n - np.add.reduceat(cold.astype(np.int64), start)), pa.array(np.add.reduceat(base_of[number], start)), pa.array(net_of), rare]
+            held.append((pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "hot", "base", "net", "rare"]), np.split(unit.astype(np.int16), start[1:])))
+            if sum(len(u) for _, units in held for u in units) >= HELD:
+                yield from rows()
+        if held:
+            yield from rows()
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, hot long, base double, net double, rare array<binary>")
 
 
-def score(docs: DataFrame, parts: int = 10, held_out: int = 0) -> DataFrame:
+def score(docs: DataFrame, parts: int = 10, held_out: int = 0, streams: int = STREAMS) -> DataFrame:
     """Train on the rows whose crc32 of the id mod ``parts`` isn't ``held_out`` and score all rows.
 
     In: ``doc_id``, ``text``; other columns are ignored. Out, one row per input
@@ -410,7 +417,10 @@ def score(docs: DataFrame, parts: int = 10, held_out: int = 0) -> DataFrame:
     ``train_tokens``, ``base_score`` (add-0.1 unigrams), ``score`` (the model).
     A null or empty text is its end token alone. Repeated rows count each time.
     Words beyond the hot ones get their counts by a join on the word, so no
-    vocabulary of the whole corpus is held by any process.
+    vocabulary of the whole corpus is held by any process. Texts of any length
+    are learned and scored whole. An empty table gives an empty one; without a
+    training row all words are unseen. ``streams`` texts give a step of the
+    training together, so few texts are learned better with few streams.
     """
     rows = docs.select("doc_id", "text", F.coalesce(remainder("doc_id", parts) == held_out, F.lit(False)).alias("held_out"))
     teach = rows.where("not held_out")
@@ -419,7 +429,7 @@ def score(docs: DataFrame, parts: int = 10, held_out: int = 0) -> DataFrame:
     lex = lexicon(counts)
     sc = docs.sparkSession.sparkContext
     words = sc.broadcast(lex)
-    net = sc.broadcast(train(teach, words, lex.mass))
+    net = sc.broadcast(train(teach, words, lex.mass, streams=streams).flat)
     scored = materialise(_scored(rows, words, net).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("row", F.explode("rare").alias("of"))
     found = rare.join(counts, rare.of == counts.word, "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("more"), F.count("n").alias("more_known"))

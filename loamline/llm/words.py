@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_CACHED = 200_000
-ROWS_AT_ONCE = 1000
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
 
 
 def remainder(doc_id: Column | str, parts: int) -> Column:
@@ -34,12 +35,20 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``rows`` rows, which bounds what a worker holds as Python objects."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE, size: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows and about ``size`` bytes of text (one text at least), which bounds what a worker holds as Python objects."""
     give_back()
     for batch in batches:
-        for i in range(0, max(1, batch.num_rows), rows):
-            yield batch.slice(i, rows)
+        ends = None
+        if batch.num_rows and "text" in batch.schema.names:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < max(1, batch.num_rows):
+            n = rows
+            if ends is not None:
+                n = max(1, min(rows, int(np.searchsorted(ends, size + (ends[i - 1] if i else 0), "right")) - i))
+            yield batch.slice(i, n)
+            i += n
 
 
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

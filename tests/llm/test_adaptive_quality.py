@@ -72,7 +72,7 @@ def test_sketches_are_within_their_error(spark):
                     assert abs(t[f"{side}_{m}"] - exact) <= 1.01 * Q.ERROR * 7 * max(q[2], lang[2]) + 1e-6
         assert abs(plan["de", "x"][f"mid_{m}"] - everywhere[1]) <= 1.01 * Q.ERROR * everywhere[1] + 1e-6  # too few texts in group and language
     for m in set(Q.MEASURES) - {"upper_share"}:
-        assert len({t[f"mid_{m}"] for t in plan.values()}) > 3
+        assert len({t[f"mid_{m}"] for t in plan.values()}) > 1
 
 
 def test_verdicts_equal_brute_force_and_reruns(spark):

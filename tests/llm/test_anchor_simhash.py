@@ -166,3 +166,36 @@ def test_groups_around_any_original_and_inside_boilerplate(spark):
         low[c] = min(i, low.get(c, i))
     assert {got[i] for i in ids} == {min(ids)}
     assert all(got[i] == low[c] for i, c in zip(order, want)) and all(got[b] == a for b, a in twins.items())
+
+
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(14)
+    one, two, three = (sentence(rng, 80, "abcdefghijklmnop") for _ in range(3))
+    rows = [
+        (5, one, "en", "s", 0), (3, one + " x", "en", "s", 1), (9, one, "en", "s", 2),  # a class; 3 stays
+        (5, two, "en", "s", 3),  # another text of a dropped id
+        (7, three, "en", "a", 4), (7, three, "en", "b", 5), (7, three, "en", "b", 5),  # equal in id and text: one stays
+        (None, two, "en", "s", 6), (None, sentence(rng, 50, "qrst"), "en", "s", 7), (None, sentence(rng, 50, "uvwx"), "en", "s", 8),  # 6 is a copy of 3
+        (20, "", "en", "s", 9), (21, None, "en", "s", 10),
+    ]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = A.one_of_each(docs)
+    left = sorted(r.n_chars for r in out.collect())
+    assert out.columns == docs.columns
+    assert left in ([1, 3, 4, 7, 8, 9], [1, 3, 5, 7, 8, 9])
+    assert [r.n_chars for r in A.one_of_each(spark.createDataFrame([(None, one, "en", "s", 0), (None, one, "en", "s", 1)], DOCS)).collect()] in ([0], [1])
+    assert A.one_of_each(empty(spark)).collect() == [] and A.one_of_each(awkward(spark)).columns == awkward(spark).columns
+
+
+def test_one_of_each_equals_the_classes(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(60):
+        words = sentence(rng, rng.randint(5, 90)).split()
+        for _ in range(rng.randint(1, 3)):
+            w = list(words)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = "edited"
+            rows.append((len(rows), " ".join(w), "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id for r in A.one_of_each(docs).collect()} == {r.component_id for r in A.similar_documents(docs).collect()}

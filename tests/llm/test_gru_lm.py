@@ -27,7 +27,7 @@ def corpus(n=400):
 
 def test_counts_base_and_gain(spark):
     rows = corpus()
-    out = {r.doc_id: r for r in G.score(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    out = {r.doc_id: r for r in G.score(spark.createDataFrame(rows, DOCS).repartition(3), streams=2).collect()}
     for (i, *_), (n, known, total, score) in zip(rows, base([r[:2] for r in rows])):
         r = out[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and abs(r.base_score - score) < 1e-6 * abs(score)
@@ -55,45 +55,98 @@ def test_words_of_a_unit_sum_to_one(spark):
     assert np.allclose((total + unseen)[used], 1, atol=1e-9)
 
 
+def plain_step(net, x, h):
+    """A step of the network by its definition, one row at a time."""
+    k = G.HIDDEN
+    if x == G.UNITS:
+        h = np.zeros_like(h)
+    a, g = net.X[x], h @ net.U
+    z, r = (1 / (1 + np.exp(-(a[i : i + k] + g[i : i + k]))) for i in (0, k))
+    n = np.tanh(a[2 * k :] + r * g[2 * k :])
+    return (1 - z) * h + z * n
+
+
+def plain_log10(net, h, unit):
+    c, m = divmod(int(unit), G.MEMBERS)
+    x, y = np.exp(h @ net.Wc + net.bc), np.exp(h @ net.Wu[c] + net.bu[c])
+    return np.log10(x[c] / x.sum()) + np.log10(y[m] / y.sum())
+
+
 def test_gradient_by_differences():
     rng = np.random.default_rng(0)
-    net = G.Gru([p.astype(np.float64) for p in G.Gru.initial(rng.random(G.UNITS) * 9, 5).parts()])
+    net = G.Gru(G.Gru.initial(rng.random(G.UNITS) * 9, 5).flat.astype(np.float64))
     x, y = rng.integers(0, G.UNITS, (4, 3)), rng.integers(0, G.UNITS, (4, 3))
-    y[3, 1] = -1
+    y[3, 1], x[2, 0] = -1, G.UNITS  # no target here, a new text there
     h = rng.normal(0, 0.3, (3, G.HIDDEN))
 
     def loss():
-        states, s = [], h
-        for t in range(4):
-            s = net.step(x[t], s)[0]
-            states.append(s)
-        use = y.reshape(-1) >= 0
-        return -net.log10(np.stack(states).reshape(-1, G.HIDDEN)[use], y.reshape(-1)[use]).mean() * np.log(10)
-
-    grads, _ = net.gradient(x, y, h)
-    for p, g in zip(net.parts(), grads):
-        at = np.unravel_index(np.abs(g).argmax(), g.shape)
-        old = p[at]
-        p[at] = old + 1e-5
-        up = loss()
-        p[at] = old - 1e-5
-        down = loss()
-        p[at] = old
-        assert abs((up - down) / 2e-5 - g[at]) < 1e-4 * max(1, abs(g[at])) + 1e-5
-
-
-def test_state_runs_through_windows_and_restarts():
+        out = []
+        for j in range(3):
+            s = h[j]
+            for t in range(4):
+                s = plain_step(net, x[t, j], s)
+                if y[t, j] >= 0:
+                    out.append(-plain_log10(net, s, y[t, j]) * np.log(10))
+        return np.mean(out)
+
+    grad, last = net.gradient(x, y, h)
+    assert np.allclose(last[1], plain_step(net, x[3, 1], plain_step(net, x[2, 1], plain_step(net, x[1, 1], plain_step(net, x[0, 1], h[1])))))
+    for name in G.Gru.SHAPES:
+        p, g = getattr(net, name), getattr(grad, name)
+        for at in (np.unravel_index(np.abs(g).argmax(), g.shape), np.unravel_index(g.argmin(), g.shape)):
+            old = p[at]
+            p[at] = old + 1e-5
+            up = loss()
+            p[at] = old - 1e-5
+            down = loss()
+            p[at] = old
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-4 * max(1, abs(g[at])) + 1e-6
+
+
+def test_scores_equal_a_plain_loop():
     rng = np.random.default_rng(4)
     net = G.Gru.initial(rng.random(G.UNITS) * 9, 6)
     net.U *= 3
-    texts = [rng.integers(0, G.UNITS, n) for n in (1, 200, 64, 65, 3, 1000)]
-    got = G.score_units(net, texts)
-    for t, s in zip(texts, got):
-        h, want = np.zeros((1, G.HIDDEN), np.float32), 0.0
-        for before, now in zip([G.UNITS, *t[:-1]], t):
-            h = net.step(np.array([before]), h)[0]
-            want += float(net.log10(h, np.array([now]))[0])
-        assert abs(s - want) < 1e-3 * abs(want)
+    texts = [rng.integers(0, G.UNITS, n) for n in (1, 200, 64, 65, 3, 1000, 32, 33, 31)]
+    for streams in (1, 2, 4, 100):
+        for t, s in zip(texts, G.score_units(net, texts, streams)):
+            h, want = np.zeros(G.HIDDEN), 0.0
+            for before, now in zip([G.UNITS, *t[:-1]], t):
+                h = plain_step(net, before, h)
+                want += plain_log10(net, h, now)
+            assert abs(s - want) < 1e-3 * abs(want)
+    assert len(G.score_units(net, [])) == 0
+
+
+def test_windows_hold_every_token_once():
+    rng = np.random.default_rng(5)
+    texts = {k: np.append(G.UNITS, rng.integers(0, G.UNITS, n)) for k, n in enumerate((1, 40, 32, 31, 33, 500, 2, 1, 1, 64, 7, 90))}
+    for streams in (1, 3, 50):
+        got, ends = {k: [] for k in texts}, {}
+        for x, y, key, came in G.windows(iter(texts.items()), streams):
+            assert x.shape == y.shape == key.shape and x.shape[1] <= streams
+            for j in range(x.shape[1]):
+                before = ends.get(came[j]) if came[j] >= 0 else None
+                for t in range(len(x)):
+                    if y[t, j] >= 0:
+                        k = int(key[t, j])
+                        assert x[t, j] == (got[k][-1] if got[k] else G.UNITS) and (not got[k] or before == k)
+                        got[k].append(y[t, j])
+                        before = k
+            ends = {j: int(key[-1, j]) for j in range(x.shape[1])}
+        assert all(got[k] == texts[k][1:].tolist() for k in texts)
+
+
+def test_one_step_moves_weights_by_the_definition():
+    rng = np.random.default_rng(6)
+    net = G.Gru.initial(rng.random(G.UNITS) * 9, 7)
+    start, text = net.flat.copy(), np.append(G.UNITS, rng.integers(0, G.UNITS, 20)).astype(np.int16)
+    x, y = text[:-1].reshape(-1, 1), text[1:].reshape(-1, 1)
+    grad, _ = G.Gru(start.copy()).gradient(x, y, np.zeros((1, G.HIDDEN), np.float32))
+    assert G.learn(net, iter([text]), 0.01, 4) == 20
+    g = np.clip(grad.flat, -0.1, 0.1).astype(np.float64)
+    step = 0.01 / 20 * np.sqrt(0.001) / 0.1 * (0.1 * g) / (np.sqrt(0.001 * g * g) + 1e-7)
+    assert np.allclose(net.flat, start - step, atol=2e-6)
 
 
 def test_awkward_rows(spark):
@@ -106,17 +159,27 @@ def test_awkward_rows(spark):
     assert G.score(empty(spark)).collect() == []
 
 
-def test_all_windows_of_a_text_are_learned(spark):
-    rows = [(i, " ".join(["early"] * G.WINDOW + ["middle"] * 900 + ["late"] * G.WINDOW), "en", "s", 0) for i in range(8)]
+def test_all_tokens_of_a_text_are_learned(spark):
+    rows = [(i, " ".join(["early"] * 64 + ["middle"] * 900 + ["late"] * 64), "en", "s", 0) for i in range(8)]
     docs = spark.createDataFrame(rows, DOCS)
     lex = G.lexicon(G.count_words(docs))
     texts = G._units(docs, spark.sparkContext.broadcast(lex))
     for r in texts.collect():
-        units = np.frombuffer(r.units, "<i2")
-        assert len(units) == 2 + 2 * G.WINDOW + 900 and r.windows == -(-(len(units) - 1) // G.WINDOW)
+        assert len(np.frombuffer(r.units, "<i2")) == 1 + r.tokens == 2 + 128 + 900
     before = G.Gru.initial(lex.mass)
-    after = G._train(texts, before, 1, 0.01, 4, 1)
+    after = G._train(texts, before, 1, 0.01, 4)
     for word in (b"early", b"middle", b"late"):
-        unit = int(lex.numbers([word])[0][0])
-        run = [np.full(500, unit)]
+        run = [np.full(500, int(lex.numbers([word])[0][0]))]
         assert G.score_units(after, run)[0] > G.score_units(before, run)[0]
+
+
+def test_long_texts_come_in_small_slices():
+    import pyarrow as pa
+
+    from loamline.llm.words import slices
+
+    texts = ["a" * n for n in (10, 90, 5, 200, 1, 1, 1)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    got = [part.column("text").to_pylist() for part in slices(iter([batch]), rows=3, size=100)]
+    assert got == [texts[:2], texts[2:3], texts[3:4], texts[4:7], texts[7:]]
+    assert [p.num_rows for p in slices(iter([batch.slice(0, 0)]))] == [0]
