@@ -7,10 +7,10 @@ VECTORS = "vec_id long, embedding array<float>, label int"
 
 
 def brute(rows, every, k=5):
-    good = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, np.array([int(np.floor(256 * float(np.float32(x)))) for x in v], object)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for i, q in {i: q for i, q in good if i % every == 0}.items():
-        scores = sorted(((-int(q @ v), j) for j, v in good if j != i and len(v) == len(q)))[:k]
+        scores = sorted(((-max(-(2**63) + 1, min(2**63 - 1, int(q @ v))), j) for j, v in good if j != i and len(v) == len(q)))[:k]
         out |= {(i, n, j, -s) for n, (s, j) in enumerate(scores, 1)}
     return out
 
@@ -33,6 +33,43 @@ def test_ties_to_the_smaller_id(spark):
     assert run(spark, rows, query_every=100, least_shards=3) == brute(rows, 100)
 
 
+@pytest.mark.parametrize("size", [1e4, 1e6, 1e7, 1e12, 3e37])
+def test_large_components_are_exact(spark, size):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in size + size * rng.integers(0, 2, 64) * 1e-4 * (i % 3)]) for i in range(120)]
+    rows += [(200 + i, [float(x) for x in size * rng.normal(size=64)]) for i in range(60)]
+    got = run(spark, rows, query_every=40, least_shards=3)
+    assert got == brute(rows, 40)
+    if size == 1e6:
+        assert any(s % 1024 for *_, s in got)  # more than float64 holds
+
+
+def test_queries_go_only_where_they_may_gain(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16)) * 3
+    rows = [(i, [float(x) for x in centres[i % 12] + 0.02 * rng.normal(size=16)]) for i in range(2400)]
+    assert run(spark, rows, query_every=10, least_shards=12) == brute(rows, 10)
+    assert exchanged(rows) < 0.3 * 240 * 12
+
+
+def exchanged(rows):
+    """Queries times shards that the screening lets through, from the trees themselves."""
+    data = np.floor(256 * np.array([v for _, v in rows], np.float32).astype(float))
+    dealer = B.Dealer(data, 12)
+    part = dealer.part(data)
+    radius = [np.sqrt(((data[part == p] - c) ** 2).sum(axis=1)).max() for p, c in enumerate(dealer.centres)]
+    sent = 0
+    for i in range(0, len(data), 10):
+        own = np.sort(data[part == part[i]] @ data[i])[::-1]
+        sent += sum(B.reach(data[i][None], np.sqrt((data[i] ** 2).sum())[None], c, r)[0] >= own[5] for p, (c, r) in enumerate(zip(dealer.centres, radius)) if p != part[i])
+    return sent
+
+
+def test_a_hot_part_is_dealt_to_several_shards(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(500)] + [(500 + i, [float(i), -1.0]) for i in range(200)]
+    assert run(spark, rows, query_every=50, shard_rows=60, least_shards=4) == brute(rows, 50)
+
+
 def test_branches_are_cut():
     rng = np.random.default_rng(2)
     rows = np.concatenate([rng.normal(c, 0.5, (2000, 8)) for c in (-200, 0, 200)])
