@@ -3,8 +3,12 @@
 A model per language over the characters of words (runs of letters, lower
 case, with start and end marks), kept in sorted arrays of hashes. A text gets
 the language of the lowest cross-entropy per character. Texts whose
-cross-entropy is far above what the training texts of that language show are
-marked as rejected.
+cross-entropy is far above what texts of that language show that its model
+hasn't learned are marked as rejected.
+
+The models are sent to the workers whole up to a number of grams. Beyond it
+they stay in shards by the third character of a gram, which hold all that the
+orders from 2 to 4 need, and the texts' distinct grams are joined with them.
 """
 
 from __future__ import annotations
@@ -18,16 +22,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamline.llm.storage import materialise
 from loamline.llm.words import MAX_CACHED, mix, remainder, slices
 
-LETTERS = re.compile(r"[^\W\d_]+").findall
+RUNS = re.compile(r"[^\W\d_]+").findall
 START, END = "\x01", "\x02"
 ORDER, UNIT = 4, 16
 DISCOUNT = 0.75
 
 
+def letters(text: str | None) -> list[str]:
+    """Runs of letters, lower case; numerals that aren't decimal digits are no letters."""
+    if not text:
+        return []
+    found = RUNS(text.lower())
+    if "".join(found).isalpha():
+        return found
+    return "".join([c if c.isalpha() else " " for c in " ".join(found)]).split()
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All 4-grams (four 16-bit code units packed in 64 bits) of the marked words, and how many each word has."""
     flat = np.frombuffer("".join([START * (ORDER - 1) + w + END for w in words]).encode("utf-16-le"), "<u2").astype(np.uint64)
@@ -67,12 +82,17 @@ def _low(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 class Language:
-    """Interpolated Kneser-Ney: raw counts at the highest order, numbers of distinct left contexts below."""
+    """Interpolated Kneser-Ney: raw counts at the highest order, numbers of distinct left contexts below.
+
+    ``lowest`` has the characters and their numbers of left contexts where
+    ``keys`` are those of a shard.
+    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
-        self.order = order
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, lowest: tuple[np.ndarray, np.ndarray] | None = None):
         self.levels: list[tuple[Table, Table, Table]] = []  # from order 1: count of gram, total and types of context
-        for n in range(order, 0, -1):
+        for n in range(ORDER, 0, -1):
+            if n == 1 and lowest is not None:
+                keys, counts = lowest
             context = keys >> np.uint64(UNIT)
             _, first, where = np.unique(context, return_index=True, return_inverse=True)
             total, types = np.bincount(where, counts), np.bincount(where)
@@ -131,91 +151,173 @@ class Scorer(dict):
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """``lang``, ``gram``, ``n`` over the whole texts of rows with a language."""
+    """``lang``, ``tuning``, ``gram``, ``n`` over the whole texts of rows with a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
+        words: dict[tuple[str, bool], Counter] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for lang, seen in words.items():
+            for (lang, tuning), seen in words.items():
                 if seen:
                     keys, count = grams(list(seen))
                     distinct, where = np.unique(keys, return_inverse=True)
                     n = np.bincount(where, np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), count)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(distinct.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([tuning] * len(n)), pa.array(distinct.view(np.int64)), pa.array(n)], names=["lang", "tuning", "gram", "n"])
             words.clear()
 
         for batch in slices(batches):
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                if text:
-                    words.setdefault(lang, Counter()).update(LETTERS(text.lower()))
+            for lang, tuning, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "tuning", "text"))):
+                words.setdefault((lang, tuning), Counter()).update(letters(text))
             if sum(map(len, words.values())) > MAX_CACHED:
                 yield from rows()
         yield from rows()
 
-    counted = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = docs.where("lang is not null and text is not null").select("lang", "tuning", "text").mapInArrow(run, "lang string, tuning boolean, gram long, n long")
+    return counted.groupBy("lang", "tuning", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, most_types: int = 3_000_000) -> dict[str, Language]:
-    """A model per language. Above ``most_types`` distinct grams the order is lowered, whose counts follow exactly from these, so that the model fits the driver and the workers."""
-    counted, order = materialise(count_grams(docs), "langid-grams"), ORDER
-    while order > 1 and counted.count() > most_types:
-        order -= 1
-        counted = materialise(counted.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << UNIT * order) - 1)).alias("gram")).agg(F.sum("n").alias("n")), "langid-grams")
-    table = counted.toArrow()
-    langs = table.column("lang").combine_chunks().dictionary_encode()
-    own, every, n = langs.indices.to_numpy(), table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    models = {}
+def by_language(langs: pa.Array, keys: np.ndarray, n: np.ndarray, lowest: dict | None = None) -> dict[str, Language]:
+    """A model per language, from its grams (distinct) and their counts."""
+    langs = langs.dictionary_encode()
+    own, models = langs.indices.to_numpy(), {}
     for i, lang in enumerate(langs.dictionary.to_pylist()):
-        keys, counts = every[own == i], n[own == i]
-        by = np.argsort(keys)
-        models[lang] = Language(keys[by], counts[by].astype(np.float64), order)
+        k, c = keys[own == i], n[own == i]
+        by = np.argsort(k)
+        models[lang] = Language(k[by], c[by].astype(np.float64), lowest and lowest[lang])
     return models
 
 
-def identify(docs: DataFrame, parts: int = 5, held_out: int = 0, deviations: float = 4.0) -> DataFrame:
-    """Learn from ``lang`` and predict it.
+def cross_entropies(docs: DataFrame, counts: DataFrame, carried: list[str], most_types: int, shard_types: int = 500_000) -> tuple[DataFrame, list[str]]:
+    """The ``carried`` columns, ``n_scored`` (characters, end marks included) and ``logp`` (log10 by language) of every row, and the languages in order.
 
-    In: ``doc_id``, ``text``, ``lang``; other columns are ignored. Rows whose
-    crc32 of the id mod ``parts`` is ``held_out``, or whose language is null,
-    teach nothing. Out, one row per input row: ``doc_id``, ``held_out`` (null
-    id: false), ``lang_pred``, ``score`` (0 to 1, the share of the best
-    language), ``cross_entropy`` (bits of ten per character) and ``rejected``
-    (above the usual one for that language by ``deviations`` times what is
-    usual for a text of its length, both taken from an eighth of the training
-    rows that is kept out of the counts). ``und`` with score 0 for a text that is null
-    or without letters, and where no language was learned. Ties go to the
-    language first in code point order.
+    Up to ``most_types`` grams go to the workers as they are; the other way
+    gives the same numbers but for rounding.
     """
-    aside = F.coalesce(remainder("doc_id", parts) == held_out, F.lit(False))
-    tuning = F.coalesce(remainder("doc_id", 2 * parts) == held_out + 1, F.lit(False))  # not held out, since 2 * parts is a multiple of parts
-    models = train(docs.where(~aside & ~tuning))
-    names = sorted(models)
+    names = [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    schema = T.StructType([docs.schema[c] for c in carried] + [T.StructField("n_scored", T.LongType()), T.StructField("logp", T.ArrayType(T.DoubleType()))])
+    if counts.count() > most_types:
+        return _sharded(docs, counts, names, carried, shard_types), names
+    table = counts.toArrow()
+    models = by_language(table.column("lang").combine_chunks(), table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast([models[x] for x in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in slices(batches):
-            out = []
-            texts = [LETTERS(t.lower()) if t and names else [] for t in batch.column("text").to_pylist()]
+            texts = [letters(t) if names else [] for t in batch.column("text").to_pylist()]
             scorer.prepare(texts)
-            for words in texts:
-                if not words:
+            out = [scorer(words) if words else (np.zeros(len(names)), 0) for words in texts]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array([n for _, n in out], pa.int64()), pa.array([p for p, _ in out], pa.list_(pa.float64()))], names=schema.fieldNames())
+
+    return docs.select(*carried, "text").mapInArrow(run, schema), names
+
+
+def _sharded(docs: DataFrame, counts: DataFrame, names: list[str], carried: list[str], shard_types: int) -> DataFrame:
+    """What ``cross_entropies`` gives, from models in shards: no process holds a whole one."""
+    schema = T.StructType([docs.schema[c] for c in carried] + [T.StructField(c, k) for c, k in (("n_scored", T.LongType()), ("grams", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.LongType())))])
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            units, keys, times = [], [], []
+            for text in batch.column("text").to_pylist():
+                own, count = grams(letters(text))
+                k, n = np.unique(own, return_counts=True)
+                units.append(int(count.sum()))
+                keys.append(k.view(np.int64))
+                times.append(n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(units, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], names=schema.fieldNames())
+
+    rows = materialise(docs.select(*carried, "text").mapInArrow(taken, schema).withColumn("row", F.monotonically_increasing_id()), "langid-grams-of-rows")
+    each = rows.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.times").alias("times"))
+    # A character's numbers of left contexts: at most 65 536 rows a language.
+    pairs = counts.select("lang", F.col("gram").bitwiseAND(F.lit((1 << 2 * UNIT) - 1)).alias("pair")).distinct()
+    singles = pairs.groupBy("lang", F.col("pair").bitwiseAND(F.lit((1 << UNIT) - 1)).alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "c").collect()
+    lowest = {x: (np.array([r.c for r in singles if r.lang == x], np.uint64), np.array([float(r.n) for r in singles if r.lang == x])) for x in names}
+    shared = docs.sparkSession.sparkContext.broadcast(lowest)
+    shards = max(1, -(-counts.count() // shard_types))
+    shard = F.pmod(F.xxhash64(F.shiftright("gram", UNIT).bitwiseAND(F.lit((1 << UNIT) - 1))), F.lit(shards)).alias("shard")
+    learned = counts.select(shard, F.lit(0).alias("side"), "lang", "gram", "n")
+    asked = each.select("gram").distinct().select(shard, F.lit(1).alias("side"), F.lit(None).cast("string").alias("lang"), "gram", F.lit(0).cast("long").alias("n"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parts, models = None, [], None
+        nothing = (np.empty(0, np.uint64), np.empty(0, np.int64))
+        for batch in batches:
+            key = batch.column("shard").to_numpy() * 2 + batch.column("side").to_numpy()
+            cut = np.flatnonzero(np.diff(key)) + 1
+            for a, b in zip([0, *cut], [*cut, len(key)]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if key[a] >> 1 != own:
+                    own, parts, models = key[a] >> 1, [], None
+                if not key[a] & 1:
+                    parts.append(part.select(["lang", "gram", "n"]))
+                    continue
+                if models is None:
+                    table = pa.Table.from_batches(parts) if parts else None
+                    found = by_language(table.column("lang").combine_chunks(), table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy(), shared.value) if parts else {}
+                    models, parts = [found.get(x) or Language(*nothing, shared.value[x]) for x in names], []
+                keys = part.column("gram").to_numpy().view(np.uint64)
+                logp = np.stack([m.logp(keys) for m in models], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("gram"), pa.array(list(logp), pa.list_(pa.float64()))], names=["gram", "logp"])
+
+    by_gram = learned.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "side").mapInArrow(scored, "gram long, logp array<double>")
+    sums = each.join(by_gram, "gram").groupBy("row").agg(*[F.sum(F.col("times") * F.col("logp")[i]).alias(f"p{i}") for i in range(len(names))])
+    sums = sums.select(F.col("row").alias("of"), F.array(*[F.col(f"p{i}") for i in range(len(names))]).alias("logp"))
+    return rows.join(sums, rows.row == sums.of, "left").select(*carried, "n_scored", "logp")
+
+
+def _judged(scored: DataFrame, names: list[str], carried: list[str]) -> DataFrame:
+    """``lang_pred``, ``score``, ``cross_entropy`` and ``n_scored`` beside the ``carried`` columns."""
+    schema = T.StructType([scored.schema[c] for c in carried] + list(T.StructType.fromDDL("lang_pred string, score double, cross_entropy double, n_scored long")))
+    fields = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for logp, units in zip(batch.column("logp").to_pylist(), batch.column("n_scored").to_pylist()):
+                if not units or not names:
                     out.append(("und", 0.0, None, 0))
                     continue
-                logp, units = scorer(words)
+                logp = np.array(logp)
                 best = int(logp.argmax())
                 share = 1 / np.exp(np.log(10) * np.maximum(-700 / np.log(10), (logp - logp[best]) / units * min(units, 64))).sum()
                 out.append((names[best], float(share), float(-logp[best] / units), units))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out")] + [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64()))], names=["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "n_scored"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *(pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int64())))], names=fields)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text", aside.alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, cross_entropy double, n_scored long")
-    scored = materialise(scored, "langid-scored")
+    return scored.select(*carried, "logp", "n_scored").mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, parts: int = 5, held_out: int = 0, deviations: float = 4.0, most_types: int = 3_000_000) -> DataFrame:
+    """Learn from ``lang`` and predict it.
+
+    In: ``doc_id``, ``text``, ``lang``; other columns are ignored, whatever
+    their names. Rows whose crc32 of the id mod ``parts`` is ``held_out``, or
+    whose language is null, teach nothing. Out, one row per input row:
+    ``doc_id``, ``held_out`` (null id: false), ``lang_pred``, ``score`` (0 to 1,
+    the share of the best language), ``cross_entropy`` (bits of ten per
+    character) and ``rejected``: above the usual one for that language by
+    ``deviations`` times what is usual for a text of its length. What is usual
+    comes from an eighth of the training rows and models that haven't learned
+    these; the models that predict have learned all training rows.
+
+    ``und`` with score 0 for a text that is null or without letters, and where
+    no language was learned. Ties go to the language first in code point order.
+    Repeated rows count each time; long texts are read whole; an empty table
+    gives an empty one.
+    """
+    aside = F.coalesce(remainder("doc_id", parts) == held_out, F.lit(False))
+    tuning = F.coalesce(remainder("doc_id", 2 * parts) == held_out + 1, F.lit(False))  # not held out, since 2 * parts is a multiple of parts
+    rows = docs.select("doc_id", "text", "lang", aside.alias("held_out"), tuning.alias("tuning"))
+    counts = materialise(count_grams(rows.where("not held_out")), "langid-grams")
+    every = materialise(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-all")
+    scored, names = cross_entropies(rows, every, ["doc_id", "held_out"], most_types)
+    out = materialise(_judged(scored, names, ["doc_id", "held_out"]), "langid-scored")
+    tried = _judged(*cross_entropies(rows.where("tuning"), counts.where("not tuning").select("lang", "gram", "n"), ["tuning"], most_types), ["tuning"])
     # A text's cross-entropy varies about the usual one with 1 / sqrt(length).
     h, n = F.col("cross_entropy"), F.col("n_scored")
-    usual = scored.where(tuning & (n > 0)).groupBy(F.col("lang_pred").alias("of")).agg(F.count(F.lit(1)).alias("texts"), (F.sum(h * n) / F.sum(n)).alias("mean"), F.sum(n * h * h).alias("squares"), F.sum(n).alias("all_n"))
+    usual = tried.where(n > 0).groupBy(F.col("lang_pred").alias("of")).agg(F.count(F.lit(1)).alias("texts"), (F.sum(h * n) / F.sum(n)).alias("mean"), F.sum(n * h * h).alias("squares"), F.sum(n).alias("all_n"))
     limits = usual.select("of", "mean", F.sqrt(F.greatest((F.col("squares") - F.col("mean") ** 2 * F.col("all_n")) / F.col("texts"), F.lit(0.0))).alias("spread"))
-    out = scored.join(F.broadcast(limits), scored.lang_pred == limits.of, "left")  # a row per learned language
+    out = out.join(F.broadcast(limits), out.lang_pred == limits.of, "left")  # a row per learned language
     return out.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", F.coalesce(h > F.col("mean") + deviations * F.col("spread") / F.sqrt(n), F.lit(False)).alias("rejected"))

@@ -96,10 +96,34 @@ def test_small_memory_changes_nothing(spark, monkeypatch):
         assert np.allclose(logp, got[0]) and units == got[1] and len(scorers[1]) <= 2
 
 
-def test_lower_order_when_types_are_many(spark):
-    docs = spark.createDataFrame(corpus(90), DOCS)
-    models = K.train(docs, most_types=600)
-    assert {m.order for m in models.values()} < {1, 2, 3}
+def test_models_in_shards_give_the_same(spark):
+    rows = corpus(150) + [(900, None, "xx", "s", 0), (901, "½ 12", "xx", "s", 0), (902, "日本語 text 😀", None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    whole, shards = ({r.doc_id: r for r in K.identify(docs, most_types=n).collect()} for n in (10**6, 100))
+    assert len(whole) == len(shards) == len(rows)
+    for i, r in whole.items():
+        x = shards[i]
+        assert (r.held_out, r.lang_pred, r.rejected) == (x.held_out, x.lang_pred, x.rejected) and abs(r.score - x.score) < 1e-6
+        assert (r.cross_entropy is None) == (x.cross_entropy is None) and abs((r.cross_entropy or 0) - (x.cross_entropy or 0)) < 1e-6
+    docs = docs.withColumn("tuning", F.lit(False))
+    counts = K.materialise(K.count_grams(docs).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "t")
+    a, names = K.cross_entropies(docs, counts, ["doc_id"], 10**6)
+    b = K._sharded(docs, counts, names, ["doc_id"], 50)
+    got = {r.doc_id: r for r in b.collect()}
+    for r in a.collect():
+        assert r.n_scored == got[r.doc_id].n_scored and (not r.n_scored or np.allclose(r.logp, got[r.doc_id].logp, rtol=1e-5))
+
+
+def test_letters():
+    assert K.letters("Ab3c ½②x _é-ÜB١ 日本") == ["ab", "c", "x", "é", "üb", "日本"]
+    assert K.letters("½ ② 12 _ ٣") == K.letters("") == K.letters(None) == []
+
+
+def test_a_language_of_one_text_is_learned(spark):
+    one = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 1)  # its text is used to calibrate, too
+    rows = corpus(90) + [(one, "wqwq qwqw wwqq " * 20, "qq", "s", 0), (5000, "qwqw wqwq", None, "s", 0)]
+    out = {r.doc_id: r for r in K.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out[one].lang_pred == out[5000].lang_pred == "qq"
 
 
 def test_awkward_rows(spark):
@@ -109,5 +133,7 @@ def test_awkward_rows(spark):
     assert by[1].lang_pred == by[2].lang_pred == by[3].lang_pred == "und" and by[1].score == 0
     assert by[6].lang_pred in ("de", "en") and 0 <= by[6].score <= 1
     assert K.identify(empty(spark)).collect() == []
+    odd = K.identify(spark.createDataFrame([(1, "½ ②", "en", "s", 0), (2, "word", "en", "s", 0)], DOCS)).collect()
+    assert {r.doc_id: (r.lang_pred, r.score) for r in odd}[1] == ("und", 0.0)
     none = awkward(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in K.identify(none).collect()} == {"und"}
