@@ -30,6 +30,8 @@ from loamline.llm.words import WordHashes, gram_hashes, mix, slices, text_bytes
 
 LENGTH, RADIUS, GENERATOR = 23, 3, 0b110001110101
 PAIRS_AT_ONCE = 2_000_000
+#: Rows of an anchor that are all compared.
+CROWD = 4096
 
 
 def shingles(text: bytes, k: int) -> list[bytes]:
@@ -103,8 +105,27 @@ def replicas(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.
     return row, a[row, i] << 12 | b[row, j], over[row, i, j] == 0
 
 
-def compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between homes and replicas of the same anchor (rows sorted by anchor), as a forest."""
+def compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, max_bits: int, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray]:
+    """Links between homes and replicas of the same anchor (rows sorted by anchor), as a forest.
+
+    In an anchor of more than ``crowd`` rows only those are compared that agree
+    on one of ``max_bits`` + 1 blocks of bits, as linked ones must.
+    """
+    size = np.diff(np.append(np.flatnonzero(np.diff(anchor, prepend=anchor[:1] - 1)), len(anchor)))
+    many = np.repeat(size > crowd, size)
+    us, vs = _compared(anchor[~many], fp[~many], home[~many], max_bits)
+    anchor, fp, home = anchor[many], fp[many], home[many]
+    bounds = np.linspace(0, 64, max_bits + 2).astype(int).tolist() if len(fp) else [0]
+    for low, high in zip(bounds, bounds[1:]):
+        block = fp.view(np.uint64) >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)
+        order = np.lexsort((block, anchor))
+        group = np.cumsum(np.append(True, (np.diff(anchor[order]) != 0) | (np.diff(block[order]) != 0)))
+        u, v = _compared(group, fp[order], home[order], max_bits)
+        us, vs = forest(np.concatenate([us, u]), np.concatenate([vs, v]))
+    return us, vs
+
+
+def _compared(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(anchor, prepend=anchor[:1] - 1))
     size = np.diff(np.append(edge, len(anchor)))
     start, count = np.repeat(edge, size), np.repeat(size, size)

@@ -90,6 +90,22 @@ def test_a_large_group_of_near_copies(spark):
     assert len(a) == len(fps) - 1
 
 
+def test_crowded_anchors_give_the_same_links():
+    rng = np.random.default_rng(9)
+    centres = rng.integers(-(2**62), 2**62, 3)
+    for max_bits in (1, 2, 3):
+        fp = np.unique(np.array([c ^ np.bitwise_or.reduce(np.int64(1) << rng.choice(63, 3, replace=False)[: 1 + _ % 3]) for c in centres for _ in range(150)]))
+        anchor = np.sort(rng.integers(0, 2, len(fp)))
+        home = rng.random(len(fp)) < 0.7
+        sets = []
+        for crowd in (10**9, 20):
+            u, v = A.compare(anchor, fp, home, max_bits, crowd)
+            e = set(zip(u.tolist(), v.tolist()))
+            sets.append(brute_components(fp.tolist(), lambda x, y, e=e: (x, y) in e or (y, x) in e))
+        assert sets[0] == sets[1] and (max_bits == 1 or len(set(sets[0])) < len(fp))
+    assert all(len(x) == 0 for x in A.compare(fp[:0], fp[:0], home[:0], 2))
+
+
 def test_awkward_rows(spark):
     rows, out = awkward(spark).collect(), A.near_duplicates(awkward(spark), 3, 2).collect()
     assert len(out) == len(rows)
