@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.storage import discard, materialise
-from loamline.llm.words import MAX_CACHED, remainder, slices, text_bytes
+from loamline.llm.words import MAX_CACHED, keep_freed, remainder, slices, text_bytes
 
 CLASSES, MEMBERS, HIDDEN = 32, 32, 16
 UNITS = CLASSES * MEMBERS
@@ -42,7 +42,7 @@ END = b""
 #: Tokens of a window: how far backpropagation reaches.
 WINDOW = 32
 #: Texts learned, or scored, side by side.
-STREAMS = 128
+STREAMS = 256
 #: Tokens whose units a scoring worker holds before it scores them.
 HELD = 4_000_000
 
@@ -62,7 +62,7 @@ class Lexicon:
 
     def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Units of the words, and the hot words' numbers (-1: not hot)."""
-        n = np.fromiter((self.hot.get(w, -1) for w in words), np.int64, len(words))
+        n = np.fromiter(map(self.hot.get, words, repeat(-1)), np.int64, len(words))
         unit = np.where(n >= 0, self.hot_unit[np.maximum(n, 0)], 0) if len(self.hot_unit) else np.zeros(len(n), np.int64)
         for i in np.flatnonzero(n < 0).tolist():
             unit[i] = self.suffix.get(words[i][-SUFFIX:], self.other)
@@ -277,8 +277,10 @@ class Gru:
             dh += g @ self.U.T
             if anew[t]:
                 dh *= keep[t]
-        grad.U += before.reshape(-1, k).T @ (inward * down[:, :, None]).reshape(-1, 3 * k)
-        d_in = (np.stack([by_z, by_r, by_n], axis=2) * down[:, :, None]).reshape(-1, 3 * k)
+        d_in = np.multiply(inward, down[:, :, None], out=inward)
+        grad.U += before.reshape(-1, k).T @ d_in.reshape(-1, 3 * k)
+        np.multiply(by_n, down, out=d_in[:, :, 2])
+        d_in = d_in.reshape(-1, 3 * k)
         unit = x.reshape(-1)
         order = np.argsort(unit, kind="stable")
         start = np.flatnonzero(np.diff(unit[order], prepend=-1))
@@ -324,6 +326,7 @@ def _train(texts: DataFrame, model: Gru, trainers: int, rate: float, streams: in
     start = texts.sparkSession.sparkContext.broadcast(model.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         own = Gru(start.value.copy())
         seen = learn(own, (np.frombuffer(u.as_py(), "<i2") for batch in batches for u in batch.column("units")), rate, streams)
         if seen:
@@ -373,6 +376,7 @@ def _scored(docs: DataFrame, words, model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         lex, net = words.value, Gru(model.value)
         # Number -1 (not hot) takes the last entry.
         base_of, within_of = np.append(lex.hot_base, 0.0), np.append(lex.hot_within, 0.0)

@@ -35,6 +35,13 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def keep_freed(size: int = 256 << 20) -> None:
+    """Let this worker reuse what it frees, up to ``size`` bytes, where the C library can: numpy's temporaries then cost no page faults."""
+    with contextlib.suppress(OSError, AttributeError):
+        for option in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+            ctypes.CDLL("libc.so.6").mallopt(option, size)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE, size: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows and about ``size`` bytes of text (one text at least), which bounds what a worker holds as Python objects."""
     give_back()
