@@ -55,7 +55,7 @@ def degenerate(text: Column) -> Column:
         times = (n - F.length(F.replace(tail, unit, F.lit("")))) / width
         looped = looped | ((F.trim(unit) != "") & (times >= 8) & (times * width >= 0.4 * n))
     distinct = F.size(F.array_distinct(F.filter(F.split(tail, ""), lambda c: c != "")))
-    return (F.length(text) >= 200) & (looped | (distinct / n < 0.08))
+    return (F.length(text) >= 200) & (looped | (distinct / F.greatest(n, F.lit(1)) < 0.08))
 
 
 def lines(text: Column) -> Column:

@@ -25,6 +25,17 @@ def client_key(forwarded: Column, host: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), F.nullif(host, F.lit("")), F.lit("unknown"))
 
 
+def identifier(spelled: Column, host: str = "github.com") -> Column:
+    """owner and name of an identifier as users write it: with or without scheme and host, with or without ``.git``."""
+    bare = F.regexp_replace(F.trim(spelled), r"^(https?://)?(" + host.replace(".", r"\.") + r"/)?", "")
+    return repository(F.concat(F.lit(f"https://{host}/"), bare), host)
+
+
+def workdir(owner: Column, name: Column) -> Column:
+    """Folder of a working copy. It isn't read back: a name may hold the separator itself, so owner and name stay columns."""
+    return F.concat_ws("__", owner, name)
+
+
 KEY_PARTS = ["repo", "commit_sha", "provider_identity", "chunk_version", "index_scope"]
 
 

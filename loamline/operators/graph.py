@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DAMPING, ROUNDS = 0.85, 30
-#: Edges up to which one task ranks a whole graph in memory; larger graphs go through joins.
-EDGES_IN_MEMORY = 2_000_000
 
 
 def build_edges(imports: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -54,51 +52,28 @@ def degrade(files: DataFrame, directory: str, most: int, by: Sequence[str]) -> D
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """``node``, ``score`` after exactly ``rounds`` rounds from equal shares; dangling nodes spread over all.
 
-    Repeated edges count once. A graph of up to EDGES_IN_MEMORY edges is ranked
-    in one task; above that every round is a join and a sum, with a checkpoint
-    after every five.
+    Repeated edges count once. Every round is one join of the links with the
+    scores and one sum, whatever the size; links are summed by target before
+    anything is exchanged. What dangling nodes give away needs no round of its
+    own: the scores of a round sum to one, so it is what the links don't carry.
+    A checkpoint after every five rounds cuts the lineage.
     """
     edges = edges.select("src", "dst").distinct()
     nodes = (edges.select(F.col("src").alias("node")).union(edges.select("dst")) if nodes is None else nodes.select("node")).distinct()
-    if edges.limit(EDGES_IN_MEMORY + 1).count() <= EDGES_IN_MEMORY:
-        return _ranked_in_memory(nodes, edges, damping, rounds)
-    return _ranked_by_joins(nodes, edges, damping, rounds)
-
-
-def _ranked_in_memory(nodes: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
-    import numpy as np
-
-    kind = nodes.schema["node"].dataType.simpleString()
-
-    def run(parts):
-        table = pd.concat(list(parts), ignore_index=True)
-        ids, number = np.unique(np.concatenate([table["src"].to_numpy(), table["dst"].dropna().astype(table["src"].dtype).to_numpy()]), return_inverse=True)
-        real = table["dst"].notna().to_numpy()
-        src, dst, n = number[: len(table)][real], number[len(table) :], len(ids)
-        degree = np.bincount(src, minlength=n)
-        score = np.full(n, 1.0 / n)
-        for _ in range(rounds):
-            share = np.divide(score, degree, out=np.zeros(n), where=degree > 0)
-            score = (1 - damping) / n + damping * (np.bincount(dst, share[src], n) + score[degree == 0].sum() / n)
-        yield pd.DataFrame({"node": ids, "score": score})
-
-    both = edges.select("src", "dst").union(nodes.select(F.col("node").alias("src"), F.lit(None).alias("dst")))
-    return both.coalesce(1).mapInPandas(run, f"node {kind}, score double")
-
-
-def _ranked_by_joins(nodes: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
-    n = nodes.count()
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = edges.join(out, "src").persist()
-    score = nodes.join(out, nodes.node == out.src, "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(1.0 / n).alias("score"))
+    links = edges.join(out, "src").select("src", "dst", (1.0 / F.col("degree")).alias("share")).checkpoint()
+    nodes = nodes.checkpoint()
+    n = nodes.count()
+    score = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("score"))
     for i in range(rounds):
-        lost = score.agg(F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("score"))), F.lit(0.0)).alias("lost"))
-        got = links.join(score.select("node", "score"), links.src == score.node).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
-        new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        score = score.drop("score").join(got, score.node == got.dst, "left").crossJoin(lost).select("node", "degree", new.alias("score"))
+        got = links.join(score, links.src == score.node).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        both = nodes.join(got, nodes.node == got.dst, "left").select("node", F.coalesce("got", F.lit(0.0)).alias("got"))
+        carried = got.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("carried"))
+        new = (1 - damping) / max(n, 1) + damping * (F.col("got") + (1 - F.col("carried")) / max(n, 1))
+        score = both.crossJoin(F.broadcast(carried)).select("node", new.alias("score"))  # one row
         if i % 5 == 4:
             score = score.checkpoint()
-    return score.select("node", "score")
+    return score
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

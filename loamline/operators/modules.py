@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 # Thresholds of clustering and structural review.
 SPLIT_FROM, SPLIT_KEEPS = 4, 2
-MERGE_ABOVE, MERGE_ROUNDS = 0.4, 200
+MERGE_FROM, MERGE_ROUNDS = 0.4, 200
+# Fixed value: how a merged name counts branches it doesn't list.
+MORE_BRANCHES = "{} 个子目录"
 OVERSIZED, LONG_CYCLE = 40, 4
 LAYER_EDGES, LAYER_SHARE = 4, 0.2
 
@@ -123,11 +125,11 @@ def _joined_name(left: str, right: str, files: Iterable[str]) -> str:
     branches = sorted({p[len(common)] for p in parts if len(p) > len(common)})
     if not branches:
         return "/".join(common)
-    return "/".join(common) + "/{" + (",".join(branches) if len(branches) <= 3 else f"{len(branches)} 个子目录") + "}"
+    return "/".join(common) + "/{" + (",".join(branches) if len(branches) <= 3 else MORE_BRANCHES.format(len(branches))) + "}"
 
 
 def merge_coupled(modules: list[tuple[str, str, list[str]]], edges: set[tuple[str, str]]) -> list[tuple[str, str, list[str]]]:
-    """Greedily merge the pair of highest coupling density above MERGE_ABOVE; the first of equals, the merged module last.
+    """Greedily merge the pair of highest coupling density from MERGE_FROM on; the first of equals, the merged module last.
 
     Files are in one module each, so pair counts add up under a merge and need no recount.
     """
@@ -141,10 +143,10 @@ def merge_coupled(modules: list[tuple[str, str, list[str]]], edges: set[tuple[st
     count = {k: len(v) for k, v in pairs.items()}
     nxt = len(modules)
     for _ in range(MERGE_ROUNDS):
-        best, at = MERGE_ABOVE, None
+        best, at = 0.0, None
         for (a, b), n in sorted(count.items()):
             density = n / (len(live[a][2]) * len(live[b][2]))
-            if density > best:
+            if density >= MERGE_FROM and density > best:
                 best, at = density, (a, b)
         if at is None:
             break

@@ -23,7 +23,7 @@ def _capped(df: DataFrame, by: list[str], item: Column, most: int, name: str) ->
 def planner_payload(scored: DataFrame, module_files: DataFrame) -> DataFrame:
     """Per module its score to four decimals, the first twelve files and how many are left out."""
     files = _capped(module_files, ["name"], F.col("path"), PLANNER_FILES, "files")
-    return scored.join(files, "name").select("name", F.round("score", 4).alias("score"), "files", F.greatest(F.col("n_files") - PLANNER_FILES, F.lit(0)).alias("left_out"))
+    return scored.select("name", "score").join(files, "name").select("name", F.round("score", 4).alias("score"), "files", F.greatest(F.col("n_files") - PLANNER_FILES, F.lit(0)).alias("left_out"))
 
 
 def task_payload(module_files: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -50,14 +50,17 @@ def edge_lists(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("targets"))
 
 
+def file_states(files: DataFrame, targets: DataFrame, findings: DataFrame) -> DataFrame:
+    """``files`` with their findings and ``state``: not reviewed, reviewed without a finding, or with findings. A row per file at least."""
+    keys = [c for c in ("repo_id", "path") if c in files.columns]
+    out = files.select(*keys).distinct().join(targets.select(*keys).distinct().withColumn("reviewed", F.lit(True)), keys, "left").join(findings, keys, "left")
+    return out.withColumn("state", F.when(F.col("kind").isNotNull(), "findings").when(F.col("reviewed"), "clean").otherwise("not_reviewed")).drop("reviewed")
+
+
 def file_findings(findings: DataFrame, targets: DataFrame, path: str) -> DataFrame:
-    """Findings of a file and its state: not reviewed, reviewed without a finding, or with findings. One row at least."""
+    """``file_states`` of one file."""
     one = targets.sparkSession.range(1).select(F.lit(path).alias("path"))
-    seen = targets.where(F.col("path") == path).select("path").distinct().withColumn("reviewed", F.lit(True))
-    found = findings.where(F.col("path") == path).drop("repo_id")
-    out = one.join(seen, "path", "left").join(found, "path", "left")
-    state = F.when(F.col("kind").isNotNull(), "findings").when(F.col("reviewed"), "clean").otherwise("not_reviewed")
-    return out.withColumn("state", state).drop("reviewed")
+    return file_states(one, targets.where(F.col("path") == path), findings.where(F.col("path") == path).drop("repo_id"))
 
 
 def repo_slug(url: Column) -> Column:
@@ -95,6 +98,20 @@ def node_rows(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs.where("error is not null").select("node", "scope", "error"), events
 
 
+def output_summary(output: Column, most: int = 40) -> Column:
+    """A node's output for a log line: keys in order (``output``: name -> JSON), numbers of items of lists and objects, lengths of strings over ``most`` characters."""
+
+    def shown(entry: Column) -> Column:
+        value = entry["value"]
+        items = F.coalesce(F.json_array_length(value), F.size(F.json_object_keys(value)))
+        bare = F.regexp_replace(value, r'^"|"$', "")
+        size = F.when(value.startswith("[") | value.startswith("{"), F.concat(F.lit("["), items.cast("string"), F.lit("]")))
+        size = size.when(value.startswith('"') & (F.length(bare) > most), F.concat(F.lit("<"), F.length(bare).cast("string"), F.lit(" chars>"))).otherwise(bare)
+        return F.concat(entry["key"], F.lit("="), size)
+
+    return F.array_join(F.transform(F.array_sort(F.map_entries(output)), shown), " ")
+
+
 def findings_summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.select("category", F.format_string("%s: %d candidates, %d reported", "category", "n", "hits").alias("text"))
 

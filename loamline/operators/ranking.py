@@ -68,6 +68,11 @@ def semantic_plan(scored: DataFrame, decisions: DataFrame, limit: int, name: str
     return rule_plan(left, limit, name=name)
 
 
+def unknown_names(scored: DataFrame, decisions: DataFrame, name: str = "name") -> DataFrame:
+    """Names in decisions that no module has: reported, and otherwise without effect."""
+    return decisions.select(name).distinct().join(scored.select(name), name, "left_anti")
+
+
 def index_sample(files: DataFrame, scores: DataFrame, n: int, key: str = "path", seq: str = "seq") -> DataFrame:
     """The ``n`` files of highest score (missing: 0, ties by key), in their original order."""
     best = top(files.join(scores, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0))), n, F.desc("score"), key)
@@ -82,16 +87,21 @@ def prefix_budget(df: DataFrame, by: Sequence[str], order: Sequence[Column | str
     return out.where((F.col("rn") == 1) | (F.col("used") <= budget))
 
 
-def lru_evictions(copies: DataFrame, quota: int, least_share: float = 0.1) -> DataFrame:
+def lru_evictions(copies: DataFrame, quota: int, least_share: float = 0.1, ranges: int = 256) -> DataFrame:
     """Which copies to delete, oldest first, until the total fits the quota.
 
     ``repo``, ``size``, ``last_used``, ``running``. Running ones are exempt but
     count. Nothing goes if all that may go is less than ``least_share`` of the
-    quota. Copies of one installation: thousands at most.
+    quota. Prefix sums go by ranges of the time of last use: sums of ranges
+    (``ranges`` rows) are added up, and only rows of a range are sorted together.
     """
-    w = Window.orderBy("last_used", "repo").rowsBetween(Window.unboundedPreceding, -1)
-    totals = copies.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(~F.col("running"), F.col("size"))), F.lit(0)).alias("free"))
-    idle = copies.where(~F.col("running")).withColumn("gone", F.coalesce(F.sum("size").over(w), F.lit(0))).crossJoin(totals)
+    bounds = copies.agg(F.min("last_used").cast("double").alias("low"), F.max("last_used").cast("double").alias("high"), F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(~F.col("running"), F.col("size"))), F.lit(0)).alias("free"))
+    place = F.least(F.lit(ranges - 1), F.floor(ranges * (F.col("last_used").cast("double") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300))))
+    idle = copies.where(~F.col("running")).crossJoin(bounds).withColumn("__range", F.coalesce(place, F.lit(0)))  # one row
+    sums = idle.groupBy("__range").agg(F.sum("size").alias("__sum"))
+    before = sums.select("__range", F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.sum("size").over(Window.partitionBy("__range").orderBy("last_used", "repo").rowsBetween(Window.unboundedPreceding, -1))
+    idle = idle.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(before, "__range").withColumn("gone", F.col("__before") + F.col("__inside"))
     return idle.where((F.col("total") - F.col("gone") > quota) & (F.col("free") >= least_share * quota)).select("repo", "size", "last_used", (F.col("total") - F.col("gone")).alias("used_before"))
 
 
@@ -147,10 +157,43 @@ def ordered_distinct(df: DataFrame, key: str, seq: str) -> DataFrame:
     return best_evidence(df, key, seq).orderBy(seq)
 
 
+def covered_before(reads: DataFrame, by: Sequence[str], least: float = 0.6, seq: str = "seq", start: str = "start", end: str = "end") -> DataFrame:
+    """``reads`` with ``covered``: whether an earlier one (smaller ``seq``) of the same group covers at least this share of it.
+
+    A group's reads go through one pass in order, which keeps the earlier ones
+    sorted by their start with the furthest end so far, so a read looks at
+    those alone that begin before its end and reach far enough. Reads of an
+    agent on a file are few; groups stream, and none is collected for another.
+    """
+    import bisect
+
+    from pyspark.sql import types as T
+
+    names = [*by, seq, start, end]
+    schema = T.StructType([*reads.schema.fields, T.StructField("covered", T.BooleanType())])
+
+    def run(parts):
+        key, kept = None, []
+        for part in parts:
+            out = []
+            for row in part[names].itertuples(index=False, name=None):
+                own, (a, b) = row[: len(by)], row[-2:]
+                if own != key:
+                    key, kept = own, []
+                need = least * (b - a + 1)
+                # What begins after b + 1 - need shares too little with it.
+                upto = bisect.bisect_right(kept, (b + 1 - need + 1e-9, float("inf")))
+                out.append(any(min(y, b) - max(x, a) + 1 >= need for x, y in kept[:upto]))
+                # A read inside one that is kept never covers more than that one.
+                at = bisect.bisect_right(kept, (a, float("inf")))
+                if not any(y >= b for _, y in kept[:at]):
+                    kept = [(x, y) for x, y in kept if not (x >= a and y <= b)]
+                    bisect.insort(kept, (a, b))
+            yield part.assign(covered=out)
+
+    return reads.repartition(*by).sortWithinPartitions(*by, seq).mapInPandas(run, schema)
+
+
 def overlapped_reads(reads: DataFrame, by: Sequence[str], least: float = 0.6) -> DataFrame:
     """Reads (``seq``, ``start``, ``end``) of which an earlier one of the same group covers at least this share."""
-    a, b = reads.alias("a"), reads.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by]
-    common = F.least("a.end", "b.end") - F.greatest("a.start", "b.start") + 1
-    met = a.join(b, [*same, F.col("b.seq") < F.col("a.seq"), common / (F.col("a.end") - F.col("a.start") + 1) >= least], "left_semi")
-    return met
+    return covered_before(reads, by, least).where("covered").drop("covered")

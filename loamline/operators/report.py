@@ -82,6 +82,12 @@ def rejected_notes(judged: DataFrame, checked: DataFrame, key: str = "claim_id")
     return judged.where("verdict <> 'valid' and not salvageable").join(why, key, "left").select(key, F.substring("text", 1, 60).alias("text"), F.coalesce("problems", F.array(F.lit("no citation"))).alias("problems"))
 
 
+def best_reading(candidates: DataFrame, key: str, nth: str, items: str) -> DataFrame:
+    """Of the readings of each reply (``key``) the one with the most ``items``, the first by ``nth`` of equals; a reading that gave none at all (null) is no candidate."""
+    best = F.max_by(F.struct(nth, items), F.struct(F.size(items), -F.col(nth)))
+    return candidates.where(F.col(items).isNotNull()).groupBy(key).agg(best.alias("__best")).select(key, "__best.*")
+
+
 def file_name(owner: str, name: str, sha: str, suffix: str) -> str:
     return f"{owner}__{name}-{sha[:12]}.{suffix}"
 

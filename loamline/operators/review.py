@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,53 +37,38 @@ def secret_formats(df: DataFrame, column: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.flatten(found)).alias("m")).select(*keep, "m.pattern", "m.match")
 
 
-def _entropy(value: str) -> float:
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+def secret_matches(files: DataFrame) -> DataFrame:
+    """``repo_id``, ``path``, ``line``, ``pattern``, ``name``, ``value`` of everything in the texts that has the form of a secret; a match may span lines."""
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for repo, path, content in zip(part["repo_id"], part["path"], part["text"]):
+                found = [(m.start(), n, "", m.group(0)) for n, p in SECRETS.items() for m in re.finditer(p, content or "")]
+                found += [(m.start(), "assigned_credential", m.group("name"), m.group("value") or m.group("bare") or "") for m in re.finditer(ASSIGNED, content or "")]
+                rows += [(repo, path, content.count("\n", 0, at) + 1, *what) for at, *what in found]
+            yield pd.DataFrame(rows, columns=["repo_id", "path", "line", "pattern", "name", "value"])
 
-def _placeholder(value: str) -> bool:
-    bare = value.strip().strip("<>{}[]").lower()
-    return bare in text.PLACEHOLDERS or bare in text.KNOWN_VALUES or bare.startswith(tuple(text.REFERENCE_PREFIXES)) or len(set(bare)) <= 2
-
-
-def _mirrors(name: str, value: str) -> bool:
-    a, b = (re.sub("[^a-z0-9]", "", x.lower()) for x in (name, value))
-    return bool(a and b) and (a == b or len(b) >= 6 and (a in b or b in a))
-
-
-def _redacted(value: str) -> str:
-    return "*" * len(value) if len(value) <= 8 else value[:3] + "*" * (len(value) - 6) + value[-3:]
-
-
-def find_secrets(content: str, least_entropy: float = text.LEAST_ENTROPY) -> list[tuple[int, str, str, str]]:
-    """(line, evidence, confidence, snippet) of secrets anywhere in a text, values hidden in all of them."""
-    lines, found = content.splitlines(), []
-    for name, pattern in SECRETS.items():
-        found += [(m.start(), m.group(0), f"{name}: {_redacted(m.group(0))}", "certain") for m in re.finditer(pattern, content)]
-    for m in re.finditer(ASSIGNED, content):
-        value = m.group("value") or m.group("bare") or ""
-        if value and not _placeholder(value) and not _mirrors(m.group("name"), value) and (e := _entropy(value)) >= least_entropy:
-            found.append((m.start(), value, f"assigned_credential: {m.group('name')} = {_redacted(value)} (entropy {e:.1f})", "contextual"))
-    out = []
-    for at, _, evidence, confidence in found:
-        n = content.count("\n", 0, at) + 1
-        near = "\n".join(lines[max(0, n - 1 - RADIUS) : n + RADIUS])
-        for _, secret, *_ in found:  # the lines around may hold others
-            near = near.replace(secret, _redacted(secret))
-        out.append((n, evidence, confidence, near))
-    return sorted(out)
-
+    return files.select("repo_id", "path", "text").mapInPandas(run, "repo_id string, path string, line int, pattern string, name string, value string")
 
-def secret_candidates(files: DataFrame) -> DataFrame:
-    """Secrets in all texts given (``repo_id``, ``path``, ``text``)."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(repo, path, "security", "hardcoded_secret", n, snip, ev, conf, "") for repo, path, content in zip(part["repo_id"], part["path"], part["text"]) for n, ev, conf, snip in find_secrets(content or "")]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in CANDIDATE.split(", ")])
+def secret_candidates(files: DataFrame, least_entropy: float = text.LEAST_ENTROPY) -> DataFrame:
+    """Secrets in all texts given (``repo_id``, ``path``, ``text``), hidden in evidence and in the lines around, those of neighbours too.
 
-    return files.select("repo_id", "path", "text").mapInPandas(run, CANDIDATE)
+    An assigned value counts unless it is a placeholder, repeats its name or is too regular.
+    """
+    value, assigned = F.col("value"), F.col("pattern") == "assigned_credential"
+    real = (value != "") & ~text.is_placeholder(value) & ~text.mirrors_name(F.col("name"), value) & (text.entropy(value) >= least_entropy)
+    found = secret_matches(files).where(~assigned | real)
+    evidence = F.when(assigned, F.format_string("assigned_credential: %s = %s (entropy %.1f)", "name", text.redact(value), text.entropy(value))).otherwise(F.concat("pattern", F.lit(": "), text.redact(value)))
+    per_file = found.groupBy("repo_id", "path").agg(F.collect_set("value").alias("values"), F.collect_list(F.struct("line", evidence.alias("evidence"), F.when(assigned, "contextual").otherwise("certain").alias("confidence"))).alias("found"))  # a file's
+    lines = files.select("repo_id", "path", F.split("text", "\n").alias("lines"))
+    rows = per_file.join(lines, ["repo_id", "path"]).select("repo_id", "path", "values", "lines", F.explode("found").alias("f")).select("repo_id", "path", "values", "lines", "f.*")
+    first = F.greatest(F.col("line") - RADIUS, F.lit(1))
+    near = F.array_join(F.slice("lines", first, F.col("line") + RADIUS - first + 1), "\n")
+    longest = F.expr("array_sort(values, (a, b) -> case when length(a) <> length(b) then length(b) - length(a) when a < b then -1 when a > b then 1 else 0 end)")
+    hidden = F.aggregate(longest, near, lambda acc, v: F.replace(acc, v, text.redact(v)))
+    return rows.select("repo_id", "path", F.lit("security").alias("category"), F.lit("hardcoded_secret").alias("kind"), "line", hidden.alias("snippet"), "evidence", "confidence", F.lit("").alias("enclosing"))
 
 
 def code_candidates(parsed: DataFrame, files: DataFrame) -> DataFrame:
@@ -165,6 +148,14 @@ def outcomes(judged: DataFrame, categories: DataFrame, judge: bool = True) -> Da
     return out.withColumn("description", words)
 
 
+def scope_texts() -> dict[str, str]:
+    """What each category looked for, for a report's reader."""
+    from loamline.operators import python_source as p
+
+    calls = ", ".join(sorted(p.SQL_EXECUTORS | p.SHELL_CALLS | p.SUBPROCESS_CALLS | p.UNSAFE_EVAL))
+    return {"security": f"secrets: {', '.join([*SECRETS, 'assigned_credential'])}; calls: {calls}", "error_handling": f"handlers and calls outside try: {', '.join(sorted({*p.IO_CALLS, *p.IO_BUILTINS}))}"}
+
+
 def structural_outcome(n_nodes: int, n_edges: int, degraded: bool) -> str:
     """Structure can't be judged on an empty or degraded graph."""
     return "skipped" if degraded or not n_nodes or not n_edges else "executed"

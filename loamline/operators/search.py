@@ -37,56 +37,60 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int, id_: str = "chunk_id", l
     return out.orderBy("distance", id_).limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id", block: int = 512) -> DataFrame:
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id", block: int = 512, parts: int = 64) -> DataFrame:
     """Nearest ``k`` vectors to every query: ``query_id``, ``rank``, id, ``distance``.
 
-    Queries meet the vectors in blocks of ``block``: a task holds a block as a
-    matrix, multiplies it with its batches of vectors and keeps ``k`` per query,
-    so what is exchanged is blocks * tasks * k rows and never all distances.
+    Queries are cut into blocks and the vectors dealt to at most ``parts``
+    parts; each block meets each part in one task, as a product of matrices,
+    and keeps ``k`` per query. What is exchanged is the vectors once a block of
+    queries, the queries once a part and k rows a query and part, never all
+    distances. Nothing goes through the driver.
     """
     import numpy as np
 
-    spark = vectors.sparkSession
-    found = None
-    held = []
-    kind = vectors.schema[id_].dataType.simpleString()
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            part = _block(spark, vectors, held, k, id_, kind, np)
-            found, held = part if found is None else found.unionByName(part), []
-    if held or found is None:
-        part = _block(spark, vectors, held, k, id_, kind, np)
-        found = part if found is None else found.unionByName(part)
+    kind, qkind = vectors.schema[id_].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("side"), F.col("query_id").cast("string").alias("id"), "embedding")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    given = vectors.select(every, F.pmod(F.xxhash64(id_), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("side"), F.col(id_).cast("string").alias("id"), "embedding")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, ids, rows, best = None, [], [], None
+
+        def answers() -> pd.DataFrame:
+            if best is None:
+                return pd.DataFrame({"query_id": [], "id": [], "distance": np.empty(0)})
+            return best
+
+        for frame in frames:
+            for key, part in frame.groupby(["block", "part", "side"], sort=False):
+                if key[:2] != own:
+                    if best is not None:
+                        yield best
+                    own, ids, rows, best = key[:2], [], [], None
+                if not key[2]:
+                    ids, rows = [*ids, *part["id"]], [*rows, *part["embedding"]]
+                    continue
+                if not ids:
+                    continue
+                q, v = np.stack(rows).astype(np.float64), np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                length = np.sqrt((q * q).sum(axis=1, keepdims=True)) * np.sqrt((v * v).sum(axis=1))
+                d = np.where(length > 0, 1 - np.divide(q @ v.T, length, out=np.zeros_like(length), where=length > 0), 1.0)
+                edge = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else d.max(axis=1)
+                r, c = np.nonzero(d <= edge[:, None])  # ties at the edge stay, so the id can decide
+                found = pd.DataFrame({"query_id": np.array(ids, object)[r], "id": part["id"].to_numpy()[c], "distance": d[r, c]})
+                best = found if best is None else pd.concat([best, found], ignore_index=True)
+                edge = best.groupby("query_id")["distance"].transform(lambda x: np.partition(x, k - 1)[k - 1] if len(x) > k else x.max())
+                best = best[best["distance"] <= edge]
+        yield answers()
+
+    met = asked.union(given).repartition("block", "part").sortWithinPartitions("block", "part", "side")
+    found = met.mapInPandas(run, "query_id string, id string, distance double").select(F.col("query_id").cast(qkind).alias("query_id"), F.col("id").cast(kind).alias(id_), "distance")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_))
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def _block(spark, vectors, held, k, id_, kind, np) -> DataFrame:
-    ids = np.array([r.query_id for r in held])
-    q = np.array([r.embedding for r in held], np.float64).reshape(len(held), -1)
-    length = np.sqrt((q * q).sum(axis=1, keepdims=True)) if len(held) else q
-    shared = spark.sparkContext.broadcast((ids, q, length))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q, length = shared.value
-        best = pd.DataFrame({"query_id": ids[:0], id_: [], "distance": np.empty(0)})
-        for part in parts:
-            if len(part) and len(ids):
-                v = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                n = length * np.sqrt((v * v).sum(axis=1))
-                d = np.where(n > 0, 1 - np.divide(q @ v.T, n, out=np.zeros_like(n), where=n > 0), 1.0)
-                keep = np.argpartition(d, k, axis=1)[:, :k] if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(ids), 1))
-                edge = np.take_along_axis(d, keep, axis=1).max(axis=1)
-                r, c = np.nonzero(d <= edge[:, None])  # ties at the edge stay, so the id can decide
-                best = pd.concat([best, pd.DataFrame({"query_id": ids[r], id_: part[id_].to_numpy()[c], "distance": d[r, c]})], ignore_index=True)
-                best = best.sort_values(["query_id", "distance", id_]).groupby("query_id").head(k)
-        yield best
-
-    qk = "long" if ids.dtype.kind == "i" or not len(ids) else "string"
-    return vectors.select(id_, "embedding").mapInPandas(run, f"query_id {qk}, {id_} {kind}, distance double")
-
-
 def clamp(limit: int, default: int = DEFAULT_LIMIT) -> int:
     return max(1, min(MOST_LIMIT, limit or default))
 

@@ -18,9 +18,11 @@ from loamline.plans.registry import query, table
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder only where the session names none."""
+    """A checkpoint folder of this machine only for a local session that names none; on a cluster executors share no such folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None and not sc.getConf().get("spark.checkpoint.dir"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "loamline-checkpoints"))
 
 

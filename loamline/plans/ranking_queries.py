@@ -137,7 +137,8 @@ def gaps_islands(spark, sf_dir):
 @query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS n FROM events) WHERE n = 1")
 def ordered_dedupe(spark, sf_dir):
     """The first event of each kind of every user."""
-    return ranking.top_per(table(spark, sf_dir, "events"), 1, ["user_id", "event_type"], "ts").select("user_id", "event_type", "value")
+    own = table(spark, sf_dir, "events").withColumn("key", F.struct("user_id", "event_type"))
+    return ranking.ordered_distinct(own, "key", "ts").select("user_id", "event_type", "value")
 
 
 @query("""

@@ -98,16 +98,6 @@ def degenerate_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.degenerate(F.col("text")).alias("degenerate"))
 
 
-@query("""
-SELECT source, lang AS language, count(*) AS n, any_value(t.total) AS total, round(count(*) / any_value(t.total), 9) AS share
-FROM documents JOIN (SELECT source AS s, count(*) AS total FROM documents GROUP BY 1) t ON t.s = source GROUP BY ALL""")
-def lang_profile(spark, sf_dir):
-    """Languages of each source with their shares."""
-    docs = table(spark, sf_dir, "documents")
-    total = docs.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
-    return docs.groupBy("source", F.col("lang").alias("language")).agg(F.count(F.lit(1)).alias("n")).join(total, "source").withColumn("share", F.round(F.col("n") / F.col("total"), 9))
-
-
 _URL_PATH = "regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1)"
 
 
@@ -227,7 +217,9 @@ def reference_lookup(spark, sf_dir):
     symbols = lookup.line_table(docs, "path").select("path", F.regexp_extract("content", "^([A-Za-z]+)", 1).alias("name")).withColumn("qualified_name", F.col("name"))
     defined = symbols.where("name = 'Thing'").select(F.col("path").alias("dst")).distinct()
     own = docs.select(F.col("path").alias("dst"), "source").join(defined, "dst", "left_semi")
-    edges = docs.select(F.col("path").alias("src"), "source").join(own, "source").where("src <> dst").select("src", "dst")
+    # A document refers to the first and the last defining one of its source, one of which is another.
+    ends = own.groupBy("source").agg(F.array_distinct(F.array(F.min("dst"), F.max("dst"))).alias("ends"))
+    edges = docs.select(F.col("path").alias("src"), "source").join(ends, "source").select("src", F.explode("ends").alias("dst")).where("src <> dst")
     return lookup.references(symbols, edges, docs.select("path", "text"), "Thing")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -111,13 +112,24 @@ def fold_gate(rows: Iterable[tuple[int, str, str]], slots: int, queue: int) -> I
 
 
 def gate(ops: DataFrame, slots: int, queue: int, by: str = "gate") -> DataFrame:
-    """Results of a gate's operations in order; a gate is one installation's, so its operations are one sequence."""
+    """Results of a gate's operations in order; a gate is one installation's, so its operations are one sequence, which streams through a task."""
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        rows = part.sort_values("seq")[["seq", "op", "task_id"]].itertuples(index=False, name=None)
-        return pd.DataFrame([(key[0], *r) for r in fold_gate(rows, slots, queue)], columns=["gate", "seq", "task_id", "result", "place", "promoted"])
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sequence = (row for part in parts for row in part[["gate", "seq", "op", "task_id"]].itertuples(index=False, name=None))
+        rows = []
+        for name, own in groupby(sequence, key=lambda r: r[0]):
+            for row in fold_gate((r[1:] for r in own), slots, queue):
+                rows.append((name, *row))
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=GATE_COLUMNS)
+                    rows = []
+        yield pd.DataFrame(rows, columns=GATE_COLUMNS)
+
+    own = ops.select(F.col(by).cast("string").alias("gate"), "seq", "op", "task_id")
+    return own.repartition("gate").sortWithinPartitions("gate", "seq").mapInPandas(run, "gate string, seq long, task_id string, result string, place int, promoted string")
 
-    return ops.select(F.col(by).cast("string").alias("gate"), "seq", "op", "task_id").groupBy("gate").applyInPandas(run, "gate string, seq long, task_id string, result string, place int, promoted string")
+
+GATE_COLUMNS = ["gate", "seq", "task_id", "result", "place", "promoted"]
 
 
 def admission(credentials: Column, allowed: Column, url_ok: Column, fits: Column, gate_result: Column) -> Column:
@@ -146,16 +158,26 @@ def agent_guards(calls: DataFrame) -> DataFrame:
     ``task_id``, ``seq``, ``round``, ``tool``, ``arguments``, ``path``,
     ``start``, ``end``, ``output_chars``. A call repeated more than twice, a
     read that an earlier one covers by 60 %, more than eight rounds, more than
-    60 000 characters of output. A task's calls are few.
+    60 000 characters of output.
     """
+    from loamline.operators.ranking import covered_before
+
     w = Window.partitionBy("task_id").orderBy("seq")
     same = F.count(F.lit(1)).over(Window.partitionBy("task_id", "tool", "arguments").orderBy("seq"))
-    span = F.struct("start", "end")
-    earlier = F.collect_list(F.when(F.col("path").isNotNull(), span)).over(Window.partitionBy("task_id", "path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    cover = F.exists("earlier", lambda e: F.least(e["end"], F.col("end")) - F.greatest(e["start"], F.col("start")) + 1 >= OVERLAP * (F.col("end") - F.col("start") + 1))
-    out = calls.withColumns({"same": same, "earlier": earlier, "output": F.sum("output_chars").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    stop = F.when(F.col("round") > MOST_ROUNDS, "rounds").when(F.col("same") > MOST_EQUAL, "repeated").when(F.col("path").isNotNull() & cover, "overlap").when(F.col("output") > MOST_OUTPUT, "output")
-    return out.withColumn("stop", stop).drop("same", "earlier", "output")
+    reads = covered_before(calls.where("path is not null").select("task_id", "path", "seq", "start", "end"), ["task_id", "path"], OVERLAP)
+    cover = reads.where("covered").select("task_id", "seq", "covered")
+    out = calls.withColumns({"same": same, "output": F.sum("output_chars").over(w.rowsBetween(Window.unboundedPreceding, 0))}).join(cover, ["task_id", "seq"], "left")
+    stop = F.when(F.col("round") > MOST_ROUNDS, "rounds").when(F.col("same") > MOST_EQUAL, "repeated").when(F.col("covered"), "overlap").when(F.col("output") > MOST_OUTPUT, "output")
+    return out.withColumn("stop", stop).drop("same", "covered", "output")
+
+
+def forced_summary(stopped: DataFrame) -> DataFrame:
+    """Rows of agents that were stopped (``name``, ``reply``, ``stop``): a failure if the summary they were asked for is blank or degenerate, else an analysis with its limitation."""
+    from loamline.functions import text
+
+    shown = text.without_thinking(F.coalesce("reply", F.lit("")))
+    useless = (F.trim(shown) == "") | text.degenerate(shown)
+    return stopped.select("name", F.when(useless, "failed").otherwise("analysed").alias("state"), F.when(~useless, shown).alias("summary"), F.when(~useless, F.concat(F.lit("stopped early: "), "stop")).alias("limitation"))
 
 
 def read_range(start: Column, end: Column) -> tuple[Column, Column]:

@@ -13,12 +13,13 @@ from loamline.streaming import limits
 KEY = "AKIA" + "ABCDEFGHIJ123456"
 
 
-def test_secrets_and_their_filters():
+def test_secrets_and_their_filters(spark):
     value = "q8Zr" + "T2mLw9Xc"
     content = f"a = 1\naws = '{KEY}'\nDB_PASSWORD={value} # note\npassword: changeme\ntoken = os.environ['T']\nauthToken: 'authToken'\nsecret = \"aaaaaaaaaa\"\napi_key\n  = '{value}'\n"
-    got = review.find_secrets(content)
-    assert [(n, c) for n, _, c, _ in got] == [(2, "certain"), (3, "contextual"), (8, "contextual")]
-    assert all(KEY not in s and value not in s and value not in e for _, e, _, s in got)
+    files = spark.createDataFrame([("r", "a.py", content), ("r", "b.py", None), ("r", "c.py", "")], "repo_id string, path string, text string")
+    got = review.secret_candidates(files).orderBy("line").collect()
+    assert [(r.line, r.confidence) for r in got] == [(2, "certain"), (3, "contextual"), (8, "contextual")]
+    assert all(KEY not in r.snippet and value not in r.snippet and value not in r.evidence for r in got)
 
 
 def test_secret_scan_reads_shaped_files_only_where_unparsed(spark):
