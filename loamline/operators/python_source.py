@@ -160,14 +160,43 @@ class _Visit:
             self.add("security", "unsafe_deserialization", n, f"{obj + '.' if obj else ''}{name}", "certain", f)
 
 
-def read(text: str) -> Source:
-    """Everything of one file; ``reason`` says why it can't be parsed."""
+#: Lines at the margin that go on with what stands above them.
+GOES_ON = re.compile(r"(?:else|elif|except|finally|case)\b|[)\]}#]")
+
+
+def parts(text: str) -> list[tuple[int, str]]:
+    """(lines before, text) of the pieces of a file that begin at its margin; decorators begin the piece of what they decorate."""
+    lines, starts, decorated = text.splitlines(keepends=True), [], False
+    for n, line in enumerate(lines):
+        if line.strip() and not line[0].isspace() and not GOES_ON.match(line):
+            if not decorated:
+                starts.append(n)
+            decorated = line.startswith("@")
+    return [(a, "".join(lines[a:b])) for a, b in zip(starts, [*starts[1:], len(lines)])]
+
+
+def statements(text: str) -> tuple[list[ast.stmt], str]:
+    """Statements of a file, and why some are missing: where the whole doesn't parse, those of the pieces that do."""
     try:
-        tree = ast.parse(text)
+        return ast.parse(text).body, ""
     except (SyntaxError, ValueError, RecursionError) as e:
-        return Source(reason=f"syntax error: {type(e).__name__}")
+        why = f"syntax error: {type(e).__name__}"
+    found: list[ast.stmt] = []
+    for before, piece in parts(text):
+        try:
+            found += ast.increment_lineno(ast.parse(piece), before).body
+        except (SyntaxError, ValueError, RecursionError):
+            continue
+    return found, why
+
+
+def read(text: str) -> Source:
+    """Everything of one file; ``reason`` says why nothing of it can be parsed. Pieces that don't parse are left out."""
+    body, why = statements(text)
+    if why and not body:
+        return Source(reason=why)
     visit = _Visit()
-    visit.body(tree.body)
+    visit.body(body)
     out = visit.out
     out.symbols = sorted(dict.fromkeys(out.symbols), key=lambda s: (s[2], s[0]))
     out.imports.sort(key=lambda i: (i[0], i[1]))

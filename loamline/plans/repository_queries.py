@@ -100,6 +100,19 @@ imported AS (
   UNION ALL SELECT *, 4, later, 'deferred', CASE WHEN later = 'json' THEN 'external' ELSE 'resolved' END, CASE WHEN later <> 'json' THEN prv_path END FROM files)"""
 
 
+@query(_duck(f"""
+WITH {WRITTEN}
+SELECT repo_id, path, 'later' AS name, 3 AS start_line, 5 AS end_line FROM files WHERE k % 3 < 2 UNION ALL SELECT repo_id, path, 'C' || k, 7, 10 FROM files UNION ALL SELECT repo_id, path, 'run', 9, 10 FROM files
+UNION ALL SELECT repo_id, path, 'run', 12, last_line FROM files WHERE k % 3 <> 1 UNION ALL SELECT repo_id, path, 'after', last_line + 4, last_line + 5 FROM files"""))
+def broken_files(spark, sf_dir):
+    """Symbols of files of which one piece doesn't parse: the others stay."""
+    k = F.regexp_extract("path", r"mod(\d+)", 1).cast("int")
+    broken = F.when(k % 3 == 2, F.replace("text", F.lit("def later():"), F.lit("def later(:"))).when(k % 3 == 1, F.replace("text", F.lit("def run(v):"), F.lit("def run(v:"))).otherwise(F.concat("text", F.lit("")))
+    more = F.concat(broken, F.lit("def after():\n    return 0\nx = (\n"))
+    files = python_files(spark, sf_dir).withColumn("text", more)
+    return repos.symbols(repos.parse(files)).select("repo_id", "path", "name", "start_line", "end_line")
+
+
 @query(_duck(f"WITH {IMPORTED} SELECT repo_id, path, line, target_ AS target, scope, outcome, dst FROM imported"))
 def python_resolution(spark, sf_dir):
     """Outcome of every import: absolute, relative, external, missing, at import time or not."""
