@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamline.llm.storage import materialise
+from loamline.llm.storage import kept, materialise, scratch
 from loamline.llm.words import slices, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
@@ -172,7 +172,8 @@ def with_verdicts(docs: DataFrame, least_docs: int = 200, base_rule: bool = True
     measure of theirs is out of bounds. Reruns agree: sketches are counts.
     """
     rows = materialise(measured(docs, ["doc_id", "lang", "source"]), "quality-measured")
-    plan = materialise(thresholds(rows, least_docs), "quality-thresholds")
+    with scratch():
+        plan = kept(materialise(thresholds(rows, least_docs), "quality-thresholds"))
     return judged(rows, plan, base_rule).select("row.doc_id", "row.lang", "row.source", *COUNTS, *MEASURES, "base_failed", "kept")
 
 
@@ -182,6 +183,7 @@ def without_rejected(docs: DataFrame, least_docs: int = 200, base_rule: bool = F
     Each row is judged by itself, so ids may be null or repeated. Texts are
     measured twice and never exchanged by a key.
     """
-    plan = materialise(thresholds(measured(docs, []), least_docs), "quality-thresholds")
-    kept = judged(measured(docs, docs.columns), plan, base_rule).where("kept")
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    with scratch():
+        plan = kept(materialise(thresholds(measured(docs, []), least_docs), "quality-thresholds"))
+    left = judged(measured(docs, docs.columns), plan, base_rule).where("kept")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from loamline.llm import id_filter
 from loamline.llm.components import connected_components, forest
-from loamline.llm.storage import discard, materialise
+from loamline.llm.storage import kept, materialise, scratch, sent_if_small
 from loamline.llm.words import WordHashes, gram_hashes, mix, slices, text_bytes
 
 LENGTH, RADIUS, GENERATOR = 23, 3, 0b110001110101
@@ -192,13 +192,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, max_bits: int = 2)
     share a fingerprint, so groups of copies of any size cost one comparison.
     Texts without words, and null texts, all have fingerprint 0.
     """
-    own = materialise(fingerprints(docs, shingle_words), "simhash")
-    distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    found = connected_components(link_fingerprints(distinct, max_bits), "simhash")
-    labelled = distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    labelled = materialise(labelled, "simhash-labels")
-    lows = materialise(labelled.groupBy("label").agg(F.min("low").alias("component_id")), "simhash-lows")
-    classes = materialise(labelled.join(lows, "label").select(F.col("fp").alias("of"), "component_id"), "simhash-classes")
+    with scratch():
+        own = kept(materialise(fingerprints(docs, shingle_words), "simhash"))
+        distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
+        found = connected_components(link_fingerprints(distinct, max_bits), "simhash")
+        labelled = distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
+        labelled = materialise(labelled, "simhash-labels")
+        lows = materialise(labelled.groupBy("label").agg(F.min("low").alias("component_id")), "simhash-lows")
+        classes = kept(materialise(labelled.join(lows, "label").select(F.col("fp").alias("of"), "component_id"), "simhash-classes"))
     return own.join(classes, own.fp == classes.of, "left").select("doc_id", "fp", "component_id")
 
 
@@ -243,39 +244,43 @@ def _classified(docs: DataFrame, similarity: float, shingle_words: int, how_many
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            sigs, sizes, fps, sets = [], [], [], []
+            sigs, sizes, fps, sets, kept = [], [], [], [], []
             for text in text_bytes(batch):
                 own = _shingle_set(hashes, text, shingle_words)
+                short = np.unique(own.astype(np.uint32))
                 sigs.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else b"")
                 fps.append(weighted_fingerprints(own, how_many))
-                sets.append(np.unique(own.astype(np.uint32)).tobytes())
-                sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "text_hash", "sig", "size", "fps", "shingles"])
+                sets.append(short.tobytes())
+                sizes.append(len(short))
+                kept.append(marks(short))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(kept, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "text_hash", "sig", "size", "fps", "marks", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = rows.mapInArrow(described, "doc_id long, text_hash long, sig binary, size long, fps array<long>, shingles binary")
+    rows = rows.mapInArrow(described, "doc_id long, text_hash long, sig binary, size long, fps array<long>, marks binary, shingles binary")
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "similar-rows")
     texts = materialise(rows.groupBy("sig").agg(F.min("row").alias("rep")), "similar-texts")
     own = rows.join(texts.select("rep"), rows.row == texts.rep).select("rep", "size", F.explode("fps").alias("fp"))
     own = materialise(own, "similar-fps")
-    linked = connected_components(link_fingerprints(own.select("fp").distinct(), max_bits), "similar-fps")
-    classes = own.join(linked, own.fp == linked.node, "left").select("rep", "size", F.coalesce("label", "fp").alias("label"))
-    classes = materialise(classes.distinct(), "similar-classes")
+    # Only fingerprints that several texts have, or that are linked, make classes of more than one text.
+    each = materialise(own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "similar-each")
+    linked = connected_components(link_fingerprints(each, max_bits), "similar-fps")
+    shared = each.join(linked, each.fp == linked.node, "left").where("n > 1 or label is not null")
+    shared = materialise(shared.select(F.col("fp").alias("__fp"), F.coalesce("label", "fp").alias("label")), "similar-shared")
+    classes = own.join(sent_if_small(shared), own.fp == F.col("__fp")).select("rep", "size", "label").distinct()
+    classes = materialise(classes, "similar-classes")
     bucket = F.pmod(F.xxhash64("rep", "label"), F.lit(centres))
     heads = classes.groupBy("label", bucket.alias("b")).agg(F.min("rep").alias("centre"), F.min_by("size", "rep").alias("centre_size"))
     heads = materialise(heads.select(F.col("label").alias("of"), "centre", "centre_size"), "similar-centres")
     # Sets whose sizes differ by more than the threshold can't be similar enough.
     fits = F.least("size", "centre_size") >= similarity * F.greatest("size", "centre_size")
     pairs = classes.join(heads, F.expr("label = of and rep <> centre") & fits).select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
-    pairs = materialise(pairs.withColumn("pair", F.monotonically_increasing_id()), "similar-pairs")
-    links = _verified(_shingle_sets(rows, _ends(pairs)), pairs, similarity)
+    pairs = materialise(pairs, "similar-pairs")
+    links = _verified(_shingle_sets(rows, pairs.select(F.explode(F.array("u", "v")).alias("of"))), pairs, similarity)
     links = _completed(rows, classes, materialise(links, "similar-links"), similarity)
     found = connected_components(links, "similar")
     labelled = texts.join(found, texts.rep == found.node, "left").select(F.col("sig").alias("of"), F.coalesce("label", "rep").alias("label"))
     labelled = materialise(labelled, "similar-labels")
-    out = materialise(rows.join(labelled, rows.sig == labelled.of).select("doc_id", "text_hash", "label"), "similar-labelled")
-    discard(rows)
-    return out
+    return materialise(rows.join(labelled, rows.sig == labelled.of).select("doc_id", "text_hash", "label"), "similar-labelled")
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, how_many: int = 6, max_bits: int = 1, centres: int = 4) -> DataFrame:
@@ -295,7 +300,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     class and then by a prefix-filter join, which misses no pair of the class.
     Each pair is checked on the whole shingle sets.
     """
-    rows = _classified(docs, similarity, shingle_words, how_many, max_bits, centres)
+    with scratch():
+        rows = kept(_classified(docs, similarity, shingle_words, how_many, max_bits, centres))
     lows = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return rows.select("doc_id", "label").join(lows, "label").select("doc_id", "component_id")
 
@@ -308,7 +314,8 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5
     dropped by id and text, so another text of a dropped row's id stays. Of all
     texts without words one stays. An empty table gives an empty one.
     """
-    rows = _classified(docs, similarity, shingle_words, how_many, max_bits, centres)
+    with scratch():
+        rows = kept(_classified(docs, similarity, shingle_words, how_many, max_bits, centres))
     several = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")).where("n > 1").select(F.col("label").alias("of"), "low")
     met = materialise(rows.join(several, rows.label == several.of).select("label", "low", "doc_id", "text_hash"), "similar-several")
     best = met.where("doc_id <=> low").groupBy(F.col("label").alias("of")).agg(F.min("text_hash").alias("best"))
@@ -316,53 +323,79 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5
     staying = F.expr("doc_id <=> low and text_hash = best")
     keys = materialise(keys.where(~staying | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), staying.alias("__stays")), "similar-dropped")
     same = docs.doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__hash"))
-    out = docs.join(keys, same, "left_anti")
+    out = docs.join(sent_if_small(keys), same, "left_anti")
     once = keys.where("__stays")
     if once.isEmpty():
         return out
-    repeated = docs.join(once, same, "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"])
+    repeated = docs.join(sent_if_small(once), same, "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"])
     return out.union(repeated.select(*docs.columns))
 
 
 #: Counters of shingles, and the share of the loose texts that a round of central texts has to link for another one.
 COUNTERS, WORTHWHILE = 1 << 21, 0.5
+#: Places that the marks of a shingle set have.
+MARKS = 1024
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("u", "v")).alias("of"))
+def marks(shingles: np.ndarray) -> bytes:
+    """Which of MARKS places the shingles of a set fall on."""
+    out = np.zeros(MARKS, bool)
+    out[shingles % MARKS] = True
+    return np.packbits(out).tobytes()
+
+
+def most_common(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Upper bounds of what sets of ``n`` and ``m`` shingles share, from the rows of their marks: a place that only one has is a shingle that only it has."""
+    alone = [np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((a, b), (b, a))]
+    return np.minimum(n - alone[0], m - alone[1])
 
 
 def _shingle_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``node``, ``shingles`` (sorted 32-bit hashes) of the rows whose number is in ``of``, and of a few more."""
+    """``node``, ``size``, ``marks`` and ``shingles`` (sorted 32-bit hashes) of the rows whose number is in ``of``, and of a few more."""
     wanted = id_filter.build(ids, "of")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield batch.filter(pa.array(id_filter.may_hold(wanted.value, batch.column("node").to_numpy())))
 
-    return rows.select(F.col("row").alias("node"), "shingles").mapInArrow(sets, "node long, shingles binary")
+    own = rows.select(F.col("row").alias("node"), "size", "marks", "shingles").mapInArrow(sets, "node long, size long, marks binary, shingles binary")
+    return materialise(own, "similar-sets")
 
 
 def _verified(own: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``u``, ``v`` (numbered ``pair``) whose whole shingle sets in ``own`` are similar enough."""
-    asked = pairs.select("pair", F.lit(0).alias("side"), F.col("u").alias("of")).union(pairs.select("pair", F.lit(1).alias("side"), F.col("v").alias("of")))
-    met = asked.join(own, asked.of == own.node).select("pair", "side", "of", "shingles")
-    both = met.groupBy("pair").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("of", "shingles")])
+    """The pairs ``u``, ``v`` whose whole shingle sets in ``own`` are similar enough.
+
+    Marks rule out most pairs that aren't before any set is exchanged, and
+    never one that is.
+    """
+
+    def met(pairs: DataFrame, *columns: str) -> DataFrame:
+        ends = {end: own.select(F.col("node").alias(f"{end}_node"), *[F.col(c).alias(f"{end}_{c}") for c in columns]) for end in "uv"}
+        needed = sent_if_small(pairs.select(F.col("v").alias("__v")).distinct(), pairs)
+        first = sent_if_small(pairs).join(ends["u"], F.col("u") == F.col("u_node"))
+        return first.join(ends["v"].join(needed, F.col("v_node") == F.col("__v"), "left_semi"), F.col("v") == F.col("v_node"))
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(f"{end}_size").to_numpy() for end in "uv")
+            a, b = (np.frombuffer(b"".join(batch.column(f"{end}_marks").to_pylist()), np.uint8).reshape(len(n), MARKS // 8) for end in "uv")
+            yield batch.select(["u", "v"]).filter(pa.array(most_common(a, b, n, m) >= similarity / (1 + similarity) * (n + m) - 1e-6))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keep = []
-            for a, b in zip(batch.column("shingles0").to_pylist(), batch.column("shingles1").to_pylist()):
+            for a, b in zip(batch.column("u_shingles").to_pylist(), batch.column("v_shingles").to_pylist()):
                 x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select(F.col("of0").alias("u"), F.col("of1").alias("v"), "shingles0", "shingles1").mapInArrow(judged, "u long, v long")
+    left = materialise(met(pairs.select("u", "v"), "size", "marks").mapInArrow(plausible, "u long, v long"), "similar-plausible")
+    return met(left, "shingles").mapInArrow(judged, "u long, v long")
 
 
 def _prefixes(own: DataFrame, similarity: float, tasks: int = 6) -> DataFrame:
-    """``node``, ``n``, ``central`` and ``prefix`` (its rarest shingles, in order) of each shingle set.
+    """``node``, ``n``, ``central``, ``prefix`` (those of its rarest shingles that others may have) and their ``places`` in the order of each shingle set.
 
     Two sets that are similar enough share a shingle of their prefixes under
     any common order. Counters of a fixed size give the order, so collisions
@@ -384,17 +417,20 @@ def _prefixes(own: DataFrame, similarity: float, tasks: int = 6) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            size, central, prefix = [], [], []
+            size, central, prefix, places = [], [], [], []
             for s in batch.column("shingles").to_pylist():
                 x = np.frombuffer(s, np.uint32)
                 often = shared.value[x % COUNTERS]
                 length = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
                 size.append(len(x))
                 central.append(float(np.log1p(often).mean()) if len(x) else 0.0)
-                prefix.append(x[np.lexsort((x, often))[:length]].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size, pa.int64()), pa.array(central, pa.float64()), pa.array(prefix, pa.list_(pa.int64()))], names=["node", "n", "central", "prefix"])
+                rarest = np.lexsort((x, often))[:length]
+                at = np.flatnonzero(often[rarest] > 1)
+                prefix.append(x[rarest[at]].astype(np.int64))
+                places.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size, pa.int64()), pa.array(central, pa.float64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))], names=["node", "n", "central", "prefix", "places"])
 
-    return own.mapInArrow(run, "node long, n long, central double, prefix array<long>")
+    return own.mapInArrow(run, "node long, n long, central double, prefix array<long>, places array<long>")
 
 
 def _completed(rows: DataFrame, classes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
@@ -403,31 +439,31 @@ def _completed(rows: DataFrame, classes: DataFrame, links: DataFrame, similarity
     Parts are what links connect so far, and texts outside the largest part of
     their class are loose. Rounds compare a class with the most central of its
     loose texts, which gathers copies whose original has any id, as long as a
-    round links enough. Then the loose texts meet all others of their class by
+    round links enough. Then the loose texts meet all others of such classes by
     prefixes, with bounds by size and by the place in the prefix.
     """
 
     def parted() -> DataFrame:
         """Members of the classes of several parts, with their part and whether they are loose."""
         found = connected_components(links, "similar-parts").select(F.col("node").alias("__node"), F.col("label").alias("__part"))
-        own = materialise(classes.join(found, classes.rep == found["__node"], "left").select("rep", "label", F.coalesce("__part", "rep").alias("part")), "similar-parted")
+        own = materialise(classes.join(sent_if_small(found, links), classes.rep == found["__node"], "left").select("rep", "label", F.coalesce("__part", "rep").alias("part")), "similar-parted")
         parts = own.groupBy("label", "part").agg(F.count(F.lit(1)).alias("members"))
         main = parts.groupBy(F.col("label").alias("of")).agg(F.max(F.struct("members", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
         main = materialise(main.where("parts > 1").select("of", F.col("main.part").alias("main")), "similar-main")
         return materialise(own.join(main, own.label == main.of).select("rep", "label", "part", F.expr("part <> main").alias("loose")), "similar-open")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().withColumn("pair", F.monotonically_increasing_id()), "similar-more-pairs")
+        pairs = materialise(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "similar-more-pairs")
         return materialise(_verified(own, pairs, similarity), "similar-more-links")
 
     opened = parted()
     if opened.isEmpty():
         return links
-    own = materialise(_shingle_sets(rows, opened.select(F.col("rep").alias("of"))), "similar-sets")
+    own = _shingle_sets(rows, opened.select(F.col("rep").alias("of")))
     prefixes = materialise(_prefixes(own, similarity), "similar-prefixes")
     tried = None
     while True:
-        met = opened.join(prefixes, opened.rep == prefixes.node).select("rep", "label", "part", "loose", "n", "central")
+        met = sent_if_small(opened).join(prefixes, opened.rep == prefixes.node).select("rep", "label", "part", "loose", "n", "central")
         met = materialise(met, "similar-met")
         free = met.where("loose") if tried is None else met.where("loose").join(tried, ["label", "rep"], "left_anti")
         best = free.groupBy(F.col("label").alias("of")).agg(F.max(F.struct("central", "rep", "part", "n")).alias("c"))
@@ -444,11 +480,14 @@ def _completed(rows: DataFrame, classes: DataFrame, links: DataFrame, similarity
             break
         now = best.select(F.col("of").alias("label"), F.col("b").alias("rep"))
         tried = materialise(now if tried is None else tried.union(now), "similar-tried")
-    postings = opened.join(prefixes, opened.rep == prefixes.node).select("label", "rep", "part", "n", "loose", F.posexplode("prefix").alias("at", "shingle"))
+    # A text is in several classes; by prefixes it meets the texts of all of them at once.
+    texts = opened.groupBy("rep", "part").agg(F.max("loose").alias("loose"))
+    postings = sent_if_small(texts, opened).join(prefixes, texts.rep == prefixes.node).select("rep", "part", "n", "loose", F.explode(F.arrays_zip("prefix", "places")).alias("p"))
+    postings = postings.select("rep", "part", "n", "loose", F.col("p.prefix").alias("shingle"), F.col("p.places").alias("at"))
     postings = materialise(postings, "similar-postings")
-    left = postings.where("loose").select(F.col("label").alias("l"), F.col("shingle").alias("s"), F.col("rep").alias("b"), F.col("part").alias("b_part"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
+    left = postings.where("loose").select(F.col("shingle").alias("s"), F.col("rep").alias("b"), F.col("part").alias("b_part"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
     fits = F.least("n", "b_n") >= similarity * F.greatest("n", "b_n")
     # What two sets can share from a common shingle on has to reach the overlap that the threshold asks for.
     reach = F.least(F.col("n") - F.col("at"), F.col("b_n") - F.col("b_at")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("b_n")) - 1e-6
-    pairs = postings.join(left, F.expr("label = l and shingle = s and part <> b_part and (not loose or rep < b)") & fits & reach)
+    pairs = postings.join(left, F.expr("shingle = s and part <> b_part and (not loose or rep < b)") & fits & reach)
     return links.union(checked(pairs.select(F.col("rep").alias("a"), "b")))

@@ -215,3 +215,17 @@ def test_one_of_each_equals_the_classes(spark):
             rows.append((len(rows), " ".join(w), "en", "s", 0))
     docs = spark.createDataFrame(rows, DOCS)
     assert {r.doc_id for r in A.one_of_each(docs).collect()} == {r.component_id for r in A.similar_documents(docs).collect()}
+
+
+def test_marks_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(11)
+    ruled_out = 0
+    for n in (1, 5, 100, 400, 3000):
+        for share in (0.0, 0.5, 0.79, 0.8, 0.95, 1.0):
+            common = rng.integers(0, 2**32, int(n * share), dtype=np.uint32)
+            x, y = (np.unique(np.concatenate([common, rng.integers(0, 2**32, n - len(common), dtype=np.uint32)])) for _ in range(2))
+            a, b = (np.frombuffer(A.marks(z), np.uint8)[None] for z in (x, y))
+            bound = A.most_common(a, b, np.array([len(x)]), np.array([len(y)]))[0]
+            assert len(np.intersect1d(x, y)) <= bound
+            ruled_out += n in (100, 400) and share < 0.6 and bound < 0.8 / 1.8 * (len(x) + len(y))
+    assert ruled_out == 4
