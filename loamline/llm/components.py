@@ -40,18 +40,18 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
     both sides of each join are exchanged, so adaptive execution can split it.
     """
     both = links.where("u <> v").select("u", "v").union(links.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    edges = materialise(both, f"{name}-edges")
-    labels = materialise(edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("label")), f"{name}-labels")
+    edges = materialise(both, f"{name}-edges", few=True)
+    labels = materialise(edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("label")), f"{name}-labels", few=True)
     while True:
         heard = edges.join(labels, edges.u == labels.node).groupBy("v").agg(F.min("label").alias("heard"))
         # A node's old label hears of the node's new one as well, so chains shrink from both ends.
         near = labels.join(heard, labels.node == heard.v).select("node", "label", F.least("label", "heard").alias("new"))
-        near = materialise(near, f"{name}-near")
-        told = materialise(near.where("new < label").groupBy(F.col("label").alias("root")).agg(F.min("new").alias("told")), f"{name}-told")
+        near = materialise(near, f"{name}-near", few=True)
+        told = near.where("new < label").groupBy(F.col("label").alias("root")).agg(F.min("new").alias("told"))
         hop = near.join(told, near.label == told.root, "left").select("node", F.col("label").alias("old"), F.least("new", "told").alias("label"))
-        after = materialise(hop, f"{name}-hop")
+        after = materialise(hop, f"{name}-hop", few=True)
         done = after.where("old <> label").isEmpty()
-        for old in (near, told, labels):
+        for old in (near, labels):
             discard(old)
         labels = after
         if done:

@@ -29,8 +29,8 @@ def shared_root(spark: SparkSession) -> str:
     return _own[app]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def materialise(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back; ``few``: by no more tasks than there are cores, and so in no more files.
 
     Cuts the lineage, so lost executors only cost re-reading, and forgets the
     physical partitioning, so that a later join exchanges both sides and
@@ -38,7 +38,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/loamline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loamline_path = path
     if _scopes:
