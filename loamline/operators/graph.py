@@ -52,28 +52,31 @@ def degrade(files: DataFrame, directory: str, most: int, by: Sequence[str]) -> D
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """``node``, ``score`` after exactly ``rounds`` rounds from equal shares; dangling nodes spread over all.
 
-    Repeated edges count once. Every round is one join of the links with the
-    scores and one sum, whatever the size; links are summed by target before
-    anything is exchanged. What dangling nodes give away needs no round of its
-    own: the scores of a round sum to one, so it is what the links don't carry.
-    A checkpoint after every five rounds cuts the lineage.
+    Repeated edges count once. Every round is one join of the links with what
+    the nodes hold and one sum, whatever the size. What damping and dangling
+    nodes add is the same for all nodes, so scores are sums of the powers
+    A^j 1 of the links with one factor each, which follow from the powers' sums
+    (a row a round); the rounds themselves need no sum over all nodes. Every
+    power is checkpointed, which cuts the lineage.
     """
     edges = edges.select("src", "dst").distinct()
-    nodes = (edges.select(F.col("src").alias("node")).union(edges.select("dst")) if nodes is None else nodes.select("node")).distinct()
+    nodes = (edges.select(F.col("src").alias("node")).union(edges.select("dst")) if nodes is None else nodes.select("node")).distinct().checkpoint()
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     links = edges.join(out, "src").select("src", "dst", (1.0 / F.col("degree")).alias("share")).checkpoint()
-    nodes = nodes.checkpoint()
     n = nodes.count()
-    score = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("score"))
-    for i in range(rounds):
-        got = links.join(score, links.src == score.node).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        both = nodes.join(got, nodes.node == got.dst, "left").select("node", F.coalesce("got", F.lit(0.0)).alias("got"))
-        carried = got.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("carried"))
-        new = (1 - damping) / max(n, 1) + damping * (F.col("got") + (1 - F.col("carried")) / max(n, 1))
-        score = both.crossJoin(F.broadcast(carried)).select("node", new.alias("score"))  # one row
-        if i % 5 == 4:
-            score = score.checkpoint()
-    return score
+    last = nodes.select("node", F.lit(1.0).alias("held"))
+    powers = last.withColumn("power", F.lit(0))
+    for i in range(1, rounds + 1):
+        last = links.join(last, links.src == last.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("held") * F.col("share")).alias("held"))
+        last = last.checkpoint()
+        powers = powers.union(last.withColumn("power", F.lit(i)))
+    sums = {r.power: r.total for r in powers.groupBy("power").agg(F.sum("held").alias("total")).collect()}
+    factors = [1.0 / max(n, 1)]
+    for _ in range(rounds):
+        carried = sum(f * sums.get(j + 1, 0.0) for j, f in enumerate(factors))
+        factors = [((1 - damping) + damping * (1 - carried)) / max(n, 1), *[damping * f for f in factors]]
+    factor = F.element_at(F.array(*[F.lit(f) for f in factors]), F.col("power") + 1)
+    return powers.groupBy("node").agg(F.sum(F.col("held") * factor).alias("score"))
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
