@@ -104,7 +104,9 @@ def repeated(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
     The decisions are carried over by one row per source, its complete epochs
     and the last key of the fractional one, so texts aren't exchanged. Rows
-    that are equal in id, size and key share the decision.
+    that are equal in id, size and key share the decision. Null and empty texts
+    are never taken, null sources are a source, long texts count whole, and an
+    empty table gives an empty one.
     """
     place = F.struct("bucket", "key", "doc_id", "size")
     chosen = mix(docs, weights, share, cap, seed, buckets, keys=True)
