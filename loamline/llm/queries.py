@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import adaptive_quality, anchor_simhash, ball_tree, byte_bpe, chaining, es_mixing, gru_lm, kn_langid, pu_toxicity, url_lists
+from loamline.llm import adaptive_quality, anchor_simhash, ball_tree, byte_bpe, chaining, es_mixing, filter_audit, gru_lm, kn_langid, pu_toxicity, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,6 +163,45 @@ def op10_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order of them, by source."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+failed AS (
+  SELECT part, doc_id,
+         CAST(len(words) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INTEGER)
+         + 4 * CAST(100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) AS INTEGER) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER)
+         + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INTEGER) AS mask
+  FROM texts),
+labelled AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+counts AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM failed LEFT JOIN labelled USING (doc_id) GROUP BY part, mask),
+letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, sum(bit) FILTER (position(letter IN filter_order) = step) AS own, coalesce(sum(bit) FILTER (position(letter IN filter_order) < step), 0) AS earlier
+  FROM orders, range(1, 6) r(step), letters GROUP BY filter_order, step),
+effects AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN mask & (own + earlier) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & own <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM (SELECT part, CAST(mask AS BIGINT) AS mask, n, good, toxic FROM counts), (SELECT filter_order, step, CAST(own AS BIGINT) AS own, CAST(earlier AS BIGINT) AS earlier FROM steps)
+  GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM effects
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chaining": op2_chaining,
@@ -174,7 +213,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ball_tree": op8_ball_tree,
     "op9_es_mixing": op9_es_mixing,
     "op10_anchor_simhash": op10_anchor_simhash,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 #: SQL can't express the others: tokenisers, trained models, sketches and XXH64.
-ORACLES: dict[str, str] = {"op3_url_lists": OP3_SQL, "op8_ball_tree": OP8_SQL, "op9_es_mixing": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_url_lists": OP3_SQL, "op8_ball_tree": OP8_SQL, "op9_es_mixing": OP9_SQL, "op11_filter_audit": OP11_SQL}
