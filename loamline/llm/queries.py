@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import adaptive_quality, anchor_simhash, ball_tree, byte_bpe, chaining, es_mixing, filter_audit, gru_lm, kn_langid, pu_toxicity, url_lists
+from loamline.llm import adaptive_quality, anchor_simhash, ball_tree, byte_bpe, chaining, es_mixing, filter_audit, gru_lm, kn_langid, pu_toxicity, spelling_variants, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,6 +202,11 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM effects
 """
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling_variants.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chaining": op2_chaining,
@@ -214,7 +219,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_es_mixing": op9_es_mixing,
     "op10_anchor_simhash": op10_anchor_simhash,
     "op11_filter_audit": op11_filter_audit,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-#: SQL can't express the others: tokenisers, trained models, sketches and XXH64.
+#: SQL can't express the others: tokenisers, trained models, sketches, XXH64 and CRC-32.
 ORACLES: dict[str, str] = {"op3_url_lists": OP3_SQL, "op8_ball_tree": OP8_SQL, "op9_es_mixing": OP9_SQL, "op11_filter_audit": OP11_SQL}
