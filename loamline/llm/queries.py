@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import adaptive_quality, anchor_simhash, ball_tree, byte_bpe, chaining, es_mixing, filter_audit, gru_lm, kn_langid, pu_toxicity, spelling_variants, url_lists
+from loamline.llm import adaptive_quality, anchor_simhash, ball_tree, bit_planes, byte_bpe, chaining, es_mixing, filter_audit, gru_lm, kn_langid, pu_toxicity, spelling_variants, url_lists
+from loamline.llm.storage import shared_root
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,6 +204,20 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM effects
 """
 
+def english_tokenizer() -> str:
+    """Text of the public byte-level tokenizer's file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document written as compressed planes and read back."""
+    path = f"{shared_root(spark)}/loamline/planes-{uuid.uuid4().hex}"
+    return bit_planes.round_trip(_table(spark, sf_dir, "documents"), path, english_tokenizer())
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their near words, forms and roots."""
     return spelling_variants.variants(_table(spark, sf_dir, "documents"))
@@ -219,6 +235,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_es_mixing": op9_es_mixing,
     "op10_anchor_simhash": op10_anchor_simhash,
     "op11_filter_audit": op11_filter_audit,
+    "op12_bit_planes": op12_bit_planes,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
