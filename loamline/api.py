@@ -45,7 +45,8 @@ class Workspace:
     def tables(self) -> dict[str, DataFrame]:
         own = repos.imports(self.parsed)
         python = imports.resolve_python(own.where("language = 'python'"), self.files)
-        script = imports.resolve_typescript(own.where("language = 'typescript'"), self.files).drop("aliased")
+        script = imports.alias_targets(own.where("language = 'typescript'"), imports.repository_aliases(self.files))
+        script = imports.resolve_typescript(script, self.files).drop("aliased")
         return {k: v.persist() for k, v in imports.graph_tables(python.unionByName(script)).items()}
 
     @cached_property

@@ -9,16 +9,15 @@ unresolved.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import paths
-
-# How a TypeScript specifier maps to files.
-JS_TO_TS = {".js": ["", ".ts", ".tsx"], ".jsx": [".tsx"], ".mjs": [".mts"], ".cjs": [".cts"]}
-
+from loamline.operators.entrypoints import without_comments
 
 def stem_index(files: DataFrame, by: Sequence[str] = ("repo_id",)) -> DataFrame:
     """``stem``, ``path`` of each repository; of files with one stem the first suffix in order."""
@@ -34,11 +33,6 @@ def stem_suffixes(stems: DataFrame, by: Sequence[str] = ("repo_id",)) -> DataFra
     return ends.groupBy(*by, "ending").agg(F.min_by("path", F.struct(F.length("path"), F.col("path"))).alias("path"))
 
 
-def _row_key(df: DataFrame) -> Column:
-    """A key of a row's values: the same in every branch and on every attempt; equal rows share it."""
-    return F.md5(F.to_json(F.struct(*df.columns)).cast("binary"))
-
-
 def _joined(base: Column, rest: Column) -> Column:
     return F.when(base == "", rest).when(rest == "", base).otherwise(F.concat(base, F.lit("/"), rest))
 
@@ -48,58 +42,75 @@ def resolve_python(imports: DataFrame, files: DataFrame, by: Sequence[str] = ("r
 
     ``imports``: ``by``, ``path``, ``line``, ``target`` (dots for relative),
     ``names``, ``scope``. Out: the same with ``outcome`` and ``dst`` (null
-    unless resolved); ``from package import submodule`` can give several rows.
-    Order of trial: submodules named in the import, the module, its package
-    file, and for absolute targets a file whose path ends with the module.
+    unless resolved). Order of trial: the module's file; the package's file,
+    and instead of it the files of the package that the import names, which can
+    give several rows; for absolute targets a file whose path ends with the
+    module or with its package file, the shortest path first. What follows
+    depends on path, target and names alone, so each such triple is asked once.
     """
     k = list(by)
+    key = [*k, "path", "target", "__names"]
     stems = stem_index(files, by)
-    own = imports.withColumn("__id", _row_key(imports))
+    own = imports.withColumn("__names", F.coalesce("names", F.array().cast("array<string>")))
     dots = F.length(F.regexp_extract("target", r"^(\.*)", 1))
     tail = F.regexp_replace(F.substring("target", dots + 1, F.length("target")), r"\.", "/")
     here = F.split(paths.parent(F.col("path")), "/")
     up = F.array_join(F.slice(here, F.lit(1), F.greatest(F.size(here) - (dots - 1), F.lit(0))), "/")
-    own = own.withColumns({"__relative": dots > 0, "__base": F.when(dots > 0, _joined(up, tail)).otherwise(tail)})
-    real = F.filter(F.coalesce("names", F.array().cast("array<string>")), lambda x: x != "*")
+    asked = own.select(*key).distinct().withColumns({"relative": dots > 0, "base": F.when(dots > 0, _joined(up, tail)).otherwise(tail)})
+    package = _joined(F.col("base"), F.lit("__init__"))
     candidates = F.concat(
-        F.transform(real, lambda x: F.struct(F.lit(0).alias("priority"), _joined(F.col("__base"), x).alias("stem"))),
-        F.transform(real, lambda x: F.struct(F.lit(0).alias("priority"), F.concat(_joined(F.col("__base"), x), F.lit("/__init__")).alias("stem"))),
-        F.array(F.struct(F.lit(1).alias("priority"), F.col("__base").alias("stem")), F.struct(F.lit(2).alias("priority"), _joined(F.col("__base"), F.lit("__init__")).alias("stem"))),
+        F.array(F.struct(F.lit("module").alias("as"), F.col("base").alias("stem")), F.struct(F.lit("package").alias("as"), package.alias("stem"))),
+        F.transform(F.filter("__names", lambda x: x != "*"), lambda x: F.struct(F.lit("member").alias("as"), _joined(F.col("base"), x).alias("stem"))),
     )
-    tried = own.select("__id", *k, F.explode(candidates).alias("c")).select("__id", *k, "c.priority", "c.stem")
-    direct = tried.join(stems, [*k, "stem"]).select("__id", "priority", F.col("path").alias("dst"))
-    ends = stem_suffixes(stems, by).select(*k, "ending", F.col("path").alias("dst"))
-    absolute = own.where(~F.col("__relative")).select("__id", *k, F.explode(F.array(F.col("__base"), F.concat("__base", F.lit("/__init__")))).alias("ending"))
-    direct = direct.union(absolute.join(ends, [*k, "ending"]).select("__id", F.lit(3).alias("priority"), "dst"))
-    first = F.min("priority").over(Window.partitionBy("__id"))
-    hit = direct.withColumn("__first", first).where(F.col("priority") == F.col("__first")).select("__id", "dst").distinct()
-    out = own.join(hit, "__id", "left")
-    outcome = F.when(F.col("dst").isNotNull(), "resolved").when(F.col("__relative"), "unresolved").otherwise("external")
-    return out.withColumn("outcome", outcome).drop("__id", "__relative", "__base")
-
-
-def alias_target(imports: DataFrame, aliases: DataFrame, by: Sequence[str] = ("repo_id",)) -> DataFrame:
-    """Add ``aliased``, the target rewritten by the longest matching alias (the first of equals), null for none.
-
-    ``aliases``: ``by``, ``pattern`` (exact or with one ``*``), ``replacement``,
-    ``seq``: a compiler configuration's few lines, after its own entries have
-    replaced those it inherits.
+    tried = asked.select(*key, F.explode(candidates).alias("c")).select(*key, "c.*")
+    found = tried.join(stems.withColumnRenamed("path", "dst"), [*k, "stem"])
+
+    def hits(kind: str) -> Column:
+        return F.sort_array(F.collect_set(F.when(F.col("as") == kind, F.col("dst"))))
+
+    found = found.groupBy(*key).agg(hits("module").alias("module"), hits("package").alias("package"), hits("member").alias("members"))
+    inside = F.when(F.size("members") > 0, F.col("members")).otherwise(F.col("package"))
+    direct = found.select(*key, F.when(F.size("module") > 0, F.col("module")).when(F.size("package") > 0, inside).alias("dsts")).where("dsts is not null")
+    absolute = asked.where("not relative").join(direct.select(*key), key, "left_anti").select(*key, F.explode(F.array("base", package)).alias("ending"))
+    by_end = absolute.join(stem_suffixes(stems, by).withColumnRenamed("path", "dst"), [*k, "ending"])
+    by_end = by_end.groupBy(*key).agg(F.array(F.min_by("dst", F.struct(F.length("dst"), F.col("dst")))).alias("dsts"))
+    out = own.join(direct.unionByName(by_end), key, "left").withColumn("dst", F.explode_outer("dsts"))
+    outcome = F.when(F.col("dst").isNotNull(), "resolved").when(F.col("target").startswith("."), "unresolved").otherwise("external")
+    return out.select(*imports.columns, "dst").withColumn("outcome", outcome)
+
+
+def alias_targets(imports: DataFrame, aliases: DataFrame, by: Sequence[str] = ("repo_id",)) -> DataFrame:
+    """Add ``aliased``: the paths that the alias of the longest matching head (the first of equals) rewrites the target to, in order; null for none.
+
+    ``aliases``: ``by``, ``pattern`` (exact or with one ``*``), ``seq`` (order
+    of patterns), ``replacement``, ``nth`` (order of a pattern's replacements),
+    ``base_url`` (what replacements are relative to, may be null): a compiler
+    configuration's few lines, after its own entries have replaced those it
+    inherits. Each target of a repository is rewritten once.
     """
     k = list(by)
-    own = imports.withColumn("__id", _row_key(imports))
+    asked = imports.select(*k, "target").where("not startswith(target, '.')").distinct()
     head, last = F.substring_index("pattern", "*", 1), F.substring_index("pattern", "*", -1)
     wild = F.col("pattern").contains("*")
     fits = F.when(wild, F.col("target").startswith(head) & F.col("target").endswith(last) & (F.length("target") >= F.length(head) + F.length(last))).otherwise(F.col("target") == F.col("pattern"))
     star = F.expr("substring(target, length(substring_index(pattern, '*', 1)) + 1, length(target) - length(pattern) + 1)")
-    hit = own.join(aliases, k).where(fits).withColumn("__to", F.when(wild, F.replace(F.col("replacement"), F.lit("*"), star)).otherwise(F.col("replacement")))
-    best = hit.groupBy("__id").agg(F.max_by("__to", F.struct(F.when(wild, F.length(head)).otherwise(F.lit(1 << 20)), -F.col("seq"))).alias("aliased"))
-    return own.join(best, "__id", "left").drop("__id")
+    put = F.when(wild, F.replace(F.col("replacement"), F.lit("*"), star)).otherwise(F.col("replacement"))
+    path = paths.normalise(_joined(F.coalesce("base_url", F.lit("")), put))
+    hit = asked.join(aliases, k).where(fits).select(*k, "target", "seq", F.length(head).alias("fixed"), F.struct("nth", path.alias("path")).alias("to"))
+    of_pattern = hit.groupBy(*k, "target", "fixed", "seq").agg(F.sort_array(F.collect_list("to")).alias("to"))
+    best = of_pattern.groupBy(*k, "target").agg(F.max_by("to", F.struct("fixed", -F.col("seq"))).alias("to"))
+    return imports.join(best.select(*k, "target", F.col("to.path").alias("aliased")), [*k, "target"], "left")
 
 
 def inherited_aliases(configs: DataFrame, depth: int = 4) -> DataFrame:
-    """Aliases of every configuration with those of the ones it extends, at most ``depth`` up; own patterns replace inherited ones.
-
-    ``configs``: ``repo_id``, ``config``, ``extends``, ``pattern``, ``replacement``, ``seq``.
+    """Aliases of every configuration with those of the ones it extends, at most ``depth`` up.
+
+    A pattern of its own replaces all targets of an inherited one; the base URL
+    is the nearest. ``configs``: ``repo_id``, ``config``, ``extends``,
+    ``base_url``, ``pattern``, ``replacement``, ``seq``, ``nth``; a
+    configuration without aliases is a row with null ``pattern``. Out:
+    ``repo_id``, ``config``, ``pattern``, ``replacement``, ``seq``, ``nth``,
+    ``base_url``; a configuration with a base URL alone is such a row too.
     """
     chain = configs.select("repo_id", "config", F.col("config").alias("owner"), F.lit(0).alias("up")).distinct()
     parents = configs.where("extends is not null").select("repo_id", F.col("config").alias("owner"), "extends").distinct()
@@ -107,32 +118,86 @@ def inherited_aliases(configs: DataFrame, depth: int = 4) -> DataFrame:
     for i in range(1, depth + 1):
         chain = chain.join(parents, ["repo_id", "owner"]).select("repo_id", "config", F.col("extends").alias("owner"), F.lit(i).alias("up"))
         every = every.union(chain)
-    found = every.join(configs.where("pattern is not null").select("repo_id", F.col("config").alias("owner"), "pattern", "replacement", "seq"), ["repo_id", "owner"])
-    near = F.row_number().over(Window.partitionBy("repo_id", "config", "pattern").orderBy("up", "seq"))
-    return found.withColumn("__n", near).where("__n = 1").select("repo_id", "config", "pattern", "replacement", "seq")
+    own = configs.select("repo_id", F.col("config").alias("owner"), "pattern", "replacement", "seq", "nth", F.when(F.col("base_url") != "", F.col("base_url")).alias("base_url"))
+    found = every.join(own, ["repo_id", "owner"])
+    base = found.where("base_url is not null").groupBy("repo_id", "config").agg(F.min_by("base_url", "up").alias("base_url"))
+    near = F.min("up").over(Window.partitionBy("repo_id", "config", "pattern"))
+    kept = found.withColumn("__near", near).where("up = __near").drop("base_url")
+    # What is inherited comes before a configuration's own patterns.
+    place = (F.lit(1000) * (depth - F.col("up")) + F.col("seq")).alias("seq")
+    out = kept.join(base, ["repo_id", "config"], "left").where("pattern is not null or base_url is not null")
+    return out.select("repo_id", "config", "pattern", "replacement", place, "nth", "base_url")
+
+
+# Root files that may hold aliases, in order of trial.
+CONFIGS = ["tsconfig.json", "tsconfig.base.json"]
+
+
+def compiler_configs(files: DataFrame) -> DataFrame:
+    """Rows of all files named like compiler configurations, for ``inherited_aliases``.
+
+    ``files``: ``repo_id``, ``path``, ``text``. Comments and trailing commas
+    are allowed; a file that can't be read gives no row. Only relative
+    ``extends`` are followed, within the repository.
+    """
+
+    def rows(repo: str, path: str, text: str) -> list[tuple]:
+        try:
+            data = json.loads(without_comments(text))
+        except (ValueError, RecursionError):
+            return []
+        options = data.get("compilerOptions") if isinstance(data, dict) else None
+        options = options if isinstance(options, dict) else {}
+        extends = data.get("extends") if isinstance(data, dict) else None
+        start = (repo, path, extends if isinstance(extends, str) and extends.startswith(".") else None, str(options.get("baseUrl") or "") or None)
+        own = options.get("paths")
+        own = [(p, t) for p, t in own.items() if isinstance(t, list)] if isinstance(own, dict) else []
+        return [(*start, p, str(t), seq, nth) for seq, (p, targets) in enumerate(own) for nth, t in enumerate(targets)] or [(*start, None, None, 0, 0)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [r for repo, path, text in zip(part["repo_id"], part["path"], part["text"]) for r in rows(repo, path, text or "")]
+            yield pd.DataFrame(found, columns=["repo_id", "config", "extends", "base_url", "pattern", "replacement", "seq", "nth"])
+
+    named = paths.file_name(F.col("path")).rlike(r"^tsconfig.*\.json$")
+    schema = "repo_id string, config string, extends string, base_url string, pattern string, replacement string, seq int, nth int"
+    found = files.where(named).select("repo_id", "path", "text").mapInPandas(run, schema)
+    parent = paths.normalise(_joined(paths.parent(F.col("config")), F.col("extends")))
+    with_suffix = F.when(parent.endswith(".json"), parent).otherwise(F.concat(parent, F.lit(".json")))
+    return found.withColumn("extends", F.when(parent != "", with_suffix))
+
+
+def repository_aliases(files: DataFrame) -> DataFrame:
+    """The aliases that count in each repository: those of the first of CONFIGS with any, or with a base URL."""
+    every = inherited_aliases(compiler_configs(files)).where(F.col("config").isin(CONFIGS))
+    rank = F.array_position(F.array(*[F.lit(c) for c in CONFIGS]), F.col("config"))
+    first = F.min(rank).over(Window.partitionBy("repo_id"))
+    return every.withColumns({"__rank": rank, "__first": first}).where("__rank = __first and pattern is not null").drop("config", "__rank", "__first")
 
 
 def resolve_typescript(imports: DataFrame, files: DataFrame, by: Sequence[str] = ("repo_id",)) -> DataFrame:
-    """Outcome of TypeScript imports, as ``resolve_python``; ``aliased`` (see ``alias_target``) may be there.
+    """Outcome of TypeScript imports, as ``resolve_python``; ``aliased`` (see ``alias_targets``) may be there.
 
-    Tried in order: the exact path, the path as a stem, a JavaScript suffix
-    swapped for its TypeScript ones, ``index`` in the directory. A relative or
-    aliased miss is unresolved or external respectively, a bare one external.
+    A relative target has one candidate, an aliased one those of its alias in
+    order. Each is tried as the exact path, as a stem, as a stem without a
+    JavaScript suffix, and as a directory with an ``index``, before the next
+    one is; the first hit wins. A miss is unresolved for relative and aliased
+    targets, external for all others.
     """
     k = list(by)
-    own = imports if "aliased" in imports.columns else imports.withColumn("aliased", F.lit(None).cast("string"))
-    own = own.withColumn("__id", _row_key(own))
+    key = [*k, "path", "target"]
+    own = imports if "aliased" in imports.columns else imports.withColumn("aliased", F.lit(None).cast("array<string>"))
     relative = F.col("target").startswith(".")
-    base = F.when(relative, paths.normalise(_joined(paths.parent(F.col("path")), F.col("target")))).otherwise(paths.normalise(F.col("aliased")))
-    own = own.withColumns({"__relative": relative, "__base": base})
-    bare = F.regexp_replace("__base", r"\.(js|jsx|mjs|cjs)$", "")
-    exact = own.where("__base is not null").select("__id", *k, F.col("__base").alias("path")).join(files.select(*k, "path"), [*k, "path"]).select("__id", F.lit(0).alias("priority"), F.col("path").alias("dst"))
-    options = F.array(F.struct(F.lit(1).alias("priority"), F.col("__base").alias("stem")), F.struct(F.lit(2).alias("priority"), bare.alias("stem")), F.struct(F.lit(3).alias("priority"), F.concat("__base", F.lit("/index")).alias("stem")))
-    tried = own.where("__base is not null").select("__id", *k, F.explode(options).alias("c")).select("__id", *k, "c.priority", "c.stem")
-    hit = exact.union(tried.join(stem_index(files, by), [*k, "stem"]).select("__id", "priority", F.col("path").alias("dst")))
-    best = hit.groupBy("__id").agg(F.min_by("dst", "priority").alias("dst"))
-    outcome = F.when(F.col("dst").isNotNull(), "resolved").when(F.col("__relative"), "unresolved").otherwise("external")
-    return own.join(best, "__id", "left").withColumn("outcome", outcome).drop("__id", "__relative", "__base")
+    bases = F.when(relative, F.array(paths.normalise(_joined(paths.parent(F.col("path")), F.col("target"))))).otherwise(F.col("aliased"))
+    asked = own.select(*key, F.posexplode(bases).alias("nth", "base")).where("base <> ''").distinct()
+    bare = F.regexp_replace("base", r"\.(js|jsx|mjs|cjs)$", "")
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), stem.alias("stem")) for i, stem in ((1, F.col("base")), (2, bare), (3, F.concat("base", F.lit("/index"))))])
+    exact = asked.join(files.select(*k, F.col("path").alias("base")), [*k, "base"]).select(*key, "nth", F.lit(0).alias("step"), F.col("base").alias("dst"))
+    stems = stem_index(files, by).withColumnRenamed("path", "dst")
+    tried = asked.select(*key, "nth", F.explode(steps).alias("s")).select(*key, "nth", "s.*").join(stems, [*k, "stem"]).select(*key, "nth", "step", "dst")
+    best = exact.union(tried).groupBy(*key).agg(F.min_by("dst", F.struct("nth", "step")).alias("dst"))
+    outcome = F.when(F.col("dst").isNotNull(), "resolved").when(relative | F.col("aliased").isNotNull(), "unresolved").otherwise("external")
+    return own.join(best, key, "left").withColumn("outcome", outcome)
 
 
 def graph_tables(resolved: DataFrame, with_types: bool = True, by: Sequence[str] = ("repo_id",)) -> dict[str, DataFrame]:

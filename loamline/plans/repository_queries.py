@@ -16,10 +16,12 @@ from loamline.plans.registry import query, table
 from loamline.providers import HashEmbedder
 from loamline.sources import repos
 
+#: A repository is what a market segment has among 300 customers: repositories grow in number with the table, not in size.
+REPO = "c_mktsegment || '-' || CAST(c_custkey - c_custkey % 300 AS STRING)"
 #: Python files: k, the next and the previous key of the repository, whose files are imported.
-KEYS = """keys AS (
-  SELECT c_mktsegment AS repo_id, c_custkey AS k, lead(c_custkey) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS nxt,
-         lag(c_custkey) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS prv FROM customer)"""
+KEYS = f"""keys AS (
+  SELECT repo_id, c_custkey AS k, lead(c_custkey) OVER (PARTITION BY repo_id ORDER BY c_custkey) AS nxt,
+         lag(c_custkey) OVER (PARTITION BY repo_id ORDER BY c_custkey) AS prv FROM (SELECT {REPO} AS repo_id, c_custkey FROM customer))"""
 #: What every eighth body of ``run`` does: its first two lines, a third and a fourth one, and the last line.
 BODIES = [
     ("    try:", "        return v", "    except:", "        return 2"),
@@ -119,6 +121,35 @@ def python_resolution(spark, sf_dir):
     return python_imports(spark, sf_dir).select("repo_id", "path", "line", "target", "scope", "outcome", "dst")
 
 
+#: Packages with and without a package file, a module beside a package of its name, and files of a source folder.
+PACKAGES = f"""packages AS (SELECT repo_id, k, 'lib' || CAST(k AS STRING) AS lib FROM keys),
+package_files AS (
+  SELECT repo_id, k, lib || '/__init__.py' AS path, '' AS text FROM packages WHERE k % 2 = 0
+  UNION ALL SELECT repo_id, k, lib || '/sub.py', '' FROM packages UNION ALL SELECT repo_id, k, lib || '/more.py', '' FROM packages
+  UNION ALL SELECT repo_id, k, lib || '.py', '' FROM packages WHERE k % 5 = 0
+  UNION ALL SELECT repo_id, k, 'src/deep' || CAST(k AS STRING) || '/tool.py', '' FROM packages WHERE k % 3 = 0
+  UNION ALL SELECT repo_id, k, 'old/src/deep' || CAST(k AS STRING) || '/tool.py', '' FROM packages WHERE k % 3 = 0
+  UNION ALL SELECT repo_id, k, lib || '/use.py', 'from . import sub' || chr(10) || 'from ' || lib || ' import sub, more, VALUE' || chr(10) || 'from ' || lib || ' import *' || chr(10)
+    || 'import ' || lib || chr(10) || 'from .sub import x' || chr(10) || 'from deep' || CAST(k AS STRING) || '.tool import y' || chr(10) FROM packages)"""
+
+
+@query(_duck(f"""
+WITH {KEYS}, {PACKAGES}, p AS (SELECT *, lib || '/__init__.py' AS init, lib || '/sub.py' AS sub, lib || '/more.py' AS more, CASE WHEN k % 5 = 0 THEN lib || '.py' END AS module FROM packages),
+told AS (
+  SELECT repo_id, lib, 1 AS line, CASE WHEN k % 2 = 0 THEN 'resolved' ELSE CASE WHEN k % 5 = 0 THEN 'resolved' ELSE 'unresolved' END END AS outcome, CASE WHEN k % 5 = 0 THEN module WHEN k % 2 = 0 THEN sub END AS dst FROM p
+  UNION ALL SELECT repo_id, lib, 2, CASE WHEN k % 2 = 0 OR k % 5 = 0 THEN 'resolved' ELSE 'external' END, CASE WHEN k % 5 = 0 THEN module WHEN k % 2 = 0 THEN sub END FROM p
+  UNION ALL SELECT repo_id, lib, 2, 'resolved', more FROM p WHERE k % 2 = 0 AND k % 5 <> 0
+  UNION ALL SELECT repo_id, lib, x, CASE WHEN k % 2 = 0 OR k % 5 = 0 THEN 'resolved' ELSE 'external' END, CASE WHEN k % 5 = 0 THEN module WHEN k % 2 = 0 THEN init END FROM p, (VALUES (3), (4)) t(x)
+  UNION ALL SELECT repo_id, lib, 5, 'resolved', sub FROM p
+  UNION ALL SELECT repo_id, lib, 6, CASE WHEN k % 3 = 0 THEN 'resolved' ELSE 'external' END, CASE WHEN k % 3 = 0 THEN 'src/deep' || k || '/tool.py' END FROM p)
+SELECT repo_id, lib || '/use.py' AS path, line, outcome, dst FROM told"""))
+def package_resolution(spark, sf_dir):
+    """Imports from packages: the module before the package, members only where there is a package file, the package for ``*``, a source folder by its end."""
+    files = _written(spark, sf_dir, f"{KEYS}, {PACKAGES}", "SELECT repo_id, path, CAST(length(text) AS BIGINT) AS size, text FROM package_files", "customer")
+    out = imports.resolve_python(repos.imports(repos.parse(files)), files)
+    return out.select("repo_id", "path", "line", "outcome", "dst")
+
+
 @query(_duck(f"WITH {WRITTEN}, {LINKS} SELECT repo_id, src, dst, bool_or(at_import_time) AS at_import_time FROM links GROUP BY ALL"))
 def file_graph(spark, sf_dir):
     """Edges of the import graph from the texts on."""
@@ -164,7 +195,7 @@ def python_detectors(spark, sf_dir):
 
 _BIG = "'def big():' || repeat(chr(10) || '    x = 1', 250) || chr(10)"
 _FLAT = "repeat('x = 1' || chr(10), 300)"
-_LONG = f"SELECT DISTINCT c_mktsegment AS repo_id, 'long/big.py' AS path, {_BIG} AS text FROM customer UNION ALL SELECT DISTINCT c_mktsegment, 'long/flat.py', {_FLAT} FROM customer"
+_LONG = f"SELECT DISTINCT {REPO} AS repo_id, 'long/big.py' AS path, {_BIG} AS text FROM customer UNION ALL SELECT DISTINCT {REPO}, 'long/flat.py', {_FLAT} FROM customer"
 
 
 @query(_duck(f"""
@@ -215,20 +246,26 @@ def entry_points(spark, sf_dir):
     return entrypoints.entry_points(files, python_edges(spark, sf_dir))
 
 
-#: TypeScript files: a supplier's imports the next one's in one of four ways.
+#: TypeScript files: a supplier's imports the next one's in one of several ways. A configuration and the one that it extends alias @lib and @.
 TS = """ts_keys AS (
-  SELECT 'ts' || CAST(s_nationkey % 5 AS STRING) AS repo_id, s_suppkey AS k, lead(s_suppkey) OVER (PARTITION BY s_nationkey % 5 ORDER BY s_suppkey) AS nxt FROM supplier),
+  SELECT repo_id, k, lead(k) OVER (PARTITION BY repo_id ORDER BY k) AS nxt
+  FROM (SELECT 'ts' || CAST(s_nationkey % 5 AS STRING) || '-' || CAST(s_suppkey - s_suppkey % 200 AS STRING) AS repo_id, s_suppkey AS k FROM supplier)),
 ts AS (
   SELECT repo_id, k, nxt, CASE WHEN k % 3 = 0 THEN 'src/m' || CAST(k AS STRING) || '/index.ts' ELSE 'src/m' || CAST(k AS STRING) || '.ts' END AS path,
     CASE WHEN nxt % 3 = 0 THEN 'src/m' || CAST(nxt AS STRING) || '/index.ts' ELSE 'src/m' || CAST(nxt AS STRING) || '.ts' END AS nxt_path,
-    CASE WHEN nxt IS NULL OR k % 5 = 4 THEN 'react' WHEN k % 5 = 3 THEN './gone' || CAST(k AS STRING) WHEN k % 5 = 2 THEN '@lib/m' || CAST(nxt AS STRING)
-      ELSE CASE WHEN k % 3 = 0 THEN '../' ELSE './' END || 'm' || CAST(nxt AS STRING) || CASE WHEN k % 5 = 1 THEN '.js' ELSE '' END END AS target
+    CASE WHEN nxt IS NULL OR k % 7 = 4 THEN 'react' WHEN k % 7 = 3 THEN './gone' || CAST(k AS STRING) WHEN k % 7 = 2 THEN '@lib/m' || CAST(nxt AS STRING)
+      WHEN k % 7 = 5 THEN '@lib/none' || CAST(k AS STRING) WHEN k % 7 = 6 THEN '@lib/deep/m' || CAST(nxt AS STRING)
+      ELSE CASE WHEN k % 3 = 0 THEN '../' ELSE './' END || 'm' || CAST(nxt AS STRING) || CASE WHEN k % 7 = 1 THEN '.js' ELSE '' END END AS target
   FROM ts_keys),
 ts_files AS (
   SELECT *, 'import { go } from "' || target || '";' || chr(10) || 'export function go(v: string): string {' || chr(10) || '  return eval(v);' || chr(10) || '}' || chr(10)
     || 'export class K' || CAST(k AS STRING) || ' {' || chr(10) || '  run(v: string) {' || chr(10) || '    try { fetch(v); } catch (e) {}' || chr(10) || '    db.query(`SELECT * FROM t WHERE a = ' || chr(36) || '{v}`);' || chr(10) || '  }' || chr(10) || '}' || chr(10)
     || 'const fast = (a: number) => a + 1;' || chr(10) || 'export type T = string;' || chr(10) AS text
-  FROM ts)"""
+  FROM ts),
+ts_configs AS (
+  SELECT DISTINCT repo_id, 'tsconfig.json' AS path, '{ // built' || chr(10) || '"extends": "./config/tsconfig.shared", "compilerOptions": { "paths": { "@*": ["none/*"], } } }' AS text FROM ts_keys
+  UNION ALL SELECT DISTINCT repo_id, 'config/tsconfig.shared.json', '{"compilerOptions": {"baseUrl": "src", "paths": {"@lib/*": ["first/*", "*"], "@lib/deep/*": ["nowhere/*", "elsewhere/*", "./*"]}}}' FROM ts_keys
+  UNION ALL SELECT DISTINCT repo_id, 'tsconfig.base.json', '{"compilerOptions": {"paths": {"react": ["src/m1"]}}}' FROM ts_keys)"""
 
 
 def typescript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,19 +273,16 @@ def typescript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_duck(f"""
-WITH {TS}
-SELECT repo_id, path, target, CASE WHEN target = 'react' THEN 'external' WHEN starts_with(target, './gone') OR (k % 5 = 1 AND nxt % 3 = 0) THEN CASE WHEN k % 5 = 1 AND nxt % 3 = 0 THEN 'resolved' ELSE 'unresolved' END ELSE 'resolved' END AS outcome,
-       CASE WHEN target <> 'react' AND NOT starts_with(target, './gone') THEN nxt_path END AS dst
-FROM ts_files"""))
+WITH {TS}, told AS (
+  SELECT *, CASE WHEN nxt IS NULL OR k % 7 = 4 THEN 'external' WHEN k % 7 IN (3, 5) OR (k % 7 = 1 AND nxt % 3 = 0) THEN 'unresolved' ELSE 'resolved' END AS outcome FROM ts_files)
+SELECT repo_id, path, target, outcome, CASE WHEN outcome = 'resolved' THEN nxt_path END AS dst FROM told"""))
 def typescript_resolution(spark, sf_dir):
-    """Outcome of TypeScript imports: relative, with a JavaScript suffix, through an inherited alias, of a directory, external, missing."""
+    """Outcome of TypeScript imports: relative, with a JavaScript suffix (which finds files, no directories), of a directory, through the
+    second and third targets of inherited aliases with a base URL, through one whose targets all miss, external, missing."""
     files = typescript_files(spark, sf_dir)
-    own = repos.imports(repos.parse(files))
-    base = files.select("repo_id").distinct()
-    rows = [("tsconfig.json", "tsconfig.base.json", None, None, 0), ("tsconfig.base.json", None, "@lib/*", "src/*", 1), ("tsconfig.base.json", None, "@*", "none/*", 2)]
-    configs = base.crossJoin(spark.createDataFrame(rows, "config string, extends string, pattern string, replacement string, seq int"))  # three rows
-    aliases = imports.inherited_aliases(configs).where("config = 'tsconfig.json'").select("repo_id", "pattern", "replacement", "seq")
-    return imports.resolve_typescript(imports.alias_target(own, aliases), files).select("repo_id", "path", "target", "outcome", "dst")
+    configs = _written(spark, sf_dir, TS, "SELECT repo_id, path, text FROM ts_configs", "supplier")
+    own = imports.alias_targets(repos.imports(repos.parse(files)), imports.repository_aliases(configs))
+    return imports.resolve_typescript(own, files).select("repo_id", "path", "target", "outcome", "dst")
 
 
 @query(_duck(f"""

@@ -1,4 +1,4 @@
-"""Every registered query with SQL against DuckDB, on the smallest tables."""
+"""Every registered query with SQL against DuckDB, on tables large enough for every branch of the SQL to have rows."""
 
 import decimal
 import os
@@ -8,7 +8,7 @@ import pytest
 
 from loamline.plans.catalog import ORACLES, QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 

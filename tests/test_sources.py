@@ -145,7 +145,7 @@ def test_python_resolution(spark):
     df = files(spark, tree)
     found = imports.resolve_python(repos.imports(repos.parse(df)), df)
     got = {(r.path, r.target, r.dst, r.outcome) for r in found.collect()}
-    assert ("pkg/a.py", ".sub", "pkg/sub/b.py", "resolved") in got and ("pkg/a.py", ".", "pkg/sub/__init__.py", "resolved") in got
+    assert ("pkg/a.py", ".sub", "pkg/sub/b.py", "resolved") in got and ("pkg/a.py", ".", "pkg/__init__.py", "resolved") in got  # members are files, not packages
     assert ("pkg/a.py", "pkg.c", "pkg/c.py", "resolved") in got and ("pkg/a.py", "numpy", None, "external") in got
     assert ("pkg/a.py", ".missing", None, "unresolved") in got and ("main.py", "lib.tool", "src/lib/tool.py", "resolved") in got
     assert {d for p, t, d, _ in got if (p, t) == ("main.py", "pkg")} == {"pkg/a.py", "pkg/c.py"}
@@ -156,22 +156,50 @@ def test_python_resolution(spark):
     assert [r.target for r in tables["unresolved"].collect()] == [".missing"]
 
 
+ALIASES = "repo_id string, pattern string, replacement string, seq int, nth int, base_url string"
+
+
 def test_typescript_resolution_with_aliases(spark):
-    tree = {"src/app.ts": 'import a from "@/lib/a";\nimport "./b.js";\nimport "./dir";\nimport "react";\nimport "./gone";\nimport "exact";\nimport type { T } from "./types";', "src/lib/a.tsx": "", "src/b.ts": "", "src/dir/index.ts": "", "src/types.d.ts": "", "vendor/e.ts": ""}
+    tree = {
+        "src/app.ts": 'import a from "@/lib/a";\nimport "./b.js";\nimport "./dir";\nimport "react";\nimport "./gone";\nimport "exact";\nimport type { T } from "./types";\nimport "@/z";\nimport "@/missing/thing";\nimport "./dir.js";\nimport "../../out";',
+        "src/lib/a.tsx": "", "src/b.ts": "", "src/dir/index.ts": "", "src/types.d.ts": "", "vendor/e.ts": "", "lib/z.ts": "", "lib/z/index.ts": "",
+    }
     df = files(spark, tree)
-    alias = spark.createDataFrame([("r", "@/*", "src/*", 0), ("r", "exact", "vendor/e", 1), ("r", "@/lib/*", "src/lib/*", 2)], "repo_id string, pattern string, replacement string, seq int")
-    own = imports.alias_target(repos.imports(repos.parse(df)), alias)
+    rows = [("r", "@/*", "src/*", 0, 0, None), ("r", "@/*", "lib/*", 0, 1, None), ("r", "exact", "vendor/e", 1, 0, None), ("r", "@/lib/*", "src/lib/*", 2, 0, None)]
+    own = imports.alias_targets(repos.imports(repos.parse(df)), spark.createDataFrame(rows, ALIASES))
     found = imports.resolve_typescript(own, df)
     got = {r.target: (r.dst, r.outcome) for r in found.collect()}
     assert got["@/lib/a"] == ("src/lib/a.tsx", "resolved") and got["./b.js"] == ("src/b.ts", "resolved") and got["./dir"] == ("src/dir/index.ts", "resolved")
     assert got["react"] == (None, "external") and got["./gone"] == (None, "unresolved") and got["exact"] == ("vendor/e.ts", "resolved")
+    assert got["@/z"] == ("lib/z.ts", "resolved")  # the second target
+    assert got["@/missing/thing"] == got["./dir.js"] == got["../../out"] == (None, "unresolved")
+    assert {r.target: r.aliased for r in own.collect()}["@/z"] == ["src/z", "lib/z"]
     assert len(imports.graph_tables(found, with_types=False)["edges"].where("dst like '%types%'").collect()) == 0
 
 
+def test_configurations_of_repositories(spark):
+    tree = {
+        "tsconfig.json": '{\n // own\n "extends": "./conf/base", "compilerOptions": {"paths": {"@/*": ["app/*", "lib/*"],},}}',
+        "conf/base.json": '{"compilerOptions": {"baseUrl": "src"}}', "conf/tsconfig.base.json": "{", "tsconfig.base.json": '{"compilerOptions": {"paths": {"#/*": ["x/*"]}}}',
+    }
+    df = files(spark, tree)
+    got = {(r.pattern, r.replacement, r.nth, r.base_url) for r in imports.repository_aliases(df).collect()}
+    assert got == {("@/*", "app/*", 0, None), ("@/*", "lib/*", 1, None)}  # only files named tsconfig*.json are configurations
+    tree["tsconfig.json"] = '{"extends": "./conf/tsconfig.base", "compilerOptions": {"paths": {"@/*": ["app/*"]}}}'
+    tree["conf/tsconfig.base.json"] = '{"extends": "./gone.json", "compilerOptions": {"baseUrl": "src", "paths": {"~/*": ["*"], "@/*": ["old/*", "older/*"]}}}'
+    got = {(r.pattern, r.replacement, r.base_url) for r in imports.repository_aliases(files(spark, tree)).collect()}
+    assert got == {("@/*", "app/*", "src"), ("~/*", "*", "src")}
+    tree["tsconfig.json"] = '{"compilerOptions": {"baseUrl": "."}}'
+    assert imports.repository_aliases(files(spark, tree)).collect() == []
+    del tree["tsconfig.json"]
+    assert [(r.pattern, r.replacement) for r in imports.repository_aliases(files(spark, tree)).collect()] == [("#/*", "x/*")]
+
+
 def test_inherited_aliases(spark):
-    rows = [("r", "a.json", "b.json", "@/*", "src/*", 0), ("r", "b.json", "c.json", "@/*", "old/*", 0), ("r", "b.json", "c.json", "~/*", "lib/*", 1), ("r", "c.json", None, "#/*", "root/*", 0)]
-    out = imports.inherited_aliases(spark.createDataFrame(rows, "repo_id string, config string, extends string, pattern string, replacement string, seq int"))
-    assert {(r.pattern, r.replacement) for r in out.where("config = 'a.json'").collect()} == {("@/*", "src/*"), ("~/*", "lib/*"), ("#/*", "root/*")}
+    rows = [("r", "a.json", "b.json", None, "@/*", "src/*", 0, 0), ("r", "b.json", "c.json", "base", "@/*", "old/*", 0, 0), ("r", "b.json", "c.json", "base", "~/*", "lib/*", 1, 0), ("r", "c.json", None, "far", "#/*", "root/*", 0, 0), ("r", "d.json", "d.json", None, None, None, 0, 0)]
+    out = imports.inherited_aliases(spark.createDataFrame(rows, "repo_id string, config string, extends string, base_url string, pattern string, replacement string, seq int, nth int"))
+    assert {(r.pattern, r.replacement, r.base_url) for r in out.where("config = 'a.json'").collect()} == {("@/*", "src/*", "base"), ("~/*", "lib/*", "base"), ("#/*", "root/*", "base")}
+    assert out.where("config = 'd.json'").collect() == []
 
 
 def test_entry_points(spark):
