@@ -1,7 +1,4 @@
-"""Python sources through the standard parser: symbols, imports, calls worth a review, chunks.
-
-One visit of a tree yields everything that the operators need of it.
-"""
+"""Python sources through the standard parser: symbols, imports and definitions in one visit, and all nodes as rows."""
 
 from __future__ import annotations
 
@@ -9,29 +6,6 @@ import ast
 import re
 from dataclasses import dataclass, field
 
-# Calls that the review detectors look for.
-IO_CALLS = {
-    "os": {"remove", "unlink", "rmdir", "mkdir", "makedirs", "rename", "listdir"},
-    "shutil": {"copy", "copytree", "move", "rmtree"},
-    "requests": {"get", "post", "put", "delete", "patch", "head", "request"},
-    "httpx": {"get", "post", "put", "delete", "patch", "head", "request"},
-    "urllib": {"urlopen"},
-    "socket": {"connect", "bind", "send", "recv", "sendall"},
-    "subprocess": {"run", "call", "check_call", "check_output", "Popen"},
-    "json": {"load", "loads"},
-    "pickle": {"load", "loads"},
-    "yaml": {"load", "safe_load"},
-    "sqlite3": {"connect"},
-}
-IO_BUILTINS = {"open", "urlopen"}
-SQL_WORDS = re.compile(r"(?i)\b(select|insert\s+into|update|delete\s+from|where|from|join|union)\b")
-SQL_EXECUTORS = {"execute", "executemany", "executescript", "query", "raw"}
-SHELL_CALLS = {"system", "popen", "getoutput", "getstatusoutput"}
-SUBPROCESS_CALLS = {"run", "call", "check_call", "check_output", "Popen"}
-UNSAFE_MODULES = {"pickle", "cPickle", "dill", "shelve", "marshal"}
-UNSAFE_LOADS = {"loads", "load"}
-UNSAFE_EVAL = {"eval", "exec"}
-
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -41,7 +15,6 @@ class Source:
 
     symbols: list[tuple] = field(default_factory=list)  # name, kind, start, end, parent
     imports: list[tuple] = field(default_factory=list)  # line, target, kind, scope, names
-    candidates: list[tuple] = field(default_factory=list)  # category, kind, line, evidence, confidence, enclosing
     definitions: list[tuple] = field(default_factory=list)  # start, end, name, parent, kind, statement starts, first method line
     reason: str = ""
 
@@ -50,23 +23,6 @@ def first_line(node: ast.AST) -> int:
     return min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))])
 
 
-def _dynamic(node: ast.AST) -> bool:
-    """A string put together at run time: f-string with values, literal + or % something, literal.format(...)."""
-    if isinstance(node, ast.JoinedStr):
-        return any(isinstance(v, ast.FormattedValue) for v in node.values)
-    if isinstance(node, ast.BinOp) and isinstance(node.op, (ast.Add, ast.Mod)):
-        left = node.left
-        return _dynamic(left) or isinstance(left, ast.JoinedStr) or isinstance(left, ast.Constant) and isinstance(left.value, str)
-    return isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "format" and isinstance(node.func.value, ast.Constant) and isinstance(node.func.value.value, str)
-
-
-def _call(node: ast.Call) -> tuple[str, str]:
-    """Object text and method of a call; an empty object for a bare name."""
-    if isinstance(node.func, ast.Attribute):
-        return ast.unparse(node.func.value), node.func.attr
-    return "", node.func.id if isinstance(node.func, ast.Name) else ""
-
-
 class _Visit:
     def __init__(self) -> None:
         self.out = Source()
@@ -75,8 +31,8 @@ class _Visit:
         for n in nodes:
             self.node(n, **at)
 
-    def node(self, n: ast.AST, classes: tuple = (), function: str = "", scope: str = "module", in_try: bool = False, managed: bool = False) -> None:
-        at = {"classes": classes, "function": function, "scope": scope, "in_try": in_try, "managed": managed}
+    def node(self, n: ast.AST, classes: tuple = (), scope: str = "module") -> None:
+        at = {"classes": classes, "scope": scope}
         if isinstance(n, (*FUNCTIONS, ast.ClassDef)):
             self.definition(n, at)
             return
@@ -85,29 +41,13 @@ class _Visit:
         elif isinstance(n, ast.ImportFrom):
             self.out.imports.append((n.lineno, "." * n.level + (n.module or ""), "from", scope, [a.name for a in n.names]))
         elif isinstance(n, ast.If):
-            self.node(n.test, **at)
             guarded = "TYPE_CHECKING" in ast.unparse(n.test) and scope == "module"
-            self.body(n.body, **{**at, "scope": "type_guarded" if guarded else scope})
+            self.body(n.body, classes=classes, scope="type_guarded" if guarded else scope)
             self.body(n.orelse, **at)
             return
-        elif isinstance(n, (ast.Try, ast.TryStar)):
-            self.body(n.body, **{**at, "in_try": True})
-            for h in n.handlers:
-                self.handler(h, function)
-                self.body(h.body, **at)
-            self.body(n.orelse + n.finalbody, **at)
-            return
-        elif isinstance(n, (ast.With, ast.AsyncWith)):
-            for item in n.items:
-                self.node(item.context_expr, **{**at, "managed": True})
-            self.body(n.body, **{**at, "managed": True})
-            return
-        elif isinstance(n, (ast.Assign, ast.AnnAssign)) and n.value is not None:
-            self.assigned(n.value, at)
-        elif isinstance(n, ast.Call):
-            self.called(n, at)
         for child in ast.iter_child_nodes(n):
-            self.node(child, **at)
+            if not isinstance(child, ast.expr):
+                self.node(child, **at)
 
     def definition(self, n, at: dict) -> None:
         classes, is_class = at["classes"], isinstance(n, ast.ClassDef)
@@ -117,47 +57,10 @@ class _Visit:
         self.out.symbols.append((n.name, kind, start, n.end_lineno, parent))
         methods = [first_line(m) for m in n.body if isinstance(m, FUNCTIONS)] if is_class else []
         self.out.definitions.append((start, n.end_lineno, n.name, parent, kind, [first_line(s) for s in n.body], min(methods, default=0)))
-        for d in n.decorator_list:
-            self.node(d, **at)
         if is_class:
-            for b in n.bases + [k.value for k in n.keywords]:
-                self.node(b, **at)
             self.body(n.body, **{**at, "classes": (*classes, n.name)})
         else:
-            self.node(n.args, **at)
-            self.body(n.body, classes=(), function=n.name, scope="deferred", in_try=at["in_try"], managed=False)
-
-    def add(self, category: str, kind: str, n: ast.AST, evidence: str, confidence: str, function: str) -> None:
-        self.out.candidates.append((category, kind, n.lineno, evidence, confidence, function))
-
-    def handler(self, h: ast.ExceptHandler, function: str) -> None:
-        if h.type is None:
-            self.add("error_handling", "bare_except", h, "handler without a type", "certain", function)
-        if all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and s.value.value is ... for s in h.body):
-            self.add("error_handling", "swallowed_exception", h, "handler without a statement", "certain", function)
-
-    def assigned(self, value: ast.expr, at: dict) -> None:
-        if isinstance(value, ast.Call) and _call(value)[1] == "open" and not at["managed"]:
-            self.add("error_handling", "unclosed_resource", value, "open() assigned outside with", "contextual", at["function"])
-        if _dynamic(value) and SQL_WORDS.search(ast.unparse(value)):
-            self.add("security", "sql_injection", value, "SQL text put together from values", "contextual", at["function"])
-
-    def called(self, n: ast.Call, at: dict) -> None:
-        obj, name = _call(n)
-        last, first = obj.rpartition(".")[2], n.args[0] if n.args else None
-        f = at["function"]
-        if not at["in_try"] and (name in IO_CALLS.get(last, ()) or not obj and name in IO_BUILTINS):
-            self.add("error_handling", "unprotected_io", n, f"{obj + '.' if obj else ''}{name} outside try", "contextual", f)
-        dynamic = first is not None and _dynamic(first)
-        if name in SQL_EXECUTORS and dynamic:
-            self.add("security", "sql_injection", n, f"{name} on SQL put together from values", "certain", f)
-        shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in n.keywords)
-        if name in SHELL_CALLS and dynamic or obj in ("subprocess", "sp") and name in SUBPROCESS_CALLS and shell:
-            self.add("security", "command_injection", n, f"{name} runs a shell", "certain" if dynamic else "contextual", f)
-        loads = obj in UNSAFE_MODULES and name in UNSAFE_LOADS
-        unsafe_yaml = obj == "yaml" and name == "load" and "Loader" not in ast.unparse(n)
-        if loads or unsafe_yaml or not obj and name in UNSAFE_EVAL:
-            self.add("security", "unsafe_deserialization", n, f"{obj + '.' if obj else ''}{name}", "certain", f)
+            self.body(n.body, classes=(), scope="deferred")
 
 
 #: Lines at the margin that go on with what stands above them.
@@ -200,5 +103,68 @@ def read(text: str) -> Source:
     out = visit.out
     out.symbols = sorted(dict.fromkeys(out.symbols), key=lambda s: (s[2], s[0]))
     out.imports.sort(key=lambda i: (i[0], i[1]))
-    out.candidates.sort(key=lambda c: (c[2], c[1]))
     return out
+
+
+#: Lists of statements and the like: each is a node of its own, so that being inside one is containment.
+REGIONS = {"body", "orelse", "finalbody", "handlers", "items", "decorator_list"}
+
+
+def _label(n: ast.AST) -> tuple[str, str | None]:
+    """What a node is called, and the text that it stands for: of a call the object that it is made on, of a constant its string."""
+    if isinstance(n, ast.Call):
+        f = n.func
+        return (f.attr, ast.unparse(f.value)) if isinstance(f, ast.Attribute) else (f.id if isinstance(f, ast.Name) else "", "")
+    if isinstance(n, ast.Constant):
+        return ("str", n.value) if isinstance(n.value, str) else (repr(n.value)[:100], None)
+    if isinstance(n, ast.ImportFrom):
+        return "." * n.level + (n.module or ""), None
+    if isinstance(n, ast.BinOp):
+        return type(n.op).__name__, None
+    for own in ("name", "id", "attr", "arg"):
+        if isinstance(value := getattr(n, own, None), str):
+            return value, None
+    return "", None
+
+
+def nodes(text: str) -> tuple[list[tuple], str]:
+    """(enter, leave, depth, parent, kind, field, nth, name, text, start_line, end_line) of every node, and why there is none.
+
+    Nodes are numbered as they are entered; ``leave`` is the last number inside.
+    Decorators count to the lines of what they decorate.
+    """
+    body, why = statements(text)
+    if why and not body:
+        return [], why
+    rows: list[list] = []
+
+    def put(kind: str, field: str, nth: int, parent: int, depth: int, name: str, said: str | None, lines: tuple[int, int]) -> int:
+        rows.append([len(rows), 0, depth, parent, kind, field, nth, name, said, *lines])
+        return len(rows) - 1
+
+    def walk(n: ast.AST, field: str, nth: int, parent: int, depth: int, lines: tuple[int, int]) -> None:
+        if hasattr(n, "lineno"):
+            lines = (first_line(n), n.end_lineno or n.lineno)
+        kind = type(n).__name__
+        name, said = _label(n)
+        me = put(kind, field, nth, parent, depth, name, said, lines)
+        for f, value in ast.iter_fields(n):
+            if isinstance(value, list) and f in REGIONS and value and isinstance(value[0], ast.AST):
+                inside = [(first_line(c), c.end_lineno) for c in value if hasattr(c, "lineno")]
+                at = (min(a for a, _ in inside), max(b for _, b in inside)) if inside else lines
+                region = put(f"{kind}.{f}", f, 0, me, depth + 1, name, None, at)
+                for i, c in enumerate(value):
+                    walk(c, f, i, region, depth + 2, at)
+                rows[region][1] = len(rows) - 1
+            else:
+                for i, c in enumerate(value if isinstance(value, list) else [value]):
+                    if isinstance(c, ast.AST) and not isinstance(c, (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)):
+                        walk(c, f, i, me, depth + 1, lines)
+        rows[me][1] = len(rows) - 1
+
+    try:
+        for i, n in enumerate(body):
+            walk(n, "body", i, -1, 0, (1, 1))
+    except RecursionError:
+        return [], "too deep"
+    return [tuple(r) for r in rows], ""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import paths, text
+from loamline.operators import syntax
 from loamline.operators.ranking import file_rank, top_per
 from loamline.providers import Judge
 
@@ -71,22 +72,21 @@ def secret_candidates(files: DataFrame, least_entropy: float = text.LEAST_ENTROP
     return rows.select("repo_id", "path", F.lit("security").alias("category"), F.lit("hardcoded_secret").alias("kind"), "line", hidden.alias("snippet"), "evidence", "confidence", F.lit("").alias("enclosing"))
 
 
-def code_candidates(parsed: DataFrame, files: DataFrame) -> DataFrame:
-    """Candidates of parsed files with their snippets, by line and kind."""
-    c = parsed.where("status = 'parsed'").select("repo_id", "path", F.explode("candidates").alias("c")).select("repo_id", "path", "c.*")
+def code_candidates(table: DataFrame, files: DataFrame) -> DataFrame:
+    """Candidates of the detectors with their snippets; ``table`` holds the files' syntax nodes, stored or persisted."""
     lines = files.select("repo_id", "path", text.lines(F.col("text")).alias("lines"))
     first = F.greatest(F.col("line") - RADIUS, F.lit(1))
     snippet = F.array_join(F.slice("lines", first, F.col("line") + RADIUS - first + 1), "\n")
-    return c.join(lines, ["repo_id", "path"]).select("repo_id", "path", "category", "kind", "line", snippet.alias("snippet"), "evidence", "confidence", "enclosing")
+    return syntax.candidates(table).join(lines, ["repo_id", "path"]).select("repo_id", "path", "category", "kind", "line", snippet.alias("snippet"), "evidence", "confidence", "enclosing")
 
 
 def collect_candidates(files: DataFrame, parsed: DataFrame, targets: DataFrame) -> DataFrame:
     """All candidates of the target files: detectors and secrets where a file parses, secrets alone in secret-shaped files, nothing else."""
     own = files.join(targets.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
-    good = parsed.where("status = 'parsed'").select("repo_id", "path", "candidates", "status")
+    good = parsed.where("status = 'parsed'").select("repo_id", "path")
     readable = own.join(good, ["repo_id", "path"], "left_semi")
     shaped = own.where(paths.secret_shaped(F.col("path"))).join(good, ["repo_id", "path"], "left_anti")
-    return code_candidates(good.join(own, ["repo_id", "path"], "left_semi"), own).unionByName(secret_candidates(readable.unionByName(shaped)))
+    return code_candidates(syntax.nodes(readable).persist(), readable).unionByName(secret_candidates(readable.unionByName(shaped)))
 
 
 def review_targets(files: DataFrame, centrality: DataFrame, churn: DataFrame, n: int = REVIEW_TARGETS, with_secret_files: bool = False) -> DataFrame:

@@ -1,9 +1,9 @@
 """TypeScript sources through a small tokeniser and brace matcher.
 
 Covers declarations (functions, classes with methods, interfaces, type
-aliases, arrow functions bound by a single const), imports and re-exports,
-empty catch blocks and the calls that the detectors look for. Strings,
-templates, regular expressions and comments are skipped as tokens.
+aliases, arrow functions bound by a single const), imports and re-exports, try
+and catch blocks and calls. Strings, templates, regular expressions and
+comments are skipped as tokens.
 """
 
 from __future__ import annotations
@@ -12,13 +12,6 @@ import re
 
 from loamline.operators.python_source import Source
 
-# Calls that the review detectors look for.
-IO_CALLS = {"fs": {"readFile", "writeFile", "readFileSync", "writeFileSync", "unlink"}, "JSON": {"parse"}}
-IO_BUILTINS = {"fetch"}
-SHELL_CALLS = {"exec", "execSync", "spawnSync", "spawn"}
-UNSAFE_EVAL = {"eval", "Function"}
-SQL_EXECUTORS = {"execute", "executemany", "executescript", "query", "raw"}
-
 TOKEN = re.compile(
     r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`)"""
     r"""|(?P<regex>(?<![\w)\]])\s*/(?![/*\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)|(?P<word>[A-Za-z_$][\w$]*)|(?P<arrow>=>)|(?P<mark>[{}()\[\];,=.:<>+*?&|!-])|(?P<number>\d[\w.]*)""",
@@ -27,6 +20,12 @@ TOKEN = re.compile(
 NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "function", "new", "await", "typeof", "constructor_"}
 
 
+#: Words before a bracket that call nothing.
+NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "function", "typeof", "await"}
+#: Of spans on the same tokens, leaves come inside.
+LEAVES = {"string": 1, "word": 1, "number": 1}
+
+
 class _Tokens:
     def __init__(self, text: str):
         self.kind, self.text, self.line = [], [], []
@@ -69,11 +68,17 @@ def _block(t: _Tokens, i: int) -> tuple[int, int] | None:
     return (b, t.match[b]) if b >= 0 and b in t.match else None
 
 
+#: First and last token, kind, name, text, first line.
+Span = tuple[int, int, str, str, str | None, int]
+
+
 def read(text: str) -> Source:
-    t, out = _Tokens(text), Source()
-    blocks: list[tuple[int, int, str]] = []  # open, close, function name
-    tries: list[tuple[int, int]] = []
+    """Symbols, imports and definitions of a file."""
+    return _scan(_Tokens(text))[0]
+
 
+def _scan(t: _Tokens) -> tuple[Source, list[Span]]:
+    out, spans = Source(), []
     def start_line(i: int) -> int:
         while i > 0 and t.is_(i - 1, "export", "default", "async", "abstract", "declare", "public", "private", "protected", "static", "readonly", "const", "override"):
             i -= 1
@@ -82,10 +87,10 @@ def read(text: str) -> Source:
     def add(i: int, name: str, kind: str, span: tuple[int, int], parent: str | None = None, methods: int = 0) -> None:
         begin, end = start_line(i), t.line[span[1]]
         out.symbols.append((name, kind, begin, end, parent))
+        spans.append((i, span[1], kind, name, None, begin))
+        spans.append((*span, f"{kind}.body", name, None, t.line[span[0]]))
         if kind in ("function", "method", "class"):
             out.definitions.append((begin, end, name, parent, kind, sorted({t.line[j + 1] for j in range(span[0], span[1]) if t.is_(j, "{", ";", "}") and j + 1 < span[1]}), methods))
-            if kind != "class":
-                blocks.append((*span, name))
 
     def arrow(i: int) -> tuple[int, int] | None:
         """Body of a function value that starts at ``i``."""
@@ -151,6 +156,7 @@ def read(text: str) -> Source:
                 names = [t.text[k] for k in range(i + 1, j) if t.kind[k] == "word" and t.text[k] not in ("type", "from", "as")] + (["*"] if any(t.is_(k, "*") for k in range(i + 1, j)) else [])
                 kind = "type_only" if nxt == "type" and not t.is_(i + 2, "from", ",") else "module" if j == i + 1 else "from"
                 out.imports.append((t.line[i], t.text[j][1:-1], kind, "module", names))
+                spans.append((i, j, "import", t.text[j][1:-1], None, t.line[i]))
         elif w == "export" and i + 1 < len(t) and t.is_(i + 1, "*", "{", "type"):
             k = i + 2 if nxt == "type" else i + 1
             k = t.match.get(k, k) + 1 if t.is_(k, "{") else k + 1
@@ -158,36 +164,53 @@ def read(text: str) -> Source:
             if j >= 0 and any(t.is_(x, "from") for x in range(k, j)):
                 names = ["*"] if nxt == "*" else [t.text[x] for x in range(i + 1, k) if t.kind[x] == "word" and t.text[x] not in ("as", "type")]
                 out.imports.append((t.line[i], t.text[j][1:-1], "reexport", "module", names))
+                spans.append((i, j, "import", t.text[j][1:-1], None, t.line[i]))
         elif w == "try" and t.is_(i + 1, "{") and i + 1 in t.match:
-            tries.append((i + 1, t.match[i + 1]))
-
-    def enclosing(i: int) -> str:
-        return max(((a, n) for a, b, n in blocks if a < i < b), default=(0, ""))[1]
-
-    for i in range(len(t)):
-        if t.kind[i] != "word":
-            continue
-        w = t.text[i]
-        if w == "catch":
+            spans.append((i + 1, t.match[i + 1], "try.body", "", None, t.line[i + 1]))
+        elif w == "catch":
             j = t.match.get(i + 1, i + 1) + 1 if t.is_(i + 1, "(") else i + 1
-            if t.is_(j, "{") and t.match.get(j) == j + 1:
-                out.candidates.append(("error_handling", "swallowed_exception", t.line[i], "catch without a statement", "certain", enclosing(i)))
-        if not t.is_(i + 1, "("):
-            continue
-        dotted = t.is_(i - 1, ".")
-        obj = t.text[i - 2] if dotted and i > 1 else ""
-        first, after = i + 2, t.text[i + 3] if i + 3 < len(t) else ""
-        literal = first < len(t) and t.kind[first] == "string"
-        dynamic = literal and ("${" in t.text[first] and t.text[first][0] == "`" or after == "+")
-        if (w in IO_CALLS.get(obj, ()) or not dotted and w in IO_BUILTINS) and not any(a < i < b for a, b in tries):
-            out.candidates.append(("error_handling", "unprotected_io", t.line[i], f"{obj + '.' if obj else ''}{w} outside try", "contextual", enclosing(i)))
-        if w in SQL_EXECUTORS and dynamic:
-            out.candidates.append(("security", "sql_injection", t.line[i], f"{w} on SQL put together from values", "certain", enclosing(i)))
-        if w in SHELL_CALLS and dynamic:
-            out.candidates.append(("security", "command_injection", t.line[i], f"{w} runs a shell", "certain", enclosing(i)))
-        if not dotted and w in UNSAFE_EVAL:
-            out.candidates.append(("security", "unsafe_deserialization", t.line[i], w, "certain", enclosing(i)))
+            if t.is_(j, "{") and j in t.match:
+                spans += [(i, t.match[j], "catch", "", None, t.line[i]), (j, t.match[j], "catch.body", "", None, t.line[j])]
+
     out.symbols = sorted(dict.fromkeys(out.symbols), key=lambda s: (s[2], s[0]))
     out.imports.sort(key=lambda x: (x[0], x[1]))
-    out.candidates.sort(key=lambda c: (c[2], c[1]))
-    return out
+    return out, spans
+
+
+def nodes(text: str) -> tuple[list[tuple], str]:
+    """Rows as ``python_source.nodes`` gives them.
+
+    Declarations and their bodies, try and catch blocks, imports, calls with
+    their arguments in brackets, and as leaves the words, strings, templates
+    and numbers. A call is named by its function and has as text what it is
+    made on; ``nth`` is 0 for what stands first in a bracket, else 1. A string is ``str``, or ``joined`` where a ``+`` follows; a
+    template is ``template``, or ``filled`` with values in it.
+    """
+    t = _Tokens(text)
+    spans = _scan(t)[1]
+    for i, (kind, word) in enumerate(zip(t.kind, t.text)):
+        if kind == "word" and t.is_(i + 1, "(") and i + 1 in t.match and word not in NOT_CALLS and not t.is_(i - 1, "function"):
+            on = t.text[i - 2] if t.is_(i - 1, ".") and i > 1 else None
+            first = i - 2 if on is not None else i
+            spans.append((first, t.match[i + 1], "call", word, on, t.line[i]))
+            spans.append((i + 1, t.match[i + 1], "call.args", word, None, t.line[i + 1]))
+        if kind == "string":
+            label = ("filled" if "${" in word else "template") if word[0] == "`" else "joined" if t.is_(i + 1, "+") else "str"
+            spans.append((i, i, "string", label, word, t.line[i]))
+        elif kind in ("word", "number"):
+            spans.append((i, i, kind, word, None, t.line[i]))
+    spans.sort(key=lambda s: (s[0], -s[1], LEAVES.get(s[2], 0)))
+    rows: list[list] = []
+    open_: list[tuple[int, int]] = []  # last token, row
+    for a, b, kind, name, said, line in spans:
+        while open_ and open_[-1][0] < a:
+            rows[open_.pop()[1]][1] = len(rows) - 1
+        if open_ and b > open_[-1][0]:
+            continue  # crosses what it begins in: not a node
+        parent = open_[-1][1] if open_ else -1
+        nth = 0 if t.is_(a - 1, "(") else 1
+        rows.append([len(rows), 0, len(open_), parent, kind, "", nth, name, said, line, t.line[b]])
+        open_.append((b, len(rows) - 1))
+    while open_:
+        rows[open_.pop()[1]][1] = len(rows) - 1
+    return [tuple(r) for r in rows], ""

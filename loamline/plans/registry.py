@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +28,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the checkpoint folder that all executors share; one of this machine only for a local session that names none."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None and not sc.getConf().get("spark.checkpoint.dir"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "loamline-checkpoints"))
+    return df.checkpoint()

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.operators import chunks, entrypoints, graph, imports, lookup, modules, payloads, report, review, search
-from loamline.plans.registry import query, table
+from loamline.operators import chunks, entrypoints, graph, imports, lookup, modules, payloads, report, review, search, syntax
+from loamline.plans.registry import query, stored, table
 from loamline.providers import HashEmbedder
 from loamline.sources import repos
 
@@ -92,7 +92,7 @@ UNION ALL SELECT repo_id, path, 'C' || k, 'class', 7, 10 FROM files UNION ALL SE
 UNION ALL SELECT repo_id, path, 'run', 'function', 12, last_line FROM files"""))
 def python_symbols(spark, sf_dir):
     """Functions, classes and methods of Python files with their lines."""
-    return repos.symbols(parsed_python(spark, sf_dir)).select("repo_id", "path", "qualified_name", "kind", "start_line", "end_line")
+    return syntax.symbols(stored(syntax.nodes(python_files(spark, sf_dir)))).select("repo_id", "path", "qualified_name", "kind", "start_line", "end_line")
 
 
 IMPORTED = f"""{WRITTEN},
@@ -190,7 +190,8 @@ SELECT repo_id, path, CASE WHEN kind IN ('sql_injection', 'command_injection', '
 FROM files JOIN rules ON i = k % 8"""))
 def python_detectors(spark, sf_dir):
     """What the detectors find in Python files, with the lines around it."""
-    return review.code_candidates(parsed_python(spark, sf_dir), python_files(spark, sf_dir)).select("repo_id", "path", "category", "kind", "line", "evidence", "confidence", "enclosing", "snippet")
+    files = python_files(spark, sf_dir)
+    return review.code_candidates(stored(syntax.nodes(files)), files).select("repo_id", "path", "category", "kind", "line", "evidence", "confidence", "enclosing", "snippet")
 
 
 _BIG = "'def big():' || repeat(chr(10) || '    x = 1', 250) || chr(10)"
@@ -260,7 +261,9 @@ ts AS (
 ts_files AS (
   SELECT *, 'import { go } from "' || target || '";' || chr(10) || 'export function go(v: string): string {' || chr(10) || '  return eval(v);' || chr(10) || '}' || chr(10)
     || 'export class K' || CAST(k AS STRING) || ' {' || chr(10) || '  run(v: string) {' || chr(10) || '    try { fetch(v); } catch (e) {}' || chr(10) || '    db.query(`SELECT * FROM t WHERE a = ' || chr(36) || '{v}`);' || chr(10) || '  }' || chr(10) || '}' || chr(10)
-    || 'const fast = (a: number) => a + 1;' || chr(10) || 'export type T = string;' || chr(10) AS text
+    || 'const fast = (a: number) => a + 1;' || chr(10) || 'export type T = string;' || chr(10)
+    || 'const outer = (a: string) => {' || chr(10) || '  function inner(b: string) {' || chr(10) || '    fs.readFile(b);' || chr(10) || '    try { JSON.parse(b); } catch { fetch(b); }' || chr(10) || '  }' || chr(10)
+    || '  return [a].map((c) => exec("ls " + c));' || chr(10) || '};' || chr(10) AS text
   FROM ts),
 ts_configs AS (
   SELECT DISTINCT repo_id, 'tsconfig.json' AS path, '{ // built' || chr(10) || '"extends": "./config/tsconfig.shared", "compilerOptions": { "paths": { "@*": ["none/*"], } } }' AS text FROM ts_keys
@@ -287,19 +290,19 @@ def typescript_resolution(spark, sf_dir):
 
 @query(_duck(f"""
 WITH {TS} SELECT repo_id, path, name, kind, s AS start_line, e AS end_line, CASE WHEN kind = 'method' THEN 'K' || k END AS parent
-FROM ts_files, (VALUES ('go', 'function', 2, 4), ('K', 'class', 5, 10), ('run', 'method', 6, 9), ('fast', 'function', 11, 11), ('T', 'type_alias', 12, 12)) x(n, kind, s, e), LATERAL (SELECT CASE WHEN n = 'K' THEN 'K' || k ELSE n END AS name)"""))
+FROM ts_files, (VALUES ('go', 'function', 2, 4), ('K', 'class', 5, 10), ('run', 'method', 6, 9), ('fast', 'function', 11, 11), ('T', 'type_alias', 12, 12), ('outer', 'function', 13, 19), ('inner', 'function', 14, 17)) x(n, kind, s, e), LATERAL (SELECT CASE WHEN n = 'K' THEN 'K' || k ELSE n END AS name)"""))
 def typescript_symbols(spark, sf_dir):
     """Declarations of TypeScript files."""
-    return repos.symbols(repos.parse(typescript_files(spark, sf_dir))).select("repo_id", "path", "name", "kind", "start_line", "end_line", "parent")
+    return syntax.symbols(stored(syntax.nodes(typescript_files(spark, sf_dir)))).select("repo_id", "path", "name", "kind", "start_line", "end_line", "parent")
 
 
 @query(_duck(f"""
 WITH {TS} SELECT repo_id, path, kind, line, enclosing
-FROM ts_files, (VALUES ('unsafe_deserialization', 3, 'go'), ('swallowed_exception', 7, 'run'), ('sql_injection', 8, 'run')) x(kind, line, enclosing)"""))
+FROM ts_files, (VALUES ('unsafe_deserialization', 3, 'go'), ('swallowed_exception', 7, 'run'), ('sql_injection', 8, 'run'), ('unprotected_io', 15, 'inner'), ('unprotected_io', 16, 'inner'), ('command_injection', 18, 'outer')) x(kind, line, enclosing)"""))
 def typescript_detectors(spark, sf_dir):
     """What the detectors find in TypeScript files."""
     files = typescript_files(spark, sf_dir)
-    return review.code_candidates(repos.parse(files), files).select("repo_id", "path", "kind", "line", "enclosing")
+    return review.code_candidates(stored(syntax.nodes(files)), files).select("repo_id", "path", "kind", "line", "enclosing")
 
 
 #: Small repositories for clustering: two directories coupled above, below or at the threshold, one that falls apart.

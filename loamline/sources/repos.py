@@ -21,14 +21,12 @@ PARSED = (
     "repo_id string, path string, language string, status string, reason string,"
     " symbols array<struct<name:string,kind:string,start_line:int,end_line:int,parent:string>>,"
     " imports array<struct<line:int,target:string,kind:string,scope:string,names:array<string>>>,"
-    " candidates array<struct<category:string,kind:string,line:int,evidence:string,confidence:string,enclosing:string>>,"
     " definitions array<struct<start_line:int,end_line:int,name:string,parent:string,kind:string,statements:array<int>,first_method:int>>"
 )
 
 NESTED = {
     "symbols": ["name", "kind", "start_line", "end_line", "parent"],
     "imports": ["line", "target", "kind", "scope", "names"],
-    "candidates": ["category", "kind", "line", "evidence", "confidence", "enclosing"],
     "definitions": ["start_line", "end_line", "name", "parent", "kind", "statements", "first_method"],
 }
 
@@ -91,7 +89,7 @@ def parse(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
                     out.reason = "not UTF-8"
                 else:
                     out = (python_source if python else typescript_source).read(content)
-                rows.append((repo, path, "python" if python else "typescript", "unparsed" if out.reason else "parsed", out.reason or None, out.symbols, out.imports, out.candidates, out.definitions))
+                rows.append((repo, path, "python" if python else "typescript", "unparsed" if out.reason else "parsed", out.reason or None, out.symbols, out.imports, out.definitions))
             table = pd.DataFrame(rows, columns=["repo_id", "path", "language", "status", "reason", *NESTED])
             for name, names in NESTED.items():
                 table[name] = [[dict(zip(names, r)) for r in v] for v in table[name]]

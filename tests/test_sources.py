@@ -82,19 +82,6 @@ def test_python_imports_and_scopes():
     assert got["..pkg.mod", "module"] == ["a", "b"] and got["x", "module"] == ["*"]
 
 
-def test_python_candidates():
-    kinds = [(k, c) for _, k, _, _, c, _ in python_source.read(PY).candidates]
-    count = lambda k: sum(x == k for x, _ in kinds)
-    assert count("bare_except") == count("swallowed_exception") == 1
-    assert sorted(c for k, c in kinds if k == "sql_injection") == ["certain", "contextual"]
-    assert sorted(c for k, c in kinds if k == "command_injection") == ["certain", "contextual"]
-    assert count("unsafe_deserialization") == 3 and count("unclosed_resource") == 1
-    io = [e for _, k, _, e, _, _ in python_source.read(PY).candidates if k == "unprotected_io"]
-    assert sum("requests.get" in e for e in io) == 1 and sum("subprocess.run" in e for e in io) == 2
-    enclosing = {f for _, k, *_, f in python_source.read(PY).candidates if k == "bare_except"}
-    assert enclosing == {"top"}
-
-
 TS = textwrap.dedent('''
     import def, { a as b, type T } from "./mod";
     import type { X } from "./types";
@@ -123,9 +110,6 @@ def test_typescript():
     out = typescript_source.read(TS)
     assert {(n, k, p) for n, k, _, _, p in out.symbols} == {("Panel", "function", None), ("K", "class", None), ("handle", "method", "K"), ("get", "method", "K"), ("I", "interface", None), ("Alias", "type_alias", None), ("gen", "function", None)}
     assert {(t, k) for _, t, k, _, _ in out.imports} == {("./mod", "from"), ("./types", "type_only"), ("./effect", "module"), ("pkg", "from"), ("./re", "reexport"), ("./all", "reexport")}
-    kinds = [(k, f) for _, k, _, _, _, f in out.candidates]
-    assert kinds.count(("swallowed_exception", "Panel")) == 1 and kinds.count(("unprotected_io", "handle")) == 1 and ("unprotected_io", "Panel") not in kinds
-    assert kinds.count(("sql_injection", "get")) == 1 and kinds.count(("unsafe_deserialization", "gen")) == 1
 
 
 def test_parse_gives_a_row_for_every_failure(spark):
