@@ -15,13 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamline.llm.storage import kept, materialise, scratch
-from loamline.llm.words import slices, text_bytes
+from loamline.llm.words import WordHashes, gram_hashes, slices, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -78,22 +77,29 @@ def measure(text: bytes) -> tuple[list[int], list[float]]:
     return counts, [max(0.0, 1 - letters / max(1, chars)), upper / max(1, letters), local, 1 - float(np.log(v + 1) / np.log(n + 1)), chars / n]
 
 
+def near_key(words: list[bytes], hashes: WordHashes) -> int:
+    """The smallest hash of the text's runs of three words (of all its words, if fewer), as a signed integer: the same for most near copies of a text."""
+    grams = gram_hashes(hashes.of(words), min(3, len(words)))
+    return int(grams.min().view(np.int64)) if len(grams) else 0
+
+
 def measured(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """``row`` (the ``carried`` columns), ``g_lang``, ``g_source``, a hash of the text, its counts and measures for each row's whole text."""
+    """``row`` (the ``carried`` columns), ``g_lang``, ``g_source``, ``near_key``, counts and measures for each row's whole text."""
     group = [F.coalesce(F.col(c), F.lit("\x00")).alias(f"g_{c}") for c in ("lang", "source")]
     own = docs.select(F.struct(F.lit(0).alias("nothing"), *[docs[c] for c in carried]).alias("row"), *group, "text")
     kept = ["row", "g_lang", "g_source"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in slices(batches):
             texts = text_bytes(batch)
             rows = [measure(t) for t in texts]
             counts = np.array([c for c, _ in rows], np.int64).reshape(-1, len(COUNTS))
             values = np.array([m for _, m in rows], np.float64).reshape(-1, len(MEASURES))
-            hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(hashes), *[pa.array(x) for x in counts.T], *[pa.array(x) for x in values.T]], names=[*kept, "text_hash", *COUNTS, *MEASURES])
+            keys = np.array([near_key(t.split(), known) for t in texts], np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(keys), *[pa.array(x) for x in counts.T], *[pa.array(x) for x in values.T]], names=[*kept, "near_key", *COUNTS, *MEASURES])
 
-    schema = T.StructType([*[own.schema[c] for c in kept], T.StructField("text_hash", T.LongType()), *[T.StructField(c, T.LongType()) for c in COUNTS], *[T.StructField(m, T.DoubleType()) for m in MEASURES]])
+    schema = T.StructType([*[own.schema[c] for c in kept], T.StructField("near_key", T.LongType()), *[T.StructField(c, T.LongType()) for c in COUNTS], *[T.StructField(m, T.DoubleType()) for m in MEASURES]])
     return own.mapInArrow(run, schema)
 
 
@@ -115,14 +121,15 @@ def thresholds(rows: DataFrame, least_docs: int = 200) -> DataFrame:
     """By ``g_lang``, ``g_source`` and in columns by measure: ``mid_*``, ``above_*`` (highest value allowed) and ``below_*`` (lowest), and ``mid_n_words``.
 
     The middle is that of the group, or of its language if the group has fewer
-    than ``least_docs`` distinct texts, or of all. A threshold is the wider one
-    of the group's fence and its language's, so what is rejected is far out in
-    both; equal quartiles give no fence, and without one nothing is judged. A
-    source that differs from its language is measured by itself, and one that
-    near copies make narrow doesn't reject the rest of its texts.
+    than ``least_docs`` distinct texts, or of all, and so is the fence: a
+    source is measured by itself, whether it is stricter or looser than its
+    language. Equal quartiles give no fence, and then the next wider table's
+    counts; without any nothing is judged. Copies and near copies (rows of one
+    ``near_key`` in a group) count once, by the smallest of their values, so
+    they don't make a group narrow and reject the rest of its texts.
     """
     judged = ["n_words", *MEASURES]
-    distinct = rows.where("n_words > 0").groupBy("g_lang", "g_source", "text_hash").agg(*[F.first(m).alias(m) for m in judged])
+    distinct = rows.where("n_words > 0").groupBy("g_lang", "g_source", "near_key").agg(F.min(F.struct(*judged)).alias("of")).select("g_lang", "g_source", "of.*")
     cells = distinct.select("g_lang", "g_source", F.posexplode(F.array(*[bucket(F.col(m).cast("double")) for m in judged])).alias("measure", "bucket"))
     sketch = materialise(cells.groupBy("g_lang", "g_source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n")), "quality-sketches")
     merged = lambda *by: sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
@@ -133,8 +140,7 @@ def thresholds(rows: DataFrame, least_docs: int = 200) -> DataFrame:
         enough = F.lit(True) if level == "a" else F.col("docs") >= least_docs
         found = [F.when(enough, c).alias(f"{level}_{n}") for n, c in (("mid", F.col("mid")), ("above", F.col("high") + spread), ("below", F.col("low") - spread))]
         out = out.join(q.select(*by, "measure", *found), [*by, "measure"], "left")
-    above, below = F.greatest("g_above", "l_above"), F.least("g_below", "l_below")  # nulls don't count
-    picked = out.select("g_lang", "g_source", "measure", F.coalesce("g_mid", "l_mid", "a_mid").alias("mid"), F.coalesce(above, "a_above").alias("above"), F.coalesce(below, "a_below").alias("below"))
+    picked = out.select("g_lang", "g_source", "measure", *[F.coalesce(*[f"{level}_{c}" for level in "gla"]).alias(c) for c in ("mid", "above", "below")])
     at = lambda i, c: F.max(F.when(F.col("measure") == i, F.col(c)))
     wide = [at(0, "mid").alias("mid_n_words")]
     for i, m in enumerate(MEASURES, 1):

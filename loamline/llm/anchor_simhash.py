@@ -312,7 +312,8 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5
     The row with the smallest id stays, null ids last; of rows of one id that
     with the smallest hash of its text; of rows equal in both any one. Rows are
     dropped by id and text, so another text of a dropped row's id stays. Of all
-    texts without words one stays. An empty table gives an empty one.
+    texts without words one stays. Ids are of a numeric type. An empty table gives
+    an empty one.
     """
     with scratch():
         rows = kept(_classified(docs, similarity, shingle_words, how_many, max_bits, centres))
@@ -321,14 +322,17 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5
     best = met.where("doc_id <=> low").groupBy(F.col("label").alias("of")).agg(F.min("text_hash").alias("best"))
     keys = met.groupBy("label", "low", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).join(best, F.col("label") == best.of)
     staying = F.expr("doc_id <=> low and text_hash = best")
-    keys = materialise(keys.where(~staying | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), staying.alias("__stays")), "similar-dropped")
-    same = docs.doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__hash"))
-    out = docs.join(sent_if_small(keys), same, "left_anti")
-    once = keys.where("__stays")
+    keys = materialise(keys.where(~staying | (F.col("n") > 1)).select(F.col("doc_id").alias("id"), "text_hash", staying.alias("stays")), "similar-dropped")
+    # A row travels as one struct, so its other columns may have any name.
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("row_id"), F.xxhash64(docs["text"]).alias("row_hash"))
+    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("text_hash"))
+    fields = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    out = whole.join(sent_if_small(keys), same, "left_anti").select(*fields)
+    once = keys.where("stays")
     if once.isEmpty():
         return out
-    repeated = docs.join(sent_if_small(once), same, "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"])
-    return out.union(repeated.select(*docs.columns))
+    repeated = whole.join(sent_if_small(once), same, "left_semi").dropDuplicates(["row_id", "row_hash"])
+    return out.union(repeated.select(*fields))
 
 
 #: Counters of shingles, and the share of the loose texts that a round of central texts has to link for another one.

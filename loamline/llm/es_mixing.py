@@ -29,9 +29,10 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.05), 1 - 4 * symbols / F.greatest(F.length(text), F.lit(1))), F.lit(1.0))
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """A number between 0 and 1 from the id and the seed; the same in every run."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number between 0 and 1 from the id (a null id: from the text) and the seed; the same in every run."""
+    of_text = F.concat(F.lit("t"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), of_text)).cast("binary"))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
 
 
@@ -61,7 +62,7 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: flo
 
 def _keyed(seed: int, buckets: int) -> list[Column]:
     """What a document's place in the mix follows from: source without null, size, key and the key's range."""
-    key = -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))
+    key = -F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / quality_weight(F.col("text"))
     return [
         F.coalesce(F.col("source"), F.lit("")).alias("src"),
         F.col("source").isNull().alias("nosrc"),
@@ -81,7 +82,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     taken differ from the target by at most half of one document. ``cap`` also
     bounds the copies of a document. Null or empty texts have size 0 and are
     never taken; a null source is a source of its own; rows with equal ids get
-    equal keys and are ordered by size, equal rows in any order.
+    equal keys and are ordered by size, equal rows in any order; a row without
+    an id gets its key from its text, so that such rows spread over all ranges.
     """
     sized = docs.select("doc_id", "source", *_keyed(seed, buckets))
     sized = materialise(sized, "mix-sized")

@@ -135,7 +135,7 @@ def op9_es_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         -ln((CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
+         -ln((CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 't' || md5(coalesce(text, '')))), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
          / coalesce(greatest(0.05, 1 - CAST(4 * (length(text) - length(translate(text, '#*$%&|<>', ''))) AS DOUBLE) / greatest(length(text), 1)), 1.0) AS key
   FROM documents),
 totals AS (

@@ -64,11 +64,11 @@ def test_sketches_are_within_their_error(spark):
             assert abs(t[f"mid_{m}"] - q[1]) <= 1.01 * Q.ERROR * q[1] + 1e-6
             if m != "n_words":
                 for side, at, sign in (("above", 2, 1), ("below", 0, -1)):
-                    exact = [x[at] + sign * 3 * (x[2] - x[0]) for x in (q, lang)]
-                    exact = max(exact) if sign > 0 else min(exact)
-                    if q[0] == q[2] and lang[0] == lang[2]:
+                    of = q if q[0] < q[2] else lang
+                    if of[0] == of[2]:
                         assert t[f"{side}_{m}"] is None  # no upper case here
                         continue
+                    exact = of[at] + sign * 3 * (of[2] - of[0])
                     assert abs(t[f"{side}_{m}"] - exact) <= 1.01 * Q.ERROR * 7 * max(q[2], lang[2]) + 1e-6
         assert abs(plan["de", "x"][f"mid_{m}"] - everywhere[1]) <= 1.01 * Q.ERROR * everywhere[1] + 1e-6  # too few texts in group and language
     for m in set(Q.MEASURES) - {"upper_share"}:
@@ -103,6 +103,35 @@ def test_copies_set_no_threshold(spark):
     assert len(alone - kept(rows + near)) <= 10
 
 
+def test_a_strict_source_has_its_own_limit(spark):
+    """What passes in its language is far out in a source of plain texts; in a looser source it stays."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(2400):
+        share = (0.01 + rng.random() * 0.02) if i % 4 == 0 else rng.random() * 0.3
+        if i == 0:
+            share = 0.2
+        words = sentence(rng, 150).split()
+        rows.append((i, " ".join(w + "," * 2 if rng.random() < share else w for w in words), "en", "strict" if i % 4 == 0 else f"s{i % 4}", 0))
+    odd = (5000, " ".join(w + ",," if j % 4 == 0 else w for j, w in enumerate(sentence(rng, 150).split())), "en")
+    docs = spark.createDataFrame([*rows, (*odd, "strict", 0), (5001, odd[1] + " z", "en", "s1", 0)], DOCS)
+    plan = {r.g_source: r for r in Q.thresholds(Q.measured(docs, [])).collect()}
+    assert plan["strict"].above_other_share < plan["s1"].above_other_share / 2
+    kept = {r.doc_id for r in Q.with_verdicts(docs).collect() if r.kept}
+    assert 5000 not in kept and 0 not in kept and 5001 in kept
+    assert len([i for i in range(0, 2400, 4) if i in kept]) > 590
+
+
+def test_near_key(spark):
+    rng = random.Random(4)
+    text = sentence(rng, 150).encode().split()
+    known = Q.WordHashes()
+    one = Q.near_key(text, known)
+    same = sum(Q.near_key(text[:i] + [b"zzz"] + text[i + 1 :], known) == one for i in range(150))
+    assert same >= 140 and Q.near_key(sentence(rng, 150).encode().split(), known) != one
+    assert Q.near_key([], known) == 0 and Q.near_key([b"a"], known) != Q.near_key([b"b"], known)
+
+
 def test_rows_are_judged_by_themselves(spark):
     rows = grouped()
     rows = [(i % 7, *r[1:]) for i, r in enumerate(rows)] + [(None, rows[0][1], "en", "a", 0)]

@@ -73,6 +73,16 @@ def test_symbols_lower_the_chance(spark):
     assert clean > 2 * full
 
 
+def test_rows_without_ids_spread(spark):
+    rng = random.Random(6)
+    rows = [(None, sentence(rng, 10), "en", "s", 0) for _ in range(3000)] + [(i, sentence(rng, 10), "en", "t", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    buckets = docs.where("doc_id IS NULL").select(M._keyed(7, 64)[-1].alias("b")).groupBy("b").count().collect()
+    assert len(buckets) == 64 and max(r["count"] for r in buckets) < 150
+    half = M.mix(docs, weights=(1, 100), share=0.6).where("doc_id IS NULL").collect()
+    assert {r.copies for r in half} == {0, 1} or len({r.copies for r in half}) == 1
+
+
 def test_awkward_rows(spark):
     out = M.mix(awkward(spark)).collect()
     assert len(out) == awkward(spark).count()

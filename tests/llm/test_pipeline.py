@@ -146,3 +146,20 @@ def test_repeated_and_null_ids(spark):
     assert Counter(t for _, t in near) == Counter([copy, other, rows[3][1], rows[4][1], rows[5][1], rows[6][1]]) and (1, copy) in near
     cut = {t for i, t in ((r.doc_id, r.text) for r in out["repeated_passages"].collect()) if i == 4}
     assert rows[5][1] in cut and sorted(len(t.split()) for t in cut) == [60, 120]
+
+
+def test_columns_named_as_in_the_stages(spark):
+    """Extra columns may have the names of whatever the stages compute."""
+    names = ["__spans", "__key", "__of", "__hash", "__id", "spans", "of", "text_key", "row", "row_id", "row_hash", "row_key", "id", "text_hash", "stays", "low", "label", "near_key", "g_lang", "mask"]
+    rows, passage = planted()
+    rows += [rows[5], rows[5]]
+    docs = spark.createDataFrame(rows, DOCS)
+    more = docs.selectExpr("*", *[f"doc_id * {i + 2} AS `{n}`" for i, n in enumerate(names)])
+    near, near_more = (C.materialise(C.near_duplicates(spark, d, ""), "near") for d in (docs, more))
+    cut, cut_more = (C.repeated_passages(spark, d, "") for d in (near, near_more))
+    for plain, wide in ((near, near_more), (cut, cut_more)):
+        assert wide.columns == more.columns
+        got = wide.collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted((r.doc_id, r.text) for r in plain.collect())
+        assert all(r[n] == r.doc_id * (i + 2) for r in got for i, n in enumerate(names))
+    assert sum(passage in r.text for r in cut.collect()) == 1
