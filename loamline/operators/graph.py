@@ -49,34 +49,51 @@ def degrade(files: DataFrame, directory: str, most: int, by: Sequence[str]) -> D
     return out.select(*by, node.alias("node"), F.when(F.col("n_files") > most, "directory").otherwise("file").alias("granularity")).distinct()
 
 
+#: Rounds that one plan does; then the powers so far are written, which cuts the lineage.
+ROUNDS_A_PLAN = 3
+
+
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """``node``, ``score`` after exactly ``rounds`` rounds from equal shares; dangling nodes spread over all.
 
     Repeated edges count once. Every round is one join of the links with what
-    the nodes hold and one sum, whatever the size. What damping and dangling
-    nodes add is the same for all nodes, so scores are sums of the powers
-    A^j 1 of the links with one factor each, which follow from the powers' sums
-    (a row a round); the rounds themselves need no sum over all nodes. Every
-    power is checkpointed, which cuts the lineage.
+    the nodes hold and one sum, whatever the size; the links stay dealt by
+    source, as are the sums, so a round exchanges only sums. What damping and
+    dangling nodes add is the same for all nodes, so scores are sums of the
+    powers A^j 1 of the links with one factor each, which follow from the
+    powers' sums (a row a round); the rounds themselves need no sum over all
+    nodes. Powers are checkpointed a few at a time.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = edges.select("src", "dst").distinct()
-    nodes = (edges.select(F.col("src").alias("node")).union(edges.select("dst")) if nodes is None else nodes.select("node")).distinct().checkpoint()
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = edges.join(out, "src").select("src", "dst", (1.0 / F.col("degree")).alias("share")).checkpoint()
-    n = nodes.count()
-    last = nodes.select("node", F.lit(1.0).alias("held"))
-    powers = last.withColumn("power", F.lit(0))
-    for i in range(1, rounds + 1):
-        last = links.join(last, links.src == last.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("held") * F.col("share")).alias("held"))
-        last = last.checkpoint()
-        powers = powers.union(last.withColumn("power", F.lit(i)))
-    sums = {r.power: r.total for r in powers.groupBy("power").agg(F.sum("held").alias("total")).collect()}
+    links = edges.join(out, "src").select("src", "dst", (1.0 / F.col("degree")).alias("share")).repartition(parts, "src").checkpoint()
+    ends = links.select(F.col("src").alias("node")).union(links.select("dst"))
+    last = (ends if nodes is None else nodes.select("node")).distinct().select("node", F.lit(1.0).alias("held"), F.lit(0).alias("power")).checkpoint()
+    n = last.count()
+    powers = [last]
+    for first in range(1, rounds + 1, ROUNDS_A_PLAN):
+        some = []
+        for i in range(first, min(first + ROUNDS_A_PLAN, rounds + 1)):
+            here = last.hint("shuffle_hash")
+            last = links.join(here, links.src == here.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("held") * F.col("share")).alias("held")).withColumn("power", F.lit(i))
+            some.append(last)
+        written = some[0]
+        for s in some[1:]:
+            written = written.union(s)
+        written = written.checkpoint()
+        powers.append(written)
+        last = written.where(F.col("power") == min(first + ROUNDS_A_PLAN - 1, rounds))
+    every = powers[0]
+    for p in powers[1:]:
+        every = every.union(p)
+    sums = {r.power: r.total for r in every.groupBy("power").agg(F.sum("held").alias("total")).collect()}
     factors = [1.0 / max(n, 1)]
     for _ in range(rounds):
         carried = sum(f * sums.get(j + 1, 0.0) for j, f in enumerate(factors))
         factors = [((1 - damping) + damping * (1 - carried)) / max(n, 1), *[damping * f for f in factors]]
     factor = F.element_at(F.array(*[F.lit(f) for f in factors]), F.col("power") + 1)
-    return powers.groupBy("node").agg(F.sum(F.col("held") * factor).alias("score"))
+    return every.groupBy("node").agg(F.sum(F.col("held") * factor).alias("score"))
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -141,11 +158,71 @@ def back_edge_cycles(adjacency: dict) -> list[tuple]:
     return sorted(found)
 
 
+def _trimmed(edges: DataFrame, k: list[str]) -> DataFrame:
+    """``edges`` without those of nodes that nothing leads to, or that lead nowhere, until none is left: no cycle passes there."""
+    n = edges.count()
+    while n:
+        into, out = edges.select(*k, F.col("dst").alias("src")).distinct(), edges.select(*k, F.col("src").alias("dst")).distinct()
+        edges = edges.join(into, [*k, "src"], "left_semi").join(out, [*k, "dst"], "left_semi").select(*k, "src", "dst").checkpoint()
+        before, n = n, edges.count()
+        if n == before:
+            break
+    return edges
+
+
+def strong_components(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Nodes on cycles: ``by``, ``node``, ``component`` (the smallest node of its strongly connected component).
+
+    Nodes that no cycle can pass are trimmed. Then every node is coloured by
+    the smallest node that leads to it; a colour's root and the nodes of the
+    colour that lead back to it are one component. What is left is treated
+    alike. Every step is joins and sums over the edges of all groups together,
+    and written to the checkpoint folder; the number of steps follows from the
+    longest shortest paths, not from the number of nodes.
+    """
+    k = list(by)
+    left = edges.select(*k, "src", "dst").where("src <> dst").distinct().checkpoint()
+    found = edges.select(*k, F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    while True:
+        left = _trimmed(left, k)
+        if left.isEmpty():
+            return found
+        colour = left.select(*k, F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")).checkpoint()
+        while True:
+            heard = left.join(colour.withColumnRenamed("node", "src"), [*k, "src"]).groupBy(*k, F.col("dst").alias("node")).agg(F.min("colour").alias("heard"))
+            step = colour.join(heard, [*k, "node"], "left").select(*k, "node", F.col("colour").alias("old"), F.least("colour", "heard").alias("colour")).checkpoint()
+            colour = step.drop("old")
+            if step.where("colour < old").isEmpty():
+                break
+        inside = left.join(colour.withColumnRenamed("node", "src"), [*k, "src"]).join(colour.select(*k, F.col("node").alias("dst"), F.col("colour").alias("of")), [*k, "dst"]).where("colour = of").select(*k, "src", "dst").checkpoint()
+        back = edge = colour.where("node = colour").checkpoint()
+        while True:
+            more = inside.join(edge.withColumnRenamed("node", "dst"), [*k, "dst"]).select(*k, F.col("src").alias("node"), "colour").distinct()
+            edge = more.join(back.select(*k, "node"), [*k, "node"], "left_anti").checkpoint()
+            if edge.isEmpty():
+                break
+            back = back.union(edge).checkpoint()
+        several = back.groupBy(*k, "colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = found.union(back.join(several, [*k, "colour"], "left_semi").select(*k, "node", F.col("colour").alias("component"))).checkpoint()
+        for end in ("src", "dst"):
+            left = left.join(back.select(*k, F.col("node").alias(end)), [*k, end], "left_anti")
+        left = left.select(*k, "src", "dst").checkpoint()
+
+
 def cycles(edges: DataFrame, by: str = "repo_id") -> DataFrame:
-    """Back-edge cycles of each group's graph: ``members``, ``length``, ``import_time``. A group is one repository."""
+    """Cycles of each group's graph: ``members``, ``length``, ``import_time``.
+
+    Of every strongly connected component those that a depth-first search from
+    its smallest node closes by its back edges. A task holds one component's
+    inner edges; nothing outside of components is gathered.
+    """
+    of = strong_components(edges, [by])
+    src = of.select(by, F.col("node").alias("src"), "component")
+    dst = of.select(by, F.col("node").alias("dst"), F.col("component").alias("other"))
+    inner = edges.join(src, [by, "src"]).join(dst, [by, "dst"]).where("component = other").select(by, "component", "src", "dst", "at_import_time")
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
-        adjacency: dict = {x: set() for x in [*table["src"], *table["dst"]]}
+        adjacency: dict = {x: set() for x in table["src"]}
         early = set()
         for s, d, t in zip(table["src"], table["dst"], table["at_import_time"]):
             adjacency[s].add(d)
@@ -157,7 +234,7 @@ def cycles(edges: DataFrame, by: str = "repo_id") -> DataFrame:
         return pd.DataFrame(rows, columns=[by, "members", "length", "import_time"])
 
     kind = edges.schema[by].dataType.simpleString()
-    return edges.groupBy(by).applyInPandas(run, f"{by} {kind}, members array<string>, length int, import_time boolean")
+    return inner.groupBy(by, "component").applyInPandas(run, f"{by} {kind}, members array<string>, length int, import_time boolean")
 
 
 def neighbours(edges: DataFrame, module_files: DataFrame) -> DataFrame:

@@ -74,6 +74,27 @@ def submission_order(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", limits.admission(F.col("user_id") >= 10, e != "error", F.col("value") >= 5, e != "signup", gate).alias("decision"))
 
 
+@query("""
+WITH RECURSIVE e AS (
+  SELECT CAST(user_id AS VARCHAR) AS client, event_id AS seq, epoch_us(ts) / 1000000.0::DOUBLE AS ts, event_type = 'error' AS refund, event_id % 7 <> 0 AS credentials, event_id % 5 <> 0 AS url_ok, event_type <> 'signup' AS fits,
+         CASE event_type WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'rejected' ELSE 'running' END WHEN 'view' THEN 'queued' ELSE 'running' END AS gate, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (
+  SELECT client, 0::BIGINT AS n, 0::BIGINT AS seq, []::DOUBLE[] AS stamps, NULL::VARCHAR AS decision FROM (SELECT DISTINCT client FROM e)
+  UNION ALL
+  SELECT client, n, seq, CASE WHEN refund THEN old[:-2] WHEN decision IN ('accepted', 'queued') THEN list_append(held, ts) ELSE held END, decision
+  FROM (
+    SELECT *, CASE WHEN refund THEN NULL WHEN NOT credentials THEN 'no_credentials' WHEN len(held) >= 3 THEN 'rate_limited' WHEN NOT url_ok THEN 'invalid_url' WHEN NOT fits THEN 'no_space' WHEN gate = 'rejected' THEN 'queue_full' WHEN gate = 'queued' THEN 'queued' ELSE 'accepted' END AS decision
+    FROM (SELECT e.*, f.stamps AS old, list_filter(f.stamps, lambda s: s > e.ts - 259200) AS held FROM f JOIN e ON e.client = f.client AND e.n = f.n + 1)))
+SELECT client, seq, decision, CAST(len(stamps) AS INTEGER) AS in_window FROM f WHERE decision IS NOT NULL""")
+def joint_admission(spark, sf_dir):
+    """Submissions against credentials, three in three days, address, room and gate; only admitted ones count, an error refunds the last."""
+    e, i = F.col("event_type"), F.col("event_id")
+    seconds = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 1e6
+    gate = F.when((e == "click") & (i % 2 == 0), "rejected").when(e == "view", "queued").otherwise("running")
+    own = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("client"), i.alias("seq"), seconds.alias("ts"), F.when(e == "error", "refund").otherwise("submit").alias("op"), (i % 7 != 0).alias("credentials"), (i % 5 != 0).alias("url_ok"), (e != "signup").alias("fits"), gate.alias("gate_result"))
+    return limits.admissions(own, 259200.0, 3).select("client", "seq", "decision", "in_window")
+
+
 @query("""
 WITH c AS (SELECT event_id, user_id, event_type, CAST(floor(value) AS BIGINT) AS a, CAST(floor(value) AS BIGINT) + CAST(json_extract_string(props, '$.k') AS BIGINT) AS b,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 ORDER BY event_id) AS same,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamline.functions import paths, text, urls
+from loamline.functions import json_reply, paths, text, urls
 from loamline.operators import lookup, ranking, review
 from loamline.plans.registry import query, table
 from loamline.sources import repos
@@ -164,10 +164,36 @@ def key_diff(spark, sf_dir):
 def json_props(spark, sf_dir):
     """JSON out of a reply with a fence around it, and a value of it."""
     reply = F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
-    own = table(spark, sf_dir, "events").select("event_id", repos.first_json(reply).alias("json"))
+    own = table(spark, sf_dir, "events").select("event_id", json_reply.first_json(reply).alias("json"))
     return own.select("event_id", F.get_json_object("json", "$.k").cast("long").alias("k"), "json")
 
 
+#: A reply for every event: prose around two spans, fences in a row, quotes left bare inside a string, a bare array, and no JSON at all.
+REPLIES = """replies AS (
+  SELECT event_id, CASE event_id % 6
+    WHEN 0 THEN 'Here: {"a": ' || CAST(event_id AS STRING) || ', "b": [1, {"c": 2}]} and then {"d": "x}y"} done'
+    WHEN 1 THEN '```text' || chr(10) || 'plain' || chr(10) || '```' || chr(10) || 'Now:' || chr(10) || '```json' || chr(10) || '{"e": ' || CAST(event_id AS STRING) || '}' || chr(10) || '```' || chr(10) || 'and [1, 2]'
+    WHEN 2 THEN 'So: {"say": "he said "hi" to ' || event_type || '", "n": [' || CAST(event_id AS STRING) || ']}'
+    WHEN 3 THEN ' [' || CAST(event_id AS STRING) || ', {"z": null}] '
+    WHEN 4 THEN 'no } json { here ] of ' || event_type
+    ELSE 'broken {"q": [1, 2}} then [3] and ```' || chr(10) || '{"left": "open"}' END AS reply FROM events)"""
+
+
+@query(f"""
+WITH {REPLIES.replace("AS STRING)", "AS VARCHAR)")}, told AS (
+  SELECT event_id, CASE event_id % 6
+    WHEN 0 THEN ['{{"a": ' || event_id || ', "b": [1, {{"c": 2}}]}}', '{{"d": "x}}y"}}']
+    WHEN 1 THEN ['{{"e": ' || event_id || '}}', '[1, 2]']
+    WHEN 2 THEN ['{{"say": "he said \\"hi\\" to ' || event_type || '", "n": [' || event_id || ']}}']
+    WHEN 3 THEN ['[' || event_id || ', {{"z": null}}]']
+    WHEN 5 THEN ['{{"left": "open"}}', '[3]'] END AS v FROM events)
+SELECT event_id, CAST(nth AS INTEGER) AS nth, v[nth] AS value FROM (SELECT event_id, v, unnest(range(1, len(v) + 1)) AS nth FROM told WHERE v IS NOT NULL)""")
+def json_replies(spark, sf_dir):
+    """Every JSON value of replies, in order: fenced blocks, balanced spans, the whole; repaired where quotes are left bare."""
+    own = spark.sql(f"WITH {REPLIES.replace('{', '{{').replace('}', '}}').replace('FROM events', 'FROM {events}')} SELECT * FROM replies", events=table(spark, sf_dir, "events"))
+    return own.select("event_id", F.posexplode(json_reply.json_values("reply")).alias("at", "value")).select("event_id", (F.col("at") + 1).alias("nth"), "value")
+
+
 @query("""SELECT target, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS importers FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) GROUP BY target""")
 def external_importers(spark, sf_dir):
     """Link targets with the pages that have them."""

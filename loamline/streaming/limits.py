@@ -137,6 +137,95 @@ def admission(credentials: Column, allowed: Column, url_ok: Column, fits: Column
     return F.when(~credentials, "no_credentials").when(~allowed, "rate_limited").when(~url_ok, "invalid_url").when(~fits, "no_space").when(gate_result == "rejected", "queue_full").when(gate_result == "queued", "queued").otherwise("accepted")
 
 
+ADMISSION = "client string, seq long, ts double, decision string, in_window int, retry_after int"
+
+
+def fold_admissions(rows: Iterable[tuple], stamps: deque, window: float, most: int) -> Iterator[tuple]:
+    """Decisions on a client's (seq, ts, op, credentials, url_ok, fits, gate_result): (seq, ts, decision, stamps in the window, seconds to wait).
+
+    The tests come in the order of ``admission``. The rate is asked second, but
+    a stamp is only taken once every later test has let the submission pass, so
+    what the service refuses for its own lack of room costs the client nothing.
+    A ``refund`` takes the latest stamp back.
+    """
+    for seq, ts, op, credentials, url_ok, fits, gate_result in rows:
+        if op == "refund":
+            if stamps:
+                stamps.pop()
+            continue
+        while stamps and stamps[0] <= ts - window:
+            stamps.popleft()
+        wait = 0
+        if not credentials:
+            decision = "no_credentials"
+        elif len(stamps) >= most:
+            decision = "rate_limited"
+            wait = max(1, math.ceil((stamps[0] if stamps else ts) + window - ts))
+        elif not url_ok:
+            decision = "invalid_url"
+        elif not fits:
+            decision = "no_space"
+        elif gate_result == "rejected":
+            decision = "queue_full"
+        else:
+            stamps.append(ts)
+            decision = "queued" if gate_result == "queued" else "accepted"
+        yield seq, ts, decision, len(stamps), wait
+
+
+ADMITTED_BY = ["seq", "ts", "op", "credentials", "url_ok", "fits", "gate_result"]
+
+
+def admissions(submissions: DataFrame, window: float, most: int) -> DataFrame:
+    """Decision on every submission (``client`` and ADMITTED_BY; ``ts`` in seconds) by one state machine a client.
+
+    Clients are dealt over the tasks and each task's rows stream through it in
+    order, so no client is held as a whole; a task holds one client's stamps.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in ADMISSION.split(", ")]
+        client, stamps = None, deque()
+        for part in parts:
+            rows = []
+            for who, own in groupby(part[["client", *ADMITTED_BY]].itertuples(index=False, name=None), key=lambda r: r[0]):
+                if who != client:
+                    client, stamps = who, deque()
+                rows += [(who, *d) for d in fold_admissions((r[1:] for r in own), stamps, window, most)]
+            yield pd.DataFrame(rows, columns=names)
+
+    own = submissions.select("client", *ADMITTED_BY)
+    return own.repartition("client").sortWithinPartitions("client", "ts", "seq").mapInPandas(run, ADMISSION)
+
+
+class Admissions(StatefulProcessor):
+    """``admissions`` over a stream; a client's stamps expire with the window."""
+
+    def __init__(self, window: float, most: int):
+        self.window, self.most = window, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stamps = handle.getValueState("stamps", "stamps array<double>", int(self.window * 1000))
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        kept = deque(self.stamps.get()[0]) if self.stamps.exists() else deque()
+        part = pd.concat(list(rows)).sort_values(["ts", "seq"])[ADMITTED_BY]
+        out = [(key[0], *d) for d in fold_admissions(part.itertuples(index=False, name=None), kept, self.window, self.most)]
+        if kept:
+            self.stamps.update((list(kept),))
+        else:
+            self.stamps.clear()
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in ADMISSION.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def admissions_stream(submissions: DataFrame, window: float, most: int) -> DataFrame:
+    """The same over a streaming DataFrame; needs the RocksDB state store."""
+    return submissions.groupBy("client").transformWithStateInPandas(Admissions(window, most), ADMISSION, "append", "processingTime")
+
+
 def progress(events: DataFrame) -> DataFrame:
     """Monotone percent of every task's events (``task_id``, ``seq``, ``percent``, ``failed``); null on a terminal failure."""
     w = Window.partitionBy("task_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

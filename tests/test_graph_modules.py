@@ -44,6 +44,41 @@ def test_cycles_at_import_and_call_time(spark):
     e = spark.createDataFrame(rows, "repo_id string, src string, dst string, at_import_time boolean")
     got = {(tuple(r.members), r.import_time) for r in graph.cycles(e).collect()}
     assert got == {(("a", "b"), True), (("c", "d"), False)}
+    tail = e.union(spark.createDataFrame([("r", "b", "c", True), ("r", "z", "a", True), ("r", "d", "y", True)], e.schema))
+    assert {(tuple(r.members), r.import_time) for r in graph.cycles(tail).collect()} == got
+
+
+def test_strong_components_against_reachability(spark):
+    rng = random.Random(5)
+    rows = []
+    for repo in range(12):
+        n = 14
+        rows += [(repo, a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice([8, 14, 20, 30])))]
+    rows += [(99, i, i + 1) for i in range(12)] + [(98, i, (i + 1) % 9) for i in range(9)]  # a chain and a ring
+    want = set()
+    for repo in {r for r, _, _ in rows}:
+        out = {}
+        for r, a, b in rows:
+            if r == repo:
+                out.setdefault(a, set()).add(b)
+        reach = {}
+        for start in {x for r, a, b in rows if r == repo for x in (a, b)}:
+            seen, todo = set(), [start]
+            while todo:
+                for y in out.get(todo.pop(), ()):
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+            reach[start] = seen
+        for x, to in reach.items():
+            own = {y for y in to if x in reach[y]} - {x}
+            if own:
+                want.add((repo, x, min(own | {x})))
+    e = spark.createDataFrame(rows, "repo_id long, src long, dst long")
+    assert {tuple(r) for r in graph.strong_components(e, ["repo_id"]).collect()} == want and len({(r, c) for r, _, c in want}) > 5
+    one = graph.strong_components(e.where("repo_id = 98"))
+    assert one.columns == ["node", "component"] and {tuple(r) for r in one.collect()} == {(i, 0) for i in range(9)}
+    assert graph.strong_components(e.limit(0), ["repo_id"]).collect() == []
 
 
 def test_back_edges_are_closed_cycles():

@@ -1,3 +1,5 @@
+import os
+
 """Review, reports, search and stateful operators on small tables."""
 
 from collections import deque
@@ -184,6 +186,36 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     assert sorted(map(key, spark.table("decisions").collect())) == sorted(map(key, limits.rate_limit(batch, 20.0, 2).collect()))
 
 
+SUBMISSIONS = "client string, seq long, ts double, op string, credentials boolean, url_ok boolean, fits boolean, gate_result string"
+
+
+def test_only_admitted_submissions_count(spark):
+    ok = ("submit", True, True, True, "running")
+    rows = [(1, 0.0, "submit", False, True, True, "running"), (2, 1.0, "submit", True, False, True, "running"), (3, 2.0, "submit", True, True, False, "running"), (4, 3.0, "submit", True, True, True, "rejected"), (5, 4.0, *ok), (6, 5.0, "submit", True, True, True, "queued"), (7, 6.0, *ok), (8, 6.5, "refund", True, True, True, None), (9, 7.0, "submit", True, False, True, "running"), (10, 7.5, *ok), (11, 8.0, "submit", False, True, True, "running"), (12, 15.0, *ok)]
+    df = spark.createDataFrame([("a", *r) for r in rows] + [("b", 1, 5.0, *ok)], SUBMISSIONS).repartition(3)
+    got = {r.seq: (r.decision, r.in_window, r.retry_after) for r in limits.admissions(df, 10.0, 2).collect() if r.client == "a"}
+    assert got == {1: ("no_credentials", 0, 0), 2: ("invalid_url", 0, 0), 3: ("no_space", 0, 0), 4: ("queue_full", 0, 0), 5: ("accepted", 1, 0), 6: ("queued", 2, 0), 7: ("rate_limited", 2, 8), 9: ("invalid_url", 1, 0), 10: ("accepted", 2, 0), 11: ("no_credentials", 2, 0), 12: ("accepted", 2, 0)}
+    assert limits.admissions(df.limit(0), 10.0, 2).collect() == []
+
+
+def streamed(spark, tmp_path, batch, make, name):
+    """All rows of ``make`` over ``batch`` as a stream of three files."""
+    folder = str(tmp_path / name)
+    batch.repartitionByRange(3, "seq").write.parquet(folder)
+    for i, part in enumerate(sorted((tmp_path / name).glob("part-*"))):
+        os.utime(part, (1_000_000 + i, 1_000_000 + i))  # a stream reads files in this order
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).outputMode("append").start()
+    q.awaitTermination(300)
+    return sorted(map(str, spark.table(name).collect()))
+
+
+def test_admissions_stream_equals_batch(spark, tmp_path):
+    rows = [(f"c{i % 3}", i, float(i), "refund" if i % 11 == 0 else "submit", i % 7 != 0, i % 5 != 0, i % 6 != 0, ("running", "queued", "rejected")[i % 4 % 3]) for i in range(120)]
+    batch = spark.createDataFrame(rows, SUBMISSIONS)
+    assert streamed(spark, tmp_path, batch, lambda s: limits.admissions_stream(s, 1000.0, 3), "admitted") == sorted(map(str, limits.admissions(batch, 1000.0, 3).collect()))
+
+
 def test_replay_and_progress(spark):
     history = spark.createDataFrame([("t", i, i * 10 % 70, False) for i in range(10)], "task_id string, seq int, percent int, failed boolean")
     live = spark.createDataFrame([("t", 9, 0, False), ("t", 10, 5, True)], history.schema)

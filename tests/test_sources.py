@@ -254,10 +254,3 @@ def test_history_round_trip(spark, tmp_path):
     kept, skipped = repos.read_history(spark, folder, 3)
     assert [r.task_id for r in kept.collect()] == ["t4", "t3", "t2"]
     assert tuple(skipped.first()) == (1, 1)
-
-
-def test_json_from_replies(spark):
-    cases = {'say\n```json\n{"a": 1}\n```': '{"a": 1}', 'x {"b": [1]} y': '{"b": [1]}', "none": None, "```\nnot\n``` {\"c\": 2}": '{"c": 2}'}
-    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", repos.first_json(F.col("t")).alias("j"))
-    assert {r.t: r.j for r in df.collect()} == cases
-    assert repos.repaired_json('{"a": "he said "no" twice"}') == '{"a": "he said \\"no\\" twice"}'
