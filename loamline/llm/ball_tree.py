@@ -201,7 +201,7 @@ def _dealers(rows: DataFrame, parts: int) -> dict[int, Dealer]:
     return {dim: Dealer(np.array(v, np.float64), parts) for dim, v in seen.items()}
 
 
-def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, query_every: int = 50, shard_rows: int = 100_000, least_shards: int = 12, block: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, query_every: int = 50, shard_rows: int = 100_000, shard_bytes: int = 64 << 20, least_shards: int = 12, block: int = 512) -> DataFrame:
     """The ``k`` best rows for every row whose id is divisible by ``query_every``.
 
     In: ``vec_id``, ``embedding``; other columns are ignored, whatever their
@@ -213,15 +213,17 @@ def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, query_every: int = 5
     is answered once. Scores are exact integers for all finite components; one
     beyond a long counts as the long's bound. An empty table gives none.
 
-    Every row is in a shard; a part of space with more than ``shard_rows`` rows
-    is dealt to several by a hash, so the shard size bounds a task's memory,
-    whatever the input and however alike its rows.
+    Every row is in a shard; a part of space with more than ``shard_rows`` rows,
+    or more than ``shard_bytes`` of components, is dealt to several by a hash,
+    so the shard size bounds a task's memory, whatever the input, the length of
+    its vectors and however alike its rows.
     """
     sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
     most = float(np.finfo(np.float64).max) / scale
     scaled = F.transform("embedding", lambda x: scale * F.greatest(F.lit(-most), F.least(F.lit(most), x.cast("double"))))
     rows = vectors.where(F.col("vec_id").isNotNull() & sound).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"), F.size("embedding").alias("dim"))
-    parts = max(least_shards, -(-rows.count() // shard_rows))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("dim").cast("long")).alias("b")).first()
+    parts = max(least_shards, -(-total.n // shard_rows), -(-(total.b or 0) // shard_bytes))
     dealers = vectors.sparkSession.sparkContext.broadcast(_dealers(rows, parts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +243,7 @@ def top_k(vectors: DataFrame, k: int = 5, scale: int = 256, query_every: int = 5
     shards: dict[tuple[int, int], tuple[int, int, float]] = {}  # by length and part: the first shard, their number, the radius
     count = 0
     for r in found:
-        shards[r.dim, r.part] = (count, -(-r.n // shard_rows), r.radius)
+        shards[r.dim, r.part] = (count, -(-r.n // max(1, min(shard_rows, shard_bytes // (8 * r.dim)))), r.radius)
         count += shards[r.dim, r.part][1]
     plan = vectors.sparkSession.sparkContext.broadcast(shards)
 

@@ -70,6 +70,19 @@ def test_a_hot_part_is_dealt_to_several_shards(spark):
     assert run(spark, rows, query_every=50, shard_rows=60, least_shards=4) == brute(rows, 50)
 
 
+def test_long_vectors_make_smaller_shards(spark, monkeypatch):
+    """A shard's size is bounded in bytes, so vectors of 512 components come fewer at a time than those of 8."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=512 if i % 2 else 8)]) for i in range(200)]
+    plans = []
+    share = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: plans.append(value) or share(self, value))
+    assert run(spark, rows, query_every=20, shard_bytes=40_000, least_shards=2) == brute(rows, 20)
+    shards = next(p for p in plans if isinstance(p, dict) and p and isinstance(next(iter(p.values())), tuple))
+    number = {dim: sum(n for (d, _), (_, n, _) in shards.items() if d == dim) for dim in (8, 512)}
+    assert number[512] >= 100 * 512 * 8 // 40_000 and number[8] < number[512]
+
+
 def test_branches_are_cut():
     rng = np.random.default_rng(2)
     rows = np.concatenate([rng.normal(c, 0.5, (2000, 8)) for c in (-200, 0, 200)])
