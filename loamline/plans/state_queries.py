@@ -58,10 +58,23 @@ def rate_limit(spark, sf_dir):
     return limits.rate_limit(own, 86400.0, 2).select("client", "seq", "allowed", "in_window")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (
+  SELECT CAST(user_id - user_id % 20 AS VARCHAR) AS gate, event_id AS seq, event_type = 'purchase' AS release, CAST(user_id AS VARCHAR) AS task, row_number() OVER (PARTITION BY user_id - user_id % 20 ORDER BY event_id) AS n FROM events),
+f AS (
+  SELECT gate, 0::BIGINT AS n, 0::BIGINT AS seq, NULL::VARCHAR AS task_id, []::VARCHAR[] AS running, []::VARCHAR[] AS waiting, NULL::VARCHAR AS result, NULL::VARCHAR AS promoted FROM (SELECT DISTINCT gate FROM e)
+  UNION ALL
+  SELECT gate, n, seq, task,
+         CASE WHEN release AND runs THEN list_concat(list_filter(r, lambda x: x <> task), w[1:1]) WHEN NOT release AND NOT runs AND NOT waits AND len(r) < 2 THEN list_append(r, task) ELSE r END,
+         CASE WHEN release AND runs THEN w[2:] WHEN release THEN list_filter(w, lambda x: x <> task) WHEN NOT runs AND NOT waits AND len(r) >= 2 AND len(w) < 3 THEN list_append(w, task) ELSE w END,
+         CASE WHEN release THEN CASE WHEN runs OR waits THEN 'released' ELSE 'unknown' END WHEN runs OR (NOT waits AND len(r) < 2) THEN 'running' WHEN waits OR len(w) < 3 THEN 'queued' ELSE 'rejected' END,
+         CASE WHEN release AND runs THEN w[1] END
+  FROM (SELECT e.*, f.running AS r, f.waiting AS w, list_contains(f.running, e.task) AS runs, list_contains(f.waiting, e.task) AS waits FROM f JOIN e ON e.gate = f.gate AND e.n = f.n + 1))
+SELECT gate, seq, task_id, result, CASE WHEN result = 'queued' THEN CAST(list_position(waiting, task_id) AS INTEGER) ELSE 0 END AS place, promoted FROM f WHERE n > 0""")
 def gate_fifo(spark, sf_dir):
-    """A gate of two slots and three places per kind of event: purchases release, all others acquire."""
-    own = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("gate"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "release").otherwise("acquire").alias("op"), F.col("user_id").cast("string").alias("task_id"))
+    """Gates of two slots and three places, one for every twenty users: purchases release, all other events acquire."""
+    user = F.col("user_id")
+    own = table(spark, sf_dir, "events").select((user - user % 20).alias("gate"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "release").otherwise("acquire").alias("op"), user.cast("string").alias("task_id"))
     return limits.gate(own, 2, 3)
 
 

@@ -1,7 +1,8 @@
-"""Stateful operators: rate limits, a concurrency gate, progress, agent guards.
+"""Stateful operators: rate limits, joint admission, a concurrency gate, progress, replay, agent guards.
 
-The folds are plain Python on one key's events in order. In batch they run per
-key; in streaming the same fold runs over state kept by Spark.
+The folds are plain Python on one key's events in order. Rate limits and
+admission run the same fold per key in batch and over state kept by Spark in
+streaming; the others are for batch.
 """
 
 from __future__ import annotations

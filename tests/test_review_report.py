@@ -1,7 +1,6 @@
-import os
-
 """Review, reports, search and stateful operators on small tables."""
 
+import os
 from collections import deque
 
 import pytest
