@@ -105,12 +105,14 @@ def pagerank(spark, sf_dir):
     return graph.pagerank(edges(spark, sf_dir)).select("node", F.round("score", 9).alias("score"))
 
 
-@query(f"""
-WITH {EDGES},
-two AS (SELECT a.src AS x, a.dst AS y, a.at_import_time AND b.at_import_time AS t FROM edges a JOIN edges b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst),
+CYCLES = """two AS (SELECT a.src AS x, a.dst AS y, a.at_import_time AND b.at_import_time AS t FROM edges a JOIN edges b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst),
 three AS (
   SELECT a.src AS x, a.dst AS y, b.dst AS z, a.at_import_time AND b.at_import_time AND c.at_import_time AS t
-  FROM edges a JOIN edges b ON b.src = a.dst JOIN edges c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst)
+  FROM edges a JOIN edges b ON b.src = a.dst JOIN edges c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst)"""
+
+
+@query(f"""
+WITH {EDGES}, {CYCLES}
 SELECT x || '>' || y AS members, 2 AS length, t AS import_time FROM two
 UNION ALL SELECT x || '>' || y || '>' || z, 3, t FROM three""")
 def cycles_bounded(spark, sf_dir):
@@ -167,6 +169,20 @@ def layering(spark, sf_dir):
     return modules.layering(modules.owned_edges(edges(spark, sf_dir), owners(spark, sf_dir)), share=0.3).withColumn("share", F.round("share", 9))
 
 
+@query(f"""
+WITH {LAYERS}, {CYCLES}
+SELECT 'structure' AS category, 'oversized_module' AS kind, CAST(name AS VARCHAR) AS path, n || ' files in one module' AS message, 'low' AS severity FROM (SELECT name, count(*) AS n FROM files GROUP BY name) WHERE n > 40
+UNION ALL SELECT 'structure', 'import_cycle', CAST(x AS VARCHAR), x || ' -> ' || y, 'medium' FROM two WHERE t
+UNION ALL SELECT 'structure', 'import_cycle', CAST(x AS VARCHAR), x || ' -> ' || y || ' -> ' || z, 'medium' FROM three WHERE t
+UNION ALL SELECT 'structure', 'layering', a || ' / ' || b, minority || ' edges against the usual direction', 'medium' FROM layers""")
+def structural_findings(spark, sf_dir):
+    """Oversized modules, cycles at import time and edges against a layering as findings."""
+    e, own = edges(spark, sf_dir), owners(spark, sf_dir)
+    sizes = own.groupBy(F.col("name").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n_files"))
+    rings = graph.short_cycles(e, 3).withColumn("members", F.split("members", ">"))
+    return modules.structural_findings(sizes, rings, modules.layering(modules.owned_edges(e, own), share=0.3))
+
+
 @query(f"WITH {LAYERS} SELECT o.src, o.dst, o.src_module, o.dst_module FROM owned o JOIN layers l ON l.a = least(src_module, dst_module) AND l.b = greatest(src_module, dst_module) AND (src_module < dst_module) = (l.against = 'forward') WHERE src_module <> dst_module")
 def layering_edges(spark, sf_dir):
     """The edges against the direction."""

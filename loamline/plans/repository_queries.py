@@ -177,6 +177,15 @@ def import_cycles(spark, sf_dir):
     return graph.cycles(python_edges(spark, sf_dir)).select("repo_id", F.array_join("members", " -> ").alias("members"), "length", "import_time")
 
 
+@query(_duck(f"""
+WITH {WRITTEN}, {LINKS}, e AS (SELECT DISTINCT repo_id, src, dst FROM links)
+SELECT a.repo_id, a.src || ' -> ' || a.dst AS members, 2 AS length FROM e a JOIN e b ON b.repo_id = a.repo_id AND b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst ORDER BY a.src || '>' || a.dst LIMIT 5"""))
+def longest_cycles(spark, sf_dir):
+    """The cycles that an overview shows: the five longest, then by their members."""
+    sizes = python_files(spark, sf_dir).groupBy(F.col("repo_id").alias("name")).agg(F.count(F.lit(1)).alias("n_files"))
+    return graph.overview(graph.cycles(python_edges(spark, sf_dir)), sizes)[0].select("repo_id", F.array_join("members", " -> ").alias("members"), "length")
+
+
 _FOUND = {0: [("bare_except", 15, "handler without a type", "certain")], 1: [("swallowed_exception", 15, "handler without a statement", "certain")], 2: [("unprotected_io", 13, "json.loads outside try", "contextual")],
           3: [("unclosed_resource", 13, "open() assigned outside with", "contextual"), ("unprotected_io", 13, "open outside try", "contextual")], 4: [("sql_injection", 13, "execute on SQL put together from values", "certain")],
           5: [("command_injection", 13, "system runs a shell", "certain")], 6: [("unprotected_io", 13, "pickle.loads outside try", "contextual"), ("unsafe_deserialization", 13, "pickle.loads", "certain")], 7: [("unsafe_deserialization", 13, "eval", "certain")]}
@@ -497,7 +506,7 @@ def oversized_modules(spark, sf_dir):
     return modules.structural_findings(mods, none, flat).select("path", "category", "message", "severity")
 
 
-@query("SELECT c_mktsegment AS digest, 6 * count(*) AS n, 6 * count(*) AS n_vectors, 0 AS n_errors FROM customer GROUP BY 1")
+@query(_duck(f"SELECT {REPO} AS digest, 6 * count(*) AS n, 6 * count(*) AS n_vectors, 0 AS n_errors FROM customer GROUP BY 1"))
 def chunk_index(spark, sf_dir):
     """An index of the source chunks by hashed words: chunks, vectors and errors of each repository."""
     own = chunks.chunk(python_files(spark, sf_dir)).withColumn("digest", F.col("repo_id"))

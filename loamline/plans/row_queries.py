@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loamline.functions import paths, text, urls
 from loamline.operators import imports, lookup, payloads, ranking, report, review
 from loamline.plans.registry import query, table
-from loamline.plans.repository_queries import LINKS, WRITTEN, _duck, python_edges, python_files
+from loamline.plans.repository_queries import LINKS, REPO, WRITTEN, _duck, python_edges, python_files
 from loamline.streaming import limits
 
 
@@ -260,7 +260,7 @@ def roots_of_repositories(spark, sf_dir):
     return root_entries(python_edges(spark, sf_dir)).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_mktsegment AS repo_id, count(*) AS n, min('pkg' || c_custkey % 7 || '/mod' || c_custkey) AS first_stem FROM customer GROUP BY 1")
+@query(_duck(f"SELECT {REPO} AS repo_id, count(*) AS n, min('pkg' || c_custkey % 7 || '/mod' || c_custkey) AS first_stem FROM customer GROUP BY 1"))
 def stem_index(spark, sf_dir):
     """Stems of a repository's files."""
     return imports.stem_index(python_files(spark, sf_dir)).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.min("stem").alias("first_stem"))
