@@ -7,12 +7,54 @@ import html
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamline.functions.json_reply import json_values
+
 # Caps of what a report shows.
 SKELETON_CAPS = {"modules": 40, "entry_points": 15, "edges": 30, "findings": 10}
 REASONS_SHOWN = 5
 SECTIONS = ["overview", "tech_stack", "architecture", "modules", "data_flow", "review"]
 
 
+#: Sections of a written report's JSON.
+WRITTEN_SECTIONS = ["module_breakdown", "dependencies", "entrypoints", "key_flows", "tech_stack"]
+
+
+def _string(v: Column, path: str) -> Column:
+    """A string inside a variant; null for what isn't one (a number is no string)."""
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+
+
+def _whole(v: Column, path: str) -> Column:
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "BIGINT", F.try_variant_get(v, path, "bigint"))
+
+
+def _citations(claim: Column) -> Column:
+    """Citations of a claim: bare paths, or objects with a path and perhaps lines; what is neither is left out."""
+    listed = F.coalesce(F.try_variant_get(claim, "$.citations", "array<variant>"), F.array().cast("array<variant>"))
+    return F.filter(F.transform(listed, lambda c: F.struct(F.coalesce(_string(c, "$"), _string(c, "$.path")).alias("path"), _whole(c, "$.line").alias("line"), _whole(c, "$.end_line").alias("end_line"))), lambda c: c["path"].isNotNull())
+
+
+def parsed_reports(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reports in the text of replies (``report_id``, ``reply``), and their claims.
+
+    Of all JSON objects of a reply the one with most claims counts, the first
+    of equals; a reply without an object is no report. Reports: ``report_id``,
+    ``summary`` ('' if missing), ``n_claims``. Claims: ``report_id``,
+    ``section``, ``nth`` (place in its section), ``text``, ``citations``
+    (array of path, line, end_line). A missing section or one that is no list
+    has no claims; a claim without a text that is a string is none.
+    """
+    found = replies.select("report_id", F.posexplode(json_values("reply")).alias("candidate", "value")).select("report_id", "candidate", F.try_parse_json("value").alias("v"))
+    found = found.where(F.schema_of_variant("v").startswith("OBJECT"))
+    sections = F.array(*[F.struct(F.lit(name).alias("section"), F.coalesce(F.try_variant_get("v", f"$.{name}", "array<variant>"), F.array().cast("array<variant>")).alias("items")) for name in WRITTEN_SECTIONS])
+    listed = F.flatten(F.transform(sections, lambda s: F.transform(s["items"], lambda item, nth: F.struct(s["section"].alias("section"), nth.alias("nth"), F.trim(_string(item, "$.text")).alias("text"), _citations(item).alias("citations")))))
+    claims = F.filter(listed, lambda c: F.coalesce(c["text"], F.lit("")) != "")
+    told = found.select("report_id", "candidate", F.trim(F.coalesce(_string(F.col("v"), "$.summary"), F.lit(""))).alias("summary"), claims.alias("claims"))
+    best = told.groupBy("report_id").agg(F.max_by(F.struct("summary", "claims"), F.struct(F.size("claims"), -F.col("candidate"))).alias("best"))
+    reports = best.select("report_id", "best.summary", F.size("best.claims").alias("n_claims"))
+    return reports, best.select("report_id", F.explode("best.claims").alias("c")).select("report_id", "c.*")
+
+
 def citation_problem(known: Column, line: Column, end_line: Column, n_lines: Column) -> Column:
     """Why a citation is wrong, null if it isn't: unknown path, line under 1, inverted, beyond the end."""
     upper = F.coalesce(end_line, line)

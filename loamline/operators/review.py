@@ -150,10 +150,8 @@ def outcomes(judged: DataFrame, categories: DataFrame, judge: bool = True) -> Da
 
 def scope_texts() -> dict[str, str]:
     """What each category looked for, for a report's reader."""
-    from loamline.operators import python_source as p
-
-    calls = ", ".join(sorted(p.SQL_EXECUTORS | p.SHELL_CALLS | p.SUBPROCESS_CALLS | p.UNSAFE_EVAL))
-    return {"security": f"secrets: {', '.join([*SECRETS, 'assigned_credential'])}; calls: {calls}", "error_handling": f"handlers and calls outside try: {', '.join(sorted({*p.IO_CALLS, *p.IO_BUILTINS}))}"}
+    calls = ", ".join(sorted({*syntax.SQL_EXECUTORS, *syntax.SHELL_CALLS, *syntax.SUBPROCESS_CALLS, *syntax.UNSAFE_EVAL}))
+    return {"security": f"secrets: {', '.join([*SECRETS, 'assigned_credential'])}; calls: {calls}", "error_handling": f"handlers and calls outside try: {', '.join(sorted({*syntax.IO_CALLS, *syntax.IO_BUILTINS}))}"}
 
 
 def structural_outcome(n_nodes: int, n_edges: int, degraded: bool) -> str:

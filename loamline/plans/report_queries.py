@@ -115,3 +115,26 @@ def rejected_claims(spark, sf_dir):
     """Dropped claims with their problems."""
     judged = _judged(spark, sf_dir).withColumn("text", F.concat(F.lit("claim "), F.col("claim_id").cast("string")))
     return report.rejected_notes(judged, _checked(spark, sf_dir)).select("claim_id", "text", F.array_join("problems", ",").alias("problems"))
+
+
+#: A written report for every event: a short one and then the whole, one with odd parts, no object, and two of equal length.
+WRITTEN_REPORTS = """written AS (
+  SELECT event_id AS report_id, CASE event_id % 4
+    WHEN 0 THEN 'Short: {"summary": " s ", "dependencies": []} and whole: {"summary": " full ", "module_breakdown": [{"text": " m' || CAST(event_id AS STRING) || ' ", "citations": ["a.py", {"path": "b.py", "line": 3, "end_line": 9}, {"line": 1}, 7]}, {"text": 5}, "odd", {"text": "n", "citations": "x"}], "key_flows": [{"text": "f"}]}'
+    WHEN 1 THEN '```json' || chr(10) || '{"summary": 4, "tech_stack": "none", "entrypoints": [{"text": "  "}]}' || chr(10) || '```'
+    WHEN 2 THEN '[1] is no object, ' || event_type
+    ELSE '{"dependencies": [{"text": "d", "citations": [{"path": "c.py", "line": "5"}]}]} {"dependencies": [{"text": "later"}]}' END AS reply FROM events)"""
+
+
+@query("""
+WITH e AS (SELECT event_id AS report_id, event_id % 4 AS i FROM events),
+claims(i, section, nth, text, cited) AS (VALUES (0, 'module_breakdown', 0, NULL, 'a.py;b.py:3-9'), (0, 'module_breakdown', 3, 'n', ''), (0, 'key_flows', 0, 'f', ''), (3, 'dependencies', 0, 'd', 'c.py'))
+SELECT report_id, CASE i WHEN 0 THEN 'full' ELSE '' END AS summary, CASE i WHEN 0 THEN 3 WHEN 1 THEN 0 ELSE 1 END AS n_claims, section, nth, CASE WHEN section IS NOT NULL THEN coalesce(text, 'm' || report_id) END AS text, cited
+FROM e LEFT JOIN claims USING (i) WHERE i <> 2""")
+def written_reports(spark, sf_dir):
+    """Reports, claims and citations out of replies, with defaults for what is missing."""
+    text = WRITTEN_REPORTS.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}")
+    reports, claims = report.parsed_reports(spark.sql(f"WITH {text} SELECT * FROM written", events=table(spark, sf_dir, "events")))
+    lines = lambda c: F.when(c["line"].isNotNull(), F.concat(F.lit(":"), c["line"].cast("string"), F.lit("-"), c["end_line"].cast("string"))).otherwise("")
+    shown = claims.select("report_id", "section", "nth", "text", F.array_join(F.transform("citations", lambda c: F.concat(c["path"], lines(c))), ";").alias("cited"))
+    return reports.join(shown, "report_id", "left")

@@ -229,15 +229,15 @@ def output_summaries(spark, sf_dir):
     return own.select("event_id", payloads.output_summary(F.col("output"), 4).alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('security'), ('error_handling')) t(category)")
+@query("""
+SELECT event_id, category, call, (category = 'security' AND call IN ('execute', 'system', 'slack_token')) OR (category = 'error_handling' AND call = 'requests') AS told
+FROM (SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'security' ELSE 'error_handling' END AS category, ['execute', 'requests', 'system', 'slack_token', 'nowhere'][event_id % 5 + 1] AS call FROM events)""")
 def scope_texts(spark, sf_dir):
-    """Categories whose scope can be told: every pattern and executor of theirs is in the text."""
-    rows = [(c, t) for c, t in review.scope_texts().items()]
-    own = spark.createDataFrame(rows, "category string, text string")
-    complete = F.lit(True)
-    for name in [*review.SECRETS, "execute"]:
-        complete = complete & (F.col("text").contains(name) | (F.col("category") != "security"))
-    return own.where(complete).select("category")
+    """Whether the text on what a category looks for names a call or a pattern."""
+    scope = F.create_map(*[F.lit(x) for pair in review.scope_texts().items() for x in pair])
+    call = F.element_at(F.array(*[F.lit(c) for c in ("execute", "requests", "system", "slack_token", "nowhere")]), (F.col("event_id") % 5 + 1).cast("int"))
+    own = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type").isin("view", "click"), "security").otherwise("error_handling").alias("category"), call.alias("call"))
+    return own.withColumn("told", F.element_at(scope, F.col("category")).contains(F.col("call")))
 
 
 @query("""
