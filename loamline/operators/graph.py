@@ -50,24 +50,23 @@ def degrade(files: DataFrame, directory: str, most: int, by: Sequence[str]) -> D
 
 
 #: Rounds that one plan does; then the powers so far are written, which cuts the lineage.
-ROUNDS_A_PLAN = 3
+ROUNDS_A_PLAN = 10
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """``node``, ``score`` after exactly ``rounds`` rounds from equal shares; dangling nodes spread over all.
 
     Repeated edges count once. Every round is one join of the links with what
-    the nodes hold and one sum, whatever the size; the links stay dealt by
-    source, as are the sums, so a round exchanges only sums. What damping and
+    the nodes hold and one sum, whatever the size; the rounds of a plan share
+    one exchange of the links by source, so a round exchanges only sums. What damping and
     dangling nodes add is the same for all nodes, so scores are sums of the
     powers A^j 1 of the links with one factor each, which follow from the
     powers' sums (a row a round); the rounds themselves need no sum over all
     nodes. Powers are checkpointed a few at a time.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = edges.select("src", "dst").distinct()
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = edges.join(out, "src").select("src", "dst", (1.0 / F.col("degree")).alias("share")).repartition(parts, "src").checkpoint()
+    links = edges.join(out, "src").select("src", "dst", (1.0 / F.col("degree")).alias("share")).checkpoint()
     ends = links.select(F.col("src").alias("node")).union(links.select("dst"))
     last = (ends if nodes is None else nodes.select("node")).distinct().select("node", F.lit(1.0).alias("held"), F.lit(0).alias("power")).checkpoint()
     n = last.count()
@@ -75,8 +74,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     for first in range(1, rounds + 1, ROUNDS_A_PLAN):
         some = []
         for i in range(first, min(first + ROUNDS_A_PLAN, rounds + 1)):
-            here = last.hint("shuffle_hash")
-            last = links.join(here, links.src == here.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("held") * F.col("share")).alias("held")).withColumn("power", F.lit(i))
+            last = links.join(last, links.src == last.node).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("held") * F.col("share")).alias("held")).withColumn("power", F.lit(i))
             some.append(last)
         written = some[0]
         for s in some[1:]:
