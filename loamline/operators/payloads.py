@@ -117,10 +117,11 @@ def findings_summary(outcomes: DataFrame) -> DataFrame:
 
 
 def skeleton(modules: DataFrame, entries: DataFrame, edges: DataFrame, findings: DataFrame) -> dict[str, DataFrame]:
-    """What a report is written from, each part cut to its cap."""
+    """What a report is written from, each part cut to its cap; ``module_count`` is the number of all modules, one row ``n``."""
     from loamline.operators.report import SKELETON_CAPS as caps
 
     return {
+        "module_count": modules.agg(F.count(F.lit(1)).alias("n")),
         "modules": modules.orderBy(F.desc("n_files"), "name").limit(caps["modules"]),
         "entry_points": entries.orderBy("strength", "path").limit(caps["entry_points"]),
         "edges": edges.orderBy("src_module", "dst_module").limit(caps["edges"]),
