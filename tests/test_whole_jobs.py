@@ -19,3 +19,10 @@ def test_skeleton_counts_all_modules(spark):
     parts = payloads.skeleton(mods, none, none, none)
     assert parts["module_count"].first()["n"] == 50
     assert parts["modules"].count() == 40
+
+
+@needs_tables
+def test_file_slice_finds_the_segment(spark):
+    rows = QUERIES["file_slice"](spark, DATA).orderBy("line").collect()
+    assert [r.line for r in rows] == [7, 8, 9, 10]
+    assert rows[0].content.startswith("class C")
