@@ -26,3 +26,10 @@ def test_file_slice_finds_the_segment(spark):
     rows = QUERIES["file_slice"](spark, DATA).orderBy("line").collect()
     assert [r.line for r in rows] == [7, 8, 9, 10]
     assert rows[0].content.startswith("class C")
+
+
+@needs_tables
+def test_directory_listing_counts_the_segment(spark):
+    n = table(spark, DATA, "customer").where("c_mktsegment = 'BUILDING'").count()
+    rows = QUERIES["directory_listing"](spark, DATA).collect()
+    assert n > 0 and sum(r.n_files for r in rows if r.is_dir) == n
