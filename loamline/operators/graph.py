@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.functions.joins import exchanged
+
 DAMPING, ROUNDS = 0.85, 30
 
 
@@ -161,7 +163,7 @@ def _trimmed(edges: DataFrame, k: list[str]) -> DataFrame:
     n = edges.count()
     while n:
         into, out = edges.select(*k, F.col("dst").alias("src")).distinct(), edges.select(*k, F.col("src").alias("dst")).distinct()
-        edges = edges.join(into, [*k, "src"], "left_semi").join(out, [*k, "dst"], "left_semi").select(*k, "src", "dst").checkpoint()
+        edges = edges.join(exchanged(into), [*k, "src"], "left_semi").join(exchanged(out), [*k, "dst"], "left_semi").select(*k, "src", "dst").checkpoint()
         before, n = n, edges.count()
         if n == before:
             break
@@ -187,23 +189,23 @@ def strong_components(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             return found
         colour = left.select(*k, F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")).checkpoint()
         while True:
-            heard = left.join(colour.withColumnRenamed("node", "src"), [*k, "src"]).groupBy(*k, F.col("dst").alias("node")).agg(F.min("colour").alias("heard"))
-            step = colour.join(heard, [*k, "node"], "left").select(*k, "node", F.col("colour").alias("old"), F.least("colour", "heard").alias("colour")).checkpoint()
+            heard = left.join(exchanged(colour.withColumnRenamed("node", "src")), [*k, "src"]).groupBy(*k, F.col("dst").alias("node")).agg(F.min("colour").alias("heard"))
+            step = colour.join(exchanged(heard), [*k, "node"], "left").select(*k, "node", F.col("colour").alias("old"), F.least("colour", "heard").alias("colour")).checkpoint()
             colour = step.drop("old")
             if step.where("colour < old").isEmpty():
                 break
-        inside = left.join(colour.withColumnRenamed("node", "src"), [*k, "src"]).join(colour.select(*k, F.col("node").alias("dst"), F.col("colour").alias("of")), [*k, "dst"]).where("colour = of").select(*k, "src", "dst").checkpoint()
+        inside = left.join(exchanged(colour.withColumnRenamed("node", "src")), [*k, "src"]).join(exchanged(colour.select(*k, F.col("node").alias("dst"), F.col("colour").alias("of"))), [*k, "dst"]).where("colour = of").select(*k, "src", "dst").checkpoint()
         back = edge = colour.where("node = colour").checkpoint()
         while True:
-            more = inside.join(edge.withColumnRenamed("node", "dst"), [*k, "dst"]).select(*k, F.col("src").alias("node"), "colour").distinct()
-            edge = more.join(back.select(*k, "node"), [*k, "node"], "left_anti").checkpoint()
+            more = inside.join(exchanged(edge.withColumnRenamed("node", "dst")), [*k, "dst"]).select(*k, F.col("src").alias("node"), "colour").distinct()
+            edge = more.join(exchanged(back.select(*k, "node")), [*k, "node"], "left_anti").checkpoint()
             if edge.isEmpty():
                 break
             back = back.union(edge).checkpoint()
         several = back.groupBy(*k, "colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        found = found.union(back.join(several, [*k, "colour"], "left_semi").select(*k, "node", F.col("colour").alias("component"))).checkpoint()
+        found = found.union(back.join(exchanged(several), [*k, "colour"], "left_semi").select(*k, "node", F.col("colour").alias("component"))).checkpoint()
         for end in ("src", "dst"):
-            left = left.join(back.select(*k, F.col("node").alias(end)), [*k, end], "left_anti")
+            left = left.join(exchanged(back.select(*k, F.col("node").alias(end))), [*k, end], "left_anti")
         left = left.select(*k, "src", "dst").checkpoint()
 
 
@@ -217,7 +219,7 @@ def cycles(edges: DataFrame, by: str = "repo_id") -> DataFrame:
     of = strong_components(edges, [by])
     src = of.select(by, F.col("node").alias("src"), "component")
     dst = of.select(by, F.col("node").alias("dst"), F.col("component").alias("other"))
-    inner = edges.join(src, [by, "src"]).join(dst, [by, "dst"]).where("component = other").select(by, "component", "src", "dst", "at_import_time")
+    inner = edges.join(exchanged(src), [by, "src"]).join(exchanged(dst), [by, "dst"]).where("component = other").select(by, "component", "src", "dst", "at_import_time")
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
         adjacency: dict = {x: set() for x in table["src"]}
