@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import urls
+from loamline.functions.joins import exchanged
 
 # Caps of payloads.
 PLANNER_FILES = 12
@@ -17,7 +18,7 @@ def _capped(df: DataFrame, by: list[str], item: Column, most: int, name: str) ->
     own = df.select(*by, item.alias("__item")).distinct()
     nth = F.row_number().over(Window.partitionBy(*by).orderBy("__item"))
     first = own.withColumn("__n", nth).where(F.col("__n") <= most).groupBy(*by).agg(F.sort_array(F.collect_list("__item")).alias(name))
-    return first.join(own.groupBy(*by).agg(F.count(F.lit(1)).alias(f"n_{name}")), by)
+    return first.join(exchanged(own.groupBy(*by).agg(F.count(F.lit(1)).alias(f"n_{name}"))), by)
 
 
 def planner_payload(scored: DataFrame, module_files: DataFrame) -> DataFrame:
@@ -29,14 +30,14 @@ def planner_payload(scored: DataFrame, module_files: DataFrame) -> DataFrame:
 def task_payload(module_files: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """What a module's analysis starts from: 40 files, 20 neighbouring files with 6 targets each, 20 files with 10 symbols each."""
     files = _capped(module_files, ["name"], F.col("path"), TASK_FILES, "files")
-    out = edges.join(module_files.select(F.col("path").alias("src"), "name"), "src")
+    out = edges.join(exchanged(module_files.select(F.col("path").alias("src"), "name")), "src")
     targets = _capped(out, ["name", "src"], F.col("dst"), NEIGHBOUR_TARGETS, "targets")
     nth = F.row_number().over(Window.partitionBy("name").orderBy("src"))
     near = targets.withColumn("__n", nth).where(F.col("__n") <= NEIGHBOUR_FILES).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("src", "targets"))).alias("neighbours"))
-    named = _capped(symbols.join(module_files, "path").select(F.col("name"), "path", "qualified_name") if "name" not in symbols.columns else symbols.drop("name").join(module_files, "path"), ["name", "path"], F.col("qualified_name"), SYMBOL_NAMES, "names")
+    named = _capped(symbols.join(exchanged(module_files), "path").select(F.col("name"), "path", "qualified_name") if "name" not in symbols.columns else symbols.drop("name").join(exchanged(module_files), "path"), ["name", "path"], F.col("qualified_name"), SYMBOL_NAMES, "names")
     nth = F.row_number().over(Window.partitionBy("name").orderBy("path"))
     known = named.withColumn("__n", nth).where(F.col("__n") <= SYMBOL_FILES).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("path", "names"))).alias("symbols"))
-    return files.join(near, "name", "left").join(known, "name", "left")
+    return files.join(exchanged(near), "name", "left").join(exchanged(known), "name", "left")
 
 
 def module_rows(modules: DataFrame, analyses: DataFrame) -> DataFrame:
