@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import paths, text
+from loamline.functions.joins import exchanged
 from loamline.operators import syntax
 from loamline.operators.ranking import file_rank, top_per
 from loamline.providers import Judge
@@ -77,7 +78,7 @@ def code_candidates(table: DataFrame, files: DataFrame) -> DataFrame:
     lines = files.select("repo_id", "path", text.lines(F.col("text")).alias("lines"))
     first = F.greatest(F.col("line") - RADIUS, F.lit(1))
     snippet = F.array_join(F.slice("lines", first, F.col("line") + RADIUS - first + 1), "\n")
-    return syntax.candidates(table).join(lines, ["repo_id", "path"]).select("repo_id", "path", "category", "kind", "line", snippet.alias("snippet"), "evidence", "confidence", "enclosing")
+    return syntax.candidates(table).join(exchanged(lines), ["repo_id", "path"]).select("repo_id", "path", "category", "kind", "line", snippet.alias("snippet"), "evidence", "confidence", "enclosing")
 
 
 def collect_candidates(files: DataFrame, parsed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import paths
+from loamline.functions.joins import exchanged
 from loamline.operators import python_source, typescript_source
 
 FILE = ["repo_id", "path"]
@@ -106,7 +107,7 @@ def inside(found: DataFrame, boxes: DataFrame) -> DataFrame:
 def nearest(found: DataFrame, boxes: DataFrame) -> DataFrame:
     """``found`` with ``box``, the innermost node of ``boxes`` around each; null for none."""
     best = inside(found, boxes).groupBy(*FILE, "enter").agg(F.max_by("box", "box.depth").alias("box"))
-    return found.join(best, [*FILE, "enter"], "left")
+    return found.join(exchanged(best), [*FILE, "enter"], "left")
 
 
 def parents_of(found: DataFrame) -> DataFrame:
@@ -116,12 +117,12 @@ def parents_of(found: DataFrame) -> DataFrame:
 
 def with_parent(found: DataFrame, parents: DataFrame) -> DataFrame:
     """Those of ``found`` whose parent is one of ``parents``."""
-    return found.join(parents.select(*FILE, F.col("enter").alias("parent")).distinct(), [*FILE, "parent"], "left_semi")
+    return found.join(exchanged(parents.select(*FILE, F.col("enter").alias("parent")).distinct()), [*FILE, "parent"], "left_semi")
 
 
 def having(found: DataFrame, keys: DataFrame, have: bool = True) -> DataFrame:
     """Those of ``found`` whose number is, or isn't, among ``keys``."""
-    return found.join(keys.select(*FILE, "enter").distinct(), [*FILE, "enter"], "left_semi" if have else "left_anti")
+    return found.join(exchanged(keys.select(*FILE, "enter").distinct()), [*FILE, "enter"], "left_semi" if have else "left_anti")
 
 
 def symbols(table: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def dynamic_strings(table: DataFrame) -> DataFrame:
     formatted = having(table.where("kind = 'Call' and name = 'format'"), on_literal)
     starts = ~((F.col("field") == "left") & (F.col("parent") == F.col("enter") - 1))
     by_place = Window.partitionBy(*FILE).orderBy("enter").rowsBetween(Window.unboundedPreceding, 0)
-    run = table.where("kind = 'BinOp' or field = 'left'").join(formatted.select(*FILE, "enter", F.lit(True).alias("is_format")), [*FILE, "enter"], "left")
+    run = table.where("kind = 'BinOp' or field = 'left'").join(exchanged(formatted.select(*FILE, "enter", F.lit(True).alias("is_format"))), [*FILE, "enter"], "left")
     run = run.withColumn("island", F.max(F.when(starts, F.col("enter"))).over(by_place))
     literal = (F.col("kind") == "JoinedStr") | ((F.col("kind") == "Constant") & (F.col("name") == "str")) | F.coalesce("is_format", F.lit(False))
     island = Window.partitionBy(*FILE, "island").orderBy(F.desc("enter"))
@@ -201,7 +202,7 @@ def _python(t: DataFrame) -> list[DataFrame]:
     loader = t.where("name like '%Loader%'")
     yaml = calls.where("text = 'yaml' and name = 'load'")
     told = inside(loader, yaml).select(*FILE, F.col("box.enter").alias("enter")).distinct().withColumn("loader", F.lit(True))
-    marked = calls.join(on_dynamic, [*FILE, "enter"], "left").join(with_shell, [*FILE, "enter"], "left").join(told, [*FILE, "enter"], "left").fillna(False, ["dynamic", "shell", "loader"])
+    marked = calls.join(exchanged(on_dynamic), [*FILE, "enter"], "left").join(exchanged(with_shell), [*FILE, "enter"], "left").join(exchanged(told), [*FILE, "enter"], "left").fillna(False, ["dynamic", "shell", "loader"])
 
     shelled = (F.col("name").isin(SHELL_CALLS) & F.col("dynamic")) | (F.col("text").isin("subprocess", "sp") & F.col("name").isin(SUBPROCESS_CALLS) & F.col("shell"))
     unsafe = (F.col("text").isin(UNSAFE_MODULES) & F.col("name").isin(UNSAFE_LOADS)) | ((F.col("text") == "yaml") & (F.col("name") == "load") & ~F.col("loader")) | ((F.col("text") == "") & F.col("name").isin(UNSAFE_EVAL))
