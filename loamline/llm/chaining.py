@@ -9,6 +9,9 @@ matches and never all pairs. The matches of two documents are chained in order
 with gap costs through a Fenwick tree, and each chain is aligned word by word
 to find the exact ends and the similarity of a fuzzy passage.
 
+Equal runs of ``min_words`` words are found whatever the hashes choose and
+however many documents share their seeds (``Anchors``, ``_windows``).
+
 A document is an id and a text. ``at`` packs the key that tells apart the
 texts of a repeated id (``text_key``), the number of a word, and whether a long
 run begins there.
@@ -63,25 +66,92 @@ def numbered(h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([mix(h + nth * np.uint64(0x9E3779B97F4A7C15)), mix(h[again])]), np.concatenate([pos, pos[again]])
 
 
-def text_seeds(words: np.ndarray, k: int, every: int) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of a text's word hashes, and their places: twice the word's number, and one more for a long run.
+def _long(k: int, min_words: int) -> int:
+    """Words of a long seed: whole short runs, and no more than a passage has."""
+    return max(k, min(LONG, min_words) // k * k)
+
+
+def _sliding(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """``best`` (minimum or maximum) of every ``width`` consecutive entries."""
+    done, n = 1, len(x) - width + 1
+    while 2 * done <= width:
+        x, done = best(x[:-done], x[done:]), 2 * done
+    return best(x[:n], x[width - done : width - done + n])
+
+
+def _joined(h: np.ndarray, at: np.ndarray, size: int, k: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words at the places ``at``, from those of the runs of k words that they consist of."""
+    out = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, size, k):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[at + i]
+    return mix(out)
+
+
+class Anchors:
+    """The smallest long runs by hash of each window of ``min_words`` words: texts that share a window share its anchor.
+
+    ``runs`` has the hash of each run of ``_long`` words, ``least`` the smallest
+    of each window, ``at`` the places of these, the anchors. ``around`` is for
+    each the hash of all windows that it can be the smallest of, its
+    surroundings, under the upper half of its own hash.
+    """
+
+    def __init__(self, h: np.ndarray, n_words: int, k: int, min_words: int):
+        self.size = _long(k, min_words)
+        self.runs = _joined(h, np.arange(n_words - self.size + 1), self.size, k)
+        self.side = min_words - self.size
+        self.least = _sliding(np.minimum, self.runs, self.side + 1)
+        edge = np.zeros(self.side, np.uint64)
+        self.at = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, self.least, edge]), self.side + 1) == self.runs)
+        # Where a text begins or ends, the windows reach less far, which counts for the hash.
+        self.around = np.zeros(len(self.at), np.uint64)
+        with np.errstate(over="ignore"):
+            for step in (*range(-self.side, self.side, self.size), self.side):
+                there = np.clip(self.at + step, 0, len(self.runs) - 1)
+                self.around = self.around * np.uint64(0x9E3779B97F4A7C15) + self.runs[there] + mix((there - self.at).astype(np.uint64))
+        own = mix(self.runs[self.at])
+        self.around = own >> np.uint64(32) << np.uint64(32) | mix(self.around) >> np.uint64(32)
+
+    def windows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows that have a wanted anchor (by its number), and the places of these anchors."""
+        places = self.at[wanted]
+        where = places[:, None] + np.arange(-self.side, 1)
+        fits = (where >= 0) & (where < len(self.least))
+        fits &= self.least[np.clip(where, 0, len(self.least) - 1)] == self.runs[places][:, None]
+        at, where = np.broadcast_to(places[:, None], where.shape)[fits], where[fits]
+        out = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for step in (*range(0, self.side, self.size), self.side):
+                out = out * np.uint64(0x9E3779B97F4A7C15) + self.runs[where + step]
+            # The place of the anchor tells apart the times that it is in a window.
+            return mix(out + np.uint64(2) * (at - where).astype(np.uint64) + np.uint64(1)), at
+
+
+def text_seeds(words: np.ndarray, k: int, every: int, min_words: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of a text's word hashes, their places (twice the word's number, and one more for a long run) and which are of surroundings.
 
     The number of a run among equal ones counts for its hash, so of a run that
     a text repeats some occurrences are always chosen. Long runs are chosen by
     their first words and hashed from the short runs that they consist of.
+    Anchors with their surroundings come last.
     """
     h = gram_hashes(words, k)
     found, at = numbered(h, np.arange(len(h)))
     chosen = found % np.uint64(every) == 0
-    parts = LONG // k
-    starts = h[: max(0, len(words) - parts * k + 1)]
+    size = _long(k, min_words)
+    starts = h[: max(0, len(words) - size + 1)]
     long = np.flatnonzero(starts >> np.uint64(32) < np.uint64((1 << 32) // LONG_EVERY))
-    whole = np.zeros(len(long), np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(parts):
-            whole = whole * np.uint64(0x9E3779B97F4A7C15) + h[long + i * k]
-    whole, long = numbered(mix(whole), long)
-    return np.concatenate([found[chosen], whole]), np.concatenate([2 * at[chosen], 2 * long + 1])
+    whole, long = numbered(_joined(h, long, size, k), long)
+    seed, place = [found[chosen], whole], [2 * at[chosen], 2 * long + 1]
+    n = 0
+    if len(words) >= max(k, min_words):
+        own = Anchors(h, len(words), k, min_words)
+        n = len(own.at)
+        seed.append(own.around)
+        place.append(2 * own.at + 1)
+    seed, place = np.concatenate(seed), np.concatenate(place)
+    return seed, place, np.arange(len(seed)) >= len(seed) - n
 
 
 def _text_key(text: Column | str = "text") -> Column:
@@ -104,28 +174,84 @@ def _keys(batch: pa.RecordBatch, repeated: Broadcast | None) -> tuple[np.ndarray
     return ids, key if repeated is None else np.where(id_filter.may_hold(repeated.value, ids), key, 0)
 
 
-def seeds(docs: DataFrame, k: int = K, every: int = EVERY, repeated: Broadcast | None = None) -> DataFrame:
-    """``doc_id``, ``at``, ``seed`` of each document, lower-cased: about one in ``every`` runs of k words and one in LONG_EVERY of LONG words."""
+def _occurrences(docs: DataFrame, k: int, every: int, min_words: int, repeated: Broadcast | None) -> DataFrame:
+    """``doc_id``, ``at``, ``seed`` of each document, lower-cased, and whether the seed is one of ``surroundings``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
             ids, keys = _keys(batch, repeated)
-            found = [text_seeds(hashes.of(text.lower().split()), k, every) for text in text_bytes(batch)]
-            of = np.repeat(np.arange(len(found)), [len(p) for _, p in found])
-            seed, place = (np.concatenate([*(x[i] for x in found), np.empty(0, kind)]) for i, kind in enumerate((np.uint64, np.int64)))
-            out = [ids[of], keys[of] << 32 | place, seed.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc_id", "at", "seed"])
+            found = [text_seeds(hashes.of(text.lower().split()), k, every, min_words) for text in text_bytes(batch)]
+            of = np.repeat(np.arange(len(found)), [len(x[1]) for x in found])
+            seed, place, around = (np.concatenate([*(x[i] for x in found), np.empty(0, kind)]) for i, kind in enumerate((np.uint64, np.int64, bool)))
+            out = [ids[of], keys[of] << 32 | place, seed.view(np.int64), around]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc_id", "at", "seed", "surroundings"])
+
+    return _with_at(docs, repeated).mapInArrow(run, "doc_id long, at long, seed long, surroundings boolean")
+
+
+def seeds(docs: DataFrame, k: int = K, every: int = EVERY, repeated: Broadcast | None = None, min_words: int = 50) -> DataFrame:
+    """``doc_id``, ``at``, ``seed`` of each document: about one in ``every`` runs of k words and one in LONG_EVERY of LONG words."""
+    return _occurrences(docs, k, every, min_words, repeated).where("not surroundings").drop("surroundings")
 
-    return _with_at(docs, repeated).mapInArrow(run, "doc_id long, at long, seed long")
+
+def _class_key(seed: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """One number for a seed in a document."""
+    with np.errstate(over="ignore"):
+        return mix(mix(mix(seed.view(np.uint64)) + ids.view(np.uint64)) + keys.view(np.uint64)).view(np.int64)
+
+
+def _windows(docs: DataFrame, occurrences: DataFrame, k: int, min_words: int, repeated: Broadcast | None) -> DataFrame | None:
+    """``doc_id``, ``at``, ``seed``: windows of ``min_words`` words whose anchors texts have in different surroundings.
+
+    Texts that have an anchor in the same surroundings have the same windows
+    there, and each meets the first of them by its surroundings. So the
+    windows of these first texts are all that there are, and a window that an
+    earlier text has as well is one that an earlier one of them has.
+    """
+    firsts = occurrences.where("surroundings").groupBy("seed").agg(F.min(F.struct("doc_id", F.shiftright("at", 32).alias("key"))).alias("w"))
+    firsts = materialise(firsts.select("seed", F.shiftright("seed", 32).alias("own"), "w.doc_id", "w.key"), "chain-classes")
+    several = firsts.groupBy(F.col("own").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of")
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seed, ids, keys = (batch.column(c).to_numpy() for c in ("seed", "doc_id", "key"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_class_key(seed, ids, keys))], names=["doc_id", "class"])
+
+    several = materialise(firsts.join(several, F.col("own") == F.col("of"), "left_semi").select("seed", "doc_id", "key").mapInArrow(numbers, "doc_id long, class long"), "chain-several")
+    discard(firsts)
+    if several.isEmpty():
+        return None
+    of, wanted = id_filter.build(several, "doc_id"), id_filter.build(several, "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches):
+            batch = batch.filter(pa.array(id_filter.may_hold(of.value, batch.column("doc_id").to_numpy())))
+            ids, keys = _keys(batch, repeated)
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
+            for doc, key, text in zip(ids, keys, text_bytes(batch)):
+                words = hashes.of(text.lower().split())
+                if len(words) < max(k, min_words):
+                    continue
+                own = Anchors(gram_hashes(words, k), len(words), k, min_words)
+                same = np.full(len(own.at), doc, np.int64), np.full(len(own.at), key, np.int64)
+                found, at = own.windows(np.flatnonzero(id_filter.may_hold(wanted.value, _class_key(own.around, *same))))
+                for x, y in zip(out, (np.full(len(at), doc, np.int64), key << 32 | 2 * at + 1, found.view(np.int64))):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc_id", "at", "seed"])
+
+    out = materialise(_with_at(docs, repeated).mapInArrow(run, "doc_id long, at long, seed long"), "chain-windows")
+    discard(several)
+    return out
 
 
 #: What ``_neighbours`` emits: links, rows of a task's first seed, and where the runs of its first and last seed begin and end.
 LINK, OPEN, RUN = 0, 1, 2
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of sorted occurrences with the document before and the first one of the same seed, as far as one task sees.
+def _neighbours(batches: Iterator[pa.RecordBatch], with_last: bool = True) -> Iterator[pa.RecordBatch]:
+    """Links of sorted occurrences with the document before (if ``with_last``) and the first one of the same seed, as far as one task sees.
 
     The run of a seed may go on over many tasks. Only four rows of it are held:
     the first, the heads of the document before and of the current one, and the
@@ -150,9 +276,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = np.where(head == start, -1, head[head - 1])
         new = (i >= known) & (enter | np.append(True, at[1:] != at[:-1]))  # a repeated row counts once
         first = (start == 0) & opening
-        x = np.flatnonzero(new & (before >= 0))
-        yield rows(LINK, doc[x], at[x], doc[before[x]], at[before[x]], np.zeros(len(x)))
-        x = np.flatnonzero(new & (head != start) & (start != before) & ~first)
+        if with_last:
+            x = np.flatnonzero(new & (before >= 0))
+            yield rows(LINK, doc[x], at[x], doc[before[x]], at[before[x]], np.zeros(len(x)))
+        x = np.flatnonzero(new & (head != start) & ~first & ~(with_last & (start == before)))
         yield rows(LINK, doc[x], at[x], doc[start[x]], at[start[x]], np.zeros(len(x)))
         x = np.flatnonzero(new & first)
         if len(x):
@@ -167,8 +294,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(RUN, *now)
 
 
-def matches(occurrences: DataFrame) -> DataFrame:
-    """``doc_id``, ``at``, ``ref_doc_id``, ``ref_at``: each occurrence with the one in the document before it and with the first.
+def matches(occurrences: DataFrame, with_last: bool = True) -> DataFrame:
+    """``doc_id``, ``at``, ``ref_doc_id``, ``ref_at``: each occurrence with the one in the document before it, unless without ``with_last``, and with the first.
 
     Occurrences are sorted by ranges of seed and document, so a seed in most
     documents is spread over many tasks. The runs that tasks share are joined
@@ -176,7 +303,7 @@ def matches(occurrences: DataFrame) -> DataFrame:
     """
     who = F.shiftright("at", 32)
     spread = occurrences.select("seed", "doc_id", "at").repartitionByRange("seed", "doc_id", who).sortWithinPartitions("seed", "doc_id", "at")
-    out = materialise(spread.mapInArrow(_neighbours, "kind byte, a long, b long, c long, d long, seed long"), "chain-matches")
+    out = materialise(spread.mapInArrow(lambda batches: _neighbours(batches, with_last), "kind byte, a long, b long, c long, d long, seed long"), "chain-matches")
     by = Window.partitionBy("seed").orderBy("a", "b")
     runs = out.where(F.col("kind") == RUN).select("seed", F.col("a").alias("run"), F.col("b").alias("run_at"), F.first("a").over(by).alias("ref"), F.first("b").over(by).alias("ref_at"), F.lag("c").over(by).alias("last"), F.lag("d").over(by).alias("last_at"))
     opened = out.where(F.col("kind") == OPEN).select("a", "b", F.col("c").alias("run"), F.col("d").alias("run_at"), "seed").join(runs, ["seed", "run", "run_at"])
@@ -184,7 +311,7 @@ def matches(occurrences: DataFrame) -> DataFrame:
     own = out.where(F.col("kind") == LINK).select("a", "b", "c", "d")
     firsts = opened.where(differs("ref", "ref_at")).select("a", "b", "ref", "ref_at")
     lasts = opened.where(F.col("last").isNotNull() & ~differs("run", "run_at")).select("a", "b", "last", "last_at")
-    return own.union(firsts).union(lasts).toDF("doc_id", "at", "ref_doc_id", "ref_at")
+    return (own.union(firsts).union(lasts) if with_last else own.union(firsts)).toDF("doc_id", "at", "ref_doc_id", "ref_at")
 
 
 class Fenwick:
@@ -311,9 +438,33 @@ def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, rpos: np.ndarray, k: in
     return int(pos[0]) - before[0], at + after[0], int(rpos[0]) - before[0], to + after[0], matched + before[1] + after[1]
 
 
+def _torn(pos: np.ndarray, rpos: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """First and last short run of the long matches that no chain has both ends of."""
+    of = {x: i for i, (p, r) in enumerate(found) for x in zip(p.tolist(), r.tolist())}
+    out = []
+    for p, r in zip(pos.tolist(), rpos.tolist()):
+        if (i := of.get((p, r))) is None or i != of.get((p + length, r + length)):
+            out.append((np.array([p, p + length]), np.array([r, r + length])))
+    return out
+
+
+def equal_runs(a: np.ndarray, b: np.ndarray, pos: np.ndarray, rpos: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Equal runs of at least ``least`` words at the shifts of a chain: begin and end in ``a``, begin in ``b``."""
+    out = []
+    for shift in np.unique(pos - rpos).tolist():
+        low, high = max(0, shift), min(len(a), len(b) + shift)
+        same = np.concatenate([[False], a[low:high] == b[low - shift : high - shift], [False]])
+        edge = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2) + low
+        out += [(s, e, s - shift) for s, e in edge.tolist() if e - s >= least]
+    return out
+
+
 def _chained(found: DataFrame, min_words: int, k: int) -> DataFrame:
-    """Chains that may hold a passage of ``min_words``; one task sees all matches of two documents, at most a document's length."""
-    least = max(1, min_words // 4)
+    """Chains that may hold a passage of ``min_words``; one task sees all matches of two documents, at most a document's length.
+
+    A long match of which no chain has both ends is a chain of its own.
+    """
+    least, size = max(1, min_words // 4), _long(k, min_words)
     arrow = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_key", "ref_doc_id", "ref_text_key")] + [("pos", pa.list_(pa.int32())), ("rpos", pa.list_(pa.int32()))])
     schema = T.StructType.fromDDL("doc_id long, text_key long, ref_doc_id long, ref_text_key long, pos array<int>, rpos array<int>")
 
@@ -321,14 +472,16 @@ def _chained(found: DataFrame, min_words: int, k: int) -> DataFrame:
         doc, ref, at, rat = rows[:, np.append(True, (np.diff(rows) != 0).any(axis=0))] if rows.shape[1] else rows
         who, rwho, pos, rpos = at >> 32, rat >> 32, (at & 0xFFFFFFFF) >> 1, (rat & 0xFFFFFFFF) >> 1
         long = np.flatnonzero(at & 1)
+        whole = np.ones(len(at), bool)  # the short runs at which a long match begins
         if rwho.any() or len(long):  # a long match is that of the short runs in it, end to end
-            copies = np.concatenate([np.arange(len(at)), np.repeat(long, LONG // k - 1)])
-            step = np.concatenate([np.zeros(len(at), np.int64), np.tile(np.arange(1, LONG // k) * k, len(long))])
-            doc, ref, who, rwho, pos, rpos = (x[copies] for x in (doc, ref, who, rwho, pos, rpos))
+            copies = np.concatenate([np.arange(len(at)), np.repeat(long, size // k - 1)])
+            step = np.concatenate([np.zeros(len(at), np.int64), np.tile(np.arange(1, size // k) * k, len(long))])
+            doc, ref, who, rwho, pos, rpos, whole = (x[copies] for x in (doc, ref, who, rwho, pos, rpos, at & 1 == 0))
+            whole[len(at) :] = True
             pos, rpos = pos + step, rpos + step
-            order = np.lexsort((rpos, pos, rwho, who, ref, doc))
+            order = np.lexsort((whole, rpos, pos, rwho, who, ref, doc))
             order = order[np.append(True, np.logical_or.reduce([np.diff(x[order]) != 0 for x in (doc, ref, who, rwho, pos, rpos)]))]
-            doc, ref, who, rwho, pos, rpos = (x[order] for x in (doc, ref, who, rwho, pos, rpos))
+            doc, ref, who, rwho, pos, rpos, whole = (x[order] for x in (doc, ref, who, rwho, pos, rpos, whole))
         of = (doc, who, ref, rwho)
         edge = np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in of]))) if len(doc) else np.empty(0, np.int64)
         end = np.append(edge[1:], len(doc))[: len(edge)]
@@ -337,7 +490,11 @@ def _chained(found: DataFrame, min_words: int, k: int) -> DataFrame:
         for a, b in zip(edge[wide].tolist(), end[wide].tolist()):
             for part in diagonals(pos[a:b], rpos[a:b]):
                 if len(part) > 1:
-                    for p, r in chains(pos[a:b][part], rpos[a:b][part]):
+                    found = chains(pos[a:b][part], rpos[a:b][part])
+                    if len(found) > 1:
+                        begins = part[~whole[a:b][part]]
+                        found = [x for x in found if len(x[0]) > 1] + _torn(pos[a:b][begins], rpos[a:b][begins], found, size - k)
+                    for p, r in found:
                         if len(p) > 1 and p[-1] - p[0] + k >= least:
                             out.append((*(x[a] for x in of), p.astype(np.int32), r.astype(np.int32)))
         for i in range(0, len(out), ROWS_OUT):
@@ -389,15 +546,19 @@ def passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, k: i
     and empty tables have no passages. Long texts need memory for their words'
     hashes, and nothing is cut off. Letter case is ignored for A-Z.
 
-    An exact passage of 50 words has fewer than two seeds in one of 30 000
-    cases. A passage whose seeds all meet other documents than the one that
-    has it whole is found through long seeds only; see README for recall.
+    Of equal runs of ``min_words`` words (at least ``k``) none is missed: every
+    word of a run that an earlier document has is in a passage. Edited passages
+    are found by the seeds between their edits; see README for recall.
     """
     repeated = _repeated(docs)
-    occurrences = materialise(seeds(docs, k, every, repeated), "chain-seeds")
-    found = _chained(matches(occurrences), min_words, k)
+    occurrences = materialise(_occurrences(docs, k, every, min_words, repeated), "chain-seeds")
+    windows = _windows(docs, occurrences, k, min_words, repeated)
+    plain, around = (occurrences.where(x).select("doc_id", "at", "seed") for x in ("not surroundings", "surroundings"))
+    met = matches(plain).union(matches(around if windows is None else around.union(windows), with_last=False))
+    found = _chained(met, min_words, k)
     found = materialise(found, "chain-found")
     discard(occurrences)
+    discard(windows)
     words = _hashed(docs, id_filter.build(found.select(F.explode(F.array("doc_id", "ref_doc_id")).alias("of")), "of"), repeated)
 
     def window(where: str) -> list[Column]:
@@ -417,10 +578,13 @@ def passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, k: i
         for batch in slices(batches):
             out = []
             for doc, key, ref, rkey, pos, rpos, a0, a, b0, b in zip(*(batch.column(c).to_pylist() for c in (*names, "a0", "a", "b0", "b"))):
-                s, e, rs, re, n = align(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), np.array(pos) - a0, np.array(rpos) - b0, k)
+                a, b, pos, rpos = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), np.array(pos) - a0, np.array(rpos) - b0
+                s, e, rs, re, n = align(a, b, pos, rpos, k)
                 alike = n / max(e - s, re - rs, 1)
                 if min(e - s, re - rs) >= min_words and alike >= similarity:
                     out.append((doc, key, s + a0, e + a0, ref, rkey, rs + b0, re + b0, n, min(1.0, alike)))
+                else:  # what is equal in it counts all the same
+                    out += [(doc, key, s + a0, e + a0, ref, rkey, rs + b0, rs + e - s + b0, e - s, 1.0) for s, e, rs in equal_runs(a, b, pos, rpos, min_words)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=fields)
 
     return ready.mapInArrow(run, schema)

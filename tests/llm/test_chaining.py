@@ -167,6 +167,35 @@ def test_halves_that_occur_earlier_elsewhere(spark):
     assert [(r.doc_id, r.ref_doc_id, r.start_word, r.end_word) for r in out] == [(4, 3, 0, 60)]
 
 
+def test_runs_whose_every_seed_meets_other_documents(spark):
+    rng = random.Random(61)
+    unique = lambda n: sentence(rng, n, "abcdefghijklmnop")
+    docs, expected = [], set()
+    for i in range(0, 200, 10):
+        run = unique(60).split()
+        pieces = [" ".join(run[:45]), " ".join(run[15:])]  # too short for a passage, but with all seeds
+        docs += [(i, unique(60).join(pieces)), (i + 1, unique(20) + " " + " ".join(run)), (i + 2, " ".join(run) + " " + unique(20))]
+        docs += [(i + j, unique(60).join(pieces[::-1])) for j in (3, 4)]
+        docs.append((i + 5, unique(30) + " " + " ".join(run[3:58]) + " " + unique(30)))
+        expected |= {(i + 2, 0, 60), (i + 5, 30, 85)}
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], DOCS)
+    covered = spans(C.passages(table).collect())
+    assert all(set(range(a, b)) <= covered.get(i, set()) for i, a, b in expected)
+
+
+def test_no_equal_run_is_missed(spark):
+    rng = random.Random(62)
+    pool = sentence(rng, 160, "abcdefghijklmnop").split()
+    docs = []
+    for i in range(200):  # cuts of one text in any order, most shorter than a passage
+        cuts = [(a := rng.randint(0, 110), a + rng.randint(10, 58)) for _ in range(rng.randint(1, 6))]
+        docs.append((i, " ".join(w for a, b in cuts for w in pool[a:b])))
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], DOCS)
+    for least in (21, 50):
+        covered = spans(C.passages(table, min_words=least).collect())
+        assert all(v <= covered.get(k, set()) for k, v in brute_runs(docs, least).items())
+
+
 def test_recall_of_edited_passages(spark):
     rng = random.Random(51)
     unique = lambda n: sentence(rng, n, "abcdefghijklmnopqrst")
