@@ -201,16 +201,44 @@ def _class_key(seed: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> np.ndarra
         return mix(mix(mix(seed.view(np.uint64)) + ids.view(np.uint64)) + keys.view(np.uint64)).view(np.int64)
 
 
-def _windows(docs: DataFrame, occurrences: DataFrame, k: int, min_words: int, repeated: Broadcast | None) -> DataFrame | None:
-    """``doc_id``, ``at``, ``seed``: windows of ``min_words`` words whose anchors texts have in different surroundings.
-
-    Texts that have an anchor in the same surroundings have the same windows
-    there, and each meets the first of them by its surroundings. So the
-    windows of these first texts are all that there are, and a window that an
-    earlier text has as well is one that an earlier one of them has.
+def _left_open(docs: DataFrame, occurrences: DataFrame, done: DataFrame, k: int, min_words: int, repeated: Broadcast | None) -> DataFrame:
+    """Matches of the texts that have a window of ``min_words`` words in common outside the passages in ``done``.
+
+    Every window has an anchor. An anchor is open in a text that isn't the first
+    to have it, if no passage holds all windows around it there. Texts that have
+    an anchor in the same surroundings have the same windows there: an open one
+    meets the first text with its surroundings. If an anchor has several, the
+    windows of these first texts are all that there are, and each meets the
+    first text that has it.
     """
-    firsts = occurrences.where("surroundings").groupBy("seed").agg(F.min(F.struct("doc_id", F.shiftright("at", 32).alias("key"))).alias("w"))
-    firsts = materialise(firsts.select("seed", F.shiftright("seed", 32).alias("own"), "w.doc_id", "w.key"), "chain-classes")
+    size = _long(k, min_words)
+    side, place = min_words - size, F.shiftright(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    anchors = occurrences.where("surroundings").select("doc_id", F.shiftright("at", 32).alias("key"), "at", "seed", F.shiftright("seed", 32).alias("own"))
+    text = F.struct("doc_id", "key")
+    groups = anchors.groupBy(F.col("own").alias("of")).agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low <> high").select("of", "low")
+    shared = materialise(anchors.join(groups, F.col("own") == F.col("of")).drop("of"), "chain-shared")
+    opened = _outside(shared.where(text != F.col("low")), "key", done, F.greatest(place - side, F.lit(0)), place + size + side)
+    opened = materialise(opened.select("doc_id", "at", "seed", "own"), "chain-open")
+    live = shared.join(opened.select(F.col("own").alias("of")).distinct(), F.col("own") == F.col("of"), "left_semi")
+    firsts = materialise(live.groupBy("own", "seed").agg(F.min(F.struct("doc_id", "key", "at")).alias("w")).select("own", "seed", "w.*"), "chain-classes")
+    discard(shared)
+    first = firsts.select(F.col("seed").alias("of"), F.col("doc_id").alias("ref_doc_id"), F.col("at").alias("ref_at"))
+    other = (F.col("doc_id") != F.col("ref_doc_id")) | (F.shiftright("at", 32) != F.shiftright("ref_at", 32))
+    met = materialise(opened.join(first, F.col("seed") == F.col("of")).where(other).select("doc_id", "at", "ref_doc_id", "ref_at"), "chain-alike")
+    discard(opened)
+    windows = _windows(docs, firsts, k, min_words, repeated)
+    return met if windows is None else met.union(matches(windows, with_last=False))
+
+
+def _outside(rows: DataFrame, key: str, done: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The rows whose words from ``start`` to ``end`` no passage in ``done`` holds."""
+    spans = done.groupBy(F.col("doc_id").alias("in"), F.col("text_key").alias("in_key")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    held = F.exists("spans", lambda x: (x["start_word"] <= start) & (x["end_word"] >= end))
+    return rows.join(spans, (F.col("doc_id") == F.col("in")) & (F.col(key) == F.col("in_key")), "left").where(~F.coalesce(held, F.lit(False))).select(*rows.columns)
+
+
+def _windows(docs: DataFrame, firsts: DataFrame, k: int, min_words: int, repeated: Broadcast | None) -> DataFrame | None:
+    """``doc_id``, ``at``, ``seed``: windows of ``min_words`` words in the texts of ``firsts`` whose anchors have several surroundings; nothing if there are none."""
     several = firsts.groupBy(F.col("own").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of")
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -531,34 +559,9 @@ def _hashed(docs: DataFrame, wanted: Broadcast, repeated: Broadcast | None) -> D
     return out if repeated is None else out.dropDuplicates(["of", "of_key"])
 
 
-def passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, k: int = K, every: int = EVERY) -> DataFrame:
-    """Passages of at least ``min_words`` words that an earlier document has as well.
-
-    In: ``doc_id``, ``text``; other columns are ignored, whatever their names.
-    Out, one row per passage and earlier document that it was compared with:
-    ``doc_id``, ``text_key``, ``start_word``, ``end_word`` (after the last),
-    ``ref_doc_id``, ``ref_text_key``, ``ref_start_word``, ``ref_end_word``,
-    ``n_matched`` and ``similarity``, matched words over the longer side.
-
-    Documents come in the order of their ids, and of their text keys where an
-    id has several texts; the key is 0 for ids of one row. Rows equal in id and
-    text are one document. Null ids take no part; null, empty and short texts
-    and empty tables have no passages. Long texts need memory for their words'
-    hashes, and nothing is cut off. Letter case is ignored for A-Z.
-
-    Of equal runs of ``min_words`` words (at least ``k``) none is missed: every
-    word of a run that an earlier document has is in a passage. Edited passages
-    are found by the seeds between their edits; see README for recall.
-    """
-    repeated = _repeated(docs)
-    occurrences = materialise(_occurrences(docs, k, every, min_words, repeated), "chain-seeds")
-    windows = _windows(docs, occurrences, k, min_words, repeated)
-    plain, around = (occurrences.where(x).select("doc_id", "at", "seed") for x in ("not surroundings", "surroundings"))
-    met = matches(plain).union(matches(around if windows is None else around.union(windows), with_last=False))
-    found = _chained(met, min_words, k)
-    found = materialise(found, "chain-found")
-    discard(occurrences)
-    discard(windows)
+def _aligned(docs: DataFrame, met: DataFrame, min_words: int, similarity: float, k: int, repeated: Broadcast | None) -> DataFrame:
+    """Passages that chains of the matches come to, word by word."""
+    found = materialise(_chained(met, min_words, k), "chain-found")
     words = _hashed(docs, id_filter.build(found.select(F.explode(F.array("doc_id", "ref_doc_id")).alias("of")), "of"), repeated)
 
     def window(where: str) -> list[Column]:
@@ -590,6 +593,35 @@ def passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, k: i
     return ready.mapInArrow(run, schema)
 
 
+def passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, k: int = K, every: int = EVERY) -> DataFrame:
+    """Passages of at least ``min_words`` words that an earlier document has as well.
+
+    In: ``doc_id``, ``text``; other columns are ignored, whatever their names.
+    Out, one row per passage and earlier document that it was compared with:
+    ``doc_id``, ``text_key``, ``start_word``, ``end_word`` (after the last),
+    ``ref_doc_id``, ``ref_text_key``, ``ref_start_word``, ``ref_end_word``,
+    ``n_matched`` and ``similarity``, matched words over the longer side.
+
+    Documents come in the order of their ids, and of their text keys where an
+    id has several texts; the key is 0 for ids of one row. Rows equal in id and
+    text are one document. Null ids take no part; null, empty and short texts
+    and empty tables have no passages. Long texts need memory for their words'
+    hashes, and nothing is cut off. Letter case is ignored for A-Z.
+
+    Of equal runs of ``min_words`` words (at least ``k``) none is missed: every
+    word of a run that an earlier document has is in a passage. Edited passages
+    are found by the seeds between their edits; see README for recall.
+    """
+    repeated = _repeated(docs)
+    occurrences = materialise(_occurrences(docs, k, every, min_words, repeated), "chain-seeds")
+    plain = occurrences.where("not surroundings").select("doc_id", "at", "seed")
+    done = materialise(_aligned(docs, matches(plain), min_words, similarity, k, repeated), "chain-passages")
+    met = _left_open(docs, occurrences, done, k, min_words, repeated)
+    more = materialise(_aligned(docs, met, min_words, similarity, k, repeated), "chain-more")
+    discard(occurrences)
+    return done.union(_outside(more.distinct(), "text_key", done, F.col("start_word"), F.col("end_word")))
+
+
 def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the passages of ``found`` cut out of their texts.
 
