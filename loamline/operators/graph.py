@@ -170,19 +170,79 @@ def _trimmed(edges: DataFrame, k: list[str]) -> DataFrame:
     return edges
 
 
-def strong_components(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def strongly_connected(adjacency: dict) -> list[tuple]:
+    """Nodes of strongly connected components of several nodes, each with the smallest of its component (Tarjan's search, without recursion)."""
+    found, number, low, open_, waiting = [], {}, {}, set(), []
+    for start in adjacency:
+        if start in number:
+            continue
+        trail = [(start, iter(adjacency[start]))]
+        number[start] = low[start] = len(number)
+        open_.add(start)
+        waiting.append(start)
+        while trail:
+            node, steps = trail[-1]
+            step = next(steps, None)
+            if step is None:
+                trail.pop()
+                if trail:
+                    low[trail[-1][0]] = min(low[trail[-1][0]], low[node])
+                if low[node] == number[node]:
+                    at = len(waiting) - 1
+                    while waiting[at] != node:
+                        at -= 1
+                    own, waiting[at:] = waiting[at:], []
+                    open_.difference_update(own)
+                    if len(own) > 1:
+                        least = min(own)
+                        found += [(x, least) for x in own]
+            elif step not in number:
+                if step in adjacency:
+                    number[step] = low[step] = len(number)
+                    open_.add(step)
+                    waiting.append(step)
+                    trail.append((step, iter(adjacency[step])))
+            elif step in open_:
+                low[node] = min(low[node], number[step])
+    return found
+
+
+#: Edges up to which one task searches a group whole.
+MOST_IN_A_TASK = 100_000
+
+
+def strong_components(edges: DataFrame, by: Sequence[str] = (), most: int = MOST_IN_A_TASK) -> DataFrame:
     """Nodes on cycles: ``by``, ``node``, ``component`` (the smallest node of its strongly connected component).
 
-    Nodes that no cycle can pass are trimmed. Then every node is coloured by
-    the smallest node that leads to it; a colour's root and the nodes of the
-    colour that lead back to it are one component. What is left is treated
-    alike. Every step is joins and sums over the edges of all groups together,
-    and written to the checkpoint folder; the number of steps follows from the
-    longest shortest paths, not from the number of nodes.
+    A group of at most ``most`` edges is searched by one task. The larger ones,
+    and a table without groups, go together through joins: nodes that no cycle
+    can pass are trimmed. Then every node is coloured by the smallest node that
+    leads to it; a colour's root and the nodes of the colour that lead back to
+    it are one component. What is left is treated alike. Every step is joins
+    and sums over all edges left, and written to the checkpoint folder; the
+    number of steps follows from the longest shortest paths, not from the
+    number of nodes, and each costs the driver memory for its plan.
     """
     k = list(by)
     left = edges.select(*k, "src", "dst").where("src <> dst").distinct().checkpoint()
     found = edges.select(*k, F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    if k:
+        left = left.dropna(subset=k)
+        # At most one group for every ``most`` edges.
+        large = left.groupBy(*k).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*k).checkpoint()
+        small = left if large.isEmpty() else left.join(F.broadcast(large), k, "left_anti")
+
+        def run(table: pd.DataFrame) -> pd.DataFrame:
+            adjacency: dict = {x: [] for x in table["src"]}
+            for s, d in zip(table["src"], table["dst"]):
+                adjacency[s].append(d)
+            rows = strongly_connected(adjacency)
+            return pd.DataFrame([(*table[k].iloc[0], *r) for r in rows], columns=[*k, "node", "component"])
+
+        found = small.groupBy(*k).applyInPandas(run, found.schema).checkpoint()
+        if large.isEmpty():
+            return found
+        left = left.join(F.broadcast(large), k, "left_semi")
     while True:
         left = _trimmed(left, k)
         if left.isEmpty():
@@ -214,8 +274,9 @@ def cycles(edges: DataFrame, by: str = "repo_id") -> DataFrame:
 
     Of every strongly connected component those that a depth-first search from
     its smallest node closes by its back edges. A task holds one component's
-    inner edges; nothing outside of components is gathered.
+    inner edges, or those of one small group. The edges are computed once.
     """
+    edges = edges.select(by, "src", "dst", "at_import_time").checkpoint()
     of = strong_components(edges, [by])
     src = of.select(by, F.col("node").alias("src"), "component")
     dst = of.select(by, F.col("node").alias("dst"), F.col("component").alias("other"))

@@ -81,6 +81,27 @@ def test_strong_components_against_reachability(spark):
     assert graph.strong_components(e.limit(0), ["repo_id"]).collect() == []
 
 
+def test_strong_components_of_small_and_large_groups(spark):
+    rng = random.Random(7)
+    rows = [(repo, f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for repo in "abcdefgh" for _ in range(rng.choice([6, 12, 18]))]
+    rows += [("ring", f"n{i}", f"n{(i + 1) % 20}") for i in range(20)] + [("chain", f"n{i}", f"n{i + 1}") for i in range(20)] + [(None, "x", "y"), (None, "y", "x")]
+    e = spark.createDataFrame(rows, "repo_id string, src string, dst string")
+    got = [{tuple(r) for r in graph.strong_components(e, ["repo_id"], most).collect()} for most in (0, 10, 1000)]
+    assert got[0] == got[1] == got[2] and {x[1] for x in got[0] if x[0] == "ring"} == {f"n{i}" for i in range(20)}
+
+
+def test_strong_components_of_small_groups_take_few_jobs(spark):
+    rows = [(repo, a, a + 1) for repo in range(5) for a in range(12)] + [(repo, a + 1, a) for repo in range(5) for a in range(0, 12, 3)]
+    e = spark.createDataFrame(rows, "repo_id int, src int, dst int")
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("strong", "small groups")
+    try:
+        assert graph.strong_components(e, ["repo_id"]).count() == 5 * 8
+        assert len(tracker.getJobIdsForGroup("strong")) <= 15
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_back_edges_are_closed_cycles():
     rng = random.Random(2)
     for _ in range(30):
