@@ -18,6 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -437,6 +438,27 @@ def _prefixes(own: DataFrame, similarity: float, tasks: int = 6) -> DataFrame:
     return own.mapInArrow(run, "node long, n long, central double, prefix array<long>, places array<long>")
 
 
+def _met_twice(prefixes: DataFrame) -> DataFrame:
+    """``prefixes`` without the shingles that only one of them has, which lead to no pair.
+
+    The counters that order the shingles fill up as texts grow in number and
+    leave ever more such ones; a filter of what two prefixes have leaves few.
+    """
+    shared = id_filter.build_twice(prefixes, "prefix")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix, places = batch.column("prefix"), batch.column("places")
+            keep = id_filter.may_hold(shared.value, prefix.flatten().to_numpy(zero_copy_only=False))
+            ends = np.append(0, np.cumsum(pc.list_value_length(prefix).to_numpy(zero_copy_only=False)))
+            ends = pa.array(np.append(0, np.cumsum(keep))[ends].astype(np.int32))
+            for name, own in (("prefix", prefix), ("places", places)):
+                batch = batch.set_column(batch.schema.get_field_index(name), name, pa.ListArray.from_arrays(ends, own.flatten().filter(pa.array(keep))))
+            yield batch
+
+    return prefixes.mapInArrow(run, prefixes.schema)
+
+
 def _completed(rows: DataFrame, classes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """``links`` and those that connect all texts similar enough within a class (``label``) of ``rep``.
 
@@ -486,6 +508,7 @@ def _completed(rows: DataFrame, classes: DataFrame, links: DataFrame, similarity
         tried = materialise(now if tried is None else tried.union(now), "similar-tried")
     # A text is in several classes; by prefixes it meets the texts of all of them at once.
     texts = opened.groupBy("rep", "part").agg(F.max("loose").alias("loose"))
+    prefixes = materialise(_met_twice(prefixes), "similar-shared-prefixes")
     postings = sent_if_small(texts, opened).join(prefixes, texts.rep == prefixes.node).select("rep", "part", "n", "loose", F.explode(F.arrays_zip("prefix", "places")).alias("p"))
     postings = postings.select("rep", "part", "n", "loose", F.col("p.prefix").alias("shingle"), F.col("p.places").alias("at"))
     postings = materialise(postings, "similar-postings")

@@ -229,3 +229,26 @@ def test_marks_never_rule_out_a_similar_pair():
             assert len(np.intersect1d(x, y)) <= bound
             ruled_out += n in (100, 400) and share < 0.6 and bound < 0.8 / 1.8 * (len(x) + len(y))
     assert ruled_out == 4
+
+
+def test_shingles_of_one_text_are_not_exploded(spark, monkeypatch):
+    """However full the counters are, only shingles that two prefixes have become rows."""
+    rng = random.Random(8)
+    monkeypatch.setattr(A, "COUNTERS", 4)
+    rows, whole = [], A.materialise
+    passage = sentence(rng, 150, "abcdefghijklmnop")
+    for i in range(60):
+        rows.append((i, passage + " " + sentence(rng, 150, "abcdefghijklmnop"), "en", "s", 0))
+    made = {}
+
+    def counted(df, name, **more):
+        out = whole(df, name, **more)
+        if name == "similar-postings":
+            made[name] = (out.count(), out.groupBy("shingle").count().where("count > 1").count())
+        return out
+
+    monkeypatch.setattr(A, "materialise", counted)
+    got = A.similar_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert len({r.component_id for r in got}) == 60
+    n, shared = made["similar-postings"]
+    assert 0 < shared and n <= 60 * shared
