@@ -183,3 +183,10 @@ def test_long_texts_come_in_small_slices():
     got = [part.column("text").to_pylist() for part in slices(iter([batch]), rows=3, size=100)]
     assert got == [texts[:2], texts[2:3], texts[3:4], texts[4:7], texts[7:]]
     assert [p.num_rows for p in slices(iter([batch.slice(0, 0)]))] == [0]
+
+
+def test_sums_and_products_of_narrow_tables():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 255, 256, 1000):
+        a, b = rng.normal(size=(n, 5)), rng.normal(size=(n, 7))
+        assert np.allclose(G.crossed(a, b), a.T @ b) and np.allclose(G.row_sums(a), a.sum(axis=1))
