@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.storage import discard, materialise
 
+#: Links up to which one task finds the components; more of them go by rounds over the cluster.
+AT_ONCE = 500_000
+
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links with the same components as u-v, but one per node: (node, smallest node of its component)."""
@@ -31,15 +37,33 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[out], nodes[label[out]]
 
 
-def connected_components(links: DataFrame, name: str = "components") -> DataFrame:
+def _by_one_task(links: DataFrame, name: str) -> DataFrame:
+    """Components of a few links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            u, v = forest(*(np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((u, "u"), (v, "v"))))
+        low = np.unique(v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in ((u, low), (v, low))], names=["node", "label"])
+
+    return materialise(links.coalesce(1).mapInArrow(run, "node long, label long"), f"{name}-labels")
+
+
+def connected_components(links: DataFrame, name: str = "components", at_once: int = AT_ONCE) -> DataFrame:
     """Smallest node that each linked node reaches.
 
     In: ``u``, ``v`` longs without nulls, in any order, repeats allowed. Out:
     ``node``, ``label`` for every node that has a link to another; an empty
-    table for none. Nothing is gathered on the driver. A join key may be a hub;
-    both sides of each join are exchanged, so adaptive execution can split it.
+    table for none. Nothing is gathered on the driver. Up to ``at_once`` links
+    are one task's work: the plans of the rounds would cost the driver far more
+    than these rows cost a worker. Beyond that a join key may be a hub; both
+    sides of each join are exchanged, so adaptive execution can split it.
     """
-    both = links.where("u <> v").select("u", "v").union(links.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    links = materialise(links.where("u <> v").select("u", "v"), f"{name}-links", few=True)
+    if links.count() <= at_once:
+        return _by_one_task(links, name)
+    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     edges = materialise(both, f"{name}-edges", few=True)
     labels = materialise(edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("label")), f"{name}-labels", few=True)
     while True:

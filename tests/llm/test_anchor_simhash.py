@@ -68,6 +68,27 @@ def test_components_of_chains_and_hubs(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_components_of_few_links_as_of_many(spark):
+    rng = random.Random(9)
+    links = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)]
+    links = spark.createDataFrame(links, "u long, v long").repartition(3)
+    few, many = (sorted(map(tuple, connected_components(links, at_once=x).collect())) for x in (1000, 0))
+    assert few == many
+    assert connected_components(links.limit(0), at_once=0).collect() == []
+
+
+def test_components_of_few_links_take_few_plans(spark):
+    """The rounds' plans, and the threads of their exchanges, were what filled the driver's memory."""
+    tracker = spark.sparkContext.statusTracker()
+    group = "components-of-few-links"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        connected_components(spark.createDataFrame([(i, i + 1) for i in range(100)], "u long, v long")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup(group)) <= 6
+
+
 def test_against_brute_force(spark):
     rng = random.Random(3)
     texts = [sentence(rng, rng.randint(0, 60)) for _ in range(150)]
