@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamline.llm.storage import discard, materialise
 from loamline.llm.words import MAX_CACHED, keep_freed, remainder, slices, text_bytes
@@ -308,21 +309,40 @@ class Gru:
 
 
 def _units(docs: DataFrame, words) -> DataFrame:
-    """All of every row: ``slot`` (a hash that orders and deals them), its number of ``tokens``, and the start with its units, as int16."""
+    """All columns of every row but its text, and what training and scoring need of that, so that no text is split again.
+
+    ``slot`` (a hash that orders and deals the rows), ``tokens``, what needs
+    no network (``hot`` and ``base`` for the hot words, ``net``), the ``rare``
+    words, and the start with its units, as int16.
+    """
+    others = [x for x in docs.schema if x.name != "text"]
+    schema = T.StructType([*others, *T.StructType.fromDDL("slot long, tokens long, hot long, base double, net double, rare array<binary>, units binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = words.value
-        for batch in slices(batches):
-            slots, tokens, units = [], [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch)):
-                h = xxhash.xxh64_intdigest(b"%s:%s" % (str(i).encode(), text))  # copies of a text are dealt to different trainers
-                unit = lex.numbers([*text.lower().split(), END])[0]
-                slots.append(h >> 1)
-                tokens.append(len(unit))
-                units.append(np.append(UNITS, unit).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(tokens, pa.int64()), pa.array(units, pa.binary())], names=["slot", "tokens", "units"])
+        # Number -1 (not hot) takes the last entry.
+        base_of, within_of = np.append(lex.hot_base, 0.0), np.append(lex.hot_within, 0.0)
+        for part in slices(batches):
+            whole = text_bytes(part)
+            texts = [[*t.lower().split(), END] for t in whole]
+            if not texts:
+                continue
+            # Copies of a text are dealt to different trainers.
+            slots = [xxhash.xxh64_intdigest(b"%s:%s" % (str(i).encode(), t)) >> 1 for i, t in zip(part.column("doc_id").to_pylist(), whole)]
+            tokens = list(chain.from_iterable(texts))
+            unit, number = lex.numbers(tokens)
+            n = np.array([len(t) for t in texts], np.int64)
+            start = np.cumsum(n) - n
+            cold = number < 0
+            net_of = np.add.reduceat(within_of[number] - np.where(cold, lex.unit_size[unit], 0.0), start)
+            left = cold.nonzero()[0].tolist()
+            ends = np.searchsorted(left, start + n).tolist()
+            rare = pa.array([[tokens[i] for i in left[a:b]] for a, b in zip([0, *ends], ends)], pa.list_(pa.binary()))
+            units = [x.tobytes() for x in np.split(np.insert(unit, start, UNITS).astype("<i2"), start[1:] + np.arange(1, len(n)))]
+            columns = [pa.array(slots, pa.int64()), pa.array(n), pa.array(n - np.add.reduceat(cold.astype(np.int64), start)), pa.array(np.add.reduceat(base_of[number], start)), pa.array(net_of), rare, pa.array(units, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(part.column(x.name) for x in others), *columns], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "slot long, tokens long, units binary")
+    return docs.select(*(x.name for x in others), "text").mapInArrow(run, schema)
 
 
 def learn(model: Gru, texts: Iterator[np.ndarray], rate: float, streams: int) -> int:
@@ -360,20 +380,18 @@ def _train(texts: DataFrame, model: Gru, trainers: int, rate: float, streams: in
     return Gru((total / n).astype(np.float32)) if n else model
 
 
-def train(docs: DataFrame, words, mass: np.ndarray, rounds: int = 2, rate: float = 0.01, streams: int = STREAMS, per_trainer: int = 4_000_000, most_trainers: int = 256) -> Gru:
-    """Average of trainers over ``rounds`` rounds, each of which passes its share of the texts once, whatever their number.
+def train(texts: DataFrame, mass: np.ndarray, rounds: int = 2, rate: float = 0.01, streams: int = STREAMS, per_trainer: int = 4_000_000, most_trainers: int = 256) -> Gru:
+    """Average of trainers over ``rounds`` rounds, each of which passes its share of the texts (of ``_units``) once, whatever their number.
 
     A trainer streams about ``per_trainer`` tokens; in a corpus that would need
     over ``most_trainers`` each streams more, since their weights meet on the
     driver. No text is left out.
     """
-    texts = materialise(_units(docs, words), "lm-units")
     n = texts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     trainers = max(1, min(most_trainers, -(-n // (per_trainer * rounds))))
     model = Gru.initial(mass)
     for i in range(rounds):
         model = _train(texts.where(F.pmod("slot", F.lit(rounds)) == i), model, trainers, rate / (1 + i), streams)
-    discard(texts)
     return model
 
 
@@ -390,15 +408,13 @@ def score_units(model: Gru, texts: list[np.ndarray], streams: int = STREAMS) ->
     return out
 
 
-def _scored(docs: DataFrame, words, model) -> DataFrame:
-    """Per row what needs no counts of rare words, and those words."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _scored(texts: DataFrame, model) -> DataFrame:
+    """The rows of ``_units`` without their units and rare words; ``net`` has the network's log10 probability added."""
+    rest = texts.drop("slot", "units", "rare").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()
-        lex, net = words.value, Gru(model.value)
-        # Number -1 (not hot) takes the last entry.
-        base_of, within_of = np.append(lex.hot_base, 0.0), np.append(lex.hot_within, 0.0)
+        net = Gru(model.value)
         held: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []  # rows that wait for the network, and their units
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -409,27 +425,18 @@ def _scored(docs: DataFrame, words, model) -> DataFrame:
                 yield part.set_column(at, "net", pa.array(part.column(at).to_numpy() + own))
             held.clear()
 
+        waiting = 0
         for part in slices(batches):
-            texts = [[*t.lower().split(), END] for t in text_bytes(part)]
-            if not texts:
-                continue
-            tokens = list(chain.from_iterable(texts))
-            unit, number = lex.numbers(tokens)
-            n = np.array([len(t) for t in texts], np.int64)
-            start = np.cumsum(n) - n
-            cold = number < 0
-            net_of = np.add.reduceat(within_of[number] - np.where(cold, lex.unit_size[unit], 0.0), start)
-            left = cold.nonzero()[0].tolist()
-            ends = np.searchsorted(left, start + n).tolist()
-            rare = pa.array([[tokens[i] for i in left[a:b]] for a, b in zip([0, *ends], ends)], pa.list_(pa.binary()))
-            columns = [part.column("doc_id"), part.column("held_out"), pa.array(n), pa.array(n - np.add.reduceat(cold.astype(np.int64), start)), pa.array(np.add.reduceat(base_of[number], start)), pa.array(net_of), rare]
-            held.append((pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "hot", "base", "net", "rare"]), np.split(unit.astype(np.int16), start[1:])))
-            if sum(len(u) for _, units in held for u in units) >= HELD:
+            units = [np.frombuffer(u.as_py(), "<i2")[1:] for u in part.column("units")]
+            held.append((part.select(rest.names), units))
+            waiting += sum(map(len, units))
+            if waiting >= HELD:
                 yield from rows()
+                waiting = 0
         if held:
             yield from rows()
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, hot long, base double, net double, rare array<binary>")
+    return texts.select(*rest.names, "units").mapInArrow(run, rest)
 
 
 def score(docs: DataFrame, parts: int = 10, held_out: int = 0, streams: int = STREAMS) -> DataFrame:
@@ -452,10 +459,12 @@ def score(docs: DataFrame, parts: int = 10, held_out: int = 0, streams: int = ST
     lex = lexicon(counts)
     sc = docs.sparkSession.sparkContext
     words = sc.broadcast(lex)
-    net = sc.broadcast(train(teach, words, lex.mass, streams=streams).flat)
-    scored = materialise(_scored(rows, words, net).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    rare = scored.select("row", F.explode("rare").alias("of"))
+    texts = materialise(_units(rows, words).withColumn("row", F.monotonically_increasing_id()), "lm-units")
+    net = sc.broadcast(train(texts.where("not held_out"), lex.mass, streams=streams).flat)
+    scored = materialise(_scored(texts, net), "lm-scored")
+    rare = texts.select("row", F.explode("rare").alias("of"))
     found = rare.join(counts, rare.of == counts.word, "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("more"), F.count("n").alias("more_known"))
-    out = scored.drop("rare").join(materialise(found, "lm-rare"), "row", "left")
+    out = scored.join(materialise(found, "lm-rare"), "row", "left")
+    discard(texts)
     more, norm = F.coalesce("more", F.lit(0.0)), float(np.log10(total.n + ADD * (total.v + 1)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("hot") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"), (F.col("base") + more - F.col("n_tokens") * norm).alias("base_score"), (F.col("net") + more).alias("score"))
+    return out.select("doc_id", "held_out", F.col("tokens").alias("n_tokens"), (F.col("hot") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"), (F.col("base") + more - F.col("tokens") * norm).alias("base_score"), (F.col("net") + more).alias("score"))

@@ -173,6 +173,22 @@ def test_all_tokens_of_a_text_are_learned(spark):
         assert G.score_units(after, run)[0] > G.score_units(before, run)[0]
 
 
+def test_scoring_reads_units_and_no_text(spark):
+    rows = [(1, "a b a", "en", "s", 0), (2, None, "en", "s", 0), (3, "Rare words a", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    lex = G.lexicon(G.count_words(docs.where("doc_id < 3")))
+    net = G.Gru.initial(lex.mass)
+    texts = G._units(docs.select("doc_id", "text"), spark.sparkContext.broadcast(lex))
+    assert "text" not in texts.columns
+    before = {r.doc_id: r for r in texts.collect()}
+    after = {r.doc_id: r.net for r in G._scored(texts, spark.sparkContext.broadcast(net.flat)).collect()}
+    assert {k: (r.tokens, r.hot, len(r.rare)) for k, r in before.items()} == {1: (4, 4, 0), 2: (1, 1, 0), 3: (4, 2, 2)}
+    for k, r in before.items():
+        units = np.frombuffer(r.units, "<i2")
+        assert units[0] == G.UNITS and np.array_equal(units[1:], lex.numbers(tokens(rows[k - 1][1]))[0])
+        assert np.isclose(after[k], r.net + G.score_units(net, [units[1:]])[0])
+
+
 def test_long_texts_come_in_small_slices():
     import pyarrow as pa
 
